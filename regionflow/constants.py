@@ -24,14 +24,14 @@ DPI_TOLERANCE = 1.01
 
 # --- fixed values: characters ------------------------------------------------
 # A: characters that make an OCR line worth mapping.
-CJK_MAP = r"぀-ヿ一-鿿･-ﾟ가-힯ᄀ-ᇿ"
+CJK_MAP = "\u3040-\u30ff\u4e00-\u9fff\uff65-\uff9f\uac00-\ud7af\u1100-\u11ff"
 # B: characters counted by the script ratio.
 CJK_RATIO = (
-    r"一-鿿぀-ゟ゠-ヿ가-힯"
-    r"ᄀ-ᇿ㄰-㆏ｦ-ﾟ"
+    "\u4e00-\u9fff\u3040-\u309f\u30a0-\u30ff\uac00-\ud7af"
+    "\u1100-\u11ff\u3130-\u318f\uff66-\uff9f"
 )
 # C: characters that show a translation was left in the source language.
-CJK_UNTRANSLATED = r"぀-ゟ゠-ヿ一-鿿가-힯"
+CJK_UNTRANSLATED = "\u3040-\u309f\u30a0-\u30ff\u4e00-\u9fff\uac00-\ud7af"
 SKIP_CHARS = ["ノ", "ー", "一", "|"]
 MIN_CJK_RATIO = 0.2
 
