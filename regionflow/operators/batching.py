@@ -177,10 +177,7 @@ def failed_batches(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
         F.count(F.lit(1)).alias("expected"),
         F.sort_array(F.collect_set("page_idx")).alias("pages"),
     )
-    joined = asked.join(actual, keys, "left").withColumn(
-        "actual", F.when(F.col("error").isNull(), F.coalesce("actual", F.lit(0))).otherwise(
-            F.coalesce("actual", F.lit(0)))
-    )
+    joined = asked.join(actual, keys, "left").fillna(0, ["actual"])
     short = F.col("actual") < F.col("expected")
     return joined.filter(F.col("error").isNotNull() | short).withColumn(
         "missing", F.when(F.col("error").isNull(), F.col("expected") - F.col("actual"))
