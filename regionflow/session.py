@@ -20,15 +20,21 @@ def local_session(cores: str = "8", app: str = "regionflow") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config(
-            "spark.sql.streaming.stateStore.providerClass",
-            "org.apache.spark.sql.execution.streaming.state."
-            "RocksDBStateStoreProvider",
-        )
         .getOrCreate()
     )
 
 
+def stateful_streams(spark: SparkSession) -> None:
+    """Settings the stateful streams need: state in RocksDB, which spills to disk,
+    and no checksum side files (their small writer pool can lock up when many
+    state stores upload at once)."""
+    spark.conf.set(
+        "spark.sql.streaming.stateStore.providerClass",
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    )
+    spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 

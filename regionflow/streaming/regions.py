@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from regionflow import constants as C
 from regionflow.functions.text import event_text
 from regionflow.operators.batching import zip_texts
+from regionflow.session import stateful_streams
 
 REGION_INPUT = (
     "doc_id bigint, global_idx bigint, page_idx bigint, bubble_idx bigint, text string, "
@@ -219,10 +220,15 @@ def run_region_stream(
     translate: Callable[[DataFrame], DataFrame],
     size: int = C.STREAM_TEXT_BATCH,
     files_per_trigger: int = 1,
-    stall_ms: int | None = STALL_MS,
+    stall_ms: int | None = None,
 ) -> DataFrame:
     """Run all stages over what is in ``source`` (Parquet, ``REGION_INPUT``) and
-    return the released rows.  Folders under ``work`` make each stage restartable."""
+    return the released rows.  Folders under ``work`` make each stage restartable.
+
+    A finite source has no stalls to wait for, so timers are off by default; a
+    live query passes ``stall_ms`` to :func:`batch_regions`.
+    """
+    stateful_streams(spark)
     def read(path: str, schema: str) -> DataFrame:
         return (
             spark.readStream.schema(schema)

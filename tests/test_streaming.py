@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from regionflow.session import shared_dir
+from regionflow.session import shared_dir, stateful_streams
 from regionflow.streaming import chunks, regions
 
 
@@ -78,6 +78,7 @@ def test_stream_matches_plain_order(spark):
 
 
 def test_chunk_watcher_equals_batch_form(spark):
+    stateful_streams(spark)
     texts = {
         1: ("[0]: fine words here [1]: more words", 2),
         2: ("[0]: a [1]: b [7]: c", 3),
