@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from regionflow import constants as C
 from regionflow.operators.ordering import preceding_totals, radix_levels
+from regionflow.session import cut_lineage
 
 BLOCK = 4096
 SUPER_BLOCK = 1024
@@ -116,7 +117,8 @@ def shelf_rows(
     """(doc_id, seq, w) to (doc_id, seq, row_idx, row_ord).
 
     ``seq`` counts from 0 inside a document.  ``separators`` leaves room for the
-    drawn line when testing the fit, but never adds it to the row.
+    drawn line when testing the fit, but never adds it to the row.  The items are
+    read more than once: hand in a stored table or cut their lineage first.
     """
     extra = C.SEPARATOR_WIDTH if separators else 0
     reach = row_width // padding + 2      # every item takes at least the padding
@@ -134,7 +136,12 @@ def shelf_rows(
         ),
     )
     long_docs = slim.groupBy("doc_id").agg(F.max("block").alias("last")).filter("last > 0")
-    effects = (
+    numbering = _number_rows(block, row_width, padding, extra)
+    numbered = "doc_id bigint, seq bigint, row_idx bigint, row_ord bigint"
+    if long_docs.isEmpty():               # no document is longer than one block
+        started = slim.withColumns({c: F.lit(0).cast("bigint") for c in ("entry", "row_base")})
+        return started.groupBy("doc_id", "block").applyInPandas(numbering, numbered)
+    effects = cut_lineage(
         shown.join(long_docs, "doc_id")
         .filter("block < last")
         .groupBy("doc_id", "block")
@@ -186,10 +193,7 @@ def shelf_rows(
         shown.join(entries, ["doc_id", "block"], "left")
         .fillna(0, ["entry", "row_base"])
         .groupBy("doc_id", "block")
-        .applyInPandas(
-            _number_rows(block, row_width, padding, extra),
-            "doc_id bigint, seq bigint, row_idx bigint, row_ord bigint",
-        )
+        .applyInPandas(numbering, numbered)
     )
 
 

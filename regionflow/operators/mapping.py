@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.functions.text import has_map_script, is_noise, strip
+from regionflow.session import cut_lineage
 
 LINE_KEY = ("doc_id", "line_no")
 GRID_BOX = ("gx1", "gy1", "gx2", "gy2")
@@ -147,17 +148,12 @@ def spatial_matches(
     lp = lp.select(*dict.fromkeys(["doc_id", *keep]))
 
     def meet(left: DataFrame, right: DataFrame, same_batch: bool) -> DataFrame:
-        right = right.select("doc_id", *CELL_FIELDS, F.col("p").alias("q"))
-        if same_batch:
-            right = right.withColumnRenamed("batch_idx", "c_batch")
-            on = (
-                (left["doc_id"] == right["doc_id"]) & (left["p"] == right["q"])
-                & (left["l_batch"] == right["c_batch"])
-            )
-        else:
-            right = right.withColumn("c_batch", F.col("batch_idx")).drop("batch_idx")
-            on = (left["doc_id"] == right["doc_id"]) & (left["p"] == right["q"])
-        return left.join(right, on).drop(right["doc_id"]).drop("p", "q", "l_batch")
+        fields = [c for c in CELL_FIELDS if c != "batch_idx"]
+        keys = ["doc_id", "l_batch", "p"] if same_batch else ["doc_id", "p"]
+        right = right.select(
+            "doc_id", F.col("batch_idx").alias("l_batch"), "p", *fields
+        )
+        return left.join(right if same_batch else right.drop("l_batch"), keys).drop("l_batch", "p")
 
     placed = cells.select("doc_id", *CELL_FIELDS)
     known = _cell_probes(placed.filter("batch_idx IS NOT NULL"), tolerance)
@@ -248,6 +244,8 @@ def map_lines(
             F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"),
         ),
     ).drop("skipped", "by_cell", "__cell")
+    # The joined lines are read once per rule and once for the result.
+    direct = cut_lineage(direct)
     settled = direct.filter("outcome IS NOT NULL").withColumns({
         "cell_idx": F.when(F.col("outcome") == "matched_cell_idx", F.col("cell_idx")),
         "rule": F.when(F.col("outcome") == "matched_cell_idx", 0),
