@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from regionflow.plans import (  # noqa: F401
     mapping_queries,
+    pixel_queries,
     region_queries,
+    reply_queries,
+    stream_queries,
     text_queries,
 )
 from regionflow.plans.registry import QUERIES, SQL  # noqa: F401
