@@ -112,10 +112,17 @@ def pad_translations(spark, sf):
     )
 
 
-@query("reply_quality", sql("""SELECT conv_id, block, coalesce(CASE WHEN n_told = 0 THEN 'empty_output'
-    WHEN expected > 1 AND n_told < expected THEN 'missing_indices:[' || gaps || ']_of_' || expected END,
-    CASE WHEN conv_id % 6 = 0 THEN 'word_repetition:again' END, 'good') AS reason FROM blocks JOIN (SELECT conv_id, block,
-    string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (NOT told) AS gaps FROM turns GROUP BY ALL) USING (conv_id, block)""", "turns", "blocks"))
+TOLD = """told_text AS (SELECT conv_id, block, coalesce(string_agg('[' || idx || ']: ' || text, chr(10) ORDER BY idx)
+    FILTER (told), '') AS out, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (NOT told) AS gaps FROM turns GROUP BY ALL)"""
+
+
+@query("reply_quality", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT * REPLACE (CASE WHEN conv_id % 6 = 0 AND out <> ''
+    THEN out || ' so again again again and on' ELSE out END AS out) FROM told_text)
+    SELECT conv_id, block, coalesce(CASE WHEN n_told = 0 THEN 'empty_output'
+    WHEN expected > 1 AND n_told < expected THEN 'missing_indices:[' || gaps || ']_of_' || expected
+    WHEN conv_id % 6 = 0 THEN 'word_repetition:again'
+    WHEN length(out) > 500 AND len(list_distinct(regexp_extract_all(out, '(?s).'))) / length(out)::DOUBLE < 0.08 THEN 'low_uniqueness' END,
+    'good') AS reason FROM blocks JOIN noisy USING (conv_id, block))""", "turns", "blocks"))
 def reply_quality(spark, sf):
     noisy = X.replies(spark, sf).withColumn(
         "output",
@@ -128,8 +135,13 @@ def reply_quality(spark, sf):
     )
 
 
-@query("repetition_loop", sql("""SELECT conv_id, block, told_text AND conv_id % 6 = 0 AS loops FROM (SELECT conv_id, block,
-    bool_or(told) AS told_text FROM turns GROUP BY ALL)""", "turns"))
+@query("repetition_loop", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT conv_id, block, CASE WHEN conv_id % 6 = 0 AND out <> ''
+    THEN repeat('go on, ', 12) || out ELSE out END AS out FROM told_text),
+    pieces AS (SELECT *, substr(out, s + 1, w) AS p FROM (SELECT *, unnest(range(2, 31)) AS w FROM (SELECT *, unnest(range(100)) AS s
+    FROM noisy WHERE length(out) >= 50)) WHERE s < least(100, length(out) - w)),
+    hits AS (SELECT DISTINCT conv_id, block FROM pieces WHERE len(list_distinct(regexp_extract_all(replace(replace(p, ' ', ''), chr(10), ''), '(?s).'))) > 1
+    AND (length(out) - length(replace(out, p, ''))) / length(p) >= 5 AND (length(out) - length(replace(out, p || p, ''))) / length(p || p) >= 4)
+    SELECT n.conv_id, n.block, h.conv_id IS NOT NULL AS loops FROM noisy n LEFT JOIN hits h USING (conv_id, block))""", "turns"))
 def repetition_loop(spark, sf):
     # The doubled piece starts the reply, as a stuck model's does.
     noisy = X.replies(spark, sf).withColumn(

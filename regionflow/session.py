@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -35,6 +36,19 @@ def stateful_streams(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
 
 
+@contextmanager
+def state_partitions(spark: SparkSession):
+    """One state partition per core while a stream starts: the number is fixed for
+    a stream's whole life, and every partition keeps a store and a worker."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 

@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from regionflow import constants as C
 from regionflow.functions.text import event_text
 from regionflow.operators.batching import zip_texts
-from regionflow.session import stateful_streams
+from regionflow.session import state_partitions, stateful_streams
 
 REGION_INPUT = (
     "doc_id bigint, global_idx bigint, page_idx bigint, bubble_idx bigint, text string, "
@@ -219,7 +219,7 @@ def run_region_stream(
     work: str,
     translate: Callable[[DataFrame], DataFrame],
     size: int = C.STREAM_TEXT_BATCH,
-    files_per_trigger: int = 1,
+    files_per_trigger: int | None = None,
     stall_ms: int | None = None,
 ) -> DataFrame:
     """Run all stages over what is in ``source`` (Parquet, ``REGION_INPUT``) and
@@ -230,11 +230,10 @@ def run_region_stream(
     """
     stateful_streams(spark)
     def read(path: str, schema: str) -> DataFrame:
-        return (
-            spark.readStream.schema(schema)
-            .option("maxFilesPerTrigger", files_per_trigger)
-            .parquet(path)
-        )
+        reader = spark.readStream.schema(schema)
+        if files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+        return reader.parquet(path)
 
     def write(frame: DataFrame, epoch: int) -> None:
         # One folder per epoch: a repeated epoch replaces its own output only.
@@ -242,20 +241,19 @@ def run_region_stream(
             f"{work}/results/epoch={epoch}"
         )
 
-    first = (
-        batch_regions(read(source, REGION_INPUT), size, stall_ms)
-        .writeStream.foreachBatch(write)
-        .option("checkpointLocation", f"{work}/check-batches")
-        .trigger(availableNow=True).start()
-    )
-    first.awaitTermination()
-    second = (
-        release_in_order(read(f"{work}/results/*", RESULT))
-        .writeStream.format("parquet").option("path", f"{work}/released")
-        .option("checkpointLocation", f"{work}/check-released")
-        .trigger(availableNow=True).start()
-    )
-    second.awaitTermination()
+    with state_partitions(spark):
+        batched = batch_regions(read(source, REGION_INPUT), size, stall_ms)
+        (
+            batched.writeStream.foreachBatch(write)
+            .option("checkpointLocation", f"{work}/check-batches")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+        (
+            release_in_order(read(f"{work}/results/*", RESULT))
+            .writeStream.format("parquet").option("path", f"{work}/released")
+            .option("checkpointLocation", f"{work}/check-released")
+            .trigger(availableNow=True).start().awaitTermination()
+        )
     return spark.read.schema(RELEASED).parquet(f"{work}/released")
 
 

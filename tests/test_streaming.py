@@ -64,7 +64,7 @@ def test_stream_matches_plain_order(spark):
     for files in (1, 3):
         src, work = shared_dir(spark, "src"), shared_dir(spark, "work")
         spark.createDataFrame(rows, regions.REGION_INPUT).repartition(files).write.parquet(src)
-        got = regions.run_region_stream(spark, src, work, upper, size=4)
+        got = regions.run_region_stream(spark, src, work, upper, size=4, files_per_trigger=1)
         result = sorted(
             (r.doc_id, r.global_idx, r.original_text, r.translated_text)
             for r in got.filter("kind = 'result'").collect()
