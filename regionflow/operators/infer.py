@@ -7,23 +7,28 @@ of jobs, at a time.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
+from regionflow.functions.text import is_limited, is_overload
 from regionflow.session import cut_lineage
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
-_LOADED: dict[str, Model] = {}
 
 
 def _model(name: str, load: Callable[[], Model]) -> Model:
-    if name not in _LOADED:
-        _LOADED[name] = load()
-    return _LOADED[name]
+    """The worker's copy of a model; kept in its module table, as the functions
+    shipped to a worker are made anew for every task."""
+    kept = sys.modules.setdefault("regionflow_models", types.ModuleType("regionflow_models"))
+    if not hasattr(kept, name):
+        setattr(kept, name, load())
+    return getattr(kept, name)
 
 
 def run_model(
@@ -131,10 +136,6 @@ def attempt_schedule(
     overload, or the first rate limit, moves the following attempts to the
     fallback model.  A request has a handful of attempts.
     """
-    from pyspark.sql import Window
-
-    from regionflow.functions.text import is_limited, is_overload
-
     earlier = (
         Window.partitionBy("request").orderBy("attempt")
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -91,10 +91,10 @@ def _probe(level: int, tiles: Column) -> Column:
     )
 
 
-_WHOLE = F.struct(
-    F.lit(len(TILE_SIZES)).alias("lv"), F.lit(0).cast("bigint").alias("ty"),
-    F.lit(0).cast("bigint").alias("tx"),
-)
+def _whole() -> Column:
+    """The one tile for boxes larger than every tile size."""
+    zero = F.lit(0).cast("bigint")
+    return F.struct(F.lit(len(TILE_SIZES)).alias("lv"), zero.alias("ty"), zero.alias("tx"))
 
 
 def _line_probes(lines: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def _line_probes(lines: DataFrame) -> DataFrame:
     by_size = F.when(longest <= TILE_SIZES[0], _probe(0, G.tiles(*box, TILE_SIZES[0])))
     for level, size in enumerate(TILE_SIZES[1:], 1):
         by_size = by_size.when(longest <= size, _probe(level, G.tiles(*box, size)))
-    by_size = by_size.otherwise(F.array(_WHOLE))
+    by_size = by_size.otherwise(F.array(_whole()))
     points = F.concat(
         _probe(0, G.tiles("cx", "cy", "cx", "cy", small)),
         _probe(0, G.tiles("x", "y", "x", "y", small)),
@@ -116,7 +116,7 @@ def _line_probes(lines: DataFrame) -> DataFrame:
 def _cell_probes(cells: DataFrame, tolerance: float) -> DataFrame:
     grown = [F.col(c) + d for c, d in zip(GRID_BOX, (-tolerance, -tolerance, tolerance, tolerance))]
     probes = [_probe(level, G.tiles(*grown, size)) for level, size in enumerate(TILE_SIZES)]
-    return cells.withColumn("p", F.explode(F.concat(*probes, F.array(_WHOLE))))
+    return cells.withColumn("p", F.explode(F.concat(*probes, F.array(_whole()))))
 
 
 def _one_per_box(cells: DataFrame) -> DataFrame:
@@ -267,22 +267,22 @@ def map_lines(
 
 
 def nearest_cells(
-    points: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY, tile: int = 256
+    points: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY,
+    tiles: Sequence[int] = (1 << 20, 1 << 14, 1 << 8),
 ) -> DataFrame:
     """Closest grid box (0 inside) to every point (cx, cy), over all batches.
 
-    A document's grids share one coordinate range, so it has few tiles however
-    many cells it holds.  Tiles that cannot beat the best guaranteed distance
-    are dropped before single boxes are compared.
+    Boxes are grouped into ever smaller tiles with the hull of what they hold.
+    From the largest tiles down, a point keeps only tiles whose hull comes nearer
+    than the distance some other tile guarantees; single boxes are compared last.
     """
     key = list(line_key)
-    boxes = _one_per_box(cells.select("doc_id", *CELL_FIELDS)).withColumns({
-        "ty": F.floor(F.col("gy1") / tile), "tx": F.floor(F.col("gx1") / tile),
-    })
-    hulls = boxes.groupBy("doc_id", "ty", "tx").agg(
-        F.min("gx1").alias("hx1"), F.min("gy1").alias("hy1"),
-        F.max("gx2").alias("hx2"), F.max("gy2").alias("hy2"),
-    )
+    boxes = _one_per_box(cells.select("doc_id", *CELL_FIELDS))
+    for level, size in enumerate(tiles):
+        boxes = boxes.withColumn(
+            f"t{level}",
+            F.struct(F.floor(F.col("gy1") / size).alias("ty"), F.floor(F.col("gx1") / size).alias("tx")),
+        )
 
     def squared(x1, y1, x2, y2):
         dx, dy = G.axis_distance(x1, x2, "cx"), G.axis_distance(y1, y2, "cy")
@@ -292,21 +292,27 @@ def nearest_cells(
         return F.greatest(F.abs(F.col(p) - F.col(low)), F.abs(F.col(high) - F.col(p)))
 
     far_x, far_y = reach("hx1", "hx2", "cx"), reach("hy1", "hy2", "cy")
-    slim = points.select(*dict.fromkeys(["doc_id", *key, "cx", "cy"]))
-    near = slim.join(hulls, "doc_id").withColumns({
-        "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
-    })
-    limit = near.groupBy(*key).agg(F.min("sure").alias("limit"))
-    kept = near.join(limit, key).filter("low <= limit").select(
-        *dict.fromkeys(["doc_id", *key, "cx", "cy", "ty", "tx"])
-    )
+    point = list(dict.fromkeys(["doc_id", *key, "cx", "cy"]))
+    kept, parents = points.select(*point), ["doc_id"]
+    for level in range(len(tiles)):
+        own = ["doc_id", *[f"t{i}" for i in range(level + 1)]]
+        hulls = boxes.groupBy(*own).agg(
+            F.min("gx1").alias("hx1"), F.min("gy1").alias("hy1"),
+            F.max("gx2").alias("hx2"), F.max("gy2").alias("hy2"),
+        )
+        near = kept.join(hulls, parents).withColumns({
+            "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
+        })
+        limit = near.groupBy(*key).agg(F.min("sure").alias("limit"))
+        kept = near.join(limit, key).filter("low <= limit").select(*dict.fromkeys([*point, *own]))
+        parents = own
     best = F.min(
         F.struct(
             squared(*GRID_BOX).alias("d2"), "cell_idx", "page_idx", "bubble_idx", *GRID_BOX
         )
     ).alias("m")
     return (
-        kept.join(boxes, ["doc_id", "ty", "tx"]).groupBy(*key).agg(best)
+        kept.join(boxes, parents).groupBy(*key).agg(best)
         .select(*key, F.sqrt("m.d2").alias("distance"), "m.cell_idx", "m.page_idx", "m.bubble_idx")
     )
 

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regionflow.session import cut_lineage
+
 RADIX = 1024
 
 
@@ -98,3 +100,27 @@ def with_position(
         .withColumn(name, (F.col(name) + F.col("__size_before")).cast("bigint"))
         .drop("__size_before", *levels)
     )
+
+
+def number_sorted(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: 0-based position of every row in one global order.
+
+    For orders that have no coarse levels (file paths, say): a range sort, the
+    size of every sorted partition, and an offset per partition.  The sorted rows
+    are written out first, so partitions stay what they were counted as.
+    """
+    sorted_rows = cut_lineage(
+        df.orderBy(*order).withColumns({
+            "__part": F.spark_partition_id().cast("bigint"),
+            "__row": F.monotonically_increasing_id(),
+        })
+    )
+    sizes = sorted_rows.groupBy("__part").agg(
+        F.count(F.lit(1)).alias("n"), F.min("__row").alias("__first")
+    ).withColumn("__all", F.lit(0))
+    before = preceding_totals(sizes, ["__all"], ["__part"], ["n"])
+    return (
+        sorted_rows.join(before.select("__part", "__first", "n_before"), "__part")
+        .withColumn(name, F.col("n_before") + F.col("__row") - F.col("__first"))
+        .drop("__part", "__row", "__first", "n_before")
+    )

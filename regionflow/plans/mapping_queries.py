@@ -92,9 +92,9 @@ def unmapped_regions(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY doc_id, src_page, line_no ORDER BY d2, cell_idx) = 1""", "spatial"))
 def nearest_cell(spark, sf):
     cells = stored_cells(spark, sf)
-    lost = mapped(spark, sf, cells).filter("outcome = 'unmatched'").select(
+    lost = cut_lineage(mapped(spark, sf, cells).filter("outcome = 'unmatched'").select(
         *LINE, (F.col("x") + F.col("width") / 2).alias("cx"), (F.col("y") + F.col("height") / 2).alias("cy")
-    )
+    ))
     return mapping.nearest_cells(lost, cells, LINE).select(
         *LINE, F.round("distance", 6).alias("distance"), "cell_idx"
     )
@@ -124,14 +124,14 @@ def images(spark, sf):
 @query("dpi_normalize", sql(f"""SELECT * FROM (WITH {IMAGES}, reach AS (SELECT doc_id, batch_idx, max(x + width) AS mx, max(y + height) AS my
     FROM lines GROUP BY ALL), ratio AS (SELECT doc_id, batch_idx, CASE WHEN mx > img_w THEN mx / img_w ELSE 1 END AS sx,
     CASE WHEN my > img_h THEN my / img_h ELSE 1 END AS sy FROM reach JOIN images USING (doc_id, batch_idx))
-    SELECT l.doc_id, src_page, line_no, round(CASE WHEN sx > 1.01 OR sy > 1.01 THEN x / sx ELSE x END, 6) AS x,
-    round(CASE WHEN sx > 1.01 OR sy > 1.01 THEN y / sy ELSE y END, 6) AS y,
-    round(CASE WHEN sx > 1.01 OR sy > 1.01 THEN width / sx ELSE width END, 6) AS width,
-    round(CASE WHEN sx > 1.01 OR sy > 1.01 THEN height / sy ELSE height END, 6) AS height
+    SELECT l.doc_id, src_page, line_no, CASE WHEN sx > 1.01 OR sy > 1.01 THEN x / sx ELSE x END AS x,
+    CASE WHEN sx > 1.01 OR sy > 1.01 THEN y / sy ELSE y END AS y,
+    CASE WHEN sx > 1.01 OR sy > 1.01 THEN width / sx ELSE width END AS width,
+    CASE WHEN sx > 1.01 OR sy > 1.01 THEN height / sy ELSE height END AS height
     FROM lines l LEFT JOIN ratio r ON l.doc_id = r.doc_id AND l.batch_idx = r.batch_idx)""", "lines", "page_dim"))
 def dpi_normalize(spark, sf):
     scaled = mapping.scale_to_image(X.lines(spark, sf), images(spark, sf))
-    return scaled.select(*LINE, *[F.round(c, 6).alias(c) for c in ("x", "y", "width", "height")])
+    return scaled.select(*LINE, "x", "y", "width", "height")
 
 
 @query("lines_outside", sql(f"""SELECT * FROM (WITH {IMAGES} SELECT doc_id, src_page, line_no FROM lines JOIN images

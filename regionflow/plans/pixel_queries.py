@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from regionflow.operators import assemble
 from regionflow.operators import components as K
 from regionflow.operators import pixels as P
 from regionflow.plans import fixtures as X
@@ -117,6 +118,13 @@ def crop_pixels(spark, sf):
     return P.crop_pixels(X.px(spark, sf), X.px_regions(spark, sf))
 
 
+@query("region_pictures", sql(f"""SELECT {KEYS}, to_base64(from_hex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS image_base64,
+    count(DISTINCT x) AS width, count(DISTINCT y) AS height FROM (SELECT p.region_id, q.* FROM px_regions p
+    JOIN raster q USING (doc_id, page_idx) WHERE x >= p.x1 AND x < p.x2 AND y >= p.y1 AND y < p.y2) GROUP BY ALL""", "px_regions", "raster"))
+def region_pictures(spark, sf):
+    return assemble.region_pictures(P.crop_pixels(X.px(spark, sf), X.px_regions(spark, sf)))
+
+
 @query("apply_fills", sql("""SELECT doc_id, page_idx, count(*) AS n, CAST(sum(coalesce(f, r) * (y * 64 + x + 1)) AS BIGINT) AS check_r,
     count(f) AS painted FROM raster LEFT JOIN (SELECT doc_id, page_idx, y, x, max_by(region_id % 251, region_id) AS f
     FROM inside WHERE region_id % 2 = 0 OR m > 5 GROUP BY ALL) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.operators.ordering import with_position
+from regionflow.operators.ordering import number_sorted
 
 # --- fixed values: names of debug pictures that are not input -----------------
 EXCLUDED = ["viz", "debug", "detected", "fixed", "compare", "test"]
@@ -33,19 +33,23 @@ def list_pictures(spark: SparkSession, folder: str, pattern: str = "*.{jpg,png}"
 
 
 def load_pages(spark: SparkSession, folder: str, doc_id: int = 0) -> DataFrame:
-    """Pictures of one folder as pages, numbered in file order, decoded by Spark."""
-    # format("image") gives bytes, size and channel count; broken files are dropped.
+    """Pictures of one folder as pages, numbered in file order, decoded by Spark;
+    broken files are dropped."""
     pictures = (
         spark.read.format("image").option("dropInvalid", True).load(folder)
         .select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
-        .withColumns({
-            "doc_id": F.lit(doc_id).cast("bigint"),
-            "shard": F.pmod(F.xxhash64("origin"), F.lit(1024)),
-        })
     )
-    names = pictures.select("doc_id", "origin").withColumn("first", F.substring("origin", 1, 1_000_000))
-    order = with_position(names.drop("first"), ["doc_id"], {}, [F.col("origin")], "page_idx")
-    return pictures.drop("shard").join(order, ["doc_id", "origin"])
+    names = pictures.select("origin").withColumn(
+        "number",
+        F.coalesce(
+            F.regexp_replace(F.element_at(F.split("origin", "/"), -1), r"\D", "").try_cast("bigint"),
+            F.lit(0),
+        ),
+    )
+    order = number_sorted(names, [F.col("number"), F.col("origin")], "page_idx")
+    return pictures.join(order.select("origin", "page_idx"), "origin").withColumn(
+        "doc_id", F.lit(doc_id).cast("bigint")
+    )
 
 
 def pixels_of(pages: DataFrame) -> DataFrame:
