@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
-from regionflow.functions.text import col, strip
+from regionflow.functions.text import col, let, strip
 
 CELLS = "array<struct<idx:bigint,text:string>>"
 
@@ -46,15 +46,18 @@ def _pairs(text: Column, pattern: str) -> Column:
 def last_per_index(pairs: Column) -> Column:
     """Keep the last text of every index; replies number each cell once, so the
     quadratic look-ahead only runs when an index really repeats."""
-    plain = F.size(F.array_distinct(F.transform(pairs, lambda p: p.getField("idx"))))
-    later = F.filter(
-        pairs,
-        lambda p, i: ~F.exists(
-            F.slice(pairs, i + 2, F.size(pairs)),
-            lambda q: q.getField("idx") == p.getField("idx"),
-        ),
-    )
-    return F.when(plain == F.size(pairs), pairs).otherwise(later)
+    def keep(found: Column) -> Column:
+        plain = F.size(F.array_distinct(F.transform(found, lambda p: p.getField("idx"))))
+        later = F.filter(
+            found,
+            lambda p, i: ~F.exists(
+                F.slice(found, i + 2, F.size(found)),
+                lambda q: q.getField("idx") == p.getField("idx"),
+            ),
+        )
+        return F.when(plain == F.size(found), found).otherwise(later)
+
+    return let(pairs, keep)
 
 
 def _in_range(pairs: Column, expected: Column) -> Column:
@@ -156,8 +159,9 @@ def parse_translation(output, expected) -> Column:
             F.filter(pairs, lambda p: (p.getField("idx") > 0) & (p.getField("idx") <= n))
         )
     )
-    numbered = F.transform(
-        positions, lambda i: F.coalesce(F.try_element_at(by_index, i), F.lit(""))
+    numbered = let(
+        by_index,
+        lambda m: F.transform(positions, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(""))),
     )
     plain = F.slice(
         F.concat(

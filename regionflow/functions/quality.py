@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
-from regionflow.functions.text import col, strip
+from regionflow.functions.text import col, let, strip
 
 
 def words(text) -> Column:
@@ -26,39 +26,44 @@ def _first(array: Column) -> Column:
 
 def repeated_word(output) -> Column:
     """First word said three times in a row, once there are six words."""
-    w = words(output)
-    hit = F.filter(
-        _positions(F.size(w) - 2),
-        lambda i: (F.get(w, i) == F.get(w, i + 1))
-        & (F.get(w, i) == F.get(w, i + 2))
-        & (F.length(F.get(w, i)) > 1),
-    )
-    return F.when(F.size(w) >= 6, F.get(w, _first(hit)))
+    def find(w: Column) -> Column:
+        hit = F.filter(
+            _positions(F.size(w) - 2),
+            lambda i: (F.get(w, i) == F.get(w, i + 1))
+            & (F.get(w, i) == F.get(w, i + 2))
+            & (F.length(F.get(w, i)) > 1),
+        )
+        return F.when(F.size(w) >= 6, F.get(w, _first(hit)))
+
+    return let(words(output), find)
 
 
 def alternating_words(output) -> Column:
     """First ``a b a b a b``, as ``a_b``."""
-    w = words(output)
-    hit = F.filter(
-        _positions(F.size(w) - 5),
-        lambda i: (F.get(w, i) == F.get(w, i + 2)) & (F.get(w, i) == F.get(w, i + 4))
-        & (F.get(w, i + 1) == F.get(w, i + 3)) & (F.get(w, i + 1) == F.get(w, i + 5)),
-    )
-    at = _first(hit)
-    return F.concat(F.get(w, at), F.lit("_"), F.get(w, at + 1))
+    def find(w: Column) -> Column:
+        hit = F.filter(
+            _positions(F.size(w) - 5),
+            lambda i: (F.get(w, i) == F.get(w, i + 2)) & (F.get(w, i) == F.get(w, i + 4))
+            & (F.get(w, i + 1) == F.get(w, i + 3)) & (F.get(w, i + 1) == F.get(w, i + 5)),
+        )
+        return let(_first(hit), lambda at: F.concat(F.get(w, at), F.lit("_"), F.get(w, at + 1)))
+
+    return let(words(output), find)
 
 
 def repeated_phrase(output) -> Column:
     """First part said three times in a row, over four separators in turn."""
     def by(separator: str) -> Column:
-        parts = F.transform(F.split(col(output), separator), strip)
-        hit = F.filter(
-            _positions(F.size(parts) - 2),
-            lambda i: (F.length(F.get(parts, i)) > 1)
-            & (F.get(parts, i) == F.get(parts, i + 1))
-            & (F.get(parts, i) == F.get(parts, i + 2)),
-        )
-        return F.get(parts, _first(hit))
+        def find(parts: Column) -> Column:
+            hit = F.filter(
+                _positions(F.size(parts) - 2),
+                lambda i: (F.length(F.get(parts, i)) > 1)
+                & (F.get(parts, i) == F.get(parts, i + 1))
+                & (F.get(parts, i) == F.get(parts, i + 2)),
+            )
+            return F.get(parts, _first(hit))
+
+        return let(F.transform(F.split(col(output), separator), strip), find)
 
     return F.coalesce(*[by(s) for s in ("、", ",", "。", " ")])
 
@@ -74,20 +79,31 @@ def low_uniqueness(output, limit: float = 0.08, longer_than: int = 500) -> Colum
     return (length > longer_than) & (distinct / length < limit)
 
 
-def duplicate_cells(cells) -> Column:
-    """``3x'text'`` for the most frequent cell text, when it occurs three times."""
-    texts = F.transform(col(cells), lambda c: c.getField("text"))
-    counted = F.transform(
+def _counted(texts: Column) -> Column:
+    """Every distinct text with how often it occurs, in order of first sight."""
+    return F.transform(
         F.array_distinct(texts),
-        lambda t: F.struct(
-            F.size(F.filter(texts, lambda u: u == t)).alias("n"), t.alias("text")
-        ),
+        lambda t: F.struct(F.size(F.filter(texts, lambda u: u == t)).alias("n"), t.alias("text")),
     )
-    best = F.array_max(F.transform(counted, lambda c: c.getField("n")))
-    text = _first(F.filter(counted, lambda c: c.getField("n") == best)).getField("text")
-    return F.when(
-        (F.size(texts) >= 3) & (best >= 3),
-        F.concat(best.cast("string"), F.lit("x'"), F.substring(text, 1, 10), F.lit("'")),
+
+
+def duplicate_cells(cells) -> Column:
+    """``3x'text'`` for the most frequent cell text, when it occurs three times."""
+    def name(counted: Column) -> Column:
+        best = F.array_max(F.transform(counted, lambda c: c.getField("n")))
+        return let(best, lambda n: F.when(
+            n >= 3,
+            F.concat(
+                n.cast("string"), F.lit("x'"),
+                F.substring(
+                    _first(F.filter(counted, lambda c: c.getField("n") == n)).getField("text"), 1, 10
+                ),
+                F.lit("'"),
+            ),
+        ))
+
+    return let(
+        F.transform(col(cells), lambda c: c.getField("text")), lambda t: let(_counted(t), name)
     )
 
 
@@ -98,8 +114,11 @@ def missing_indices(cells, expected) -> Column:
 
 def reply_problem(output, cells, expected) -> Column:
     """Why a grid reply must be asked again; null when it is good."""
+    return let(col(cells), lambda found: _problem(output, found, expected))
+
+
+def _problem(output, found: Column, expected) -> Column:
     out, n = F.coalesce(col(output), F.lit("")), col(expected).cast("int")
-    found = col(cells)
     top = F.array_max(F.transform(found, lambda c: c.getField("idx")))
     gaps = missing_indices(found, n)
     listed = F.concat(
@@ -132,6 +151,10 @@ def reply_problem(output, cells, expected) -> Column:
     )
 
 
+def _counted_once(texts: Column) -> Column:
+    return let(texts, _counted)
+
+
 def _occurrences(text: Column, piece: Column) -> Column:
     """Non-overlapping occurrences."""
     return (F.length(text) - F.length(F.replace(text, piece, F.lit("")))) / F.length(piece)
@@ -163,10 +186,7 @@ def repetition_loop(output, threshold: int = 5) -> Column:
         ),
     )
     lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda t: t != "")
-    line_loop = F.exists(
-        F.array_distinct(lines),
-        lambda t: F.size(F.filter(lines, lambda u: u == t)) >= threshold,
-    )
+    line_loop = F.exists(_counted_once(lines), lambda c: c.getField("n") >= threshold)
     return F.when(size < 50, F.lit(False)).otherwise(
         F.when(out.rlike(r"(?s)(.{2,30}?)\1"), short).otherwise(F.lit(False))
         | F.when(
@@ -217,14 +237,12 @@ def early_cell_abort(prefix, expected) -> Column:
         F.regexp_extract_all(out, F.lit(entry), F.lit(2)),
         lambda t: F.substring(strip(t), 1, 50),
     )
-    recent = F.slice(bodies, -6, 6)
-    recent = F.when(F.size(bodies) >= 6, recent).otherwise(bodies)
-    counted = F.transform(
-        F.array_distinct(recent),
-        lambda t: F.struct(F.size(F.filter(recent, lambda u: u == t)).alias("n"), t.alias("t")),
-    )
+    recent = F.when(F.size(bodies) >= 6, F.slice(bodies, -6, 6)).otherwise(bodies)
     loop = _first(
-        F.filter(counted, lambda c: (c.getField("n") >= 3) & (F.length(c.getField("t")) > 2))
+        F.filter(
+            _counted_once(recent),
+            lambda c: (c.getField("n") >= 3) & (F.length(c.getField("text")) > 2),
+        )
     )
     tail = words(F.substr(out, F.length(out) - 99, F.lit(100)))
     return F.coalesce(
@@ -234,7 +252,7 @@ def early_cell_abort(prefix, expected) -> Column:
             F.size(bodies) >= 4,
             F.concat(
                 F.lit("repetition:"), loop.getField("n").cast("string"), F.lit("x'"),
-                F.substring(loop.getField("t"), 1, 20), F.lit("'"),
+                F.substring(loop.getField("text"), 1, 20), F.lit("'"),
             ),
         ),
         F.when(
@@ -251,12 +269,11 @@ def early_translation_abort(prefix, expected, target_language: str = "English")
     numbered = F.regexp_count(out, F.lit(r"(?m)^\d+[\.\)]"))
     lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda t: t != "")
     recent = F.when(F.size(lines) >= 8, F.slice(lines, -8, 8)).otherwise(lines)
-    counts = F.transform(
-        F.array_distinct(recent),
-        lambda t: F.struct(F.size(F.filter(recent, lambda u: u == t)).alias("n"), t.alias("t")),
-    )
     loop = _first(
-        F.filter(counts, lambda c: (c.getField("n") >= 3) & (F.length(c.getField("t")) > 5))
+        F.filter(
+            _counted_once(recent),
+            lambda c: (c.getField("n") >= 3) & (F.length(c.getField("text")) > 5),
+        )
     )
     reasons = [
         F.when(

@@ -14,6 +14,12 @@ def col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once: a lambda that mentions an
+    outer expression would compute it again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value) -> Column:
     """Trim every Unicode space, U+3000 included (``trim`` would leave it)."""
     return F.regexp_replace(col(value), _EDGE_SPACE, "")

@@ -6,27 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
-from regionflow.operators.ordering import preceding_totals, radix_levels, with_position
+from regionflow.operators.ordering import RADIX, preceding_totals, radix_levels, with_position
+
+
+def _page_levels(first: Column) -> dict[str, Column]:
+    """Blocks of 1024 pages, then pages, a very full page in parts."""
+    block = F.floor(F.col("page_idx") / RADIX)
+    part = F.floor(F.col("bubble_idx") / RADIX)
+    return {
+        "__block": F.struct(first.alias("a"), block.alias("b")),
+        "__page": F.struct(F.col("page_idx").alias("a"), part.alias("b")),
+    }
 
 
 def job_order(jobs: DataFrame, name: str = "seq") -> DataFrame:
     """First-level jobs by (page, region), then second-level ones; from 0 per document."""
-    pages = radix_levels("page_idx", "__p", 2)
     return with_position(
-        jobs, ["doc_id"],
-        {"__l2": F.col("is_l2").cast("int"), **pages, "__page": F.col("page_idx"),
-         "__part": F.floor(F.col("bubble_idx") / 1024)},
-        [F.col("bubble_idx")], name,
+        jobs, ["doc_id"], _page_levels(F.col("is_l2").cast("int")), [F.col("bubble_idx")], name
     )
 
 
 def region_order(regions: DataFrame, name: str = "global_idx") -> DataFrame:
     """Running number of regions by (page, region) inside a document."""
     return with_position(
-        regions, ["doc_id"],
-        {**radix_levels("page_idx", "__p", 2), "__page": F.col("page_idx"),
-         "__part": F.floor(F.col("bubble_idx") / 1024)},
-        [F.col("bubble_idx")], name,
+        regions, ["doc_id"], _page_levels(F.lit(0)), [F.col("bubble_idx")], name
     )
 
 
@@ -47,9 +50,9 @@ def page_batches(regions: DataFrame, size: int) -> DataFrame:
     full = F.ceil(F.col("n") / size)
     pages = (
         regions.groupBy("doc_id", "page_idx").agg(F.count(F.lit(1)).alias("n"))
-        .withColumns({"parts": full, **radix_levels("page_idx", "__p", 2)})
+        .withColumns({"parts": full, **radix_levels("page_idx", "__p", 1)})
     )
-    before = preceding_totals(pages, ["doc_id"], ["__p2", "__p1", "page_idx"], ["n", "parts"])
+    before = preceding_totals(pages, ["doc_id"], ["__p1", "page_idx"], ["n", "parts"])
     totals = pages.groupBy("doc_id").agg(F.sum("n").alias("total"))
     table = before.join(totals, "doc_id").select(
         "doc_id", "page_idx", "n_before", "parts_before", "total"

@@ -48,8 +48,10 @@ def reading_order(det: DataFrame) -> DataFrame:
         det,
         keys=[*PAGE, "label"],
         levels={
-            "__band": F.floor(F.col("y1") / C.ROW_BAND),
-            "__slice": -F.floor(F.col("x1") / 128),
+            "__cell": F.struct(
+                F.floor(F.col("y1") / C.ROW_BAND).alias("band"),
+                (-F.floor(F.col("x1") / 128)).alias("slice"),
+            ),
         },
         order=[F.col("x1").desc(), F.col("det_idx")],
         name="bubble_idx",

@@ -339,8 +339,8 @@ def grid_coordinates(
     keys = ["doc_id", "batch_idx"]
     rows = placed.groupBy(*keys, "row_idx").agg(
         F.max("h").alias("row_h"), F.count(F.lit(1)).alias("cells")
-    ).withColumns({"step": F.col("row_h") + padding + line, **radix_levels("row_idx", "__r", 2)})
-    tops = preceding_totals(rows, keys, ["__r2", "__r1", "row_idx"], ["step", "cells"])
+    ).withColumns({"step": F.col("row_h") + padding + line, **radix_levels("row_idx", "__r", 1)})
+    tops = preceding_totals(rows, keys, ["__r1", "row_idx"], ["step", "cells"])
     before = (
         Window.partitionBy(*keys, "row_idx").orderBy("row_ord")
         .rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.operators import detect
+from regionflow.session import spread
 
 WIDTH, HEIGHT = 900, 1280
 BIG = 4294967296          # cell numbers: page * BIG + region
@@ -133,14 +134,14 @@ def texts(spark, sf_dir) -> DataFrame:
 
 
 def jobs(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "conversations").selectExpr(*JOBS)
+    return spread(table(spark, sf_dir, "conversations")).selectExpr(*JOBS)
 
 
 def turns(spark, sf_dir) -> DataFrame:
     """One text per (conversation, turn) in blocks of eight turns, so that a reply
     made from a block is small however many rows share a turn."""
     return (
-        table(spark, sf_dir, "conversations")
+        spread(table(spark, sf_dir, "conversations"))
         .groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
         .selectExpr(
             "conv_id", "CAST(floor(turn / 8) AS BIGINT) AS block", "turn % 8 AS idx", "turn", "text",
@@ -188,7 +189,7 @@ def region_infos(spark, sf_dir) -> DataFrame:
 
 def raster(spark, sf_dir) -> DataFrame:
     """Every page's text as a 64-pixel-wide picture, one pixel per character."""
-    chars = table(spark, sf_dir, "pages").select(
+    chars = spread(table(spark, sf_dir, "pages")).select(
         "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)."), F.lit(0))).alias("i", "ch")
     )
     return chars.selectExpr("page_id", "CAST(i AS BIGINT) AS i", "CAST(ascii(ch) AS BIGINT) AS code").selectExpr(
@@ -207,7 +208,7 @@ def mask_px(spark, sf_dir) -> DataFrame:
 
 def px_regions(spark, sf_dir) -> DataFrame:
     """Boxes spread over every raster page, more on longer ones."""
-    return table(spark, sf_dir, "pages").selectExpr(
+    return spread(table(spark, sf_dir, "pages")).selectExpr(
         "page_id", "CAST(ceil(length(html) / 64.0) AS BIGINT) AS height",
         "explode(sequence(0L, CAST(floor(length(html) / 512.0) AS BIGINT))) AS k",
     ).selectExpr(
@@ -220,7 +221,7 @@ def doc_lines(spark, sf_dir) -> DataFrame:
     """Lines of every document; a third in kana vowels, a third half so."""
     kana = "translate({}, 'aeiou', 'アエイオウ')"
     half = "CAST(floor(length(line) / 2) AS INT)"
-    return table(spark, sf_dir, "documents").selectExpr(
+    return spread(table(spark, sf_dir, "documents")).selectExpr(
         "doc_id", "posexplode(split(text, '\n')) AS (line_no, line)"
     ).selectExpr(
         "doc_id", "CAST(line_no AS BIGINT) AS line_no",

@@ -36,6 +36,13 @@ def stateful_streams(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
 
 
+def spread(df):
+    """Give an input of fewer splits than cores to all cores before heavy row work;
+    an input with enough splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def state_partitions(spark: SparkSession):
     """One state partition per core while a stream starts: the number is fixed for
