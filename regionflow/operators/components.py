@@ -2,7 +2,7 @@
 
 Every 64-pixel tile is labelled on its own (at most 4096 pixels); only the
 labels that touch across a tile border are then joined up, a graph far smaller
-than the picture.  Its rounds are checkpointed, so a lost executor costs one round.
+than the picture.  Every round is written out, so a lost executor costs one round.
 """
 
 from __future__ import annotations

@@ -64,7 +64,7 @@ def with_fallbacks(
     """Ordered backends (name, loader, required); a row whose backend reports an
     ``error`` goes to the next one, except that a required backend's error stands.
 
-    Every backend's rows are checkpointed: a model is not asked twice.
+    Every backend's rows are written out: a model is not asked twice.
     """
     done, waiting = None, rows
     for at, (name, load, required) in enumerate(backends):

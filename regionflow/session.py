@@ -72,11 +72,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def cut_lineage(df):
-    """Reliable checkpoint in the shared folder (survives executor loss)."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(
-            base or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        )
-    return df.checkpoint(eager=True)
+    """Write out and read back in the shared folder.
+
+    Survives executor loss like a checkpoint, and the reader knows its size and
+    columns: later joins broadcast it only when it is truly small, and read only
+    what they need.
+    """
+    path = shared_dir(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
