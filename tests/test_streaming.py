@@ -105,3 +105,24 @@ def test_chunk_watcher_equals_batch_form(spark):
     q.awaitTermination()
     got = {(r.reply_id, r.chunk_no, r.reason) for r in spark.read.parquet(f"{work}/out").collect()}
     assert got == want and {k for k, _, _ in want} == {2, 3, 4}
+
+
+def test_stalled_document_gives_an_error_row(spark):
+    stateful_streams(spark)
+    src, work = shared_dir(spark, "stall"), shared_dir(spark, "stall-out")
+    rows = [(1, 0, 0, 0, "a", False, False), (1, 2, 0, 2, "c", False, False)]
+    spark.createDataFrame(rows, regions.REGION_INPUT).coalesce(1).write.parquet(src)
+    stream = spark.readStream.schema(regions.REGION_INPUT).parquet(src)
+    query = (
+        regions.batch_regions(stream, 4, stall_ms=2000).writeStream.format("parquet")
+        .option("path", f"{work}/out").option("checkpointLocation", f"{work}/check")
+        .trigger(processingTime="1 second").start()
+    )
+    found = []
+    for _ in range(40):
+        query.awaitTermination(2)
+        found = spark.read.schema(regions.BATCHED).parquet(f"{work}/out*").filter("kind = 'error'").collect()
+        if found:
+            break
+    query.stop()
+    assert [(r.doc_id, r.text) for r in found] == [(1, "Timeout waiting for result 1")]
