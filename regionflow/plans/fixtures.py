@@ -18,8 +18,8 @@ BIG = 4294967296          # cell numbers: page * BIG + region
 DET = [
     "CAST(floor(l_orderkey / 50.0) AS BIGINT) AS doc_id",
     "l_orderkey % 50 AS page_idx",
-    "CAST(l_linenumber AS BIGINT) * 60000000000000000 + (l_partkey % 100000000) * 500000000"
-    " + (l_suppkey % 10000000) * 50 + CAST(l_quantity AS BIGINT) % 50 AS det_idx",
+    "CAST(l_linenumber AS BIGINT) * 1000000000000000000 + (l_partkey % 100000000) * 10000000000"
+    " + (l_suppkey % 10000000) * 1000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000 AS det_idx",
     "CAST(l_linenumber % 3 AS BIGINT) AS label",
     "l_discount * 10 AS score",
     "l_partkey % 700 - 5 AS x1",
