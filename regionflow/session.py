@@ -71,7 +71,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
+def cut_lineage(df, compression: str | None = None):
     """Write out and read back in the shared folder.
 
     Survives executor loss like a checkpoint, and the reader knows its size and
@@ -79,5 +79,5 @@ def cut_lineage(df):
     what they need.
     """
     path = shared_dir(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
