@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import encoding, packing, token_counts
+from regionflow.llm import encoding, language, near_vectors, packing, quality, token_counts, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,6 +35,71 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_pieces(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op2_near_vectors"] = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b
+    ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a
+), least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT e.vec_id, (SELECT count(*) FROM link l WHERE l.a = e.vec_id) AS n_links,
+       c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e JOIN least c ON c.a = e.vec_id
+"""
+
+
+def remainder(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def scored_quality(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``docs`` scored by a machine that learned from the labelled documents of the table."""
+    learnable = table(spark, sf_dir, "documents").filter(F.coalesce(remainder(5), F.lit(-1)) != 0)
+    return quality.classify(docs, learnable, table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return scored_quality(spark, sf_dir, docs).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows by inner product of every fiftieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return top_k.search(rows.filter(F.col("vec_id") % 50 == 0), rows, k=5)
+
+
+SQL["op6_top_k"] = """
+WITH u AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and read-back text of every document, as digests."""
@@ -52,3 +117,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def identified(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """``docs`` with the language of each, learned from the documents of the table."""
+    labelled = table(spark, sf_dir, "documents").filter(F.coalesce(remainder(4), F.lit(-1)) != 2)
+    return language.identify(labelled, docs)
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return identified(spark, sf_dir, docs).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
