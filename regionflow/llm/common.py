@@ -78,3 +78,45 @@ def reachable(edges: DataFrame) -> DataFrame:
         edges = after
         if tuple(before) == tuple(now):
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+
+
+def tiled(members: DataFrame, keys: list[str], ident: str, most: int) -> DataFrame:
+    """Members of every group of two or more, dealt into tiles of at most about twice ``most``.
+
+    A group is split into parts by a hash of ``ident``; each part meets itself and each
+    other part in one tile (``low``, ``high``), so all pairs of a group come together
+    somewhere and no task holds a whole hot group. ``side`` tells the two parts of a tile
+    apart. Rows come sorted by tile.
+    """
+    sizes = cut_lineage(members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1"))
+    parts = F.ceil(F.col("size") / most).cast("long")
+    held = members.join(sizes, keys).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(ident, *keys), F.col("parts")))
+    met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    side = F.when(low == high, 0).otherwise((F.col("part") == high).cast("int"))
+    tiles = met.select(*members.columns, low.alias("low"), high.alias("high"), side.alias("side"))
+    # A hash of the whole tile's key deals tiles out; sorting keeps each together.
+    tile = [*keys, "low", "high"]
+    return tiles.withColumn("deal", F.xxhash64(*tile)).repartition("deal").sortWithinPartitions(*tile, ident).drop("deal")
+
+
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list, list]]:
+    """Sorted batches as tables of whole runs of equal ``keys``, with each run's start and size."""
+    import numpy as np
+
+    def starts(table: pa.Table):
+        columns = np.stack([table.column(c).to_numpy() for c in keys])
+        return np.concatenate(([0], np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(axis=0)) + 1))
+
+    rest: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([rest, table]) if rest is not None else table
+        at = starts(table)
+        if at[-1]:
+            yield table.slice(0, at[-1]), at[:-1], np.diff(at)
+        rest = table.slice(at[-1])
+    if rest is not None:
+        yield rest, np.zeros(1, np.int64), np.array([rest.num_rows])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import lists_of, reachable
+from regionflow.llm.common import lists_of, reachable, tiled, whole_runs
 from regionflow.llm.top_k import usable
 from regionflow.session import cut_lineage
 
@@ -169,28 +169,15 @@ def links(decoded: DataFrame, similarity: float) -> DataFrame:
     """(a, b, n_a): from each tile its spanning links (n_a null), and link counts per vector (b null)."""
     spread = decoded.select("*", F.explode("filters").alias("filter"))
     keys = ["label", "dim", "filter"]
-    sizes = cut_lineage(spread.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1"))
-    parts = F.ceil(F.col("size") / TILE).cast("long")
-    held = spread.join(sizes, keys).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id", "filter"), F.col("parts")))
-    # A part meets itself and each other part of its filter once, as one tile each.
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    low, high = F.least("part", "other"), F.greatest("part", "other")
-    tiles = met.select(
-        F.xxhash64(*keys, low, high).alias("run"), "filter", F.when(low == high, 0).otherwise((F.col("part") == high).cast("int")).alias("side"),
-        "label", "dim", low.alias("low"), high.alias("high"), "id", "n", "v", "filters",
-    )
-    order = ["run", "filter", "label", "dim", "low", "high"]
-    sorted_tiles = tiles.repartition("run").sortWithinPartitions(*order, "id")
-    names = ["filter", "label", "dim", "low", "high"]
+    names = [*keys, "low", "high"]
+    sorted_tiles = tiled(spread, keys, "id", TILE)
     compare = Comparison(similarity)
 
-    def finish(table: pa.Table) -> pa.RecordBatch:
+    def finish(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
         n = table.num_rows
         ids, weight = table.column("id").to_numpy(), table.column("n").to_numpy()
         side, here = table.column("side").to_numpy(), table.column("filter").to_numpy()
-        keys_of = np.stack([table.column(c).to_numpy() for c in names])
-        starts = np.concatenate(([0], np.flatnonzero((keys_of[:, 1:] != keys_of[:, :-1]).any(axis=0)) + 1)) if n else np.zeros(0, np.int64)
-        sizes = np.diff(np.append(starts, n))
+        alone = table.column("low").to_numpy() == table.column("high").to_numpy()
         filters = padded(table.column("filters").combine_chunks())
         column = table.column("v").combine_chunks()
         offsets = column.offsets.to_numpy()
@@ -209,7 +196,7 @@ def links(decoded: DataFrame, similarity: float) -> DataFrame:
                 a, b = (at + x).reshape(-1), (at + y).reshape(-1)
                 good = np.einsum("ij,ij->i", units[a], units[b]) >= similarity
                 a, b = a[good], b[good]
-                apart = (keys_of[3, a] == keys_of[4, a]) | (side[a] != side[b])
+                apart = alone[a] | (side[a] != side[b])
                 a, b = a[apart], b[apart]
                 new = ~common_before(filters[a], filters[b], here[a])
                 a_all.append(a[new])
@@ -234,19 +221,8 @@ def links(decoded: DataFrame, similarity: float) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            ends = np.stack([table.column(c).to_numpy() for c in names])
-            last = int(np.flatnonzero((ends != ends[:, -1:]).any(axis=0)).max(initial=-1)) + 1
-            if last:
-                yield finish(table.slice(0, last))
-            rest = table.slice(last)
-        if rest is not None:
-            yield finish(rest)
+        for table, starts, sizes in whole_runs(batches, names):
+            yield finish(table, starts, sizes)
 
     wanted = sorted_tiles.select(*names, "side", "id", "n", "v", "filters")
     return wanted.mapInArrow(run, "a long, b long, n_a long")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import encoding, language, near_vectors, packing, quality, token_counts, top_k
+from regionflow.llm import dart_minhash, encoding, language, near_vectors, packing, quality, token_counts, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,6 +79,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored_quality(spark, sf_dir, docs).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op5_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    return dart_minhash.near_texts(table(spark, sf_dir, "documents")).select("doc_id", "cluster_id", "kept")
+
+
 @query
 def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest rows by inner product of every fiftieth vector."""
