@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from regionflow.session import cut_lineage
 
 #: Text handled at once inside a task, in characters. Longer single texts go alone.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 
 
 def worker_state(key: str, build: Callable[[], object]):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.llm.common import lists_of, reachable, slices, tiled, whole_runs, worker_state
-from regionflow.session import cut_lineage
+from regionflow.session import cut_lineage, temporary_tables
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -254,27 +254,39 @@ def plausible(members: DataFrame) -> DataFrame:
 
 def near_texts(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, h, cluster_id, kept) per document: its group's smallest id, and whether it stays."""
-    rows = signed(docs, key, text)
-    first = F.min(F.struct("row", F.col(key).alias("id"), "h", "sig")).alias("f")
-    classes = cut_lineage(rows.filter("k1 is not null").groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("f.row").alias("node"), "f.id", "f.h", "f.sig"))
-    # Buckets: one hash per band of coordinates.
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-    banded = cut_lineage(classes.select("node", F.explode(keys).alias("bucket")))
-    buckets = cut_lineage(banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").drop("size"))
-    shared = banded.join(buckets, "bucket")
-    stars = cut_lineage(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
-    linked = verified(stars, classes, docs, key, text, least)
-    roots = reachable(linked)
-    # What the first members left open.
-    placed = cut_lineage(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
-    open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-    members = placed.join(open_buckets, "bucket").join(classes.select("node", "sig"), "node")
-    more = cut_lineage(plausible(members).join(stars, ["a", "b"], "left_anti"))
-    linked = linked.unionByName(verified(more, classes, docs, key, text, least))
-    roots = reachable(linked)
-    groups = classes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-    placed_rows = rows.select("row", key, "h", "k1", "k2").join(groups, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "row"))
-    # A missing id sorts last, so that an existing one names the group.
-    by_id = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("cluster_id"), F.col("row").alias("stays"))).alias("m")
-    heads = placed_rows.groupBy("root").agg(by_id).select("root", "m.cluster_id", "m.stays")
-    return placed_rows.join(heads, "root").select(key, "h", "cluster_id", (F.col("row") == F.col("stays")).alias("kept"))
+    with temporary_tables(docs.sparkSession) as keep:
+        rows = signed(docs, key, text)
+        first = F.min(F.struct("row", F.col(key).alias("id"), "h", "sig")).alias("f")
+        classes = cut_lineage(rows.filter("k1 is not null").groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("f.row").alias("node"), "f.id", "f.h", "f.sig"))
+        # Buckets: one hash per band of coordinates.
+        keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
+        banded = cut_lineage(classes.select("node", F.explode(keys).alias("bucket")))
+        buckets = cut_lineage(banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").drop("size"))
+        shared = banded.join(buckets, "bucket")
+        stars = cut_lineage(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
+        linked = verified(stars, classes, docs, key, text, least)
+        roots = reachable(linked)
+        # What the first members left open.
+        placed = cut_lineage(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+        open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+        members = placed.join(open_buckets, "bucket").join(classes.select("node", "sig"), "node")
+        more = cut_lineage(plausible(members).join(stars, ["a", "b"], "left_anti"))
+        linked = linked.unionByName(verified(more, classes, docs, key, text, least))
+        roots = reachable(linked)
+        groups = classes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
+        placed_rows = rows.select("row", key, "h", "k1", "k2").join(groups, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "row"))
+        # A missing id sorts last, so that an existing one names the group.
+        by_id = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("cluster_id"), F.col("row").alias("stays"))).alias("m")
+        heads = placed_rows.groupBy("root").agg(by_id).select("root", "m.cluster_id", "m.stays")
+        result = placed_rows.join(heads, "root").select(key, "h", "cluster_id", (F.col("row") == F.col("stays")).alias("kept"))
+        return keep(result)
+
+
+def without_copies(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group."""
+    # Keys without null, so that one shuffle serves the join and the repeated rows.
+    match = {"near_key": F.coalesce(F.col(key).cast("string"), F.lit("")), "near_null": F.col(key).isNull()}
+    kept = near_texts(docs, least, key, text).filter("kept").withColumns(match).select(*match, F.col("h").alias("near_hash"))
+    marked = docs.withColumns(match | {"near_hash": F.xxhash64(text)})
+    names = [*match, "near_hash"]
+    return marked.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)

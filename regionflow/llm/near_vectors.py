@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from regionflow.llm.common import lists_of, reachable, tiled, whole_runs
 from regionflow.llm.top_k import usable
-from regionflow.session import cut_lineage
+from regionflow.session import cut_lineage, temporary_tables
 
 SIMILARITY = 0.98
 #: Independent codes, and filters a vector passes in each on average.
@@ -236,24 +236,26 @@ def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, key: str = "ve
     base = rows.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"), good.alias("good"))
     hashed = base.withColumn("h1", F.when(F.col("good"), F.xxhash64(F.lit(1), "v"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(2), "v")))
     same = ["label", "h1", "h2"]
-    classes = cut_lineage(
-        hashed.filter("good").groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
-        .withColumn("dim", F.size("v").cast("long"))
-    )
-    words = words_for(classes.count())
-    decoded = cut_lineage(decode(classes.select("id", "label", "dim", "n", "v"), words))
-    found = cut_lineage(links(decoded, similarity))
-    counts = found.filter("n_a is not null").groupBy("a").agg(F.sum("n_a").alias("others"))
-    roots = reachable(found.filter("b is not null").select("a", "b"))
-    known = (
-        classes.select(*same, F.col("id").alias("class"), "n")
-        .join(counts.withColumnRenamed("a", "class"), "class", "left")
-        .join(roots.withColumnRenamed("node", "class"), "class", "left")
-        .select(*same, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
-    )
-    joined = hashed.select("id", *same).join(known, same, "left")
-    component = F.coalesce("component_id", "id")
-    return joined.select(
-        F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
+    with temporary_tables(rows.sparkSession) as keep:
+        classes = cut_lineage(
+            hashed.filter("good").groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
+            .withColumn("dim", F.size("v").cast("long"))
+        )
+        words = words_for(classes.count())
+        decoded = cut_lineage(decode(classes.select("id", "label", "dim", "n", "v"), words))
+        found = cut_lineage(links(decoded, similarity))
+        counts = found.filter("n_a is not null").groupBy("a").agg(F.sum("n_a").alias("others"))
+        roots = reachable(found.filter("b is not null").select("a", "b"))
+        known = (
+            classes.select(*same, F.col("id").alias("class"), "n")
+            .join(counts.withColumnRenamed("a", "class"), "class", "left")
+            .join(roots.withColumnRenamed("node", "class"), "class", "left")
+            .select(*same, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
+        )
+        joined = hashed.select("id", *same).join(known, same, "left")
+        component = F.coalesce("component_id", "id")
+        result = joined.select(
+            F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+            F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
+        )
+        return keep(result)

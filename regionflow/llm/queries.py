@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import chat, dart_minhash, encoding, language, near_vectors, packing, quality, token_counts, top_k
+from regionflow.llm import chat, dart_minhash, encoding, language, near_vectors, packing, personal_data, quality, token_counts, top_k
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -172,3 +172,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return identified(spark, sf_dir, docs).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.learn(docs))
+    base = F.filter("found", lambda s: s["kind"].isin(*personal_data.BASE))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[number(k) for k in personal_data.BASE], F.sha2(personal_data.listed(base), 256).alias("base_sha256"),
+        personal_data.listed(F.col("found")).alias("spans"),
+    )
