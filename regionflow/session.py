@@ -59,18 +59,25 @@ def state_partitions(spark: SparkSession):
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder every executor can reach.
 
-    The cluster names its shared folder in ``spark.checkpoint.dir``.  Only when
-    that is unset (tests on one machine) a temporary folder is used.
+    The cluster names its shared folder in ``spark.checkpoint.dir``.  Only a local
+    master, whose executors share the machine's disk, may do without.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Paths stored inside each open ``temporary_tables`` block, innermost last.
+_open_blocks: list[list[str]] = []
+
+
 def cut_lineage(df, compression: str | None = None):
     """Write out and read back in the shared folder.
 
@@ -79,5 +86,34 @@ def cut_lineage(df, compression: str | None = None):
     what they need.
     """
     path = shared_dir(df.sparkSession, "table")
+    if _open_blocks:
+        _open_blocks[-1].append(path)
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession):
+    """Tables stored inside the block are removed when it ends.
+
+    Yields ``keep``, which stores a result beyond the block (within an outer block,
+    until that one ends).
+    """
+    stored: list[str] = []
+    _open_blocks.append(stored)
+
+    def keep(df):
+        inner = _open_blocks.pop()
+        try:
+            return cut_lineage(df)
+        finally:
+            _open_blocks.append(inner)
+
+    try:
+        yield keep
+    finally:
+        _open_blocks.remove(stored)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in stored:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
