@@ -1,11 +1,44 @@
-"""Documents to packed training pieces: the stages in order, each written and reread."""
+"""Documents to packed training pieces: the stages in order, each written and reread.
+
+Documents go when their language is not known, their quality is low, or a near copy of
+them stays; personal data are replaced by their kind; what is left is packed.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from regionflow.llm import dart_minhash, personal_data, queries
+from regionflow.session import cut_lineage, temporary_tables
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Below this mean probability a language counts as not known.
+LEAST_LANGUAGE_SCORE = 0.4
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the learned languages."""
+    found = queries.identified(spark, sf_dir, docs.select(*COLUMNS))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of good quality."""
+    return queries.scored_quality(spark, sf_dir, docs.select(*COLUMNS)).filter("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return dart_minhash.without_copies(docs.select(*COLUMNS))
+
 
-from regionflow.llm import queries
-from regionflow.session import cut_lineage
+def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with personal data replaced, and their new lengths."""
+    model = personal_data.learn(docs)
+    clean = personal_data.find(docs.select(*COLUMNS), model, redacted="text")
+    length = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return clean.withColumn("n_chars", length.cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +46,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return queries.packed_pieces(docs)
 
 
-STAGES = [("packing", packing)]
+STAGES = [
+    ("language", language),
+    ("quality", quality),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal),
+    ("packing", packing),
+]
 
 #: Models and sketches are beyond SQL; the tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -21,6 +60,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut_lineage(stage(spark, docs, sf_dir))
-    return docs
+    with temporary_tables(spark) as keep:
+        for _, stage in STAGES[:-1]:
+            docs = cut_lineage(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))
