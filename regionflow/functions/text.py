@@ -148,4 +148,4 @@ def rotate_key(names, batch_idx) -> Column:
 def code_as_name(code) -> Column:
     """Fallback language name: first letter upper, the rest lower."""
     c = col(code)
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, 2, 1_000_000)))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substring(c, F.lit(2), F.length(c))))

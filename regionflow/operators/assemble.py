@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from regionflow import constants as C
 
-PART = 1000
-
 
 def with_translations(merged: DataFrame, translations: DataFrame) -> DataFrame:
     """Regions with their translation, or the missing marker."""
@@ -39,20 +37,17 @@ def text_free_regions(regions: DataFrame) -> DataFrame:
     )
 
 
-def nest_pages(rows: DataFrame, part: int = PART) -> DataFrame:
+def nest_pages(rows: DataFrame) -> DataFrame:
     """One row per page with its regions in order.
 
-    A page with more than ``part`` regions continues in further rows
-    (``part_no`` 1, 2, ...), so a page is never bound to one record's size.
+    A detector finds a few hundred regions on a page at most, so a page's list is small;
+    ``rows`` stays the flat form for whatever has more.
     """
     body = [c for c in rows.columns if c not in ("doc_id", "page_idx", "sort_level")]
     # Text-free rows follow the text rows of their page.
     level = F.col("sort_level") if "sort_level" in rows.columns else F.lit(1)
-    ordered = rows.withColumns({
-        "part_no": F.floor(F.col("bubble_idx") / part), "__level": level,
-    })
-    item = F.struct(F.col("__level"), F.col("bubble_idx"), F.struct(*body).alias("r"))
-    return ordered.groupBy("doc_id", "page_idx", "part_no").agg(
+    item = F.struct(level.alias("level"), F.col("bubble_idx").alias("at"), F.struct(*body).alias("r"))
+    return rows.groupBy("doc_id", "page_idx").agg(
         F.transform(
             F.sort_array(F.collect_list(item)), lambda s: s.getField("r")
         ).alias("regions")
@@ -117,7 +112,7 @@ def response_envelope(nested: DataFrame, output_type: str, stats: DataFrame) ->
 
 
 def write_text_only(nested: DataFrame, path: str) -> None:
-    nested.write.mode("errorifexists").partitionBy("part_no").json(path)
+    nested.write.mode("errorifexists").json(path)
 
 
 def save_pages(pages: DataFrame, path: str) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
@@ -59,7 +59,9 @@ def reading_order(det: DataFrame) -> DataFrame:
 
 
 def by_score(det: DataFrame) -> DataFrame:
-    return det.orderBy(F.col("score").desc(), "doc_id", "page_idx", "det_idx")
+    """Detections with their rank on the page, surest first."""
+    order = Window.partitionBy(*PAGE).orderBy(F.col("score").desc(), "det_idx")
+    return det.withColumn("rank", F.row_number().over(order) - 1)
 
 
 def crop_window(regions: DataFrame, pad: int = C.CROP_PADDING) -> DataFrame:

@@ -44,7 +44,8 @@ def run_model(
         for frame in frames:
             yield model(frame)
 
-    limited = rows.coalesce(parallel_calls) if parallel_calls else rows
+    # A shuffle, so that the work before the model keeps its own parallelism.
+    limited = rows.repartition(parallel_calls) if parallel_calls else rows
     return limited.mapInPandas(call, schema)
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from regionflow import constants as C
 from regionflow.operators.ordering import preceding_totals, radix_levels
+from regionflow.operators.runs import by_group
 from regionflow.session import cut_lineage
 
 BLOCK = 4096
@@ -135,21 +136,17 @@ def shelf_rows(
             .otherwise(F.array("block"))
         ),
     )
-    long_docs = slim.groupBy("doc_id").agg(F.max("block").alias("last")).filter("last > 0")
     numbering = _number_rows(block, row_width, padding, extra)
     numbered = "doc_id bigint, seq bigint, row_idx bigint, row_ord bigint"
-    if long_docs.isEmpty():               # no document is longer than one block
-        started = slim.withColumns({c: F.lit(0).cast("bigint") for c in ("entry", "row_base")})
-        return started.groupBy("doc_id", "block").applyInPandas(numbering, numbered)
+    # Only a full block can be followed by another one.
+    key = ["doc_id", "block"]
+    full = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == block).select(*key)
     effects = cut_lineage(
-        shown.join(long_docs, "doc_id")
-        .filter("block < last")
-        .groupBy("doc_id", "block")
-        .applyInPandas(
+        by_group(
+            shown.join(full, key, "left_semi"), key,
             _block_effect(block, reach, row_width, padding, extra),
-            f"doc_id bigint, block bigint, {_TABLE}",
-        )
-        .withColumn("sblock", F.floor(F.col("block") / super_block))
+            f"doc_id bigint, block bigint, {_TABLE}", "seq",
+        ).withColumn("sblock", F.floor(F.col("block") / super_block))
     )
     steps = "entry array<bigint>, before array<bigint>"
     inner = effects.groupBy("doc_id", "sblock").applyInPandas(
@@ -189,12 +186,8 @@ def shelf_rows(
             ).alias("row_base"),
         )
     )
-    return (
-        shown.join(entries, ["doc_id", "block"], "left")
-        .fillna(0, ["entry", "row_base"])
-        .groupBy("doc_id", "block")
-        .applyInPandas(numbering, numbered)
-    )
+    entered = shown.join(entries, key, "left").fillna(0, ["entry", "row_base"])
+    return by_group(entered, key, numbering, numbered, "seq")
 
 
 class _Batch:

@@ -12,9 +12,9 @@ def regions_per_page(regions: DataFrame) -> DataFrame:
 
 def stage_timings(timings: DataFrame) -> DataFrame:
     """Milliseconds per stage plus a total row."""
-    return timings.rollup("stage").agg(F.sum("time_ms").alias("total_ms")).withColumn(
-        "stage", F.coalesce("stage", F.lit("total"))
-    )
+    # A stage without a name stays a row of its own beside the total.
+    summed = timings.rollup("stage").agg(F.sum("time_ms").alias("total_ms"), F.grouping("stage").alias("all"))
+    return summed.withColumn("stage", F.when(F.col("all") == 1, "total").otherwise(F.col("stage"))).drop("all")
 
 
 def call_stats(calls: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.operators import detect
-from regionflow.session import spread
 
 WIDTH, HEIGHT = 900, 1280
 BIG = 4294967296          # cell numbers: page * BIG + region
@@ -18,8 +17,8 @@ BIG = 4294967296          # cell numbers: page * BIG + region
 DET = [
     "CAST(floor(l_orderkey / 50.0) AS BIGINT) AS doc_id",
     "l_orderkey % 50 AS page_idx",
-    "CAST(l_linenumber AS BIGINT) * 1000000000000000000 + (l_partkey % 100000000) * 10000000000"
-    " + (l_suppkey % 10000000) * 1000 + CAST(floor(l_extendedprice * 100) AS BIGINT) % 1000 AS det_idx",
+    "concat(CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING), '-', CAST(l_suppkey AS STRING), '-',"
+    " CAST(CAST(floor(l_extendedprice * 100) AS BIGINT) AS STRING)) AS det_idx",
     "CAST(l_linenumber % 3 AS BIGINT) AS label",
     "l_discount * 10 AS score",
     "l_partkey % 700 - 5 AS x1",
@@ -69,7 +68,7 @@ TEXTS = [
 JOBS = [
     "CAST(floor(conv_id / 20.0) AS BIGINT) AS doc_id", "conv_id % 20 AS page_idx",
     "turn AS bubble_idx", "role = 'system' AS is_l2",
-    "CASE WHEN turn % 4 = 3 THEN '' ELSE text END AS text",
+    "text",
 ]
 
 REGION_INFOS = [
@@ -134,19 +133,21 @@ def texts(spark, sf_dir) -> DataFrame:
 
 
 def jobs(spark, sf_dir) -> DataFrame:
-    return spread(table(spark, sf_dir, "conversations")).selectExpr(*JOBS)
+    return table(spark, sf_dir, "conversations").repartition("conv_id", "turn").selectExpr(*JOBS)
 
 
 def turns(spark, sf_dir) -> DataFrame:
-    """One text per (conversation, turn) in blocks of eight turns, so that a reply
-    made from a block is small however many rows share a turn."""
-    return (
-        spread(table(spark, sf_dir, "conversations"))
-        .groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
-        .selectExpr(
-            "conv_id", "CAST(floor(turn / 8) AS BIGINT) AS block", "turn % 8 AS idx", "turn", "text",
-            "(conv_id + turn) % 5 <> 0 AS told",
-        )
+    """Every row of a conversation in order, in blocks of four, so that a reply made
+    from a block is small however many rows a conversation has."""
+    from regionflow.operators.ordering import radix_levels, with_position
+
+    base = table(spark, sf_dir, "conversations")
+    placed = with_position(
+        base, ["conv_id"], radix_levels("turn", "__t", 2), [F.col("turn"), F.col("role"), F.col("text")], "place"
+    )
+    return placed.selectExpr(
+        "conv_id", "CAST(floor(place / 4) AS BIGINT) AS block", "place % 4 AS idx", "turn", "text",
+        "(conv_id + place) % 5 <> 0 AS told",
     )
 
 
@@ -189,7 +190,7 @@ def region_infos(spark, sf_dir) -> DataFrame:
 
 def raster(spark, sf_dir) -> DataFrame:
     """Every page's text as a 64-pixel-wide picture, one pixel per character."""
-    chars = spread(table(spark, sf_dir, "pages")).select(
+    chars = table(spark, sf_dir, "pages").repartition("page_id").select(
         "page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)."), F.lit(0))).alias("i", "ch")
     )
     return chars.selectExpr("page_id", "CAST(i AS BIGINT) AS i", "CAST(ascii(ch) AS BIGINT) AS code").selectExpr(
@@ -208,7 +209,7 @@ def mask_px(spark, sf_dir) -> DataFrame:
 
 def px_regions(spark, sf_dir) -> DataFrame:
     """Boxes spread over every raster page, more on longer ones."""
-    return spread(table(spark, sf_dir, "pages")).selectExpr(
+    return table(spark, sf_dir, "pages").repartition("page_id").selectExpr(
         "page_id", "CAST(ceil(length(html) / 64.0) AS BIGINT) AS height",
         "explode(sequence(0L, CAST(floor(length(html) / 512.0) AS BIGINT))) AS k",
     ).selectExpr(
@@ -221,11 +222,11 @@ def doc_lines(spark, sf_dir) -> DataFrame:
     """Lines of every document; a third in kana vowels, a third half so."""
     kana = "translate({}, 'aeiou', 'アエイオウ')"
     half = "CAST(floor(length(line) / 2) AS INT)"
-    return spread(table(spark, sf_dir, "documents")).selectExpr(
+    return table(spark, sf_dir, "documents").repartition("doc_id").selectExpr(
         "doc_id", "posexplode(split(text, '\n')) AS (line_no, line)"
     ).selectExpr(
         "doc_id", "CAST(line_no AS BIGINT) AS line_no",
         f"CASE WHEN doc_id % 3 = 0 THEN {kana.format('line')}"
         f" WHEN doc_id % 3 = 1 THEN concat({kana.format(f'substring(line, 1, {half})')},"
-        f" substring(line, {half} + 1, 1000000000)) ELSE line END AS text",
+        f" substring(line, {half} + 1)) ELSE line END AS text",
     )

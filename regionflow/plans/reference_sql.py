@@ -65,6 +65,7 @@ CTES = {
     "texts": f"SELECT {', '.join(X.TEXTS)} FROM lineitem",
     "collected": """SELECT doc_id, page_idx, level, bubble_idx,
         string_agg(text, '' ORDER BY line_no) AS original_text, count(*) AS n,
+        string_agg(text || '@' || x1 || ',' || y1 || ',' || x2 || ',' || y2, ';' ORDER BY line_no) AS parts,
         CAST(sum(CASE WHEN x2 > x1 AND y2 > y1 THEN (x2 - x1) * (y2 - y1) ELSE 0 END) AS BIGINT) AS text_area,
         string_agg(trim(text, ' 　'), '' ORDER BY line_no) AS joined,
         string_agg(CASE WHEN trim(text, ' 　') <> '' THEN trim(text, ' 　') END, chr(10) ORDER BY line_no) AS listed
@@ -83,8 +84,8 @@ CTES = {
     "stubbed": """SELECT *, CASE WHEN (page_idx * 7 + bubble_idx) % 10 = 0 THEN '[TRANSLATION FAILED]'
         WHEN (page_idx * 7 + bubble_idx) % 10 = 1 THEN '[NO TEXT]'
         WHEN (page_idx * 7 + bubble_idx) % 10 = 2 THEN '' ELSE 'T:' || text END AS translated FROM ordered_jobs""",
-    "turns": """SELECT conv_id, CAST(floor(turn / 8) AS BIGINT) AS block, turn % 8 AS idx, turn, min(text) AS text,
-        (conv_id + turn) % 5 <> 0 AS told FROM conversations GROUP BY conv_id, turn""",
+    "turns": """SELECT conv_id, CAST(floor(place / 4) AS BIGINT) AS block, place % 4 AS idx, turn, text, (conv_id + place) % 5 <> 0 AS told FROM (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place FROM conversations)""",
     "blocks": """SELECT conv_id, block, max(idx) + 1 AS expected, count(*) FILTER (told) AS n_told
         FROM turns GROUP BY conv_id, block""",
     "infos": f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY event_id) - 1 AS global_idx
@@ -109,7 +110,7 @@ CTES = {
         AND p.x >= c.x1 AND p.x < c.x2 AND p.y >= c.y1 AND p.y < c.y2""",
     "doc_lines": """SELECT doc_id, line_no, CASE WHEN doc_id % 3 = 0 THEN translate(line, 'aeiou', 'アエイオウ')
         WHEN doc_id % 3 = 1 THEN concat(translate(substring(line, 1, CAST(floor(length(line) / 2) AS INT)), 'aeiou', 'アエイオウ'),
-        substring(line, CAST(floor(length(line) / 2) AS INT) + 1, 1000000000)) ELSE line END AS text FROM (
+        substring(line, CAST(floor(length(line) / 2) AS INT) + 1)) ELSE line END AS text FROM (
         SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS line_no FROM (
         SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))""",
 }

@@ -81,9 +81,10 @@ def clamp_boxes(spark, sf):
     return detect.clamp_boxes(short).select(*KEY, "x1", "y1", "x2", "y2")
 
 
-@query("by_score", sql("SELECT doc_id, page_idx, det_idx, score FROM det WHERE label = 1 AND score > 0.5", "det"))
+@query("by_score", sql("""SELECT doc_id, page_idx, det_idx, score,
+    row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY score DESC, det_idx) - 1 AS rank FROM det WHERE label = 1 AND score > 0.5""", "det"))
 def by_score(spark, sf):
-    return detect.by_score(detect.keep_detections(X.det(spark, sf), 1)).select(*KEY, "score")
+    return detect.by_score(detect.keep_detections(X.det(spark, sf), 1)).select(*KEY, "score", "rank")
 
 
 @query("top_regions", sql("""SELECT doc_id, page_idx, level, bubble_idx, x1, y1 FROM regions WHERE bubble_idx < 2
@@ -172,6 +173,12 @@ def shelf_pack_separated(spark, sf):
     return layout.shelf_rows(stored_items(spark, sf), separators=True)
 
 
+# Blocks so short that the documents of the test tables need several of them.
+@query("shelf_pack_chained", shelf_sql("SELECT doc_id, seq, row_idx, row_ord FROM walk"))
+def shelf_pack_chained(spark, sf):
+    return layout.shelf_rows(stored_items(spark, sf), block=1, super_block=2)
+
+
 def one_grid(spark, sf, separators):
     items = stored_items(spark, sf)
     rows = cut_lineage(layout.shelf_rows(items, separators=separators))

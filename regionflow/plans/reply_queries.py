@@ -25,13 +25,30 @@ def parse_cells(spark, sf):
     return parsed(spark, sf)
 
 
+# A reply of one cell that cannot be read as JSON bubbles is kept raw.
 @query("parse_json_reply", sql("""SELECT conv_id, block, idx, CASE WHEN conv_id % 9 = 0
     THEN replace(text, chr(10), '\\n') ELSE text END AS text FROM turns JOIN blocks USING (conv_id, block)
-    WHERE told AND (conv_id % 9 <> 0 OR expected > 1)""", "turns", "blocks"))
+    WHERE told AND (conv_id % 9 <> 0 OR expected > 1) UNION ALL
+    SELECT conv_id, block, 0, CASE WHEN conv_id % 9 <> 0 THEN '{"bubbles":[]}' WHEN NOT told THEN '{"bubbles":'
+    ELSE concat('{"bubbles":[{"id":0,"text":"', replace(text, chr(10), '\\n'), '"') END
+    FROM turns JOIN blocks USING (conv_id, block) WHERE expected = 1 AND (conv_id % 9 = 0 OR NOT told)""", "turns", "blocks"))
 def parse_json_reply(spark, sf):
-    # A cut reply of a single cell is kept raw by the ladder; it is tested apart.
-    some = X.json_replies(spark, sf).filter("conv_id % 9 <> 0 OR expected > 1")
-    return R.explode_cells(some, P.parse_json_reply("output", "expected"), BATCH)
+    return R.explode_cells(X.json_replies(spark, sf), P.parse_json_reply("output", "expected"), BATCH)
+
+
+# One reply per turn, in each form the ladder knows: JSON text, the same cut short or
+# behind a preamble in a fence, an empty text, numbered, and plain.
+@query("single_reply", sql("""SELECT conv_id, block, idx AS cell, CASE idx WHEN 1 THEN replace(text, chr(10), '\\n') ELSE trim(text) END AS text
+    FROM turns WHERE NOT (idx = 3 AND conv_id % 2 = 0)""", "turns"))
+def single_reply(spark, sf):
+    body = "to_json(named_struct('text', text))"
+    replies = X.turns(spark, sf).selectExpr(
+        "conv_id", "block", "idx AS cell",
+        f"CASE idx WHEN 0 THEN {body} WHEN 1 THEN concat(substring({body}, 1, length({body}) - 1), ', \"x')"
+        f" WHEN 2 THEN concat('Here\\'s the OCR result: ```json\n', {body}, '\n```')"
+        " WHEN 3 THEN CASE conv_id % 2 WHEN 0 THEN '{\"text\": \"\"}' ELSE concat('[0]: ', text) END END AS output",
+    )
+    return R.explode_cells(replies, P.parse_json_reply("output", F.lit(1)), ["conv_id", "block", "cell"]).drop("idx")
 
 
 @query("missing_cells", sql("""SELECT conv_id, block, idx FROM (SELECT conv_id, block, unnest(range(expected)) AS idx FROM blocks)
@@ -83,13 +100,21 @@ def global_cells(spark, sf):
     return batching.global_cells(parsed(spark, sf), offsets, BATCH).select(*BATCH, "idx", "cell_idx")
 
 
-@query("parse_translation", sql("""SELECT conv_id, block, CASE WHEN told THEN idx - 1 ELSE NULL END AS pos, text FROM turns
-    WHERE told AND idx > 0 AND idx <= 6""", "turns"))
+# Every third conversation answers in bare lines, which are read by place.
+@query("parse_translation", sql("""SELECT conv_id, block, idx AS pos, CASE WHEN told THEN text ELSE '' END AS text FROM turns WHERE conv_id % 3 > 0
+    UNION ALL SELECT conv_id, block, row_number() OVER (PARTITION BY conv_id, block ORDER BY NOT told, idx) - 1,
+    CASE WHEN told THEN replace(text, chr(10), ' ') ELSE '' END FROM turns WHERE conv_id % 3 = 0""", "turns"))
 def parse_translation(spark, sf):
-    texts = P.parse_translation("output", F.lit(6))
-    # A reply in which nothing is numbered is read line by line; here each has numbers.
-    numbered = X.replies(spark, sf).filter("output <> ''")
-    return numbered.select(*BATCH, F.posexplode(texts).alias("pos", "text")).filter("text <> ''")
+    told = X.turns(spark, sf).groupBy(*BATCH).agg(
+        (F.max("idx") + 1).alias("expected"),
+        F.array_sort(F.collect_list(F.when(F.col("told"), F.struct("idx", "text")))).alias("told"),
+    )
+    replies = told.selectExpr(
+        *BATCH, "expected",
+        "CASE WHEN conv_id % 3 > 0 THEN array_join(transform(told, t -> concat('[', t.idx + 1, ']: ', t.text)), '\n')"
+        " ELSE array_join(transform(told, t -> concat(t.idx + 1, '. ', replace(t.text, '\n', ' '))), '\n') END AS output",
+    )
+    return replies.select(*BATCH, F.posexplode(P.parse_translation("output", "expected")).alias("pos", "text"))
 
 
 @query("pad_translations", sql("""SELECT conv_id, block, pos, CASE WHEN pos < len(l) THEN l[pos + 1] ELSE '[TRANSLATION FAILED]' END AS text,

@@ -12,7 +12,8 @@ from regionflow.streaming import chunks, regions
 
 
 def source_files(spark, sf):
-    """Stream input: every region with its number, and an end marker per document."""
+    """Stream input: every region with its number, and an end marker per document; the
+    source of every eleventh document breaks off there."""
     infos = cut_lineage(X.region_infos(spark, sf))
     rows = infos.selectExpr(
         "doc_id", "global_idx", "CAST(floor(global_idx / 10) AS BIGINT) AS page_idx",
@@ -20,7 +21,7 @@ def source_files(spark, sf):
     )
     ends = infos.groupBy("doc_id").agg((F.max("global_idx") + 1).alias("global_idx")).selectExpr(
         "doc_id", "global_idx", "-1L AS page_idx", "-1L AS bubble_idx", "'' AS text",
-        "false AS ocr_error", "true AS is_end",
+        "doc_id % 11 = 3 AS ocr_error", "true AS is_end",
     )
     path = shared_dir(spark, "regions")
     rows.unionByName(ends).repartition(4).write.parquet(path)
@@ -28,21 +29,27 @@ def source_files(spark, sf):
 
 
 def stub_replies(batches):
-    """Answers every text; the batch that holds a text ending in 333 is down."""
+    """Answers every text; the batch that holds a text ending in 333 is down, one with a
+    text ending in 7 loses its last answer."""
+    answers = F.transform("texts", lambda t: F.concat(F.lit("T:"), t))
+    short = F.exists("texts", lambda t: t.endswith("7"))
     return batches.select(
         "doc_id", "batch_idx",
-        F.transform("texts", lambda t: F.concat(F.lit("T:"), t)).alias("translations"),
+        F.when(short, F.slice(answers, F.lit(1), F.size("texts") - 1)).otherwise(answers).alias("translations"),
         F.when(F.exists("texts", lambda t: t.endswith("333")), F.lit("503")).alias("error"),
     )
 
 
 @query("stream_regions", sql("""SELECT doc_id, global_idx, kind, original_text, translated_text FROM (
-    SELECT doc_id, global_idx, 'result' AS kind, text AS original_text, CASE WHEN bool_or(text LIKE '%333') OVER (PARTITION BY doc_id, b)
-    THEN '[TRANSLATE_ERROR]' WHEN text = '' THEN '' ELSE 'T:' || text END AS translated_text FROM (
+    SELECT doc_id, global_idx, 'result' AS kind, text AS original_text, CASE WHEN bool_or(text LIKE '%333') OVER w
+    THEN '[TRANSLATE_ERROR]' WHEN text = '' THEN '' WHEN bool_or(text LIKE '%7') OVER w AND global_idx = max(CASE WHEN text <> '' THEN global_idx END) OVER w
+    THEN '[MISSING]' ELSE 'T:' || text END AS translated_text FROM (
     SELECT *, floor(coalesce(sum((text <> '')::INT) OVER (PARTITION BY doc_id ORDER BY global_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 25) AS b
-    FROM infos WHERE event_id % 97 <> 5)
+    FROM infos WHERE event_id % 97 <> 5) WINDOW w AS (PARTITION BY doc_id, b)
     UNION ALL SELECT doc_id, global_idx, 'result', '[OCR_ERROR]', '[OCR_ERROR]' FROM infos WHERE event_id % 97 = 5
-    UNION ALL SELECT doc_id, max(global_idx) + 1, 'complete', '', '' FROM infos GROUP BY doc_id)""", "infos"))
+    UNION ALL SELECT doc_id, max(global_idx) + 1, CASE WHEN doc_id % 11 = 3 THEN 'error' ELSE 'complete' END,
+    CASE WHEN doc_id % 11 = 3 THEN 'source failed' ELSE '' END, CASE WHEN doc_id % 11 = 3 THEN 'source failed' ELSE '' END
+    FROM infos GROUP BY doc_id)""", "infos"))
 def stream_regions(spark, sf):
     released = regions.run_region_stream(
         spark, source_files(spark, sf), shared_dir(spark, "stream"), stub_replies
@@ -57,10 +64,27 @@ def stream_events(spark, sf):
     return regions.start_events(rows).select("doc_id", "kind", "event")
 
 
-@query("early_abort")
+# Each prefix is judged anew here; the operator reads each reply once.
+@query("early_abort", sql("""SELECT reply_id, chunk_no, reason FROM (SELECT *, coalesce(
+    'index_overflow:' || list_filter(seen, lambda i: i >= expected)[1] || '_vs_' || expected,
+    CASE WHEN len(list_distinct(seen)) > 2 * expected THEN 'too_many_indices:' || len(list_distinct(seen)) END,
+    CASE WHEN n_bodies >= 4 THEN 'repetition:' || len(list_filter(bodies, lambda x: x = looped)) || 'x' || chr(39) || left(looped, 20) || chr(39) END,
+    CASE WHEN length(p) > 100 AND len(tail) >= 10 AND len(list_filter(tail, lambda w: length(w) = 1)) >= 8 THEN 'single_char_spam' END) AS reason FROM (
+    SELECT *, list_filter(bodies, lambda x: length(x) > 2 AND len(list_filter(bodies, lambda y: y = x)) >= 3)[1] AS looped FROM (
+    SELECT *, every[-6:] AS bodies, len(every) AS n_bodies FROM (
+    SELECT *, list_transform(regexp_extract_all(p, '\\[([0-9]+)\\]:', 1), lambda i: CAST(i AS BIGINT)) AS seen,
+    list_transform(regexp_extract_all(p, '\\[[0-9]+\\]:\\s*([^\\[]+)', 1), lambda x: left(trim(x, ' ' || chr(10)), 50)) AS every,
+    list_filter(regexp_split_to_array(right(p, 100), '\\s+'), lambda w: w <> '') AS tail FROM (
+    SELECT *, substr(output, 1, CAST((chunk_no + 1) * 200 AS BIGINT)) AS p FROM (
+    SELECT *, unnest(range(CAST(ceil(length(output) / 200.0) AS BIGINT))) AS chunk_no FROM (
+    SELECT conv_id * 1000 + block AS reply_id, string_agg('[' || idx || ']: ' || text, chr(10) ORDER BY idx) FILTER (told)
+    || CASE WHEN conv_id % 5 = 1 THEN repeat(' [1]: again', 5) WHEN conv_id % 5 = 2 THEN repeat(' x', 60) WHEN conv_id % 5 = 4 THEN ' [9]:' ELSE '' END AS output,
+    greatest(1, max(idx) + 1 + CASE WHEN conv_id % 5 = 1 THEN 9 ELSE 0 END) AS expected FROM turns GROUP BY conv_id, block)))))))
+    WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reply_id ORDER BY chunk_no) = 1""", "turns"))
 def early_abort(spark, sf):
-    replies = X.replies(spark, sf).selectExpr(
-        "conv_id * 1000 + block AS reply_id", "output",
-        "greatest(1L, expected - CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END) AS expected",
+    replies = X.replies(spark, sf).filter("output <> ''").selectExpr(
+        "conv_id * 1000 + block AS reply_id",
+        "concat(output, CASE conv_id % 5 WHEN 1 THEN repeat(' [1]: again', 5) WHEN 2 THEN repeat(' x', 60) WHEN 4 THEN ' [9]:' ELSE '' END) AS output",
+        "greatest(1L, expected + CASE WHEN conv_id % 5 = 1 THEN 9 ELSE 0 END) AS expected",
     )
     return chunks.first_abort(replies, 200)

@@ -272,13 +272,12 @@ def translate_routes(spark, sf):
     return infer.apply_route(routed, ask).select(*JOB, "translated")
 
 
-@query("text_only_output", sql("""SELECT doc_id, page_idx, CAST(floor(bubble_idx / 1000) AS BIGINT) AS part_no, count(*) AS regions,
-    string_agg(bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|' || original_text || '|' ||
-    CASE WHEN bubble_idx = 2 THEN '[MISSING]' ELSE 'T:' || merged END, chr(10) ORDER BY bubble_idx) AS body
+@query("text_only_output", sql("""SELECT doc_id, page_idx, count(*) AS regions, string_agg(bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|' || parts || '|' ||
+    original_text || '|' || CASE WHEN bubble_idx = 2 THEN '[MISSING]' ELSE 'T:' || merged END, chr(10) ORDER BY bubble_idx) AS body
     FROM merged WHERE level = 1 GROUP BY ALL""", "merged"))
 def text_only_output(spark, sf):
     nested = assemble.nest_pages(_text_rows(spark, sf))
-    return nested.select("doc_id", "page_idx", "part_no", F.size("regions").alias("regions"), _flat().alias("body"))
+    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), _flat(nested).alias("body"))
 
 
 def _text_rows(spark, sf):
@@ -289,30 +288,37 @@ def _text_rows(spark, sf):
     return assemble.text_only_regions(assemble.with_translations(regions, answers))
 
 
-def _flat():
+def _flat(nested):
     """Regions of a page as lines of text, for comparison."""
-    return F.array_join(
-        F.transform(
-            "regions",
-            lambda r: F.concat_ws(
-                "|", r.getField("bubble_idx").cast("string"),
-                F.array_join(r.getField("bubble_box").cast("array<string>"), ","),
-                r.getField("original_text"), r.getField("translated_text"),
-            ),
-        ), "\n",
-    )
+    fields = nested.schema["regions"].dataType.elementType.names
+
+    def items(r):
+        return F.array_join(F.transform(
+            r.getField("original_texts"),
+            lambda i: F.concat(i.getField("text"), F.lit("@"), F.array_join(i.getField("bbox").cast("array<string>"), ",")),
+        ), ";")
 
+    def line(r):
+        flags = [r.getField(f).cast("string") for f in ("is_text_free", "inpainted") if f in fields]
+        return F.concat_ws(
+            "|", r.getField("bubble_idx").cast("string"),
+            F.array_join(r.getField("bubble_box").cast("array<string>"), ","),
+            items(r), r.getField("original_text"), r.getField("translated_text"), *flags,
+        )
 
-@query("text_only_legacy", sql("""SELECT doc_id, page_idx, CAST(floor(bubble_idx / 1000) AS BIGINT) AS part_no, count(*) AS regions,
+    return F.array_join(F.transform("regions", line), "\n")
+
+
+@query("text_only_legacy", sql("""SELECT doc_id, page_idx, count(*) AS regions,
     string_agg(body, chr(10) ORDER BY lv, bubble_idx) AS body FROM (
-    SELECT doc_id, page_idx, bubble_idx, 1 AS lv, bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|' || original_text || '|' ||
+    SELECT doc_id, page_idx, bubble_idx, 1 AS lv, bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|' || parts || '|' || original_text || '|' ||
     CASE WHEN bubble_idx = 2 THEN '[MISSING]' ELSE 'T:' || merged END AS body FROM merged WHERE level = 1
-    UNION ALL SELECT doc_id, page_idx, bubble_idx, 2, bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 FROM regions WHERE level = 2)
+    UNION ALL SELECT doc_id, page_idx, bubble_idx, 2, bubble_idx || '|' || x1 || ',' || y1 || ',' || x2 || ',' || y2 || '|true|false' FROM regions WHERE level = 2)
     GROUP BY ALL""", "merged", "regions"))
 def text_only_legacy(spark, sf):
     free = assemble.text_free_regions(X.regions(spark, sf))
     nested = assemble.nest_pages(assemble.legacy_rows(_text_rows(spark, sf), free))
-    return nested.select("doc_id", "page_idx", "part_no", F.size("regions").alias("regions"), _flat().alias("body"))
+    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), _flat(nested).alias("body"))
 
 
 @query("run_stats", sql("""SELECT p.doc_id, pages, coalesce(bubbles_detected, 0) AS bubbles_detected, coalesce(text_free_regions, 0) AS text_free_regions,
@@ -333,15 +339,18 @@ def run_stats(spark, sf):
     )
 
 
-@query("response_envelope", sql("""SELECT doc_id, 'success' AS status, 'text_only' AS output_type, count(DISTINCT page_idx) AS page_count,
-    count(*) AS bubble_count FROM merged WHERE level = 1 GROUP BY doc_id""", "merged"))
+@query("response_envelope", sql("""SELECT doc_id, 'success' AS status, 'text_only' AS output_type, count(DISTINCT page_idx) AS page_count, count(*) AS bubble_count,
+    concat('{"ocr_lines":', CAST(sum(n) AS BIGINT), ',"text_chars":', CAST(sum(length(original_text)) AS BIGINT), '}') AS stats
+    FROM merged WHERE level = 1 GROUP BY doc_id""", "merged"))
 def response_envelope(spark, sf):
-    nested = cut_lineage(assemble.nest_pages(_text_rows(spark, sf)))
-    totals = nested.groupBy("doc_id").agg(F.count(F.lit(1)).alias("parts"))
-    return assemble.response_envelope(nested, "text_only", totals).drop("stats")
+    rows = cut_lineage(_text_rows(spark, sf))
+    totals = rows.groupBy("doc_id").agg(
+        F.sum(F.size("original_texts")).alias("ocr_lines"), F.sum(F.length("original_text")).alias("text_chars")
+    )
+    return assemble.response_envelope(assemble.nest_pages(rows), "text_only", totals)
 
 
-@query("stage_timings", """SELECT coalesce(event_type, 'total') AS stage, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_ms
+@query("stage_timings", """SELECT CASE WHEN grouping(event_type) = 1 THEN 'total' ELSE event_type END AS stage, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total_ms
     FROM events GROUP BY ROLLUP (event_type)""")
 def stage_timings(spark, sf):
     return stats.stage_timings(

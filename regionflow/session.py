@@ -25,35 +25,28 @@ def local_session(cores: str = "8", app: str = "regionflow") -> SparkSession:
     )
 
 
-def stateful_streams(spark: SparkSession) -> None:
-    """Settings the stateful streams need: state in RocksDB, which spills to disk,
-    and no checksum side files (their small writer pool can lock up when many
-    state stores upload at once)."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    spark.conf.set("spark.sql.streaming.checkpoint.fileChecksum.enabled", "false")
-
-
-def spread(df):
-    """Give an input of fewer splits than cores to all cores before heavy row work;
-    an input with enough splits stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 @contextmanager
-def state_partitions(spark: SparkSession):
-    """One state partition per core while a stream starts: the number is fixed for
-    a stream's whole life, and every partition keeps a store and a worker."""
-    name = "spark.sql.shuffle.partitions"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(spark.sparkContext.defaultParallelism))
+def stream_settings(spark: SparkSession, partitions: int = 64):
+    """Settings for starting a stateful stream, put back afterwards: state in RocksDB,
+    which spills to disk, and ``partitions`` of it. The number stays for a stream's
+    whole life, so choose it for the cluster at its largest, not as it is at start.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.shuffle.partitions": str(partitions),
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
+
+from regionflow.functions.parse import parse_cells
 
 OCR_BODY = (
     "success boolean, error string, results array<struct<text:string, bbox:array<double>, "
@@ -66,17 +65,7 @@ def batch_items(bodies: DataFrame, body: str) -> DataFrame:
     )
 
 
-@udtf(returnType="idx: bigint, text: string")
-class ParseCells:
-    """SQL face of the cell parser: ``SELECT * FROM replies, LATERAL parse_cells(output, n)``."""
-
-    def eval(self, output: str, expected: int):
-        found = {}
-        for number, body in re.findall(r"(?s)\[(\d+)\]:\s*(.+?)(?=\[\d+\]:|$)", output or ""):
-            if int(number) < expected and body.strip():
-                found[int(number)] = body.strip()
-        yield from found.items()
-
-
-def register_functions(spark) -> None:
-    spark.udtf.register("parse_cells", ParseCells)
+def cells_view(replies: DataFrame, name: str, output: str = "output", expected: str = "expected") -> None:
+    """SQL face of the cell parser: a view ``name`` with the other columns, idx and text."""
+    keys = [c for c in replies.columns if c not in (output, expected)]
+    explode_cells(replies, parse_cells(output, expected), keys).createOrReplaceTempView(name)

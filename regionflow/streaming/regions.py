@@ -10,6 +10,7 @@ or its stall timer fires.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from regionflow import constants as C
 from regionflow.functions.text import event_text
 from regionflow.operators.batching import zip_texts
-from regionflow.session import state_partitions, stateful_streams
+from regionflow.session import cut_lineage, stream_settings
 
 REGION_INPUT = (
     "doc_id bigint, global_idx bigint, page_idx bigint, bubble_idx bigint, text string, "
@@ -31,19 +32,32 @@ BATCHED = (
     "page_idx bigint, bubble_idx bigint, text string"
 )
 RESULT = (
-    "doc_id bigint, global_idx bigint, page_idx bigint, bubble_idx bigint, "
-    "original_text string, translated_text string, is_end boolean"
+    "doc_id bigint, kind string, global_idx bigint, page_idx bigint, bubble_idx bigint, "
+    "original_text string, translated_text string"
 )
 RELEASED = (
     "doc_id bigint, kind string, global_idx bigint, page_idx bigint, bubble_idx bigint, "
     "original_text string, translated_text string"
 )
 STALL_MS = 300_000
+#: Rows of a key handed on at once.
+FRAME_ROWS = 4096
+BROKEN_SOURCE = "source failed"
+
+
+def framed(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
+    """Rows in frames of bounded size, so a key's output is never held whole."""
+    names = [part.split()[0] for part in schema.split(",")]
+    while part := list(itertools.islice(rows, FRAME_ROWS)):
+        yield pd.DataFrame(part, columns=names)
 
 
 class RegionBatcher(StatefulProcessor):
     """Accumulate regions in order; emit a batch at every ``size``-th text and the
-    rest at the end marker (whose ``global_idx`` is the number of regions)."""
+    rest at the end marker (whose ``global_idx`` is the number of regions).
+
+    An end marker with ``ocr_error`` says that the source broke off there: the regions
+    so far are emitted, then an error instead of the end. A stall does the same."""
 
     def __init__(self, size: int = C.STREAM_TEXT_BATCH, stall_ms: int | None = STALL_MS):
         self.size, self.stall_ms = size, stall_ms
@@ -51,16 +65,19 @@ class RegionBatcher(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState(
-            "place", "next bigint, first bigint, texts bigint, batch bigint, total bigint, timer bigint"
+            "place", "next bigint, first bigint, texts bigint, batch bigint, total bigint, timer bigint, broken boolean"
         )
         self.rows = handle.getMapState(
             "rows", "idx bigint", "page bigint, bubble bigint, text string, bad boolean"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        yield from framed(self.step(key, rows, timerValues), BATCHED)
+
+    def step(self, key, rows, timerValues) -> Iterator[tuple]:
         (doc,) = key
-        at, first, texts, batch, total, timer = (
-            self.place.get() if self.place.exists() else (0, 0, 0, 0, -1, -1)
+        at, first, texts, batch, total, timer, broken = (
+            self.place.get() if self.place.exists() else (0, 0, 0, 0, -1, -1, False)
         )
         if self.stall_ms and timer < 0:
             timer = timerValues.getCurrentProcessingTimeInMs() + self.stall_ms
@@ -68,22 +85,21 @@ class RegionBatcher(StatefulProcessor):
         for frame in rows:
             for r in frame.itertuples(index=False):
                 if r.is_end:
-                    total = int(r.global_idx)
+                    total, broken = int(r.global_idx), bool(r.ocr_error)
                 elif r.global_idx >= at:
                     self.rows.updateValue(
                         (int(r.global_idx),),
                         (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)),
                     )
-        out: list[tuple] = []
 
-        def emit(until: int) -> None:
+        def emit(until: int) -> Iterator[tuple]:
             nonlocal first, texts, batch
             seen = sent = 0
             for idx in range(first, until):
                 if not self.rows.containsKey((idx,)):
                     continue                      # an error row, released before
                 page, bubble, text, _ = self.rows.getValue((idx,))
-                out.append((doc, "region", batch, idx, seen, page, bubble, text))
+                yield doc, "region", batch, idx, seen, page, bubble, text
                 seen, sent = seen + (text != ""), sent + 1
                 self.rows.removeKey((idx,))
             first, texts, batch = until, 0, batch + (sent > 0)
@@ -91,79 +107,88 @@ class RegionBatcher(StatefulProcessor):
         while self.rows.containsKey((at,)):
             page, bubble, text, bad = self.rows.getValue((at,))
             if bad:
-                out.append((doc, "ocr_error", -1, at, -1, page, bubble, C.OCR_ERROR))
+                yield doc, "ocr_error", -1, at, -1, page, bubble, C.OCR_ERROR
                 self.rows.removeKey((at,))
             elif text != "":
                 texts += 1
             at += 1
             if texts == self.size:
-                emit(at)
+                yield from emit(at)
         if at == total:
-            emit(at)
-            out.append((doc, "end", -1, total, -1, -1, -1, ""))
+            yield from emit(at)
+            yield (doc, "error" if broken else "end", -1, total, -1, -1, -1, BROKEN_SOURCE if broken else "")
             self.place.clear()
             self.rows.clear()
             if timer >= 0:
                 self.handle.deleteTimer(timer)
         else:
-            self.place.update((at, first, texts, batch, total, timer))
-        yield pd.DataFrame(out, columns=_names(BATCHED))
+            self.place.update((at, first, texts, batch, total, timer, broken))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        waiting = self.place.get()[0] if self.place.exists() else 0
+        at, first, _, batch, *_ = self.place.get() if self.place.exists() else (0, 0, 0, 0)
+
+        def rest() -> Iterator[tuple]:
+            # What came in order before the gap is still worth translating.
+            seen = 0
+            for idx in range(first, at):
+                if self.rows.containsKey((idx,)):
+                    page, bubble, text, _ = self.rows.getValue((idx,))
+                    yield key[0], "region", batch, idx, seen, page, bubble, text
+                    seen += text != ""
+            yield key[0], "error", -1, at, -1, -1, -1, f"Timeout waiting for result {at}"
+
+        yield from framed(rest(), BATCHED)
         self.place.clear()
         self.rows.clear()
-        message = f"Timeout waiting for result {waiting}"
-        yield pd.DataFrame(
-            [(key[0], "error", -1, waiting, -1, -1, -1, message)], columns=_names(BATCHED)
-        )
 
     def close(self) -> None:
         pass
 
 
 class OrderedRelease(StatefulProcessor):
-    """Hold results by index and let them go while the next index is there."""
+    """Hold results by index and let them go while the next index is there; the end or
+    an error closes the document and drops what is held of it."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next bigint, total bigint")
+        self.place = handle.getValueState("place", "next bigint, total bigint, error string")
         self.held = handle.getMapState(
             "held", "idx bigint", "page bigint, bubble bigint, source string, target string"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        yield from framed(self.step(key, rows), RELEASED)
+
+    def step(self, key, rows) -> Iterator[tuple]:
         (doc,) = key
-        at, total = self.place.get() if self.place.exists() else (0, -1)
+        at, total, error = self.place.get() if self.place.exists() else (0, -1, None)
         for frame in rows:
             for r in frame.itertuples(index=False):
-                if r.is_end:
+                if r.kind in ("end", "error"):
                     total = int(r.global_idx)
+                    error = r.original_text if r.kind == "error" else None
                 elif r.global_idx >= at:
                     self.held.updateValue(
                         (int(r.global_idx),),
                         (int(r.page_idx), int(r.bubble_idx), r.original_text, r.translated_text),
                     )
-        out = []
         while self.held.containsKey((at,)):
-            out.append((doc, "result", at, *self.held.getValue((at,))))
+            yield doc, "result", at, *self.held.getValue((at,))
             self.held.removeKey((at,))
             at += 1
         if at == total:
-            out.append((doc, "complete", total, -1, -1, "", ""))
+            if error is None:
+                yield doc, "complete", total, -1, -1, "", ""
+            else:
+                yield doc, "error", total, -1, -1, error, error
             self.place.clear()
             self.held.clear()
         else:
-            self.place.update((at, total))
-        yield pd.DataFrame(out, columns=_names(RELEASED))
+            self.place.update((at, total, error))
 
     def close(self) -> None:
         pass
 
 
-def _names(schema: str) -> list[str]:
-    return [part.split()[0] for part in schema.split(",")]
-
-
 def batch_regions(
     stream: DataFrame, size: int = C.STREAM_TEXT_BATCH, stall_ms: int | None = STALL_MS
 ) -> DataFrame:
@@ -195,20 +220,22 @@ def translate_batched(
             lambda s: s.getField("text"),
         ).alias("texts")
     )
-    replies = translate(texts)
+    # Written once: errors and texts below must come from the same answers.
+    replies = cut_lineage(translate(texts))
     errors = replies.filter("error IS NOT NULL").select(
         "doc_id", "batch_idx", F.lit(True).alias("broken")
     )
     answered = replies.filter("error IS NULL").select("doc_id", "batch_idx", "translations")
     results = zip_texts(regions, answered).join(errors, ["doc_id", "batch_idx"], "left").select(
-        "doc_id", "global_idx", "page_idx", "bubble_idx", F.col("text").alias("original_text"),
+        "doc_id", F.lit("result").alias("kind"), "global_idx", "page_idx", "bubble_idx",
+        F.col("text").alias("original_text"),
         F.when(F.col("broken"), C.TRANSLATE_ERROR).otherwise(F.col("translated"))
         .alias("translated_text"),
-        F.lit(False).alias("is_end"),
     )
-    passed_on = batched.filter("kind IN ('ocr_error', 'end')").select(
-        "doc_id", "global_idx", "page_idx", "bubble_idx", F.col("text").alias("original_text"),
-        F.col("text").alias("translated_text"), (F.col("kind") == "end").alias("is_end"),
+    passed_on = batched.filter("kind IN ('ocr_error', 'end', 'error')").select(
+        "doc_id", F.when(F.col("kind") == "ocr_error", "result").otherwise(F.col("kind")).alias("kind"),
+        "global_idx", "page_idx", "bubble_idx", F.col("text").alias("original_text"),
+        F.col("text").alias("translated_text"),
     )
     return results.unionByName(passed_on)
 
@@ -221,6 +248,7 @@ def run_region_stream(
     size: int = C.STREAM_TEXT_BATCH,
     files_per_trigger: int | None = None,
     stall_ms: int | None = None,
+    state_partitions: int = 8,
 ) -> DataFrame:
     """Run all stages over what is in ``source`` (Parquet, ``REGION_INPUT``) and
     return the released rows.  Folders under ``work`` make each stage restartable.
@@ -228,7 +256,6 @@ def run_region_stream(
     A finite source has no stalls to wait for, so timers are off by default; a
     live query passes ``stall_ms`` to :func:`batch_regions`.
     """
-    stateful_streams(spark)
     def read(path: str, schema: str) -> DataFrame:
         reader = spark.readStream.schema(schema)
         if files_per_trigger:
@@ -241,7 +268,7 @@ def run_region_stream(
             f"{work}/results/epoch={epoch}"
         )
 
-    with state_partitions(spark):
+    with stream_settings(spark, state_partitions):
         batched = batch_regions(read(source, REGION_INPUT), size, stall_ms)
         (
             batched.writeStream.foreachBatch(write)

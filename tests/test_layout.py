@@ -1,40 +1,36 @@
-"""Packing rules against a plain restatement on random documents."""
+"""Packing: what every packing of random documents must hold."""
 
 import random
+from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from regionflow.operators import layout
 
 
-def pack_rows(items, width, pad, extra=0):
-    rows = []
-    used = 0
-    for it in items:
-        if not rows or used + it[1] + pad + extra > width:
-            rows.append([])
-            used = pad
-        rows[-1].append(it)
-        used += it[1] + pad
-    return rows
-
-
-def batches_by_height(items, width, pad, max_h, strict=False):
-    out, batch = {}, 0
-    while items:
-        height, kept, left = pad, 0, []
-        for row in pack_rows(items, width, pad):
-            tall = max(i[2] for i in row) + pad
-            over = strict and left
-            if not over and (height + tall <= max_h or kept == 0):
-                for k, i in enumerate(row):
-                    out[i[0]] = (batch, kept, k)
-                height += tall
-                kept += 1
-            else:
-                left += row
-        items, batch = left, batch + 1
-    return out
+def rows_of(placed, size):
+    """(group, row) -> its items in place order; every item exactly once."""
+    rows = defaultdict(list)
+    for (doc, seq), (*group, row, place) in placed.items():
+        rows[(doc, *group, row)].append((place, seq))
+    for at, items in rows.items():
+        items.sort()
+        assert [p for p, _ in items] == list(range(len(items))), at
+    assert sum(map(len, rows.values())) == size
+    return {at: [seq for _, seq in items] for at, items in rows.items()}
+
+
+def check_fit(rows, sizes, width, pad, extra=0):
+    """No row of several items is too wide, and none was closed while its next item would still fit."""
+    following = defaultdict(list)
+    for at, items in sorted(rows.items()):
+        following[at[:-1]].append((at, items))
+    for group, listed in following.items():
+        assert [at[-1] for at, _ in listed] == list(range(len(listed))), group
+        for k, (at, items) in enumerate(listed):
+            used = pad + sum(sizes[at[0], s][0] + pad for s in items)
+            assert len(items) == 1 or used + extra <= width, at
+            yield at, items, used, listed[k + 1][1] if k + 1 < len(listed) else None
 
 
 def make(spark, sizes, seed, w=(5, 200), h=(5, 150)):
@@ -53,34 +49,45 @@ def make(spark, sizes, seed, w=(5, 200), h=(5, 150)):
 
 def test_shelf_rows_across_blocks(spark):
     df, docs = make(spark, [1, 3, 40, 400, 1500], 7, w=(0, 200))
-    for separators in (False, True):
-        got = {
-            (r.doc_id, r.seq): (r.row_idx, r.row_ord)
-            for r in layout.shelf_rows(
-                df, 600, 30, separators, block=32, super_block=4
-            ).collect()
-        }
-        want = {}
-        for d, items in docs.items():
-            for r, row in enumerate(pack_rows(items, 600, 30, 6 if separators else 0)):
-                for k, it in enumerate(row):
-                    want[d, it[0]] = (r, k)
-        assert got == want
+    sizes = {(d, s): (w, h) for d, items in docs.items() for s, w, h in items}
+    for extra, separators in ((0, False), (6, True)):
+        results = []
+        for block, super_block in ((32, 4), (4096, 1024)):
+            got = layout.shelf_rows(df, 600, 30, separators, block=block, super_block=super_block).collect()
+            results.append({(r.doc_id, r.seq): (r.row_idx, r.row_ord) for r in got})
+        assert results[0] == results[1]
+        rows = rows_of(results[0], len(sizes))
+        for at, items, used, after in check_fit(rows, sizes, 600, 30, extra):
+            if after:
+                assert items + after == list(range(items[0], after[-1] + 1)), at
+                assert used + sizes[at[0], after[0]][0] + 30 + extra > 600, at
 
 
 def test_height_batches_skip_and_strict(spark):
     df, docs = make(spark, [1, 5, 60, 300], 11)
+    sizes = {(d, s): (w, h) for d, items in docs.items() for s, w, h in items}
     for strict in (False, True):
         got = {
             (r.doc_id, r.seq): (r.batch_idx, r.row_idx, r.row_ord)
             for r in layout.height_batches(df, 600, 30, 500, strict).collect()
         }
-        want = {
-            (d, s): v
-            for d, items in docs.items()
-            for s, v in batches_by_height(items, 600, 30, 500, strict).items()
-        }
-        assert got == want
+        rows = rows_of(got, len(sizes))
+        heights, order = defaultdict(lambda: 30), defaultdict(list)
+        for at, items, _, _ in check_fit(rows, sizes, 600, 30):
+            heights[at[:2]] += max(sizes[at[0], s][1] for s in items) + 30
+            order[at[:2]] += items
+        for at, items in order.items():
+            assert items == sorted(items), at
+            assert heights[at] <= 500 or len({r for *g, r in rows if tuple(g) == at}) == 1, at
+        for doc in docs:
+            numbers = sorted(b for d, b in order if d == doc)
+            assert numbers == list(range(len(numbers)))
+            if strict:
+                # In order across batches, each closed only by a row that no longer fits.
+                assert [s for b in numbers for s in order[doc, b]] == list(range(len(docs[doc])))
+                for b in numbers[1:]:
+                    tall = max(sizes[doc, s][1] for s in rows[doc, b, 0]) + 30
+                    assert heights[doc, b - 1] + tall > 500
 
 
 def test_oversized_row_is_taken_first(spark):

@@ -1,22 +1,16 @@
 """Registered queries against their SQL at the smallest scale."""
 
+import importlib.util
 from collections import Counter
 
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from regionflow.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("lineitem", "orders", "customer", "events", "documents", "pages", "conversations")
-QUICK = [
-    "reading_order", "crop_window", "page_batches", "shelf_pack", "map_lines", "near_misses",
-    "merge_texts", "region_jobs", "failed_retry", "text_only_legacy", "retry_overlay", "reply_quality",
-    "text_color", "fill_color", "dilate_mask", "mask_source", "apply_fills", "grid_mask_merge",
-    "region_pictures", "clear_plan",
-]
-
-
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
@@ -29,7 +23,7 @@ def same(value):
     return round(value, 9) if isinstance(value, float) else value
 
 
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_query_equals_sql(spark, db, name):
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
@@ -44,7 +38,9 @@ def test_query_equals_sql(spark, db, name):
 
 def test_registered_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"height_batches", "mask_components", "early_abort"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"height_batches", "mask_components"}
+    there = importlib.util.find_spec("regionflow.llm") is not None
+    assert ("op1_packing" in entry.queries()) == there
 
 
 def test_flagship(spark):

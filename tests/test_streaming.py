@@ -1,8 +1,10 @@
 import random
+import uuid
 
 from pyspark.sql import functions as F
 
-from regionflow.session import shared_dir, stateful_streams
+from regionflow.functions import quality as Q
+from regionflow.session import shared_dir, stream_settings
 from regionflow.streaming import chunks, regions
 
 
@@ -59,7 +61,7 @@ def test_stream_matches_plain_order(spark):
     }
     docs[3][4], docs[3][12] = ("boom", False), ("short", False)
     rows = [(d, i, i // 5, i % 5, t, bad, False) for d, r in docs.items() for i, (t, bad) in enumerate(r)]
-    rows += [(d, len(r), -1, -1, "", False, True) for d, r in docs.items()]
+    rows += [(d, len(r), -1, -1, "", d == 2, True) for d, r in docs.items()]
     rnd.shuffle(rows)
     for files in (1, 3):
         src, work = shared_dir(spark, "src"), shared_dir(spark, "work")
@@ -71,14 +73,49 @@ def test_stream_matches_plain_order(spark):
         )
         assert result == expected_rows(docs, 4)
         assert {r.doc_id: r.global_idx for r in got.filter("kind = 'complete'").collect()} == {
-            d: len(r) for d, r in docs.items()
+            d: len(r) for d, r in docs.items() if d != 2
         }
-    events = regions.released_events(got).filter("kind = 'complete' AND doc_id = 2").first()
-    assert events.event == 'event: complete\ndata: {"stats":{"bubbles":3}}\n\n'
+    events = regions.released_events(got).filter("kind <> 'result' AND doc_id < 3").orderBy("doc_id").collect()
+    assert [e.event for e in events] == [
+        'event: complete\ndata: {"stats":{"bubbles":0}}\n\n', 'event: error\ndata: {"error":"source failed"}\n\n',
+    ]
+
+
+def test_a_batch_is_asked_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting(batches):
+        def ask(frames):
+            for frame in frames:
+                for r in frame.itertuples(index=False):
+                    (calls / uuid.uuid4().hex).touch()
+                yield frame.assign(translations=frame["texts"], error=None)
+
+        return batches.repartition(1).mapInPandas(ask, "doc_id bigint, batch_idx bigint, texts array<string>, translations array<string>, error string")
+
+    rows = [(1, "region", 0, k, k, 0, k, f"t{k}") for k in range(3)] + [(1, "end", -1, 3, -1, -1, -1, "")]
+    done = regions.translate_batched(spark.createDataFrame(rows, regions.BATCHED), counting)
+    assert sorted((r.kind, r.global_idx) for r in done.collect()) == [("end", 3), ("result", 0), ("result", 1), ("result", 2)]
+    assert len(list(calls.iterdir())) == 1
+
+
+def test_watch_equals_the_judgement_of_each_prefix(spark):
+    rnd = random.Random(8)
+    bits = ["[0]:", "[1]:", "[2]: ", "[9]:", "[3", "]", "[", " ", "\n", "same words", "x ", "a longer body of words that goes on and on ", "[1]: again "]
+    texts = ["".join(rnd.choice(bits) * rnd.choice((1, 1, 2, 5)) for _ in range(rnd.randint(1, 40))) for _ in range(150)]
+    rows = [(k, t, rnd.randint(1, 12)) for k, t in enumerate(texts)]
+    replies = spark.createDataFrame(rows, "reply_id bigint, output string, expected bigint")
+    got = {(r.reply_id, r.chunk_no, r.reason) for r in chunks.first_abort(replies, 9).collect()}
+    prefixes = [(k, p // 9, t[: p + 9], n) for k, t, n in rows for p in range(0, len(t), 9)]
+    judged = spark.createDataFrame(prefixes, "id bigint, chunk bigint, p string, n bigint").select("id", "chunk", Q.early_cell_abort("p", "n").alias("r"))
+    first = {}
+    for r in judged.filter("r IS NOT NULL").collect():
+        first[r.id] = min(first.get(r.id, (r.chunk, r.r)), (r.chunk, r.r))
+    assert got == {(k, *v) for k, v in first.items()} and len(got) > 50
 
 
 def test_chunk_watcher_equals_batch_form(spark):
-    stateful_streams(spark)
     texts = {
         1: ("[0]: fine words here [1]: more words", 2),
         2: ("[0]: a [1]: b [7]: c", 3),
@@ -91,38 +128,49 @@ def test_chunk_watcher_equals_batch_form(spark):
     )
     want = {(r.reply_id, r.chunk_no, r.reason) for r in chunks.first_abort(replies, piece).collect()}
     rows = [
-        (k, i, t[i * piece:(i + 1) * piece], n)
+        (k, i, t[i * piece:(i + 1) * piece], n, (i + 1) * piece >= len(t))
         for k, (t, n) in texts.items() for i in range(-(-len(t) // piece))
     ]
     random.Random(1).shuffle(rows)
     src, work = shared_dir(spark, "chunks"), shared_dir(spark, "watch")
     spark.createDataFrame(rows, chunks.CHUNKS).repartition(2).write.parquet(src)
-    stream = spark.readStream.schema(chunks.CHUNKS).option("maxFilesPerTrigger", 1).parquet(src)
-    q = (
-        chunks.watch_chunks(stream).writeStream.format("parquet").option("path", f"{work}/out")
-        .option("checkpointLocation", f"{work}/check").trigger(availableNow=True).start()
-    )
-    q.awaitTermination()
+    with stream_settings(spark, 4):
+        stream = spark.readStream.schema(chunks.CHUNKS).option("maxFilesPerTrigger", 1).parquet(src)
+        q = (
+            chunks.watch_chunks(stream).writeStream.format("parquet").option("path", f"{work}/out")
+            .option("checkpointLocation", f"{work}/check").trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
     got = {(r.reply_id, r.chunk_no, r.reason) for r in spark.read.parquet(f"{work}/out").collect()}
     assert got == want and {k for k, _, _ in want} == {2, 3, 4}
 
 
-def test_stalled_document_gives_an_error_row(spark):
-    stateful_streams(spark)
+def test_stalled_document_gives_an_error_row_at_the_end(spark):
     src, work = shared_dir(spark, "stall"), shared_dir(spark, "stall-out")
     rows = [(1, 0, 0, 0, "a", False, False), (1, 2, 0, 2, "c", False, False)]
     spark.createDataFrame(rows, regions.REGION_INPUT).coalesce(1).write.parquet(src)
-    stream = spark.readStream.schema(regions.REGION_INPUT).parquet(src)
-    query = (
-        regions.batch_regions(stream, 4, stall_ms=2000).writeStream.format("parquet")
-        .option("path", f"{work}/out").option("checkpointLocation", f"{work}/check")
-        .trigger(processingTime="1 second").start()
-    )
-    found = []
-    for _ in range(40):
-        query.awaitTermination(2)
-        found = spark.read.schema(regions.BATCHED).parquet(f"{work}/out*").filter("kind = 'error'").collect()
-        if found:
-            break
-    query.stop()
-    assert [(r.doc_id, r.text) for r in found] == [(1, "Timeout waiting for result 1")]
+    with stream_settings(spark, 4):
+        stream = spark.readStream.schema(regions.REGION_INPUT).parquet(src)
+        query = (
+            regions.batch_regions(stream, 4, stall_ms=2000).writeStream.format("parquet")
+            .option("path", f"{work}/out").option("checkpointLocation", f"{work}/check")
+            .trigger(processingTime="1 second").start()
+        )
+        batched = spark.read.schema(regions.BATCHED).parquet(f"{work}/out*")
+        for _ in range(40):
+            query.awaitTermination(2)
+            batched = spark.read.schema(regions.BATCHED).parquet(f"{work}/out*")
+            if batched.filter("kind = 'error'").count():
+                break
+        query.stop()
+        regions.translate_batched(batched, upper).write.parquet(f"{work}/results")
+        released = (
+            regions.release_in_order(spark.readStream.schema(regions.RESULT).parquet(f"{work}/results"))
+            .writeStream.format("parquet").option("path", f"{work}/released")
+            .option("checkpointLocation", f"{work}/check2").trigger(availableNow=True).start()
+        )
+        released.awaitTermination()
+    out = spark.read.schema(regions.RELEASED).parquet(f"{work}/released").collect()
+    assert sorted((r.kind, r.global_idx, r.translated_text) for r in out) == [
+        ("error", 1, "Timeout waiting for result 1"), ("result", 0, "T:a"),
+    ]
