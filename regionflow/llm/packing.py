@@ -14,7 +14,9 @@ and rows with equal ids, are packed each on its own. An empty table gives no pie
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,56 +29,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionflow.llm.common import slices, worker_state
+from regionflow.llm.encoding import byte_letters
 from regionflow.session import cut_lineage
 
 WINDOW = 1024
 #: Pieces of one length are ranked in this many parts, so that no length is one task.
 PARTS = 1024
-#: Chunks whose ids a worker keeps; with more, the memory starts anew.
-MEMORY = 500_000
+#: Fixed value: the pre-token pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class ByteBpe:
-    """Ids by the tokenizers library; a worker keeps those of the chunks it has seen.
+    """Ids of the vocabulary file, as the tokenizers library gives them.
 
-    A chunk starts at a space that is followed by no white space. The pre-token
-    pattern never joins text across such a place, so chunks are encoded alone.
+    In this kind of vocabulary an id is also its merge's rank, so a rank encoder gives
+    the same ids several times faster. It is used only where that is proven: the ids
+    must follow the merges, and each block of characters must come out alike from both
+    encoders. All other texts, and those with special strings, go to the library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in model["vocab"].items() if t not in self.special}
+        made = [model["vocab"][a + b] for a, b in model["merges"]]
+        self.by_rank = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.unproven = re.compile("[^" + "".join(f"{chr(a)}-{chr(a + 255)}".replace("\\", "\\\\") for a in self.alike()) + "]") if made == sorted(made) else re.compile("")
+
+    def alike(self) -> list[int]:
+        """Starts of the blocks of 256 characters that both encoders take alike."""
+        starts = [a for a in range(0, 0x10000, 256) if not 0xD800 <= a < 0xE000]
+        blocks = ["".join(f"a{c}{c} {c}1\n{c}" for c in map(chr, range(a, a + 256))) for a in starts]
+        return [a for a, block, ids in zip(starts, blocks, self.library(blocks)) if self.ranked(block) == ids]
+
+    def library(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ranked(self, text: str) -> bytes:
+        return np.fromiter(self.by_rank.encode_ordinary(text), "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
-        apart = []
-        for k, text in enumerate(texts):
-            split = text.split(" ")
-            if any(s in text for s in self.special) or "" in split or any(p[0].isspace() for p in split[1:]):
-                apart.append(k)  # white space runs and special strings: the text as one
-            else:
-                parts.append((k, [split[0], *[" " + p for p in split[1:]]]))
-        new = set().union(*(p for _, p in parts)).difference(self.memory)
-        if len(self.memory) + len(new) > MEMORY and self.memory:
-            self.memory.clear()
-            new = set().union(*(p for _, p in parts))
-        if new:
-            self.memory.update(zip(new, self.whole(list(new))))
-        found = self.memory
-        for k, p in parts:
-            out[k] = b"".join([found[c] for c in p])
-        for k, ids in zip(apart, self.whole([texts[k] for k in apart])):
+        apart = [k for k, t in enumerate(texts) if self.unproven.search(t) or any(s in t for s in self.special)]
+        skip = set(apart)
+        out = [b"" if k in skip else self.ranked(t) for k, t in enumerate(texts)]
+        for k, ids in zip(apart, self.library([texts[k] for k in apart])):
             out[k] = ids
         return out
 
