@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
+from regionflow.functions.text import slug
 
 
 def with_translations(merged: DataFrame, translations: DataFrame) -> DataFrame:
@@ -117,4 +118,4 @@ def write_text_only(nested: DataFrame, path: str) -> None:
 
 def save_pages(pages: DataFrame, path: str) -> None:
     """Page sets under ``stage`` (before, after) and a slugged title."""
-    pages.write.mode("append").partitionBy("stage", "tab_title").parquet(path)
+    pages.withColumn("tab_title", slug("tab_title")).write.mode("append").partitionBy("stage", "tab_title").parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
+from regionflow.functions.parse import reply_status
 from regionflow.operators.ordering import RADIX, preceding_totals, radix_levels, with_position
 
 
@@ -187,6 +188,21 @@ def failed_batches(expected: DataFrame, actual: DataFrame, keys: list[str]) -> D
     )
 
 
+def batch_status(batched: DataFrame, replies: DataFrame) -> DataFrame:
+    """One row per translation batch: texts sent and received, status, retries and time.
+
+    ``replies``: doc_id, batch_idx, translations, error, time_ms, attempts.
+    """
+    keys = ["doc_id", "batch_idx"]
+    sent = batched.groupBy(*keys).agg(F.count(F.lit(1)).alias("texts"))
+    failed = F.concat(F.lit("error: "), F.col("error"))
+    return sent.join(replies, keys, "left").select(
+        *keys, "texts", F.coalesce(failed, reply_status("translations", "texts")).alias("status"),
+        F.when(F.col("error").isNull(), F.coalesce(F.size("translations"), F.lit(0))).otherwise(0).alias("received"),
+        F.greatest(F.coalesce(F.col("attempts"), F.lit(1)) - 1, F.lit(0)).alias("retries"), "time_ms",
+    )
+
+
 def outcome_counts(translations: DataFrame, definition: str, keys: list[str]) -> DataFrame:
     """Success and failure by one of the three definitions in use.
 

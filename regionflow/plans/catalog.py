@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from regionflow.plans import (  # noqa: F401
     mapping_queries,
+    outcome_queries,
     pixel_queries,
     region_queries,
     reply_queries,

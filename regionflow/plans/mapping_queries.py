@@ -44,13 +44,16 @@ def boxed(df):
 
 @query("map_spatial", sql("""SELECT doc_id, src_page, line_no, rule::BIGINT AS rule, cell_idx, page_idx, bubble_idx FROM spatial""", "spatial"))
 def map_spatial(spark, sf):
+    return spatial_matches(spark, sf).select(*LINE, "rule", "cell_idx", "page_idx", "bubble_idx")
+
+
+def spatial_matches(spark, sf):
+    """Lines without a known cell, with the cell they lie in."""
     screened = mapping.screen_lines(X.lines(spark, sf)).filter("skipped IS NULL")
     cells = stored_cells(spark, sf)
     unknown = cells.select("doc_id", "cell_idx")
     waiting = screened.filter("x IS NOT NULL").join(unknown, ["doc_id", "cell_idx"], "left_anti")
-    return mapping.spatial_matches(waiting, cells, LINE).select(
-        *LINE, "rule", "cell_idx", "page_idx", "bubble_idx"
-    )
+    return mapping.spatial_matches(waiting, cells, LINE)
 
 
 @query("map_lines", sql("""SELECT doc_id, src_page, line_no, text, outcome, page_idx, bubble_idx, px1, py1, px2, py2 FROM mapped""", "mapped"))
