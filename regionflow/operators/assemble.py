@@ -69,28 +69,6 @@ def data_url(content: Column, mime: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{mime};base64,"), one_line_base64(content))
 
 
-def region_pictures(crops: DataFrame) -> DataFrame:
-    """Raw RGB bytes of every region's crop, row by row, as base64 with its size.
-
-    ``crops``: doc_id, page_idx, region_id, cy, cx, r, g, b.  Rows are joined
-    first, so each step holds one row or one region of pixels.
-    """
-    region = ["doc_id", "page_idx", "region_id"]
-    rgb = F.concat(*[F.lpad(F.hex(F.col(c).cast("bigint")), 2, "0") for c in ("r", "g", "b")])
-
-    def in_order(position: str, body: Column) -> Column:
-        items = F.array_sort(F.collect_list(F.struct(position, body.alias("b"))))
-        return F.array_join(F.transform(items, lambda i: i.getField("b")), "")
-
-    rows = crops.groupBy(*region, "cy").agg(
-        in_order("cx", rgb).alias("row"), F.count(F.lit(1)).alias("w")
-    )
-    return rows.groupBy(*region).agg(
-        one_line_base64(F.unhex(in_order("cy", F.col("row")))).alias("image_base64"),
-        F.max("w").alias("width"), F.count(F.lit(1)).alias("height"),
-    )
-
-
 def full_page_results(pages: DataFrame) -> DataFrame:
     """Ordered page pictures as data URLs, one row per page."""
     return pages.select(

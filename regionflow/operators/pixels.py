@@ -1,7 +1,7 @@
-"""Pixels under regions: tests, colours, fills and masks.
+"""Boxes, masks from characters, the clearing plan, and mask pixels as rows.
 
-Pixels are rows ``(doc_id, page_idx, y, x, r, g, b)`` and mask pixels rows
-``(doc_id, page_idx, y, x, m)``.  Regions are exploded to the 64-pixel tiles
+Pictures are worked on as tile blocks (``blocks``). Here mask pixels are rows
+``(doc_id, page_idx, y, x, m)``, for masks that move between pages.  Regions are exploded to the 64-pixel tiles
 they touch and joined on (page, tile), so only pixels near a region move on and
 a huge page spreads over its tiles.  A region row carries doc_id, page_idx,
 region_id, x1, y1, x2, y2 and the page's width and height.
@@ -47,126 +47,10 @@ def under(pixels: DataFrame, boxes: DataFrame, where: Column | None = None) -> D
     return (joined.filter(where) if where is not None else joined).drop("ty", "tx")
 
 
-def _edge_hits() -> Column:
-    """How many of the four edges a pixel lies on; a corner counts twice."""
-    return (
-        (F.col("y") == F.col("y1")).cast("int") + (F.col("y") == F.col("y2") - 1).cast("int")
-        + (F.col("x") == F.col("x1")).cast("int") + (F.col("x") == F.col("x2") - 1).cast("int")
-    )
-
-
-def _darkest() -> Column:
-    return F.least(*RGB)
-
-
 def _slim(regions: DataFrame) -> DataFrame:
     return regions.select(*REGION, *BOX)
 
 
-def with_mask(pixels_in: DataFrame, mask: DataFrame, regions: DataFrame) -> DataFrame:
-    """Add the mask value to region pixels; no mask row counts as 0.
-
-    Both sides are cut to the regions first, so no whole page is shuffled.
-    """
-    mask_in = under(mask, _slim(regions)).select(*REGION, "y", "x", "m")
-    return pixels_in.join(mask_in, [*REGION, "y", "x"], "left").withColumn(
-        "m", F.coalesce("m", F.lit(0))
-    )
-
-
-def edges_white(pixels: DataFrame, regions: DataFrame, level: int = C.WHITE_LEVEL) -> DataFrame:
-    """Are all pixels on the four edges white?  An empty box is not."""
-    boxes = clip_to_page(regions)
-    tested = under(pixels, _slim(boxes), _edge_hits() > 0).groupBy(*REGION).agg(
-        (F.min(_darkest()) >= level).alias("edges_white")
-    )
-    return regions.join(tested, REGION, "left").withColumn(
-        "edges_white", F.coalesce("edges_white", F.lit(False))
-    )
-
-
-def background_white(
-    pixels: DataFrame, regions: DataFrame, mask: DataFrame | None = None,
-    level: int = C.WHITE_LEVEL,
-) -> DataFrame:
-    """Is everything outside the text white?  Nothing to test counts as white."""
-    boxes = clip_to_page(regions)
-    inside = under(pixels, _slim(boxes))
-    if mask is not None:
-        inside = with_mask(inside, mask, boxes).filter(F.col("m") <= C.MASK_TEXT_LEVEL)
-    tested = inside.groupBy(*REGION).agg((F.min(_darkest()) >= level).alias("background_white"))
-    return regions.join(tested, REGION, "left").withColumn(
-        "background_white", F.coalesce("background_white", F.lit(True))
-    )
-
-
-def needing_inpaint(pixels: DataFrame, regions: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    return background_white(pixels, regions, mask).filter("NOT background_white")
-
-
-def dark_background(
-    pixels: DataFrame, regions: DataFrame, mask: DataFrame | None = None,
-    level: int = C.DARK_LEVEL,
-) -> DataFrame:
-    """Should text be white?  Mean brightness outside the text, or along the
-    edges when there is no mask.  Summed as whole numbers, so exact."""
-    boxes = clip_to_page(regions)
-    light = F.col("r") * 299 + F.col("g") * 587 + F.col("b") * 114
-    if mask is None:
-        rows = under(pixels, _slim(boxes), _edge_hits() > 0).withColumn("n", _edge_hits())
-    else:
-        rows = (
-            with_mask(under(pixels, _slim(boxes)), mask, boxes)
-            .filter(F.col("m") <= C.MASK_TEXT_LEVEL).withColumn("n", F.lit(1))
-        )
-    weight = F.sum(F.col("n").cast("bigint"))
-    tested = rows.groupBy(*REGION).agg(
-        (F.sum((light * F.col("n")).cast("bigint")) < weight * level * 1000).alias("white_text")
-    )
-    return regions.join(tested, REGION, "left").withColumn(
-        "white_text", F.coalesce("white_text", F.lit(False))
-    )
-
-
-def _median_colour() -> list[Column]:
-    # At most 256 values per channel, so the exact median keeps a small table.
-    return [F.floor(F.percentile(c, F.lit(0.5))).cast("int").alias(f"fill_{c}") for c in RGB]
-
-
-def edge_colour(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Median colour of the border pixels; null for a box 2 or less on a side."""
-    boxes = clip_to_page(regions).filter("x2 - x1 > 2 AND y2 - y1 > 2")
-    colour = under(pixels, _slim(boxes), _edge_hits() > 0).groupBy(*REGION).agg(*_median_colour())
-    return regions.join(colour, REGION, "left")
-
-
-def background_colour(pixels: DataFrame, regions: DataFrame, mask: DataFrame) -> DataFrame:
-    """Median colour outside the text; white when everything is text."""
-    boxes = clip_to_page(regions)
-    colour = (
-        with_mask(under(pixels, _slim(boxes)), mask, boxes)
-        .filter(F.col("m") <= C.MASK_TEXT_LEVEL).groupBy(*REGION).agg(*_median_colour())
-    )
-    return regions.join(colour, REGION, "left").fillna(255, [f"fill_{c}" for c in RGB])
-
-
-def dilate_text(mask: DataFrame, regions: DataFrame, steps: int = 2) -> DataFrame:
-    """Text pixels of a region grown by ``steps`` of the 4-neighbour cross, kept
-    inside the region."""
-    reach = range(-steps, steps + 1)
-    offsets = F.array(*[
-        F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-        for dy in reach for dx in reach if abs(dy) + abs(dx) <= steps
-    ])
-    text = under(mask, _slim(clip_to_page(regions)), F.col("m") > C.MASK_TEXT_LEVEL)
-    return (
-        text.withColumn("o", F.explode(offsets))
-        .withColumns({"y": F.col("y") + F.col("o.dy"), "x": F.col("x") + F.col("o.dx")})
-        .filter("x >= x1 AND x < x2 AND y >= y1 AND y < y2")
-        .select(*REGION, "y", "x").distinct()
-    )
-
-
 def char_mask(chars: DataFrame, regions: DataFrame) -> DataFrame:
     """Mask pixels of a region made from its character boxes.
 
@@ -184,21 +68,20 @@ def char_mask(chars: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def mask_source(
-    regions: DataFrame, chars: DataFrame, mask: DataFrame | None = None
-) -> DataFrame:
+def mask_source(regions: DataFrame, chars: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """What a region is inpainted from: its characters, the text mask, or its
     whole box; each only when it holds anything.  With a mask, an empty region
-    without characters is skipped."""
+    without characters is skipped.
+
+    ``facts``: region key and ``has_text``, whether its mask holds text.
+    """
     char_hit = char_mask_boxes(chars, regions).groupBy(*REGION).agg(
         F.lit(True).alias("has_chars")
     )
     out = regions.join(char_hit, REGION, "left")
     ladder = F.when(F.col("has_chars"), "char_boxes")
-    if mask is not None:
-        out = out.join(
-            strong_mask(mask, regions).select(*REGION, "has_text"), REGION, "left"
-        )
+    if facts is not None:
+        out = out.join(facts.select(*REGION, "has_text"), REGION, "left")
         ladder = ladder.when(
             (F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "skipped"
         ).when(F.col("has_text"), "text_mask")
@@ -212,22 +95,6 @@ def char_mask_boxes(chars: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def strong_mask(mask: DataFrame, regions: DataFrame, level: int = C.MASK_STRONG_LEVEL) -> DataFrame:
-    hit = under(mask, _slim(regions)).groupBy(*REGION).agg((F.max("m") > level).alias("has_text"))
-    return regions.join(hit, REGION, "left").fillna(False, ["has_text"])
-
-
-def mask_coverage(
-    mask: DataFrame, regions: DataFrame, levels: tuple[int, ...] = (5, 10, 30, 127)
-) -> DataFrame:
-    """Share of region pixels above each level, in percent, and the maximum."""
-    n = F.greatest(F.lit(1), F.count(F.lit(1)))
-    return under(mask, _slim(clip_to_page(regions))).groupBy(*REGION).agg(
-        *[(F.count_if(F.col("m") > v) / n * 100).alias(f"over_{v}") for v in levels],
-        F.max("m").alias("max_m"),
-    )
-
-
 def normalise_mask(mask: DataFrame, byte_values: bool = False) -> DataFrame:
     """Model mask to 0..255: bytes stay; a page within 0..1 is scaled; the rest is cut."""
     if byte_values:
@@ -304,72 +171,6 @@ def plan_clearing(
     return whole.unionByName(as_line).unionByName(as_char).filter("x2 > x1 AND y2 > y1")
 
 
-def apply_fills(pixels: DataFrame, fills: DataFrame, cover: DataFrame | None = None) -> DataFrame:
-    """Paint fills in ``fill_ord`` order, the last one on a pixel staying.
-
-    ``fills``: doc_id, page_idx, region_id, fill_ord, box, colour fill_r/g/b and
-    ``masked``; a masked fill only paints the pixels listed for it in ``cover``
-    (region key, y, x).  Colours were taken from the original picture.
-    """
-    cols = [*PAGE, "region_id", "fill_ord", "masked", *BOX, *[f"fill_{c}" for c in RGB]]
-    hits = under(pixels.select(*PAGE, "y", "x"), fills.select(*cols))
-    solid = hits.filter("NOT masked")
-    if cover is not None:
-        painted = hits.filter("masked").join(cover, [*REGION, "y", "x"], "left_semi")
-        solid = solid.unionByName(painted.select(*solid.columns))
-    top = solid.groupBy(*PAGE, "y", "x").agg(
-        F.max(F.struct("fill_ord", *[f"fill_{c}" for c in RGB])).alias("f")
-    )
-    return pixels.join(top, [*PAGE, "y", "x"], "left").select(
-        *PAGE, "y", "x", *[F.coalesce(f"f.fill_{c}", c).alias(c) for c in RGB]
-    )
-
-
-def white_fill(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Second-level regions painted white, for runs without inpainting."""
-    fills = clip_to_page(regions).withColumns({
-        "fill_ord": F.lit(0), "masked": F.lit(False),
-        **{f"fill_{c}": F.lit(255) for c in RGB},
-    })
-    return apply_fills(pixels, fills)
-
-
-def crop_pixels(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """Pixels of every region, counted from its own corner."""
-    return under(pixels, _slim(regions)).select(
-        *REGION, (F.col("y") - F.col("y1")).alias("cy"), (F.col("x") - F.col("x1")).alias("cx"),
-        *[c for c in pixels.columns if c not in (*PAGE, "y", "x")],
-    )
-
-
-def restore_pixels(pixels: DataFrame, original: DataFrame, regions: DataFrame) -> DataFrame:
-    """Original pixels put back inside the given regions."""
-    back = under(original, _slim(clip_to_page(regions))).select(
-        *PAGE, "y", "x", *[F.col(c).alias(f"o_{c}") for c in RGB]
-    ).distinct()
-    return pixels.join(back, [*PAGE, "y", "x"], "left").select(
-        *PAGE, "y", "x", *[F.coalesce(f"o_{c}", c).alias(c) for c in RGB]
-    )
-
-
-def blank_under_mask(pixels: DataFrame) -> DataFrame:
-    """Model input: pixels zero where the mask (0..1) is above one half."""
-    return pixels.withColumns(
-        {c: F.when(F.col("mask") > 0.5, F.lit(0)).otherwise(F.col(c)) for c in RGB}
-    )
-
-
-def composite(pixels: DataFrame, mask: DataFrame, painted: DataFrame) -> DataFrame:
-    """Blend model output (-1..1) over the picture by the mask (0..1), truncated."""
-    keys = [*PAGE, "y", "x"]
-
-    def blend(c: str) -> Column:
-        out = F.least(F.lit(255.0), F.greatest(F.lit(0.0), (F.col(f"out_{c}") + 1) * 127.5))
-        return (F.col(c) * (1 - F.col("mask")) + out * F.col("mask")).cast("int").alias(c)
-
-    return pixels.join(mask, keys).join(painted, keys).select(*keys, *[blend(c) for c in RGB])
-
-
 def grid_mask_to_pages(grid_mask: DataFrame, cells: DataFrame) -> DataFrame:
     """Mask of packed grids back to pages; where regions overlap the larger value
     wins, and a cell of another size is resized by nearest pixel.

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def by_group(
@@ -19,6 +20,8 @@ def by_group(
     Like a grouped map, but groups are cut out of the sorted partition, so many small
     groups cost one Python call frame, not one each. Groups are bounded by their keys.
     """
+    kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
@@ -30,7 +33,7 @@ def by_group(
                 made.append(call(tuple(part[k].iloc[0] for k in keys), part))
             done = pd.concat(made, ignore_index=True)
             if len(done):
-                yield from pa.Table.from_pandas(done, preserve_index=False).to_batches()
+                yield from pa.Table.from_pandas(done, schema=kinds, preserve_index=False).to_batches()
 
         for batch in batches:
             if not batch.num_rows:

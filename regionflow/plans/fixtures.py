@@ -6,10 +6,13 @@ Each derivation is row-wise or a partial-aggregate, and grows with its table.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.operators import detect
+from regionflow.operators.blocks import BLOCK
 
 WIDTH, HEIGHT = 900, 1280
 BIG = 4294967296          # cell numbers: page * BIG + region
@@ -230,3 +233,61 @@ def doc_lines(spark, sf_dir) -> DataFrame:
         f" WHEN doc_id % 3 = 1 THEN concat({kana.format(f'substring(line, 1, {half})')},"
         f" substring(line, {half} + 1)) ELSE line END AS text",
     )
+
+
+def blocks(spark, sf_dir) -> DataFrame:
+    """The raster as tile blocks; the last tile of a page may end inside a row."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
+                code = np.frombuffer((html or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                letter = code >= 97
+                planes = np.stack([
+                    np.where(letter, 240 + code % 16, code * 37 % 256), np.where(letter, 255, code * 53 % 256),
+                    np.where(letter, 250, code * 71 % 256), np.where(code % 4 == 0, code * 29 % 256, 0),
+                ], axis=1).astype(np.uint8)
+                for ty in range(-(-len(code) // 4096)):
+                    part = planes[ty * 4096 : (ty + 1) * 4096]
+                    h = -(-len(part) // 64)
+                    body = np.zeros((h * 64, 4), np.uint8)
+                    body[: len(part)] = part
+                    rows.append({"doc_id": page // 10, "page_idx": page % 10, "ty": ty, "tx": 0, "h": h, "w": 64, "n": len(part), "px": body.tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "html").repartition("page_id")
+    return pages.mapInArrow(run, BLOCK)
+
+
+def pixel_lines(df: DataFrame, channels: str = "rgb") -> DataFrame:
+    """Blocks as one text per row of pixels, all values of the channels, for comparison."""
+    at = ["rgbm".index(c) for c in channels]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                tile = np.frombuffer(r["px"], np.uint8).reshape(r["h"], r["w"], 4)[:, :, at]
+                for y in range(r["h"]):
+                    shown = tile[y, : max(0, min(r["w"], r["n"] - y * r["w"]))]
+                    rows.append({"doc_id": r["doc_id"], "page_idx": r["page_idx"], "y": r["ty"] * 64 + y, "line": " ".join(",".join(map(str, v)) for v in shown.tolist())})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return df.mapInArrow(run, "doc_id bigint, page_idx bigint, y bigint, line string")
+
+
+def painted_rows(blocks_of: DataFrame) -> DataFrame:
+    """Stand-in for a model's output: one value per row of pixels, -1 to 1."""
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                y = r["ty"] * 64 + np.arange(r["h"])
+                value = np.repeat((y % 5 - 2) / 2.0, r["w"] * 3)
+                rows.append({**{k: r[k] for k in ("doc_id", "page_idx", "ty", "tx")}, "out": value.astype(np.float64).tobytes()})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return blocks_of.mapInArrow(run, "doc_id bigint, page_idx bigint, ty bigint, tx bigint, out binary")

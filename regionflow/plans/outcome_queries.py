@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from regionflow.functions import parse as P
 from regionflow.functions import quality as Q
-from regionflow.functions import text as T
 from regionflow.operators import assemble, batching, infer, mapping
 from regionflow.plans import fixtures as X
 from regionflow.plans.reference_sql import sql

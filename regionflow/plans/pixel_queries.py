@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from regionflow.operators import assemble
+from regionflow.operators import blocks as B
 from regionflow.operators import components as K
 from regionflow.operators import pixels as P
 from regionflow.plans import fixtures as X
@@ -17,35 +18,32 @@ KEYS = "doc_id, page_idx, region_id"
 LIGHT = "r * 299 + g * 587 + b * 114"
 
 
+def facts(spark, sf):
+    return B.judged(B.region_facts(X.blocks(spark, sf), X.px_regions(spark, sf)))
+
+
 @query("edge_white", sql(f"""SELECT {KEYS}, coalesce(w, false) AS edges_white FROM px_regions LEFT JOIN (
     SELECT {KEYS}, min(least(r, g, b)) >= 240 AS w FROM inside WHERE edge > 0 GROUP BY ALL) USING ({KEYS})""", "inside", "px_regions"))
 def edge_white(spark, sf):
-    return P.edges_white(X.px(spark, sf), X.px_regions(spark, sf)).select(*REGION, "edges_white")
+    return facts(spark, sf).select(*REGION, "edges_white")
 
 
 @query("background_white", sql(f"""SELECT {KEYS}, coalesce(w, true) AS background_white FROM px_regions LEFT JOIN (
     SELECT {KEYS}, min(least(r, g, b)) >= 240 AS w FROM inside WHERE m <= 5 GROUP BY ALL) USING ({KEYS})""", "inside", "px_regions"))
 def background_white(spark, sf):
-    return P.background_white(X.px(spark, sf), X.px_regions(spark, sf), X.mask_px(spark, sf)).select(
-        *REGION, "background_white"
-    )
+    return facts(spark, sf).select(*REGION, "background_white")
 
 
 @query("needing_inpaint", sql(f"""SELECT {KEYS} FROM inside GROUP BY ALL HAVING min(least(r, g, b)) < 240""", "inside"))
 def needing_inpaint(spark, sf):
-    return P.needing_inpaint(X.px(spark, sf), X.px_regions(spark, sf)).select(*REGION)
+    return facts(spark, sf).filter("NOT all_white").select(*REGION)
 
 
 @query("text_color", sql(f"""SELECT {KEYS}, coalesce(e.w, false) AS by_edge, coalesce(m.w, false) AS by_mask FROM px_regions
     LEFT JOIN (SELECT {KEYS}, sum(edge * ({LIGHT})) < 128000 * sum(edge) AS w FROM inside GROUP BY ALL) e USING ({KEYS})
     LEFT JOIN (SELECT {KEYS}, sum({LIGHT}) < 128000 * count(*) AS w FROM inside WHERE m <= 5 GROUP BY ALL) m USING ({KEYS})""", "inside", "px_regions"))
 def text_color(spark, sf):
-    px, regions = X.px(spark, sf), X.px_regions(spark, sf)
-    edge = P.dark_background(px, regions).select(*REGION, F.col("white_text").alias("by_edge"))
-    mask = P.dark_background(px, regions, X.mask_px(spark, sf)).select(
-        *REGION, F.col("white_text").alias("by_mask")
-    )
-    return edge.join(mask, REGION)
+    return facts(spark, sf).select(*REGION, F.col("white_by_edge").alias("by_edge"), F.col("white_by_mask").alias("by_mask"))
 
 
 MEDIAN = ", ".join(f"CAST(floor(quantile_cont({c}, 0.5)) AS BIGINT) AS fill_{c}" for c in "rgb")
@@ -54,16 +52,15 @@ MEDIAN = ", ".join(f"CAST(floor(quantile_cont({c}, 0.5)) AS BIGINT) AS fill_{c}"
 @query("fill_color", sql(f"""SELECT {KEYS}, fill_r, fill_g, fill_b FROM px_regions LEFT JOIN (
     SELECT {KEYS}, {MEDIAN} FROM inside WHERE edge > 0 AND x2 - x1 > 2 AND y2 - y1 > 2 GROUP BY ALL) USING ({KEYS})""", "inside", "px_regions"))
 def fill_color(spark, sf):
-    return P.edge_colour(X.px(spark, sf), X.px_regions(spark, sf)).select(
-        *REGION, "fill_r", "fill_g", "fill_b"
-    )
+    return facts(spark, sf).select(*REGION, *[F.get("edge_colour", F.lit(k)).alias(f"fill_{c}") for k, c in enumerate("rgb")])
 
 
 @query("mask_fill_color", sql(f"""SELECT {KEYS}, coalesce(fill_r, 255) AS fill_r, coalesce(fill_g, 255) AS fill_g, coalesce(fill_b, 255) AS fill_b
     FROM px_regions LEFT JOIN (SELECT {KEYS}, {MEDIAN} FROM inside WHERE m <= 5 GROUP BY ALL) USING ({KEYS})""", "inside", "px_regions"))
 def mask_fill_color(spark, sf):
-    return P.background_colour(X.px(spark, sf), X.px_regions(spark, sf), X.mask_px(spark, sf)).select(
-        *REGION, "fill_r", "fill_g", "fill_b"
+    white = F.lit(255).cast("bigint")
+    return facts(spark, sf).select(
+        *REGION, *[F.coalesce(F.get("back_colour", F.lit(k)), white).alias(f"fill_{c}") for k, c in enumerate("rgb")]
     )
 
 
@@ -74,20 +71,26 @@ DILATE = f"""SELECT DISTINCT {KEYS}, y + dy AS y, x + dx AS x FROM inside, (SELE
 
 @query("dilate_mask", sql(DILATE, "inside"))
 def dilate_mask(spark, sf):
-    return P.dilate_text(X.mask_px(spark, sf), X.px_regions(spark, sf))
+    grown = B.grown_text(X.blocks(spark, sf), X.px_regions(spark, sf))
+    # One row per covered pixel, for comparison.
+    spots = grown.select(*REGION, "x1", "y1", "x2", F.posexplode(F.regexp_extract_all(F.hex("cover"), F.lit("..(?s)"), F.lit(0))).alias("at", "covered"))
+    w = F.col("x2") - F.col("x1")
+    return spots.filter("covered = '01'").select(
+        *REGION, (F.col("y1") + F.floor(F.col("at") / w)).alias("y"), (F.col("x1") + F.col("at") % w).alias("x")
+    )
 
 
 @query("mask_coverage", sql(f"""SELECT {KEYS}, {", ".join(f"round(count(*) FILTER (m > {v}) / greatest(1, count(*))::DOUBLE * 100, 9) AS over_{v}" for v in (5, 10, 30, 127))},
     max(m) AS max_m FROM inside GROUP BY ALL""", "inside"))
 def mask_coverage(spark, sf):
-    shares = P.mask_coverage(X.mask_px(spark, sf), X.px_regions(spark, sf))
-    return shares.withColumns({c: F.round(c, 9) for c in ("over_5", "over_10", "over_30", "over_127")})
+    shares = [F.round(F.get("above", F.lit(k)) / F.col("n") * 100, 9).alias(f"over_{v}") for k, v in enumerate((5, 10, 30, 127))]
+    return facts(spark, sf).filter("n > 0").select(*REGION, *shares, "max_m")
 
 
 @query("strong_mask", sql(f"""SELECT {KEYS}, coalesce(t, false) AS has_text FROM px_regions LEFT JOIN (
     SELECT {KEYS}, max(m) > 127 AS t FROM inside GROUP BY ALL) USING ({KEYS})""", "inside", "px_regions"))
 def strong_mask(spark, sf):
-    return P.strong_mask(X.mask_px(spark, sf), X.px_regions(spark, sf)).select(*REGION, "has_text")
+    return facts(spark, sf).select(*REGION, "has_text")
 
 
 CHARS = [
@@ -102,7 +105,7 @@ CHARS = [
 def mask_source(spark, sf):
     regions = X.px_regions(spark, sf)
     chars = regions.selectExpr(*REGION, *CHARS)
-    return P.mask_source(regions, chars, X.mask_px(spark, sf)).select(*REGION, "source")
+    return P.mask_source(regions, chars, facts(spark, sf)).select(*REGION, "source")
 
 
 @query("char_mask", sql(f"""SELECT {KEYS}, unnest(range(greatest(y1, y1 + 1), least(y2, y1 + 3))) AS y, x, 255::BIGINT AS m FROM (
@@ -112,86 +115,78 @@ def char_mask(spark, sf):
     return P.char_mask(regions.selectExpr(*REGION, *CHARS), regions)
 
 
-@query("crop_pixels", sql(f"""SELECT {KEYS}, y - y1 AS cy, x - x1 AS cx, r, g, b FROM (SELECT p.region_id, p.x1, p.y1, q.* FROM px_regions p
-    JOIN raster q USING (doc_id, page_idx) WHERE x >= p.x1 AND x < p.x2 AND y >= p.y1 AND y < p.y2)""", "px_regions", "raster"))
+@query("crop_pixels", sql(f"""SELECT {KEYS}, string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x) AS rgb,
+    string_agg(printf('%02X', m), '' ORDER BY y, x) AS mask FROM inside GROUP BY ALL""", "inside"))
 def crop_pixels(spark, sf):
-    return P.crop_pixels(X.px(spark, sf), X.px_regions(spark, sf))
+    crops = B.region_crops(X.blocks(spark, sf), X.px_regions(spark, sf)).filter("width > 0")
+    return crops.select(*REGION, F.hex("rgb").alias("rgb"), F.hex("mask").alias("mask"))
 
 
 @query("region_pictures", sql(f"""SELECT {KEYS}, to_base64(from_hex(string_agg(printf('%02X%02X%02X', r, g, b), '' ORDER BY y, x))) AS image_base64,
-    count(DISTINCT x) AS width, count(DISTINCT y) AS height FROM (SELECT p.region_id, q.* FROM px_regions p
-    JOIN raster q USING (doc_id, page_idx) WHERE x >= p.x1 AND x < p.x2 AND y >= p.y1 AND y < p.y2) GROUP BY ALL""", "px_regions", "raster"))
+    count(DISTINCT x) AS width, count(DISTINCT y) AS height FROM inside GROUP BY ALL""", "inside"))
 def region_pictures(spark, sf):
-    return assemble.region_pictures(P.crop_pixels(X.px(spark, sf), X.px_regions(spark, sf)))
+    crops = B.region_crops(X.blocks(spark, sf), X.px_regions(spark, sf)).filter("width > 0")
+    return crops.select(*REGION, assemble.one_line_base64(F.col("rgb")).alias("image_base64"), "width", "height")
 
 
-@query("apply_fills", sql("""SELECT doc_id, page_idx, count(*) AS n, CAST(sum(coalesce(f, r) * (y * 64 + x + 1)) AS BIGINT) AS check_r,
-    count(f) AS painted FROM raster LEFT JOIN (SELECT doc_id, page_idx, y, x, max_by(region_id % 251, region_id) AS f
+@query("apply_fills", sql("""SELECT doc_id, page_idx, y, string_agg(CAST(coalesce(f * CASE 'r' WHEN 'r' THEN 1 WHEN 'g' THEN 2 ELSE 3 END % 256, r) AS BIGINT) || ',' || CAST(coalesce(f * CASE 'g' WHEN 'r' THEN 1 WHEN 'g' THEN 2 ELSE 3 END % 256, g) AS BIGINT) || ',' || CAST(coalesce(f * CASE 'b' WHEN 'r' THEN 1 WHEN 'g' THEN 2 ELSE 3 END % 256, b) AS BIGINT), ' ' ORDER BY x) AS line FROM raster LEFT JOIN (SELECT doc_id, page_idx, y, x, max_by(region_id % 251, region_id) AS f
     FROM inside WHERE region_id % 2 = 0 OR m > 5 GROUP BY ALL) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))
 def apply_fills(spark, sf):
-    colour = {f"fill_{c}": F.col("region_id") % 251 for c in "rgb"}
+    colour = {f"fill_{c}": F.col("region_id") % 251 * k % 256 for k, c in enumerate("rgb", 1)}
     fills = P.clip_to_page(X.px_regions(spark, sf)).withColumns({
         "fill_ord": F.col("region_id"), "masked": F.col("region_id") % 2 == 1, **colour,
     })
-    mask = X.mask_px(spark, sf)
-    cover = P.under(mask, fills.filter("masked"), F.col("m") > 5).select(*REGION, "y", "x")
-    px = X.px(spark, sf)
-    done = P.apply_fills(px, fills, cover)
-    spots = P.under(px.select("doc_id", "page_idx", "y", "x"), fills.filter("NOT masked")).select(
-        "doc_id", "page_idx", "y", "x"
-    ).union(cover.select("doc_id", "page_idx", "y", "x")).distinct()
-    painted = spots.groupBy("doc_id", "page_idx").agg(F.count(F.lit(1)).alias("painted"))
-    return (
-        done.groupBy("doc_id", "page_idx")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("r") * (F.col("y") * 64 + F.col("x") + 1)).alias("check_r"))
-        .join(painted, ["doc_id", "page_idx"], "left").fillna(0, ["painted"])
-    )
+    return X.pixel_lines(B.paint(X.blocks(spark, sf), fills))
 
 
-@query("white_fill", sql("""SELECT doc_id, page_idx, CAST(sum(CASE WHEN h IS NULL THEN r + g + b ELSE 765 END) AS BIGINT) AS total FROM raster LEFT JOIN (
-    SELECT DISTINCT doc_id, page_idx, y, x, 1 AS h FROM inside) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))
+@query("white_fill", sql("""SELECT doc_id, page_idx, y, string_agg(CAST(CASE WHEN hit IS NULL THEN r ELSE 255 END AS BIGINT) || ',' || CAST(CASE WHEN hit IS NULL THEN g ELSE 255 END AS BIGINT) || ',' || CAST(CASE WHEN hit IS NULL THEN b ELSE 255 END AS BIGINT), ' ' ORDER BY x) AS line FROM raster LEFT JOIN (
+    SELECT DISTINCT doc_id, page_idx, y, x, 1 AS hit FROM inside) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))
 def white_fill(spark, sf):
-    done = P.white_fill(X.px(spark, sf), X.px_regions(spark, sf))
-    return done.groupBy("doc_id", "page_idx").agg(F.sum(F.col("r") + F.col("g") + F.col("b")).alias("total"))
+    return X.pixel_lines(B.whitened(X.blocks(spark, sf), X.px_regions(spark, sf)))
 
 
-@query("restore_pixels", sql("""SELECT doc_id, page_idx, CAST(sum(CASE WHEN h IS NULL THEN 255 - r ELSE r END) AS BIGINT) AS total FROM raster LEFT JOIN (
-    SELECT DISTINCT doc_id, page_idx, y, x, 1 AS h FROM inside WHERE region_id % 3 = 0) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))
+@query("restore_pixels", sql("""SELECT doc_id, page_idx, y, string_agg(CAST(CASE WHEN hit IS NULL THEN CASE WHEN m / 256.0::DOUBLE > 0.1 THEN 0 ELSE r END ELSE r END AS BIGINT) || ',' || CAST(CASE WHEN hit IS NULL THEN CASE WHEN m / 256.0::DOUBLE > 0.1 THEN 0 ELSE g END ELSE g END AS BIGINT) || ',' || CAST(CASE WHEN hit IS NULL THEN CASE WHEN m / 256.0::DOUBLE > 0.1 THEN 0 ELSE b END ELSE b END AS BIGINT), ' ' ORDER BY x) AS line FROM raster LEFT JOIN (
+    SELECT DISTINCT doc_id, page_idx, y, x, 1 AS hit FROM inside WHERE region_id % 3 = 0) USING (doc_id, page_idx, y, x) GROUP BY ALL""", "inside", "raster"))
 def restore_pixels(spark, sf):
-    px = X.px(spark, sf)
-    inverted = px.withColumns({c: 255 - F.col(c) for c in "rgb"})
-    done = P.restore_pixels(inverted, px, X.px_regions(spark, sf).filter("region_id % 3 = 0"))
-    return done.groupBy("doc_id", "page_idx").agg(F.sum("r").alias("total"))
+    original = X.blocks(spark, sf)
+    changed = B.blanked(original, 0.1)
+    return X.pixel_lines(B.restored(changed, original, X.px_regions(spark, sf).filter("region_id % 3 = 0")))
 
 
-@query("composite", sql("""SELECT doc_id, page_idx, CAST(sum(CAST(floor(r * (1 - mk) + least(255, greatest(0, (o + 1) * 127.5::DOUBLE)) * mk) AS BIGINT)) AS BIGINT) AS total_r
-    FROM (SELECT *, m / 256.0::DOUBLE AS mk, (y % 5 - 2) / 2.0::DOUBLE AS o FROM raster) GROUP BY ALL""", "raster"))
+@query("composite", sql("""SELECT doc_id, page_idx, y, string_agg(CAST(floor(r * (1 - m / 256.0::DOUBLE) + least(255, greatest(0, ((y % 5 - 2) / 2.0::DOUBLE + 1) * 127.5::DOUBLE)) * (m / 256.0::DOUBLE)) AS BIGINT) || ',' || CAST(floor(g * (1 - m / 256.0::DOUBLE) + least(255, greatest(0, ((y % 5 - 2) / 2.0::DOUBLE + 1) * 127.5::DOUBLE)) * (m / 256.0::DOUBLE)) AS BIGINT) || ',' || CAST(floor(b * (1 - m / 256.0::DOUBLE) + least(255, greatest(0, ((y % 5 - 2) / 2.0::DOUBLE + 1) * 127.5::DOUBLE)) * (m / 256.0::DOUBLE)) AS BIGINT), ' ' ORDER BY x) AS line FROM raster GROUP BY ALL""", "inside", "raster"))
 def composite(spark, sf):
-    at = ["doc_id", "page_idx", "y", "x"]
-    mask = X.mask_px(spark, sf).select(*at, (F.col("m") / 256.0).alias("mask"))
-    painted = X.mask_px(spark, sf).select(
-        *at, *[((F.col("y") % 5 - 2) / 2.0).alias(f"out_{c}") for c in "rgb"]
-    )
-    done = P.composite(X.px(spark, sf), mask, painted)
-    return done.groupBy("doc_id", "page_idx").agg(F.sum("r").alias("total_r"))
+    blocks = X.blocks(spark, sf)
+    return X.pixel_lines(B.composited(blocks, X.painted_rows(blocks)))
 
 
-@query("blank_under_mask", sql("""SELECT doc_id, page_idx, CAST(sum(CASE WHEN m / 256.0::DOUBLE > 0.5 THEN 0 ELSE r + g + b END) AS BIGINT) AS total
-    FROM raster GROUP BY ALL""", "raster"))
+@query("blank_under_mask", sql("""SELECT doc_id, page_idx, y, string_agg(CAST(CASE WHEN m / 256.0::DOUBLE > 0.5 THEN 0 ELSE r END AS BIGINT) || ',' || CAST(CASE WHEN m / 256.0::DOUBLE > 0.5 THEN 0 ELSE g END AS BIGINT) || ',' || CAST(CASE WHEN m / 256.0::DOUBLE > 0.5 THEN 0 ELSE b END AS BIGINT), ' ' ORDER BY x) AS line FROM raster GROUP BY ALL""", "inside", "raster"))
 def blank_under_mask(spark, sf):
-    both = X.raster(spark, sf).withColumn("mask", F.col("m") / 256.0)
-    return P.blank_under_mask(both).groupBy("doc_id", "page_idx").agg(
-        F.sum(F.col("r") + F.col("g") + F.col("b")).alias("total")
-    )
+    return X.pixel_lines(B.blanked(X.blocks(spark, sf)))
 
 
-@query("normalise_mask", sql("""SELECT doc_id, page_idx, CAST(sum(CASE WHEN page_idx % 2 = 0 THEN CAST(trunc(m / 256.0::DOUBLE * 255) AS BIGINT)
-    ELSE least(255, m * 2) END) AS BIGINT) AS total FROM raster GROUP BY ALL""", "raster"))
+@query("normalise_mask", sql("""SELECT doc_id, page_idx, y, string_agg(CASE WHEN page_idx % 2 = 0 THEN CAST(trunc(m / 256.0::DOUBLE * 255) AS BIGINT)
+    ELSE least(255, m * 2) END, ',' ORDER BY x) AS line FROM raster GROUP BY ALL""", "raster"))
 def normalise_mask(spark, sf):
     model = X.mask_px(spark, sf).withColumn(
         "m", F.when(F.col("page_idx") % 2 == 0, F.col("m") / 256.0).otherwise(F.col("m") * 2.0)
     )
-    return P.normalise_mask(model).groupBy("doc_id", "page_idx").agg(F.sum("m").alias("total"))
+    values = F.array_sort(F.collect_list(F.struct("x", "m")))
+    rows = P.normalise_mask(model).groupBy("doc_id", "page_idx", "y").agg(values.alias("v"))
+    return rows.select("doc_id", "page_idx", "y", F.array_join(F.transform("v", lambda p: p["m"].cast("string")), ",").alias("line"))
+
+
+# White where the edges are white, else the median colour outside the text over the grown text;
+# where regions meet, the one with the larger number stays.
+@query("clear_text", sql(f"""SELECT doc_id, page_idx, y, string_agg(coalesce(fr, r) || ',' || coalesce(fg, g) || ',' || coalesce(fb, b), ' ' ORDER BY x) AS line
+    FROM raster LEFT JOIN (SELECT doc_id, page_idx, y, x, f.fr AS fr, f.fg AS fg, f.fb AS fb FROM (SELECT doc_id, page_idx, y, x, max_by(struct_pack(fr := CASE WHEN w THEN 255 ELSE coalesce(fill_r, 255) END,
+    fg := CASE WHEN w THEN 255 ELSE coalesce(fill_g, 255) END, fb := CASE WHEN w THEN 255 ELSE coalesce(fill_b, 255) END), region_id) AS f FROM (
+    SELECT {KEYS}, y, x FROM inside JOIN (SELECT {KEYS}, min(least(r, g, b)) FILTER (edge > 0) >= 240 AS w FROM inside GROUP BY ALL) USING ({KEYS}) WHERE w
+    UNION ALL SELECT {KEYS}, y, x FROM ({DILATE}) JOIN (SELECT {KEYS}, min(least(r, g, b)) FILTER (edge > 0) >= 240 AS w FROM inside GROUP BY ALL) USING ({KEYS}) WHERE NOT w)
+    JOIN (SELECT {KEYS}, min(least(r, g, b)) FILTER (edge > 0) >= 240 AS w FROM inside GROUP BY ALL) USING ({KEYS})
+    LEFT JOIN (SELECT {KEYS}, {MEDIAN} FROM inside WHERE m <= 5 GROUP BY ALL) USING ({KEYS}) GROUP BY doc_id, page_idx, y, x))
+    USING (doc_id, page_idx, y, x) GROUP BY doc_id, page_idx, y""", "inside", "raster"))
+def clear_text(spark, sf):
+    return X.pixel_lines(B.clear_text(X.blocks(spark, sf), X.px_regions(spark, sf)))
 
 
 GRID_CELLS = [

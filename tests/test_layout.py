@@ -3,8 +3,6 @@
 import random
 from collections import defaultdict
 
-from pyspark.sql import functions as F
-
 from regionflow.operators import layout
 
 
