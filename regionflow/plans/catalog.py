@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from regionflow.plans import (  # noqa: F401
+    chain_queries,
     mapping_queries,
     outcome_queries,
     pixel_queries,

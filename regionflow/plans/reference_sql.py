@@ -122,6 +122,8 @@ _NEEDS = {
     "collected": ["texts"], "ratio": ["collected"], "merged": ["ratio", "regions"],
     "ordered_jobs": ["jobs"], "stubbed": ["ordered_jobs"], "blocks": ["turns"], "cut": ["infos"],
     "clipped": ["px_regions"], "inside": ["clipped", "raster"],
+    "line_texts": ["mapped"], "line_collected": ["line_texts"], "line_ratio": ["line_collected"],
+    "line_merged": ["line_ratio", "regions"],
 }
 
 

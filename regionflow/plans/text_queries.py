@@ -277,7 +277,7 @@ def translate_routes(spark, sf):
     FROM merged WHERE level = 1 GROUP BY ALL""", "merged"))
 def text_only_output(spark, sf):
     nested = assemble.nest_pages(_text_rows(spark, sf))
-    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), _flat(nested).alias("body"))
+    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), flat_regions(nested).alias("body"))
 
 
 def _text_rows(spark, sf):
@@ -288,7 +288,7 @@ def _text_rows(spark, sf):
     return assemble.text_only_regions(assemble.with_translations(regions, answers))
 
 
-def _flat(nested):
+def flat_regions(nested):
     """Regions of a page as lines of text, for comparison."""
     fields = nested.schema["regions"].dataType.elementType.names
 
@@ -318,7 +318,7 @@ def _flat(nested):
 def text_only_legacy(spark, sf):
     free = assemble.text_free_regions(X.regions(spark, sf))
     nested = assemble.nest_pages(assemble.legacy_rows(_text_rows(spark, sf), free))
-    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), _flat(nested).alias("body"))
+    return nested.select("doc_id", "page_idx", F.size("regions").alias("regions"), flat_regions(nested).alias("body"))
 
 
 @query("run_stats", sql("""SELECT p.doc_id, pages, coalesce(bubbles_detected, 0) AS bubbles_detected, coalesce(text_free_regions, 0) AS text_free_regions,
