@@ -230,7 +230,15 @@ def clear_plan(spark, sf):
     return plan.groupBy(*REGION, "rule").agg(F.count(F.lit(1)).alias("boxes"))
 
 
-@query("mask_components")
+# Runs of strong pixels spread to the runs they touch above and below; the least one reached
+# names the area.
+@query("mask_components", sql("""SELECT doc_id, page_idx, x1, y1, x2, y2, pixels FROM (WITH RECURSIVE s AS (
+    SELECT doc_id, page_idx, y, min(x) AS a, max(x) AS b, ((doc_id * 16 + page_idx) * 65536 + y) * 64 + min(x) AS p FROM (
+    SELECT *, x - row_number() OVER (PARTITION BY doc_id, page_idx, y ORDER BY x) AS run FROM raster WHERE m > 100) GROUP BY doc_id, page_idx, y, run), d AS (
+    SELECT u.p AS p, v.p AS q FROM s u JOIN s v ON u.doc_id = v.doc_id AND u.page_idx = v.page_idx AND v.y = u.y + 1 AND v.a <= u.b AND v.b >= u.a), e AS (
+    SELECT p, q FROM d UNION ALL SELECT q, p FROM d), reach AS (SELECT p, p AS q FROM s UNION SELECT r.p, e.q FROM reach r JOIN e ON e.p = r.q)
+    SELECT doc_id, page_idx, min(a) AS x1, min(y) AS y1, max(b) + 1 AS x2, max(y) + 1 AS y2, CAST(sum(b - a + 1) AS BIGINT) AS pixels
+    FROM s JOIN (SELECT p, min(q) AS root FROM reach GROUP BY p) USING (p) GROUP BY doc_id, page_idx, root HAVING sum(b - a + 1) > 1)""", "raster"))
 def mask_components(spark, sf):
     strong = cut_lineage(X.mask_px(spark, sf).filter("m > 100"))
     return K.components(strong, level=100, min_size=1)

@@ -38,7 +38,7 @@ def test_query_equals_sql(spark, db, name):
 
 def test_registered_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"height_batches", "mask_components"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"height_batches"}
     there = importlib.util.find_spec("regionflow.llm") is not None
     assert ("op1_packing" in entry.queries()) == there
 
