@@ -244,44 +244,46 @@ def map_lines(
             F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"),
         ),
     ).drop("skipped", "by_cell", "__cell")
-    # The joined lines are read once per rule and once for the result.
-    direct = cut_lineage(direct)
-    settled = direct.filter("outcome IS NOT NULL").withColumns({
-        "cell_idx": F.when(F.col("outcome") == "matched_cell_idx", F.col("cell_idx")),
-        "rule": F.when(F.col("outcome") == "matched_cell_idx", 0),
-        "bbox": F.when(F.col("outcome") == "matched_cell_idx", _page_box(True)),
-    })
-    # A cell number nobody knows is dropped here and the position decides.
-    open_lines = direct.filter("outcome IS NULL").drop("cell_idx", *fields)
+    # A cell number nobody knows is dropped here and the position decides. Only what the
+    # position needs is stored; texts and the rest come back in the last join.
+    open_lines = cut_lineage(
+        direct.filter("outcome IS NULL").select(*dict.fromkeys([*key, "doc_id", "batch_idx", "x", "y", "width", "height"]))
+    )
     matches = spatial_matches(open_lines, cells, key, unknown_batches=unknown_batches)
-    placed = open_lines.join(matches, key, "left").withColumns({
-        "outcome": F.when(F.col("rule").isNotNull(), "matched_bbox").otherwise("unmatched"),
-        "bbox": F.when(F.col("rule").isNotNull(), _page_box(False)),
+    found = matches.select(*key, F.col("rule").alias("by_place"), F.struct("cell_idx", *fields).alias("m"))
+    by_cell = F.col("outcome") == "matched_cell_idx"
+    placed = F.col("by_place").isNotNull()
+    both = direct.join(found, key, "left").withColumns({
+        **{c: F.when(placed, F.col(f"m.{c}")).when(by_cell, F.col(c)) for c in ("cell_idx", *fields)},
+        "rule": F.when(by_cell, 0).otherwise(F.col("by_place")),
     })
+    mapped = both.withColumn(
+        "bbox", F.when(placed, _page_box(False)).when(by_cell, _page_box(True))
+    ).withColumn("outcome", F.coalesce("outcome", F.when(placed, "matched_bbox").otherwise("unmatched")))
     if "chars" in lines.columns:
-        settled = settled.withColumn("chars", F.lit(None).cast(lines.schema["chars"].dataType))
-        placed = placed.withColumn("chars", F.when(F.col("rule").isNotNull(), chars_to_page()))
         kind = "array<struct<char:string,bbox:array<int>>>"
-        settled, placed = (d.withColumn("chars", F.col("chars").cast(kind)) for d in (settled, placed))
-    return settled.unionByName(placed)
+        mapped = mapped.withColumn("chars", F.when(placed, chars_to_page().cast(kind)))
+    return mapped.drop("by_place", "m")
 
 
 def nearest_cells(
     points: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY,
-    tiles: Sequence[int] = (1 << 20, 1 << 14, 1 << 8),
+    tiles: Sequence[tuple[str, int]] = (("1", 1 << 20), ("1", 1 << 14), ("1", 1 << 8), ("2", 32), ("2", 4)),
 ) -> DataFrame:
     """Closest grid box (0 inside) to every point (cx, cy), over all batches.
 
-    Boxes are grouped into ever smaller tiles with the hull of what they hold.
+    Boxes are grouped into ever smaller tiles with the hull of what they hold, first by
+    their near corner (1), then by their far one (2), so that the last tiles hold boxes of
+    nearly one place and size, and few of them however many boxes a document has.
     From the largest tiles down, a point keeps only tiles whose hull comes nearer
     than the distance some other tile guarantees; single boxes are compared last.
     """
     key = list(line_key)
     boxes = _one_per_box(cells.select("doc_id", *CELL_FIELDS))
-    for level, size in enumerate(tiles):
+    for level, (corner, size) in enumerate(tiles):
         boxes = boxes.withColumn(
             f"t{level}",
-            F.struct(F.floor(F.col("gy1") / size).alias("ty"), F.floor(F.col("gx1") / size).alias("tx")),
+            F.struct(F.floor(F.col(f"gy{corner}") / size).alias("ty"), F.floor(F.col(f"gx{corner}") / size).alias("tx")),
         )
 
     def squared(x1, y1, x2, y2):
