@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from regionflow import constants as C
+from regionflow.operators.blocks import BLOCK
 from regionflow.operators.ordering import number_sorted
 
 # --- fixed values: names of debug pictures that are not input -----------------
@@ -32,47 +38,45 @@ def list_pictures(spark: SparkSession, folder: str, pattern: str = "*.{jpg,png}"
     )
 
 
-def load_pages(spark: SparkSession, folder: str, doc_id: int = 0) -> DataFrame:
-    """Pictures of one folder as pages, numbered in file order, decoded by Spark;
-    broken files are dropped."""
+def load_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Pictures as pages, decoded by Spark; broken files are dropped.
+
+    Every folder that holds pictures is a document (``doc_id``, by the folders' order), its
+    pictures are numbered by the digits in their names, then by path. Only names are sorted,
+    and a document's pages are few beside the corpus.
+    """
     pictures = (
-        spark.read.format("image").option("dropInvalid", True).load(folder)
+        spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
         .select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
     )
-    names = pictures.select("origin").withColumn(
-        "number",
-        F.coalesce(
-            F.regexp_replace(F.element_at(F.split("origin", "/"), -1), r"\D", "").try_cast("bigint"),
-            F.lit(0),
-        ),
-    )
-    order = number_sorted(names, [F.col("number"), F.col("origin")], "page_idx")
-    return pictures.join(order.select("origin", "page_idx"), "origin").withColumn(
-        "doc_id", F.lit(doc_id).cast("bigint")
-    )
-
-
-def pixels_of(pages: DataFrame) -> DataFrame:
-    """Pixel rows of decoded pages (bytes are blue, green, red)."""
-    spots = pages.select(
-        "doc_id", "page_idx", "width", "nChannels", "data",
-        F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"),
-    ).withColumn(
-        "row", F.substring("data", F.col("y") * F.col("width") * F.col("nChannels") + 1,
-                           F.col("width") * F.col("nChannels"))
-    ).select(
-        "doc_id", "page_idx", "y", "nChannels", "row",
-        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"),
-    )
-
-    def channel(offset: int):
-        at = F.col("x") * F.col("nChannels") + F.when(F.col("nChannels") >= 3, offset).otherwise(0) + 1
-        return F.conv(F.hex(F.substring("row", at, F.lit(1))), 16, 10).cast("int")
-
-    return spots.select(
-        "doc_id", "page_idx", F.col("y").cast("bigint").alias("y"), F.col("x").cast("bigint").alias("x"),
-        channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"),
+    name = F.element_at(F.split("origin", "/"), -1)
+    names = pictures.select(
+        "origin", F.regexp_replace("origin", r"/[^/]*\z", "").alias("folder"),
+        F.coalesce(F.regexp_replace(name, r"\D", "").try_cast("bigint"), F.lit(0)).alias("number"),
     )
+    docs = number_sorted(names.select("folder").distinct(), [F.col("folder")], "doc_id")
+    in_folder = Window.partitionBy("folder").orderBy("number", "origin")
+    order = names.withColumn("page_idx", (F.row_number().over(in_folder) - 1).cast("bigint")).join(docs.select("folder", "doc_id"), "folder")
+    return pictures.join(order.select("origin", "doc_id", "page_idx"), "origin")
+
+
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """Decoded pages (bytes are blue, green, red, or one grey) as tile blocks without a mask."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                raw = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                whole = np.zeros((r["height"], r["width"], 4), np.uint8)
+                whole[:, :, :3] = raw[:, :, 2::-1] if r["nChannels"] >= 3 else raw[:, :, :1]
+                rows = []
+                for ty in range(-(-r["height"] // C.TILE)):
+                    for tx in range(-(-r["width"] // C.TILE)):
+                        part = whole[ty * C.TILE : (ty + 1) * C.TILE, tx * C.TILE : (tx + 1) * C.TILE]
+                        h, w = part.shape[:2]
+                        rows.append({"doc_id": r["doc_id"], "page_idx": r["page_idx"], "ty": ty, "tx": tx, "h": h, "w": w, "n": h * w, "px": part.tobytes()})
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return pages.select("doc_id", "page_idx", "width", "height", "nChannels", "data").mapInArrow(run, BLOCK)
 
 
 def saved_results(spark: SparkSession, path: str) -> DataFrame:

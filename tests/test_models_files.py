@@ -70,11 +70,18 @@ def test_picture_files(spark, tmp_path):
     (tmp_path / "page_1.txt").write_text("no picture")
     got = [r.name for r in files.list_pictures(spark, str(tmp_path)).collect()]
     assert got == ["cover.png", "page_9.png", "page_10.png"]
+    other = tmp_path / "second"
+    other.mkdir()
+    (other / "page_1.png").write_bytes(png(70, 65, (4, 5, 6)))
     pages = files.load_pages(spark, str(tmp_path))
-    order = [r.origin.rsplit("/", 1)[1] for r in pages.orderBy("page_idx").collect()]
-    assert order == ["cover.png", "page_3_debug.png", "page_9.png", "page_10.png"]
-    px = files.pixels_of(pages).filter("page_idx = 3").collect()
-    assert len(px) == 6 and {(p.r, p.g, p.b) for p in px} == {(1, 2, 3)}
+    order = [(r.doc_id, r.page_idx, r.origin.rsplit("/", 1)[1]) for r in pages.orderBy("doc_id", "page_idx").collect()]
+    assert order == [(0, 0, "cover.png"), (0, 1, "page_3_debug.png"), (0, 2, "page_9.png"), (0, 3, "page_10.png"), (1, 0, "page_1.png")]
+    blocks = files.page_blocks(pages)
+    (small,) = blocks.filter("page_idx = 3").collect()
+    assert (small.h, small.w, small.n) == (2, 3, 6) and bytes(small.px) == bytes((1, 2, 3, 0)) * 6
+    tiles = {(r.ty, r.tx): (r.h, r.w, bytes(r.px)) for r in blocks.filter("doc_id = 1").collect()}
+    assert {k: v[:2] for k, v in tiles.items()} == {(0, 0): (64, 64), (0, 1): (64, 6), (1, 0): (1, 64), (1, 1): (1, 6)}
+    assert {v[2][:4] for v in tiles.values()} == {bytes((4, 5, 6, 0))}
 
 
 def test_saved_results_and_languages(spark, tmp_path):
