@@ -64,6 +64,15 @@ def stream_events(spark, sf):
     return regions.start_events(rows).select("doc_id", "kind", "event")
 
 
+@query("stream_plan", sql("""SELECT doc_id, global_idx, page_idx, bubble_idx, text, false AS is_end FROM (
+    SELECT doc_id, page_idx, bubble_idx, original_text AS text, row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, bubble_idx) - 1 AS global_idx
+    FROM merged WHERE level = 1) UNION ALL SELECT doc_id, count(*), -1, -1, '', true FROM merged WHERE level = 1 GROUP BY doc_id""", "merged"))
+def stream_plan(spark, sf):
+    from regionflow.plans.text_queries import merged
+
+    return regions.stream_plan(cut_lineage(merged(spark, sf))).select("doc_id", "global_idx", "page_idx", "bubble_idx", "text", "is_end")
+
+
 # Each prefix is judged anew here; the operator reads each reply once.
 @query("early_abort", sql("""SELECT reply_id, chunk_no, reason FROM (SELECT *, coalesce(
     'index_overflow:' || list_filter(seen, lambda i: i >= expected)[1] || '_vs_' || expected,

@@ -3,7 +3,7 @@
 Stage 1 cuts a document's regions, which may arrive in any order, into
 translation batches and emits a batch as soon as it is complete.  Stage 2
 translates batches and writes results.  Stage 3 releases results in region
-order.  Stages meet in shared Parquet folders, so each restarts on its own from
+order.  Before them an OCR stage may read the regions' texts, nine at a time.  Stages meet in shared Parquet folders, so each restarts on its own from
 its checkpoint.  There is no event time: state goes when a document is complete
 or its stall timer fires.
 """
@@ -16,12 +16,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from regionflow import constants as C
 from regionflow.functions.text import event_text
 from regionflow.operators.batching import zip_texts
-from regionflow.session import cut_lineage, stream_settings
+from regionflow.operators.ordering import radix_levels, with_position
+from regionflow.session import cut_lineage, stream_settings, temporary_tables
 
 REGION_INPUT = (
     "doc_id bigint, global_idx bigint, page_idx bigint, bubble_idx bigint, text string, "
@@ -240,47 +241,102 @@ def translate_batched(
     return results.unionByName(passed_on)
 
 
-def run_region_stream(
+def stream_plan(regions: DataFrame) -> DataFrame:
+    """First-level regions as stream input: their lines run together, numbered per document
+    by page and region, and an end marker per document.
+
+    ``regions``: doc_id, page_idx, level, bubble_idx, original_text.
+    """
+    first = regions.filter("level = 1").select("doc_id", "page_idx", "bubble_idx", F.col("original_text").alias("text"))
+    numbered = with_position(
+        first, ["doc_id"], radix_levels("page_idx", "__p", 1), [F.col("page_idx"), F.col("bubble_idx")], "global_idx"
+    )
+    names = [part.split()[0] for part in REGION_INPUT.split(",")]
+    rows = numbered.withColumns({"ocr_error": F.lit(False), "is_end": F.lit(False)}).select(*names)
+    none = F.lit(-1).cast("bigint")
+    ends = numbered.groupBy("doc_id").agg((F.max("global_idx") + 1).alias("global_idx")).withColumns({
+        "page_idx": none, "bubble_idx": none, "text": F.lit(""), "ocr_error": F.lit(False), "is_end": F.lit(True),
+    })
+    return rows.unionByName(ends)
+
+
+def read_crops(frame: DataFrame, ocr: Callable[[DataFrame], DataFrame], size: int = C.STREAM_REGION_BATCH) -> DataFrame:
+    """The OCR stage: ``ocr`` gets region rows with their ``ocr_batch`` (so many regions of one
+    document in order) and gives them back with ``text`` and ``ocr_error``; end markers pass."""
+    regions = frame.filter("NOT is_end").withColumn("ocr_batch", F.floor(F.col("global_idx") / size))
+    names = [part.split()[0] for part in REGION_INPUT.split(",")]
+    return ocr(regions).select(*names).unionByName(frame.filter("is_end").select(*names))
+
+
+def start_region_stream(
     spark: SparkSession,
     source: str,
     work: str,
     translate: Callable[[DataFrame], DataFrame],
     size: int = C.STREAM_TEXT_BATCH,
     files_per_trigger: int | None = None,
-    stall_ms: int | None = None,
+    stall_ms: int | None = STALL_MS,
     state_partitions: int = 8,
-) -> DataFrame:
-    """Run all stages over what is in ``source`` (Parquet, ``REGION_INPUT``) and
-    return the released rows.  Folders under ``work`` make each stage restartable.
-
-    A finite source has no stalls to wait for, so timers are off by default; a
-    live query passes ``stall_ms`` to :func:`batch_regions`.
+    ocr: Callable[[DataFrame], DataFrame] | None = None,
+    finite: bool = False,
+    every: str = "1 second",
+) -> list[StreamingQuery]:
+    """Start all stages over what comes to ``source`` (Parquet, ``REGION_INPUT``).
+
+    The stages run side by side, so rows are released while regions still arrive; folders
+    under ``work`` make each stage restartable. A ``finite`` run goes through the stages one
+    after the other to the end of the input, and then they are over.
     """
+    trigger = {"availableNow": True} if finite else {"processingTime": every}
+
     def read(path: str, schema: str) -> DataFrame:
         reader = spark.readStream.schema(schema)
         if files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         return reader.parquet(path)
 
-    def write(frame: DataFrame, epoch: int) -> None:
-        # One folder per epoch: a repeated epoch replaces its own output only.
-        translate_batched(frame, translate).write.mode("overwrite").parquet(
-            f"{work}/results/epoch={epoch}"
-        )
+    def stage(name: str, schema: str, change: Callable[[DataFrame], DataFrame], rows: DataFrame) -> StreamingQuery:
+        # A folder that is watched must hold something.
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{work}/{name}/epoch=-1")
+
+        def write(frame: DataFrame, epoch: int) -> None:
+            # One folder per epoch: a repeated epoch replaces its own output only.
+            with temporary_tables(frame.sparkSession):
+                change(frame).write.mode("overwrite").parquet(f"{work}/{name}/epoch={epoch}")
+
+        started = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/check-{name}").trigger(**trigger).start()
+        if finite:
+            started.awaitTermination()
+        return started
 
+    queries = []
     with stream_settings(spark, state_partitions):
-        batched = batch_regions(read(source, REGION_INPUT), size, stall_ms)
-        (
-            batched.writeStream.foreachBatch(write)
-            .option("checkpointLocation", f"{work}/check-batches")
-            .trigger(availableNow=True).start().awaitTermination()
-        )
-        (
+        regions = source
+        if ocr:
+            queries.append(stage("regions", REGION_INPUT, lambda frame: read_crops(frame, ocr), read(source, REGION_INPUT)))
+            regions = f"{work}/regions/*"
+        batched = batch_regions(read(regions, REGION_INPUT), size, stall_ms)
+        queries.append(stage("results", RESULT, lambda frame: translate_batched(frame, translate), batched))
+        released = (
             release_in_order(read(f"{work}/results/*", RESULT))
             .writeStream.format("parquet").option("path", f"{work}/released")
-            .option("checkpointLocation", f"{work}/check-released")
-            .trigger(availableNow=True).start().awaitTermination()
+            .option("checkpointLocation", f"{work}/check-released").trigger(**trigger).start()
         )
+        if finite:
+            released.awaitTermination()
+        queries.append(released)
+    return queries
+
+
+def run_region_stream(
+    spark: SparkSession, source: str, work: str, translate: Callable[[DataFrame], DataFrame],
+    stall_ms: int | None = None, **options,
+) -> DataFrame:
+    """Run all stages over what is in ``source`` and return the released rows.
+
+    A finite source has no stalls to wait for, so timers are off.
+    """
+    start_region_stream(spark, source, work, translate, stall_ms=stall_ms, finite=True, **options)
     return spark.read.schema(RELEASED).parquet(f"{work}/released")
 
 

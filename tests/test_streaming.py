@@ -1,4 +1,5 @@
 import random
+import time
 import uuid
 
 from pyspark.sql import functions as F
@@ -81,6 +82,39 @@ def test_stream_matches_plain_order(spark):
     ]
 
 
+def test_live_stages_release_while_regions_arrive(spark):
+    def ocr(rows):
+        assert "ocr_batch" in rows.columns
+        return rows.withColumn("text", F.concat(F.lit("read "), F.col("ocr_batch").cast("string")))
+
+    src, work = shared_dir(spark, "live"), shared_dir(spark, "live-work")
+
+    def arrive(rows):
+        spark.createDataFrame(rows, regions.REGION_INPUT).coalesce(1).write.mode("append").parquet(src)
+
+    def released(n):
+        for _ in range(60):
+            try:
+                got = spark.read.schema(regions.RELEASED).parquet(f"{work}/released").collect()
+            except Exception:
+                got = []
+            if len(got) >= n:
+                break
+            time.sleep(1)
+        return sorted((r.kind, r.global_idx, r.translated_text) for r in got)
+
+    arrive([(1, k, 0, k, "", False, False) for k in range(4)])
+    running = regions.start_region_stream(spark, src, work, upper, size=2, stall_ms=None, state_partitions=2, ocr=ocr)
+    try:
+        first = released(4)
+        assert first == [("result", k, "T:read 0") for k in range(4)]
+        arrive([(1, k, 0, k, "", False, False) for k in range(4, 10)] + [(1, 10, -1, -1, "", False, True)])
+        assert released(11) == sorted([("complete", 10, "")] + [("result", k, f"T:read {k // 9}") for k in range(10)])
+    finally:
+        for query in running:
+            query.stop()
+
+
 def test_a_batch_is_asked_once(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
@@ -131,9 +165,11 @@ def test_chunk_watcher_equals_batch_form(spark):
         (k, i, t[i * piece:(i + 1) * piece], n, (i + 1) * piece >= len(t))
         for k, (t, n) in texts.items() for i in range(-(-len(t) // piece))
     ]
-    random.Random(1).shuffle(rows)
     src, work = shared_dir(spark, "chunks"), shared_dir(spark, "watch")
-    spark.createDataFrame(rows, chunks.CHUNKS).repartition(2).write.parquet(src)
+    # One file holds what comes late: each reply's first piece among it.
+    spark.createDataFrame([r for r in rows if r[1] % 3], chunks.CHUNKS).coalesce(1).write.parquet(src)
+    time.sleep(1.1)
+    spark.createDataFrame([r for r in rows if r[1] % 3 == 0], chunks.CHUNKS).coalesce(1).write.mode("append").parquet(src)
     with stream_settings(spark, 4):
         stream = spark.readStream.schema(chunks.CHUNKS).option("maxFilesPerTrigger", 1).parquet(src)
         q = (
