@@ -8,11 +8,12 @@ all, and keeps the earliest dart per coordinate. Two texts agree in a coordinate
 the probability of their weighted Jaccard similarity, sum of minima over sum of maxima.
 
 Equal weighted sets are one class first. Bands of coordinates are joined: every member of
-a bucket is verified against the bucket's first one on the whole texts, links are
-followed, and only members of buckets that still hold several components are compared
-with one another, in tiles, by signature first and on the whole texts last. So no bucket
-is expanded into all its pairs, and no pair that shares a band is left unverified
-unless it is joined already.
+a bucket is verified against the bucket's first one on the whole texts, and links are
+followed. Buckets that still hold several components are taken in tiles: by signature,
+members with a likely partner in another component are found, each pair in the first
+band it shares; then their whole weighted sets are compared by matrix products, and only
+the spanning links leave a tile. So rows stay in proportion to the members, and no pair
+that shares a band is left unverified unless it is joined already.
 
 Defined cases: a text of one to four words is one shingle of all its words; null texts
 and texts without words are alone. Repeated rows are documents each; the kept row of a
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from regionflow.llm.common import lists_of, reachable, slices, tiled, whole_runs, worker_state
+from regionflow.llm.near_vectors import forest
 from regionflow.session import cut_lineage, temporary_tables
 
 SIMILARITY = 0.8
@@ -45,7 +47,7 @@ PLAUSIBLE = 0.65
 TILE = 512
 #: Ranks start with a region of this height.
 RANK = 2.0**-4
-MEMORY = 500_000
+MEMORY = 300_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -160,6 +162,16 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: in
     return found
 
 
+def in_parts(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, most: int = 256) -> np.ndarray:
+    """``signatures`` of a few texts at a time: the darts in memory grow with the texts, however short they are."""
+    edges = np.searchsorted(owner, np.arange(0, n + most, most))
+    parts = [
+        signatures(owner[a:b] - k * most, shingle[a:b], weight[a:b], min(most, n - k * most))
+        for k, (a, b) in enumerate(zip(edges, edges[1:]))
+    ]
+    return np.concatenate(parts) if parts else np.zeros((0, COORDINATES), np.uint32)
+
+
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(row, key, h, k1, k2, sig) per text: row number, hash of the text, hashes of the weighted
     set (null without words), signature. Written out."""
@@ -171,7 +183,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
         for batch, texts in slices(batches, text):
             n = len(texts)
             owner, shingle, weight = weighted_shingles(texts, memory)
-            values = signatures(owner, shingle, weight, n)
+            values = in_parts(owner, shingle, weight, n)
             there = np.bincount(owner, minlength=n) > 0
             sums = []
             for salt in (101, 102):
@@ -197,13 +209,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
-    """Pairs (a, b) of classes whose whole texts reach the similarity. Written out."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "id", "h"), "node")
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(node, text) of the given nodes."""
+    wanted = nodes.join(classes.select("node", "id", "h"), "node")
     source = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    met = nodes.join(source, F.col("id").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")))
+    met = wanted.join(source, F.col("id").eqNullSafe(F.col("key")) & (F.col("h") == F.col("text_hash")))
     # Repeated rows of one text would repeat a node.
-    texts = cut_lineage(met.groupBy("node").agg(F.first("text").alias("text")))
+    return met.groupBy("node").agg(F.first("text").alias("text"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """Pairs (a, b) of classes whose whole texts reach the similarity. Written out."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = cut_lineage(texts_of(nodes, classes, docs, key, text))
     both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
         texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
     )
@@ -218,38 +236,106 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
                 owner, shingle, weight = weighted_shingles(wanted, memory)
                 if len(wanted) == 2:
                     last, held = a[k], (shingle[owner == 1], weight[owner == 1])
-                if similarity(held, (shingle[owner == 0], weight[owner == 0])) >= least:
+                if similarity(held, (shingle[owner == 0], weight[owner == 0])) >= least - 1e-12:
                     good.append(k)
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for k in good], pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return cut_lineage(both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"))
 
 
-def plausible(members: DataFrame) -> DataFrame:
-    """(a, b), a < b: members of one bucket (bucket, node, root, sig) in different components
-    whose signatures agree often enough."""
+def likely(members: DataFrame) -> DataFrame:
+    """(bucket, node): members of a bucket (bucket, band, node, root, sig) with a partner in
+    another component whose signature agrees often enough, and in no earlier band."""
     names = ["bucket", "low", "high"]
     tiles = tiled(members, ["bucket"], "node", TILE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts, sizes in whole_runs(batches, names):
-            node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+            bucket, node, root, side, band = (table.column(c).to_numpy() for c in ("bucket", "node", "root", "side", "band"))
             alone = table.column("low").to_numpy() == table.column("high").to_numpy()
             values = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-            left, right = [], []
+            found = np.zeros(len(node), bool)
             for at, size in zip(starts.tolist(), sizes.tolist()):
                 for x in range(at, at + size - 1):
                     y = np.arange(x + 1, at + size)
                     y = y[(root[y] != root[x]) & (alone[x] | (side[y] != side[x]))]
-                    if len(y):
-                        y = y[(values[y] == values[x]).mean(axis=1) >= PLAUSIBLE]
-                        left.append(np.full(len(y), node[x]))
-                        right.append(node[y])
-            a = np.concatenate([np.zeros(0, np.int64), *left])
-            b = np.concatenate([np.zeros(0, np.int64), *right])
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                    if not len(y):
+                        continue
+                    same = values[y] == values[x]
+                    good = same.mean(axis=1) >= PLAUSIBLE
+                    if good.any():
+                        shared = same[good].reshape(-1, BANDS, ROWS).all(axis=2)
+                        mine = y[good][shared.argmax(axis=1) == band[x]]
+                        if len(mine):
+                            found[x] = True
+                            found[mine] = True
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[found]), pa.array(node[found])], names=["bucket", "node"])
+
+    return tiles.select(*names, "side", "band", "node", "root", "sig").mapInArrow(run, "bucket long, node long").distinct()
+
+
+def weighted_sets(texts: DataFrame) -> DataFrame:
+    """(node, shingles, weights) of (node, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = worker_state("shingle_words", dict)
+        for batch, some in slices(batches):
+            owner, shingle, weight = weighted_shingles(some, memory)
+            counts = np.bincount(owner, minlength=len(some))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), lists_of(shingle.view(np.int64), counts), lists_of(weight, counts)], names=["node", "shingles", "weights"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<long>, weights array<double>")
+
+
+def similarities(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """n x n similarities of weighted sets: sums of minima as matrix products of who
+    reaches each weight, so many shingles at once."""
+    total = np.bincount(owner, weight, n)
+    _, column, often = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column, weight = owner[shared], column[shared], weight[shared]
+    least, below = np.zeros((n, n)), 0.0
+    for level in np.unique(weight):
+        reach = weight >= level
+        _, place = np.unique(column[reach], return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        place, row = place[order], owner[reach][order]
+        for start in range(0, int(place[-1]) + 1, width):
+            a, b = np.searchsorted(place, (start, start + width))
+            member = np.zeros((n, width), np.float32)
+            member[row[a:b], place[a:b] - start] = 1
+            least += (level - below) * (member @ member.T)
+        below = level
+    return least / np.maximum(total[:, None] + total[None, :] - least, 1e-300)
+
+
+def spanning_links(members: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that span each tile's members (bucket, node, root, shingles, weights) of
+    different components whose whole weighted sets reach the similarity."""
+    names = ["bucket", "low", "high"]
+    tiles = tiled(members, ["bucket"], "node", TILE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts, sizes in whole_runs(batches, names):
+            node, root = (table.column(c).to_numpy() for c in ("node", "root"))
+            shingles, weights = (table.column(c).combine_chunks() for c in ("shingles", "weights"))
+            ends = shingles.offsets.to_numpy()
+            ends = ends - ends[0]
+            flat, weight = shingles.flatten().to_numpy(), weights.flatten().to_numpy()
+            a_all, b_all = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for at, size in zip(starts.tolist(), sizes.tolist()):
+                lo, hi = ends[at], ends[at + size]
+                owner = np.repeat(np.arange(size), np.diff(ends[at : at + size + 1]))
+                near = similarities(owner, flat[lo:hi], weight[lo:hi], size) >= least - 1e-12
+                mine = root[at : at + size]
+                a, b = np.nonzero(np.triu(near & (mine[:, None] != mine[None, :]), 1))
+                if len(a):
+                    reached = forest(size, a, b)
+                    tied = np.flatnonzero(reached != np.arange(size))
+                    a_all.append(node[at + reached[tied]])
+                    b_all.append(node[at + tied])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_all)), pa.array(np.concatenate(b_all))], names=["a", "b"])
 
-    return tiles.select(*names, "side", "node", "root", "sig").mapInArrow(run, "a long, b long").distinct()
+    return tiles.select(*names, "node", "root", "shingles", "weights").mapInArrow(run, "a long, b long")
 
 
 def near_texts(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -260,18 +346,20 @@ def near_texts(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id",
         classes = cut_lineage(rows.filter("k1 is not null").groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("f.row").alias("node"), "f.id", "f.h", "f.sig"))
         # Buckets: one hash per band of coordinates.
         keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
-        banded = cut_lineage(classes.select("node", F.explode(keys).alias("bucket")))
+        banded = cut_lineage(classes.select("node", F.posexplode(keys).alias("band", "bucket")))
         buckets = cut_lineage(banded.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").drop("size"))
         shared = banded.join(buckets, "bucket")
         stars = cut_lineage(shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct())
         linked = verified(stars, classes, docs, key, text, least)
         roots = reachable(linked)
         # What the first members left open.
-        placed = cut_lineage(shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root")))
+        placed = cut_lineage(shared.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root")))
         open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
         members = placed.join(open_buckets, "bucket").join(classes.select("node", "sig"), "node")
-        more = cut_lineage(plausible(members).join(stars, ["a", "b"], "left_anti"))
-        linked = linked.unionByName(verified(more, classes, docs, key, text, least))
+        left = cut_lineage(likely(members))
+        sets = cut_lineage(weighted_sets(texts_of(left.select("node").distinct(), classes, docs, key, text)))
+        again = left.join(placed.select("bucket", "node", "root"), ["bucket", "node"]).join(sets, "node")
+        linked = linked.unionByName(spanning_links(again, least))
         roots = reachable(linked)
         groups = classes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
         placed_rows = rows.select("row", key, "h", "k1", "k2").join(groups, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "row"))
