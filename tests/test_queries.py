@@ -1,6 +1,5 @@
 """Registered queries against their SQL at the smallest scale."""
 
-import importlib.util
 from collections import Counter
 
 import duckdb
@@ -39,8 +38,7 @@ def test_query_equals_sql(spark, db, name):
 def test_registered_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) - set(catalog.SQL) == {"height_batches"}
-    there = importlib.util.find_spec("regionflow.llm") is not None
-    assert ("op1_packing" in entry.queries()) == there
+    assert ("op1_packing" in entry.queries()) == (entry.llm_queries is not None)
 
 
 def test_flagship(spark):
