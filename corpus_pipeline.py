@@ -6,39 +6,52 @@ them stays; personal data are replaced by their kind; what is left is packed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.llm import dart_minhash, personal_data, queries
 from regionflow.session import cut_lineage, temporary_tables
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Below this mean probability a language counts as not known.
 LEAST_LANGUAGE_SCORE = 0.4
 
 
+def beside(docs: DataFrame, added: set[str], change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``change(docs)`` with the columns of ``docs`` alone, also where one is named as an added one."""
+    away = {c: f"__own_{c}" for c in docs.columns if c in added}
+    made = change(docs.withColumnsRenamed(away))
+    return made.select(*[F.col(away.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the learned languages."""
-    found = queries.identified(spark, sf_dir, docs.select(*COLUMNS))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    def known(rows: DataFrame) -> DataFrame:
+        return queries.identified(spark, sf_dir, rows).filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+
+    return beside(docs, {"lang_pred", "score"}, known)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of good quality."""
-    return queries.scored_quality(spark, sf_dir, docs.select(*COLUMNS)).filter("predicted = 1").select(*COLUMNS)
+    return beside(docs, {"score", "predicted"}, lambda rows: queries.scored_quality(spark, sf_dir, rows).filter("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return dart_minhash.without_copies(docs.select(*COLUMNS))
+    return beside(docs, {"near_key", "near_null", "near_hash"}, dart_minhash.without_copies)
 
 
 def personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with personal data replaced, and their new lengths."""
     model = personal_data.learn(docs)
-    clean = personal_data.find(docs.select(*COLUMNS), model, redacted="text")
-    length = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", length.cast("long")).select(*COLUMNS)
+
+    def clean(rows: DataFrame) -> DataFrame:
+        length = F.when(F.size("found") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        return personal_data.find(rows, model, redacted="text").withColumn("n_chars", length.cast("long"))
+
+    return beside(docs, {"found"}, clean)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
