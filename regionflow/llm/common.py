@@ -8,7 +8,7 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow.session import cut_lineage
@@ -21,12 +21,14 @@ def worker_state(key: str, build: Callable[[], object]):
     """``build()`` once per Python worker and key; later tasks of the worker reuse it.
 
     Functions of this package travel by value, so a module-level variable would be
-    new in every task.
+    new in every task. Only the latest key is held, so one operator's memory does not
+    stay while the next one runs.
     """
     held = sys.modules.setdefault("_regionflow_worker", types.ModuleType("_regionflow_worker"))
-    if key not in held.__dict__:
-        held.__dict__[key] = build()
-    return held.__dict__[key]
+    if getattr(held, "key", None) != key:
+        held.key, held.value = None, None
+        held.key, held.value = key, build()
+    return held.value
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = SLICE_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -52,6 +54,19 @@ def lists_of(flat, counts) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def fewest(rows: DataFrame, label: str, draw: str, n: int, *ties: str) -> DataFrame:
+    """At most ``n`` rows of each label, those with the smallest ``draw`` (a hash).
+
+    A share of each label, as its count asks for, is cut off by the hash before anything is
+    sorted: about four times ``n`` rows move for a label of any size.
+    """
+    share = F.pmod(draw, F.lit(1 << 32)).cast("double") / (1 << 32)
+    counts = rows.groupBy(label).agg(F.count("*").alias("of_label"))
+    near = rows.withColumn("share", share).join(counts, label).filter(F.col("share") * F.col("of_label") < 4 * n)
+    order = Window.partitionBy(label).orderBy("share", *ties)
+    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("share", "of_label", "place")
+
+
 def reachable(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over undirected ``edges`` (a, b).
 

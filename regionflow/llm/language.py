@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import slices
+from regionflow.llm.common import fewest, slices
 
 #: Bytes in a window.
 LENGTH = 256
@@ -139,8 +139,7 @@ def sample(docs: DataFrame, sample_rows: int = SAMPLE, key: str = "doc_id", text
         .select(F.col(label).alias("label"), draw.alias("draw"), F.substring(text, start, F.lit(LENGTH)).alias("window"))
         .filter(F.col("window").rlike(r"\p{L}"))
     )
-    by_draw = Window.partitionBy("label").orderBy("draw", "window")
-    chosen = windows.withColumn("k", F.row_number().over(by_draw)).filter(F.col("k") <= sample_rows)
+    chosen = fewest(windows, "label", "draw", sample_rows, "window")
     return sorted((r["label"], r["window"]) for r in chosen.select("label", "window").collect())
 
 

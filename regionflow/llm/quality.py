@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import lists_of, slices, worker_state
+from regionflow.llm.common import fewest, lists_of, slices, worker_state
 
 #: Bound of the training sample: rows per label.
 SAMPLE = 4000
@@ -182,9 +182,8 @@ def features(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
 def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, key: str = "doc_id", text: str = "text", length: str = "n_chars", label: str = "quality") -> list:
     """Inputs of at most ``sample_rows`` labelled texts per label, chosen by a hash of the id."""
     marks = labels.filter(F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("mark"))
-    by_draw = Window.partitionBy("mark").orderBy(F.xxhash64(F.col(key).cast("string"), F.lit(13)), key)
-    there = docs.select(key).join(marks, key).distinct()
-    chosen = there.withColumn("k", F.row_number().over(by_draw)).filter(F.col("k") <= sample_rows).drop("k")
+    there = docs.select(key).join(marks, key).distinct().withColumn("draw", F.xxhash64(F.col(key).cast("string"), F.lit(13)))
+    chosen = fewest(there, "mark", "draw", sample_rows, key).select(key, "mark")
     # At most two times sample_rows ids: the bound makes the broadcast safe.
     rows = docs.select(key, text, length).join(F.broadcast(chosen), key).dropDuplicates([key])
     made = features(rows, text, length)

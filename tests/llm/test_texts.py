@@ -170,14 +170,14 @@ def test_personal_data_is_found_and_replaced(spark):
 
 
 def test_pipeline_stages(spark, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"score": F.lit("own"), "found": F.col("doc_id")})
     columns, before = docs.columns, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         stage(spark, docs, SF).write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.columns == columns
         rows = docs.collect()
-        assert 0 < len(rows) <= before
+        assert 0 < len(rows) <= before and all(r["score"] == "own" and r["found"] == r["doc_id"] for r in rows)
         before = len(rows)
     texts = [r["text"] for r in rows]
     assert groups(random.Random(1).sample(texts, 150)) == list(range(150))
