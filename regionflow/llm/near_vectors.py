@@ -2,9 +2,13 @@
 
 A filter is a direction made of one code word from each of two random codebooks, after a
 random rotation; a vector passes the filters whose direction it exceeds a cap height
-with. List decoding finds all of them from the two halves' scores alone. Vectors that
-share a filter, and a label, are verified by their cosine in double precision. Two
-independent codes make a miss a matter of millionths at the least similarity.
+with, and each vector's cap is as low as lets ``PASSED`` filters through, so that none
+passes too few. List decoding finds all of them from the two halves' scores alone.
+Vectors that share a filter, and a label, are verified by their cosine in double
+precision. At similarity 0.98 one code misses 0.01 of pairs at most (measured on planted
+pairs; 0.006 at 64 components and 4096 words, less with fewer words), and codes are
+independent, so three miss one in a million at most. Short vectors take fewer words, as
+their caps would else become smaller than the least similarity is wide.
 
 Equal vectors are one class before filtering. A filter with many vectors is split into
 tiles of bounded size; inside a tile pairs are counted by matrix products, each pair in
@@ -31,11 +35,13 @@ from regionflow.llm.top_k import usable
 from regionflow.session import cut_lineage, temporary_tables
 
 SIMILARITY = 0.98
-#: Independent codes, and filters a vector passes in each on average.
-CODES, PASSED = 2, 10
+#: Independent codes, and filters a vector passes in each.
+CODES, PASSED = 3, 10
 #: Filters per vector of the table, which bounds the vectors in a filter on average.
 FILTERS_PER_VECTOR = 0.25
 LEAST_WORDS, MOST_WORDS = 32, 4096
+#: Most words at 8 components; each five components more double them.
+SHORT_WORDS = 128
 #: Vectors of a filter that are compared at once.
 TILE = 512
 #: Runs up to this size are compared as lists of pairs, all runs of a batch together.
@@ -59,23 +65,37 @@ class CapCode:
         above = np.cumsum(density[::-1])[::-1] / density.sum()
         self.height = float(grid[np.argmax(above <= min(0.5, PASSED / words**2))])
 
-    def decode(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, filter) of every filter that a unit vector exceeds."""
+    def own_heights(self, first: np.ndarray, second: np.ndarray, passed: int) -> np.ndarray:
+        """For each row of the halves' scores the height that ``passed`` filters reach."""
+        # The n-th best filter is made of words with places x * y <= n in their halves' order.
+        most = min(passed, self.words)
+        best = [-np.sort(np.partition(-half, most - 1, axis=1)[:, :most], axis=1) for half in (first, second)]
+        place = np.arange(1, most + 1)
+        x, y = np.nonzero(place[:, None] * place <= passed)
+        sums = best[0][:, x] + best[1][:, y]
+        return np.partition(sums, sums.shape[1] - passed, axis=1)[:, sums.shape[1] - passed]
+
+    def decode(self, unit: np.ndarray, passed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, filter) of every filter that a unit vector exceeds the cap height with.
+
+        With ``passed`` each vector has the height that so many filters reach.
+        """
         padded = np.zeros((len(unit), self.size))
         padded[:, : unit.shape[1]] = unit
         turned = padded @ self.rotation
         half = self.size // 2
         first, second = turned[:, :half] @ self.books[0].T, turned[:, half:] @ self.books[1].T
+        height = np.full(len(unit), self.height) if passed is None else self.own_heights(first, second, passed)
         # A word can take part only if the other half's best word lifts it over the cap.
-        a_row, a_word = np.nonzero(first + second.max(axis=1, keepdims=True) >= self.height)
-        b_row, b_word = np.nonzero(second + first.max(axis=1, keepdims=True) >= self.height)
+        a_row, a_word = np.nonzero(first + second.max(axis=1, keepdims=True) >= height[:, None])
+        b_row, b_word = np.nonzero(first.max(axis=1, keepdims=True) + second >= height[:, None])
         n_b = np.bincount(b_row, minlength=len(unit))
         b_start = np.cumsum(n_b) - n_b
         many = n_b[a_row]
         left = np.repeat(np.arange(len(a_row)), many)
         right = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(b_start[a_row], many)
         row, x, y = a_row[left], a_word[left], b_word[right]
-        good = first[row, x] + second[row, y] >= self.height
+        good = first[row, x] + second[row, y] >= height[row]
         return row[good], x[good] * self.words + y[good]
 
 
@@ -84,6 +104,11 @@ def words_for(rows: int) -> int:
     return int(min(MOST_WORDS, max(LEAST_WORDS, np.ceil(np.sqrt(rows * FILTERS_PER_VECTOR)))))
 
 
+def most_words(dim: int) -> int:
+    """The most words by which one code misses 0.01 of pairs at most."""
+    return int(min(MOST_WORDS, SHORT_WORDS * 2 ** (max(0, dim - 8) / 5)))
+
+
 def decode(classes: DataFrame, words: int) -> DataFrame:
     """``classes`` (id, label, n, v) with the sorted list ``filters`` of each, over all codes."""
 
@@ -100,18 +125,18 @@ def decode(classes: DataFrame, words: int) -> DataFrame:
                 unit = flat[starts[at][:, None] + np.arange(dim)]
                 unit = unit / np.abs(unit).max(axis=1, keepdims=True)
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-                made = codes.setdefault(int(dim), [CapCode(int(dim), words, k) for k in range(CODES)])
+                made = codes.setdefault(int(dim), [CapCode(int(dim), min(words, most_words(int(dim))), k) for k in range(CODES)])
                 for c, code in enumerate(made):
                     for k in range(0, len(at), 1024):
-                        r, f = code.decode(unit[k : k + 1024])
+                        r, f = code.decode(unit[k : k + 1024], PASSED)
                         rows.append(at[k + r])
                         filters.append(f * CODES + c)
             row, found = np.concatenate(rows), np.concatenate(filters)
             order = np.lexsort((found, row))
-            lists = lists_of(found[order], np.bincount(row, minlength=len(sizes)))
+            lists = lists_of(found[order].astype(np.int32), np.bincount(row, minlength=len(sizes)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "filters"])
 
-    schema = T.StructType([*classes.schema, T.StructField("filters", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*classes.schema, T.StructField("filters", T.ArrayType(T.IntegerType()))])
     return classes.mapInArrow(run, schema)
 
 
@@ -130,8 +155,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def common_before(filters_a: np.ndarray, filters_b: np.ndarray, here: np.ndarray) -> np.ndarray:
     """Whether each pair of padded filter lists shares a filter less than ``here``."""
-    same = (filters_a[:, :, None] == filters_b[:, None, :]) & (filters_a[:, :, None] >= 0) & (filters_a[:, :, None] < here[:, None, None])
-    return same.any(axis=(1, 2))
+    out = np.zeros(len(here), bool)
+    step = max(1, 20_000_000 // max(1, filters_a.shape[1] * filters_b.shape[1]))
+    for k in range(0, len(here), step):
+        a, b = filters_a[k : k + step, :, None], filters_b[k : k + step, None, :]
+        out[k : k + step] = ((a == b) & (a >= 0) & (a < here[k : k + step, None, None])).any(axis=(1, 2))
+    return out
 
 
 def padded(column: pa.ListArray) -> np.ndarray:
@@ -167,7 +196,9 @@ class Comparison:
 
 def links(decoded: DataFrame, similarity: float) -> DataFrame:
     """(a, b, n_a): from each tile its spanning links (n_a null), and link counts per vector (b null)."""
-    spread = decoded.select("*", F.explode("filters").alias("filter"))
+    # Where a pair counts is told by the filters before this one, so only these go along.
+    spread = decoded.select("*", F.posexplode("filters").alias("place", "filter"))
+    spread = spread.withColumn("filters", F.slice("filters", 1, F.col("place"))).drop("place")
     keys = ["label", "dim", "filter"]
     names = [*keys, "low", "high"]
     sorted_tiles = tiled(spread, keys, "id", TILE)

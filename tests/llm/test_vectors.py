@@ -79,6 +79,20 @@ def test_caps_are_decoded_whole():
     assert set(zip(*(x.tolist() for x in code.decode(unit)))) == expected
 
 
+@pytest.mark.parametrize("dim,words", [(64, 32), (64, 250), (64, 1000), (64, 4096), (16, 1000), (8, 1000)])
+def test_planted_pairs_share_a_filter(spark, dim, words):
+    n, rng = 10_000, np.random.default_rng(words)
+    first, other = rng.normal(size=(2, n, dim))
+    first /= np.linalg.norm(first, axis=1, keepdims=True)
+    other -= (other * first).sum(axis=1, keepdims=True) * first
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    both = np.concatenate([first, 0.98 * first + np.sqrt(1 - 0.98**2) * other])
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(both.tolist())], "id long, v array<double>").repartition(8)
+    found = {r["id"]: r["filters"] for r in near_vectors.decode(df, words).select("id", "filters").collect()}
+    assert min(map(len, found.values())) >= near_vectors.CODES * near_vectors.PASSED
+    assert [k for k in range(n) if not set(found[k]) & set(found[k + n])] == []
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e30])
 def test_top_k_equals_brute_force(spark, monkeypatch, scale):
     monkeypatch.setattr(top_k, "SHARD_ROWS", 37)
