@@ -18,7 +18,7 @@ BATCH = ["conv_id", "block"]
 
 
 def stored_saves(spark, sf):
-    """Saved result files, one per document: page path to regions with their texts."""
+    """Saved result files, one line per page: page path to regions with their texts."""
     region = F.struct(
         F.col("bubble_idx").alias("idx"), F.array("x1", "y1", "x2", "y2").alias("bubble_box"),
         F.array(F.struct("text", F.array("x1", "y1", "x2", "y2").alias("bbox"))).alias("texts"),
@@ -26,14 +26,13 @@ def stored_saves(spark, sf):
     pages = X.texts(spark, sf).groupBy("doc_id", "page_idx").agg(
         F.array_sort(F.collect_list(F.struct("line_no", region.alias("r")))).alias("all")
     ).select(
-        "doc_id", F.concat(F.lit("in/page_"), F.col("page_idx").cast("string"), F.lit(".jpg")).alias("path"),
+        F.concat(F.lit("in/page_"), F.col("page_idx").cast("string"), F.lit(".jpg")).alias("path"),
         F.transform("all", lambda x: x["r"]).alias("regions"),
     )
-    body = F.to_json(F.map_from_entries(F.collect_list(F.struct("path", "regions"))))
     folder = shared_dir(spark, "saved")
-    pages.groupBy("doc_id").agg(body.alias("value")).repartition("doc_id").write.partitionBy("doc_id").text(folder)
-    # Each file holds the one line of its document.
-    return files.saved_results(spark, f"{folder}/*/*")
+    # Pages are dealt out by the hash of document and page, so a file holds many of them.
+    pages.select(F.to_json(F.create_map("path", "regions")).alias("value")).write.text(folder)
+    return files.saved_results(spark, folder, lines=True)
 
 
 @query("saved_regions", sql("""SELECT 'in/page_' || page_idx || '.jpg' AS page_path, page_idx AS page_no, bubble_idx AS idx,

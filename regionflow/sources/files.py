@@ -79,11 +79,14 @@ def page_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "page_idx", "width", "height", "nChannels", "data").mapInArrow(run, BLOCK)
 
 
-def saved_results(spark: SparkSession, path: str) -> DataFrame:
-    """Regions of saved result files (page path to regions), one row per region."""
+def saved_results(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Regions of saved result files (page path to regions), one row per region.
+
+    A file is one object, or with ``lines`` one object per line, read in parts.
+    """
     page = F.explode(F.from_json("value", SAVED)).alias("page_path", "regions")
     return (
-        spark.read.text(path, wholetext=True).select(page)
+        spark.read.text(path, wholetext=not lines).select(page)
         .withColumn("page_no", F.regexp_extract("page_path", r"(\d+)", 1).try_cast("bigint"))
         .select("page_path", "page_no", F.explode("regions").alias("r"))
         .select("page_path", "page_no", "r.idx", "r.bubble_box", "r.texts")

@@ -9,6 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from regionflow.operators import infer
+from regionflow.plans import fixtures, outcome_queries
 from regionflow.sources import files, languages
 
 # The stubs live in this file, which workers cannot import.
@@ -93,3 +94,13 @@ def test_saved_results_and_languages(spark, tmp_path):
     got = {r.code: (r.language, r.chinese_name, r.chinese_prompt) for r in languages.with_mt_names(codes, "code").collect()}
     assert got == {"yue": ("Cantonese", "粤语", True), "sv": ("Sv", "Sv", False)}
     assert languages.languages(spark).count() == 13 and languages.mt_languages(spark).count() == 38
+
+
+def test_saves_hold_a_line_per_page(spark):
+    sf = "/root/testdata/sf0.001"
+    written = outcome_queries.stored_saves(spark, sf).inputFiles()
+    lines = [r["value"] for r in spark.read.text(written).collect()]
+    texts = fixtures.texts(spark, sf)
+    assert all(len(json.loads(x)) == 1 for x in lines)
+    assert len(lines) == texts.select("doc_id", "page_idx").distinct().count()
+    assert len(written) <= int(spark.conf.get("spark.sql.shuffle.partitions")) < texts.select("doc_id").distinct().count()
