@@ -100,6 +100,14 @@ def test_language_of_odd_rows(spark):
     assert language.identify(labelled, odd.limit(0)).count() == 0
 
 
+def test_signs_that_are_no_letters_have_no_language(spark):
+    labelled = spark.createDataFrame([(k, t, lang) for k in range(40) for t, lang in (("the cat and the dog " * 5, "en"), ("der hund und die katze " * 5, "de"))], "doc_id long, text string, lang string")
+    odd = spark.createDataFrame([(1, "² ³"), (2, "½"), (3, "① ②"), (4, "é²"), (5, "中")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.identify(labelled, odd).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3
+    assert all(got[k][0] in ("de", "en") for k in (4, 5))
+
+
 def test_quality_of_held_out_rows(spark):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.QUERIES["op4_quality"](spark, SF).collect()
