@@ -12,8 +12,9 @@ a bucket is verified against the bucket's first one on the whole texts, and link
 followed. Buckets that still hold several components are taken in tiles: by signature,
 members with a likely partner in another component are found, each pair in the first
 band it shares; then their whole weighted sets are compared by matrix products, and only
-the spanning links leave a tile. So rows stay in proportion to the members, and no pair
-that shares a band is left unverified unless it is joined already.
+the spanning links leave a tile. So rows stay in proportion to the members. A pair that
+shares a band is left unverified if it is joined already, or if its signatures agree in
+less than ``PLAUSIBLE``: at similarity 0.8 that adds 9e-6 of pairs to the bands' 7e-6.
 
 Defined cases: a text of one to four words is one shingle of all its words; null texts
 and texts without words are alone. Repeated rows are documents each; the kept row of a
