@@ -8,8 +8,9 @@ import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionflow.session import cut_lineage
 
@@ -54,17 +55,46 @@ def lists_of(flat, counts) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
-def fewest(rows: DataFrame, label: str, draw: str, n: int, *ties: str) -> DataFrame:
-    """At most ``n`` rows of each label, those with the smallest ``draw`` (a hash).
+#: Labels that a sample may tell apart; more are an error.
+LABELS = 10_000
 
-    A share of each label, as its count asks for, is cut off by the hash before anything is
-    sorted: about four times ``n`` rows move for a label of any size.
+
+def fewest(rows: DataFrame, label: str, draw: str | Column, n: int, *ties: str) -> DataFrame:
+    """``n`` rows of each label (all, where there are fewer), those with the smallest ``draw`` (a hash).
+
+    Rows are counted per label and power of two of the hash; that table, bounded by
+    ``LABELS``, tells each label the power below which at least ``n`` rows lie. It is broadcast, so
+    rows above are cut off before anything is shuffled: about two to four times ``n`` rows move
+    for a label of any size. Rows with equal draw and ``ties`` move as one with their number
+    and are drawn as so many copies of one of them, so ``draw`` should hash whatever tells
+    rows apart. Rows without a label take no part.
     """
+    spark, columns = rows.sparkSession, rows.columns
     share = F.pmod(draw, F.lit(1 << 32)).cast("double") / (1 << 32)
-    counts = rows.groupBy(label).agg(F.count("*").alias("of_label"))
-    near = rows.withColumn("share", share).join(counts, label).filter(F.col("share") * F.col("of_label") < 4 * n)
-    order = Window.partitionBy(label).orderBy("share", *ties)
-    return near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n).drop("share", "of_label", "place")
+    held = rows.filter(F.col(label).isNotNull()).withColumn("share", share)
+    held = held.withColumn("level", F.when(F.col("share") == 0, 33).otherwise(F.floor(-F.log2("share"))).cast("int"))
+    counts = held.groupBy(label, "level").agg(F.count("*").alias("of_level")).limit(LABELS * 34 + 1).collect()
+    per_label: dict = {}
+    for r in counts:
+        per_label.setdefault(r[label], {})[r["level"]] = r["of_level"]
+    if len(per_label) > LABELS:
+        raise ValueError(f"more than {LABELS} labels in column {label}")
+    cuts = []
+    for name, levels in per_label.items():
+        reached = 0
+        for level in sorted(levels, reverse=True):
+            reached += levels[level]
+            if reached >= n:
+                break
+        cuts.append((name, level))
+    cut = spark.createDataFrame(cuts, T.StructType([T.StructField(label, rows.schema[label].dataType), T.StructField("from_level", T.IntegerType())]))
+    near = held.join(F.broadcast(cut), label).filter(F.col("level") >= F.col("from_level"))
+    keys = list(dict.fromkeys([label, "share", *ties]))
+    alike = near.groupBy(*keys).agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in columns if c not in keys])
+    order = Window.partitionBy(label).orderBy("share", *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = alike.withColumn("before", F.sum("copies").over(order) - F.col("copies")).filter(F.col("before") < n)
+    copies = F.least(F.col("copies"), n - F.col("before")).cast("int")
+    return found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*columns)
 
 
 def reachable(edges: DataFrame) -> DataFrame:

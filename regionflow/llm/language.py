@@ -6,7 +6,8 @@ labelled windows; scoring reads every window of every text, in batches inside ta
 averages the windows' probabilities by their bytes.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0. The sample is
-drawn per language by a hash of the id, so repeated rows and row order do not matter.
+drawn per language by a hash of id and text, so row order does not matter; a repeated row
+counts as often as it is there.
 Without any labelled row every text is ``und``. Further columns are carried along.
 """
 
@@ -131,8 +132,8 @@ def train(samples: list[tuple[str, str]], epochs: int = 10, batch: int = 64, rat
 
 
 def sample(docs: DataFrame, sample_rows: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "lang") -> list[tuple[str, str]]:
-    """At most ``sample_rows`` windows of labelled texts per language, chosen by a hash of the id."""
-    draw = F.xxhash64(F.col(key).cast("string"), F.lit(11))
+    """At most ``sample_rows`` windows of labelled texts per language, chosen by a hash of id and text."""
+    draw = F.xxhash64(F.col(key).cast("string"), text, F.lit(11))
     start = 1 + F.pmod(draw, F.greatest(F.length(text) - LENGTH, F.lit(1)))
     windows = (
         docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull())

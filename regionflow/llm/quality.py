@@ -8,7 +8,8 @@ covers every whole text, inside tasks.
 
 Defined cases: null and empty texts are scored like any other, by their bins alone. A
 null length has a bin of its own. Rows of ``labels`` without a quality are no labels; of
-several labels of one id the mean counts. Without labels every score is 0.5. Repeated
+several labels of one id the mean counts; unlike texts of one id are samples each. A missing
+``length`` column is an error. Without labels every score is 0.5. Repeated
 rows get equal scores; further columns are carried along.
 """
 
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from regionflow.llm.common import fewest, lists_of, slices, worker_state
 
 #: Bound of the training sample: rows per label.
 SAMPLE = 4000
+#: Bound of the training sample: word buckets of all its texts, per label (32 MB).
+SAMPLE_INPUTS = 2_000_000
 WORDS = 1 << 13
 FACTORS = 8
 BINS = 16
@@ -179,15 +182,21 @@ def features(docs: DataFrame, text: str = "text", length: str = "n_chars") -> Da
     return docs.mapInArrow(run, schema)
 
 
-def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, key: str = "doc_id", text: str = "text", length: str = "n_chars", label: str = "quality") -> list:
-    """Inputs of at most ``sample_rows`` labelled texts per label, chosen by a hash of the id."""
+def sample(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, most_inputs: int = SAMPLE_INPUTS, key: str = "doc_id", text: str = "text", length: str = "n_chars", label: str = "quality") -> list:
+    """Inputs of labelled texts, chosen by a hash of id, text and length: of each label at most
+    ``sample_rows`` texts, and of these as many as have ``most_inputs`` word buckets together."""
     marks = labels.filter(F.col(label).isNotNull()).groupBy(key).agg((F.avg(label) >= 0.5).cast("int").alias("mark"))
-    there = docs.select(key).join(marks, key).distinct().withColumn("draw", F.xxhash64(F.col(key).cast("string"), F.lit(13)))
-    chosen = fewest(there, "mark", "draw", sample_rows, key).select(key, "mark")
+    # Only ids and hashes are shuffled to meet the labels; repeated rows are one.
+    there = docs.select(key, F.xxhash64(text, length).alias("version")).distinct().join(marks, key)
+    there = there.withColumn("draw", F.xxhash64(F.col(key).cast("string"), "version", F.lit(13)))
+    chosen = fewest(there, "mark", "draw", sample_rows, key, "version")
     # At most two times sample_rows ids: the bound makes the broadcast safe.
-    rows = docs.select(key, text, length).join(F.broadcast(chosen), key).dropDuplicates([key])
-    made = features(rows, text, length)
-    return sorted((r["mark"], r["buckets"], r["values"], r["statistics"], r[key]) for r in made.collect())
+    rows = docs.select(key, text, length).withColumn("version", F.xxhash64(text, length)).join(F.broadcast(chosen), [key, "version"])
+    made = features(rows.dropDuplicates([key, "version"]), text, length)
+    upto = F.sum(F.size("buckets")).over(Window.partitionBy("mark").orderBy("draw", key, "version").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    found = made.withColumn("upto", upto).filter(F.col("upto") <= most_inputs).orderBy("mark", "draw", "upto").select("mark", "buckets", "values", "statistics").toArrow()
+    lists = [[part.as_py() if name == "mark" else part.values.to_numpy() for part in found.column(name)] for name in ("mark", "buckets", "values", "statistics")]
+    return list(zip(*lists))
 
 
 def score(docs: DataFrame, model: FactorisationMachine | None, text: str = "text", length: str = "n_chars", cut: float = 0.3) -> DataFrame:
@@ -213,5 +222,4 @@ def score(docs: DataFrame, model: FactorisationMachine | None, text: str = "text
 def classify(docs: DataFrame, learnable: DataFrame, labels: DataFrame) -> DataFrame:
     """Train on a sample of ``learnable`` rows with ``labels`` and score ``docs``."""
     samples = sample(learnable, labels)
-    known = {s[0] for s in samples}
-    return score(docs, train(samples) if len(known) == 2 else None)
+    return score(docs, train(samples) if len({s[0] for s in samples}) == 2 else None)

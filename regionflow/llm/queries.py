@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regionflow.llm import chat, dart_minhash, encoding, language, near_vectors, packing, personal_data, quality, token_counts, top_k
+from regionflow.llm import (
+    chat, dart_minhash, divergence, encoding, importance, language, near_vectors, packing, personal_data, quality, token_counts, top_k, url_filter,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -112,7 +114,7 @@ def scored_quality(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFra
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    return scored_quality(spark, sf_dir, docs).select("doc_id", (remainder(5) == 0).alias("held_out"), "score", "predicted")
+    return scored_quality(spark, sf_dir, docs).select("doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query
@@ -171,7 +173,7 @@ def identified(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return identified(spark, sf_dir, docs).select("doc_id", (remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+    return identified(spark, sf_dir, docs).select("doc_id", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -188,3 +190,109 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[number(k) for k in personal_data.BASE], F.sha2(personal_data.listed(base), 256).alias("base_sha256"),
         personal_data.listed(F.col("found")).alias("spans"),
     )
+
+
+#: Longest first decides; written host and path.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"), url_filter.Rule("block", "example.com", "/en/"), url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"), url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL by rules, and by trees where no rule fits."""
+    found = url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+@query
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn by importance towards the benchmark."""
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: Words as in the operator; the CRC of each distinct word by a table of 256 remainders.
+SQL["op12_importance"] = r"""
+WITH remainders AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END, i)) AS m
+), d AS (
+  SELECT doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words,
+    CAST('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) AS h
+  FROM documents
+), b AS (
+  SELECT unnest(list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')) AS word
+  FROM benchmark
+), in_docs AS (
+  SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM d) GROUP BY word
+), in_target AS (SELECT word, count(*) AS n FROM b GROUP BY word),
+coded AS (
+  SELECT word, xor(list_reduce(
+    list_transform(range(length(hex(word)) // 2), lambda k: CAST('0x' || substr(hex(word), 2 * k + 1, 2) AS BIGINT)),
+    lambda c, byte: xor(c >> 8, m[xor(c & 255, byte) + 1]), 4294967295), 4294967295) % 10000 AS bucket
+  FROM (SELECT word FROM in_docs UNION SELECT word FROM in_target), remainders
+), s AS (SELECT bucket, sum(n) AS s FROM in_docs JOIN coded USING (word) GROUP BY bucket),
+t AS (SELECT bucket, sum(n) AS t FROM in_target JOIN coded USING (word) GROUP BY bucket),
+gain AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM in_docs)::DOUBLE + 10000)
+    / ((coalesce(s, 0)::DOUBLE + 1) * ((SELECT coalesce(sum(n), 0) FROM in_target)::DOUBLE + 10000)))) AS BIGINT) AS gain
+  FROM s FULL JOIN t USING (bucket)
+), by_word AS (SELECT word, gain FROM coded JOIN gain USING (bucket)),
+weighed AS (
+  SELECT w.doc_id, sum(gain)::HUGEINT AS total FROM (SELECT doc_id, unnest(words) AS word FROM d) w JOIN by_word USING (word) GROUP BY w.doc_id
+), scored AS (
+  SELECT doc_id, len(words) AS n_features,
+    CASE WHEN len(words) = 0 THEN 0 ELSE CAST((total - ((total % len(words)) + len(words)) % len(words)) / len(words) AS BIGINT) END AS weight, h
+  FROM d LEFT JOIN weighed USING (doc_id)
+), keyed AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM scored
+), ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM keyed WHERE n_features >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CASE WHEN rank <= 10 * (SELECT count(*) FROM ranked) // 100 THEN rank END AS rank
+FROM keyed LEFT JOIN ranked USING (doc_id)
+"""
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of the sources of each language, and the terms each source over-uses most."""
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), o AS (SELECT r, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM o WHERE term <> '' GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+in_lang AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+of_source AS (SELECT o.lang, o.source, o.term, count(*) AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL),
+groups AS (
+  SELECT g.lang, g.source, v, coalesce((SELECT sum(n) FROM of_source s WHERE s.lang = g.lang AND s.source = g.source), 0) AS total
+  FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN in_lang USING (lang)
+), shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.n, 0) AS n,
+    1 + CAST((1000000000 * (coalesce(s.n, 0) + 5)::HUGEINT) // (g.total + 5 * g.v) AS BIGINT) AS p,
+    1 + CAST((1000000000 * (k.n + 5)::HUGEINT) // (l.total + 5 * l.v) AS BIGINT) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN in_lang l USING (lang)
+  LEFT JOIN of_source s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (
+    SELECT a.lang, a.source AS one, b.source AS other, sum(abs(a.p - b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  ) x ON x.lang = a.lang AND x.one = a.source AND x.other = b.source
+), over AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM over)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
