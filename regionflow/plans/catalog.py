@@ -12,4 +12,4 @@ from regionflow.plans import (  # noqa: F401
     stream_queries,
     text_queries,
 )
-from regionflow.plans.registry import QUERIES, SQL  # noqa: F401
+from regionflow.plans.registry import BUILDS, QUERIES, SQL  # noqa: F401

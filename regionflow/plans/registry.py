@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regionflow.session import without_leftovers
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: The same with their own plans, before what they store is tidied up.
+BUILDS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
     def register(build):
-        QUERIES[name] = lambda spark, sf_dir: plain(build(spark, sf_dir))
+        BUILDS[name] = lambda spark, sf_dir: plain(build(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: without_leftovers(spark, lambda: BUILDS[name](spark, sf_dir))
         if sql is not None:
             SQL[name] = sql
         return build

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -67,8 +68,22 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-#: Paths stored inside each open ``temporary_tables`` block, innermost last.
-_open_blocks: list[list[str]] = []
+class _Block:
+    """Paths stored while one ``temporary_tables`` block is the innermost of its thread."""
+
+    def __init__(self, outer: _Block | None):
+        self.outer = outer
+        self.paths: list[str] = []
+
+
+#: The innermost open block. Threads, and streams' micro-batches among them, have their own.
+_open_block: ContextVar[_Block | None] = ContextVar("open_block", default=None)
+
+
+def _place(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
 def cut_lineage(df, compression: str | None = None):
@@ -76,37 +91,49 @@ def cut_lineage(df, compression: str | None = None):
 
     Survives executor loss like a checkpoint, and the reader knows its size and
     columns: later joins broadcast it only when it is truly small, and read only
-    what they need.
+    what they need. The table goes with the open ``temporary_tables`` block, or, outside
+    of any, when the driver ends.
     """
-    path = shared_dir(df.sparkSession, "table")
-    if _open_blocks:
-        _open_blocks[-1].append(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, "table")
+    block = _open_block.get()
+    if block is not None:
+        block.paths.append(path)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if block is None:
+        files, place = _place(spark, path)
+        files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession):
-    """Tables stored inside the block are removed when it ends.
+    """Tables stored inside the block, by the same thread, are removed when it ends.
 
     Yields ``keep``, which stores a result beyond the block (within an outer block,
     until that one ends).
     """
-    stored: list[str] = []
-    _open_blocks.append(stored)
+    block = _Block(_open_block.get())
+    token = _open_block.set(block)
 
     def keep(df):
-        inner = _open_blocks.pop()
+        inner = _open_block.set(block.outer)
         try:
             return cut_lineage(df)
         finally:
-            _open_blocks.append(inner)
+            _open_block.reset(inner)
 
     try:
         yield keep
     finally:
-        _open_blocks.remove(stored)
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in stored:
-            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+        _open_block.reset(token)
+        for path in block.paths:
+            files, place = _place(spark, path)
+            files.delete(place, True)
+
+
+def without_leftovers(spark: SparkSession, build):
+    """``build()`` with what it stores in between removed; stored itself only where it was built on such tables."""
+    with temporary_tables(spark) as keep:
+        result = build()
+        return keep(result) if _open_block.get().paths else result

@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as entry
 from regionflow.operators import detect
+from regionflow.plans import catalog
 from regionflow.plans import fixtures as X
 from regionflow.session import cut_lineage
 
@@ -25,7 +25,7 @@ def test_detection_filter_reaches_the_scan(spark):
     "name", ["reading_order", "region_numbers", "map_spatial", "text_cut_batches", "edge_white", "dilate_mask"]
 )
 def test_no_cross_joins(spark, name):
-    text = plan(entry.queries()[name](spark, SF))
+    text = plan(catalog.BUILDS[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
