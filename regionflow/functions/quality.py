@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -151,48 +155,59 @@ def _problem(output, found: Column, expected) -> Column:
     )
 
 
-def _counted_once(texts: Column) -> Column:
-    return let(texts, _counted)
+def _squares(code: np.ndarray, width: int) -> np.ndarray:
+    """Where a piece of ``width`` characters is followed by itself: ``width`` equal steps in a row."""
+    steps = np.concatenate(([0], np.cumsum(code[:-width] == code[width:])))
+    alike = np.concatenate(([0], np.cumsum(code[:-1] == code[1:])))
+    start = np.flatnonzero(steps[width:] - steps[:-width] == width)
+    # A piece of one character alone is no loop.
+    return start[alike[start + width - 1] - alike[start] < width - 1]
+
 
+def loops(text: str, threshold: int = 5) -> bool:
+    """Whether a reply loops, in time linear in its length. ``threshold`` is two or more.
 
-def _occurrences(text: Column, piece: Column) -> Column:
-    """Non-overlapping occurrences."""
-    return (F.length(text) - F.length(F.replace(text, piece, F.lit("")))) / F.length(piece)
+    A piece that follows itself ``threshold - 1`` times, apart from each other, also occurs
+    ``threshold`` times, so only such doubled pieces are looked for: per width, from runs of
+    equal characters at that distance.
+    """
+    if len(text) < 50:
+        return False
+    code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    for width in range(2, min(30, len(text) // 2) + 1):
+        starts = _squares(code, width)
+        if len(starts) < threshold - 1:
+            continue
+        early = {text[k : k + width] for k in range(min(100, len(text) - width))}
+        early = {piece for piece in early if len(set(piece) - set("\n ")) > 1}
+        if not early:
+            continue
+        ends: dict[str, int] = {}
+        doubled: Counter[str] = Counter()
+        for k in starts.tolist():
+            piece = text[k : k + width]
+            if piece not in early or k < ends.get(piece, 0):
+                continue
+            ends[piece] = k + 2 * width
+            doubled[piece] += 1
+            if doubled[piece] >= threshold - 1:
+                return True
+    lines = text.split("\n")
+    if len(text) <= 1000 or len(lines) <= 20:
+        return False
+    often = Counter(t for line in lines if (t := line.strip()))
+    return max(often.values(), default=0) >= threshold
 
 
 def repetition_loop(output, threshold: int = 5) -> Column:
     """A short piece that starts early and keeps following itself, or a very
-    long reply in which one line keeps coming back.
-
-    The piece search only runs on replies holding some doubled piece at all.
+    long reply in which one line keeps coming back; a missing reply does not loop.
     """
-    out = F.coalesce(col(output), F.lit(""))
-    size = F.length(out)
-
-    def loops(start: Column, width: Column) -> Column:
-        piece = F.substr(out, start + 1, width)
-        letters = F.regexp_replace(piece, "[\n ]", "")
-        varied = F.length(F.replace(letters, F.substring(letters, 1, 1), F.lit(""))) > 0
-        return (
-            varied
-            & (_occurrences(out, piece) >= threshold)
-            & (_occurrences(out, F.concat(piece, piece)) >= threshold - 1)
-        )
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: loops(t, threshold))
 
-    short = F.exists(
-        F.sequence(F.lit(2), F.lit(30)),
-        lambda width: F.exists(
-            _positions(F.least(F.lit(100), size - width)), lambda start: loops(start, width)
-        ),
-    )
-    lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda t: t != "")
-    line_loop = F.exists(_counted_once(lines), lambda c: c.getField("n") >= threshold)
-    return F.when(size < 50, F.lit(False)).otherwise(
-        F.when(out.rlike(r"(?s)(.{2,30}?)\1"), short).otherwise(F.lit(False))
-        | F.when(
-            (size > 1000) & (F.size(F.split(out, "\n")) > 20), line_loop
-        ).otherwise(F.lit(False))
-    )
+    return found(F.coalesce(col(output), F.lit("")))
 
 
 def translation_problem(translations, target_language: str = "English") -> Column:
@@ -221,79 +236,3 @@ def translation_problem(translations, target_language: str = "English") -> Colum
             )
         )
     return F.coalesce(*reasons)
-
-
-def early_cell_abort(prefix, expected) -> Column:
-    """Reason to stop reading a grid reply, judged on what has arrived so far."""
-    out, n = col(prefix), col(expected)
-    seen = F.transform(
-        F.regexp_extract_all(out, F.lit(r"\[(\d+)\]:"), F.lit(1)),
-        lambda d: d.try_cast("bigint"),
-    )
-    over = _first(F.filter(seen, lambda i: i >= n))
-    distinct = F.size(F.array_distinct(seen))
-    entry = r"(?U)\[(\d+)\]:\s*([^\[]+)"
-    bodies = F.transform(
-        F.regexp_extract_all(out, F.lit(entry), F.lit(2)),
-        lambda t: F.substring(strip(t), 1, 50),
-    )
-    recent = F.when(F.size(bodies) >= 6, F.slice(bodies, -6, 6)).otherwise(bodies)
-    loop = _first(
-        F.filter(
-            _counted_once(recent),
-            lambda c: (c.getField("n") >= 3) & (F.length(c.getField("text")) > 2),
-        )
-    )
-    tail = words(F.substr(out, F.length(out) - 99, F.lit(100)))
-    return F.coalesce(
-        F.concat(F.lit("index_overflow:"), over.cast("string"), F.lit("_vs_"), n.cast("string")),
-        F.when(distinct > n * 2, F.concat(F.lit("too_many_indices:"), distinct.cast("string"))),
-        F.when(
-            F.size(bodies) >= 4,
-            F.concat(
-                F.lit("repetition:"), loop.getField("n").cast("string"), F.lit("x'"),
-                F.substring(loop.getField("text"), 1, 20), F.lit("'"),
-            ),
-        ),
-        F.when(
-            (F.length(out) > 100) & (F.size(tail) >= 10)
-            & (F.size(F.filter(tail, lambda w: F.length(w) == 1)) >= 8),
-            F.lit("single_char_spam"),
-        ),
-    )
-
-
-def early_translation_abort(prefix, expected, target_language: str = "English") -> Column:
-    """Reason to stop reading a translation reply so far."""
-    out, n = col(prefix), col(expected)
-    numbered = F.regexp_count(out, F.lit(r"(?m)^\d+[\.\)]"))
-    lines = F.filter(F.transform(F.split(out, "\n"), strip), lambda t: t != "")
-    recent = F.when(F.size(lines) >= 8, F.slice(lines, -8, 8)).otherwise(lines)
-    loop = _first(
-        F.filter(
-            _counted_once(recent),
-            lambda c: (c.getField("n") >= 3) & (F.length(c.getField("text")) > 5),
-        )
-    )
-    reasons = [
-        F.when(
-            (n > 0) & (numbered > n * 2),
-            F.concat(F.lit("too_many_lines:"), numbered.cast("string")),
-        ),
-        F.when(
-            (F.length(out) > 200) & (F.size(lines) >= 4),
-            F.concat(F.lit("repetition:"), loop.getField("n").cast("string"), F.lit("x")),
-        ),
-    ]
-    if target_language.lower() in C.NON_CJK_TARGETS:
-        cjk = F.regexp_count(out, F.lit(f"[{C.CJK_UNTRANSLATED}]"))
-        reasons.append(
-            F.when(
-                (F.length(out) > 150) & (cjk > F.length(out) * 0.5),
-                F.concat(
-                    F.lit("still_cjk:"), cjk.cast("string"), F.lit("/"),
-                    F.length(out).cast("string"),
-                ),
-            )
-        )
-    return F.coalesce(*reasons)

@@ -54,6 +54,11 @@ def saved_counts(spark, sf):
     CASE WHEN told THEN text END AS results FROM turns WHERE conv_id % 13 > 0
     UNION ALL SELECT conv_id, block, 0, 'bad JSON', false, NULL FROM blocks WHERE conv_id % 13 = 0""", "turns", "blocks"))
 def batch_items(spark, sf):
+    return R.batch_items(batch_bodies(spark, sf), "body").select(*BATCH, "index", "success", "error", "results")
+
+
+def batch_bodies(spark, sf):
+    """Reply bodies of an OCR service: an item per turn, some failed; every thirteenth body is broken."""
     item = F.struct(
         F.col("told").alias("success"), F.when(~F.col("told"), F.concat(F.lit("gap "), F.col("turn").cast("string"))).alias("error"),
         F.when(F.col("told"), F.col("text")).alias("results"),
@@ -61,7 +66,20 @@ def batch_items(spark, sf):
     bodies = X.turns(spark, sf).groupBy(*BATCH).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("idx", item.alias("i")))), lambda x: x["i"]).alias("results")
     ).withColumn("body", F.when(F.col("conv_id") % 13 == 0, "{bad").otherwise(F.to_json(F.struct("results"))))
-    return R.batch_items(bodies.drop("results"), "body").select(*BATCH, "index", "success", "error", "results")
+    return bodies.drop("results")
+
+
+# A body that cannot be read is the batch's error; an item that failed is a missing cell.
+@query("failed_batches", sql("""SELECT conv_id, block, count(*) AS expected, CASE WHEN conv_id % 13 = 0 THEN 0 ELSE count(*) FILTER (told) END AS actual,
+    string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pages, CASE WHEN conv_id % 13 = 0 THEN 'bad JSON' END AS error,
+    CASE WHEN conv_id % 13 > 0 THEN count(*) FILTER (NOT told) END AS missing FROM turns
+    GROUP BY conv_id, block HAVING count(*) FILTER (NOT told) > 0 OR conv_id % 13 = 0""", "turns"))
+def failed_batches(spark, sf):
+    regions = X.turns(spark, sf).selectExpr(*BATCH, "turn AS page_idx")
+    items = R.batch_items(batch_bodies(spark, sf), "body")
+    actual = items.groupBy(*BATCH).agg(F.count_if("success").alias("actual"), F.max(F.when(F.col("error") == "bad JSON", F.col("error"))).alias("error"))
+    bad = batching.failed_batches(regions, actual, BATCH)
+    return bad.select(*BATCH, "expected", "actual", F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "error", "missing")
 
 
 @query("batch_status", sql("""SELECT doc_id, batch_idx, n AS texts, CASE WHEN batch_idx % 5 = 3 THEN 'error: 503' WHEN batch_idx % 5 = 4 THEN 'empty_response'
@@ -108,23 +126,13 @@ def reply_reasons(spark, sf):
     return parsed.select(*BATCH, F.coalesce(Q.reply_problem("output", "cells", F.lit(3)), F.lit("good")).alias("reason"))
 
 
-@query("early_translation", sql("""SELECT conv_id, block, CASE conv_id % 4 WHEN 0 THEN concat('too_many_lines:', 2 * expected + 1)
-    WHEN 1 THEN 'repetition:4x' WHEN 2 THEN 'still_cjk:200/200' END AS reason FROM blocks""", "blocks"))
-def early_translation(spark, sf):
-    n = F.col("expected").cast("int")
-    many = F.array_join(F.transform(F.sequence(F.lit(1), 2 * n + 1), lambda i: F.concat(i.cast("string"), F.lit(". x"))), "\n")
-    kind = F.col("conv_id") % 4
-    output = (
-        F.when(kind == 0, many).when(kind == 1, F.repeat(F.lit("the same line of some length, again and again and again\n"), 4))
-        .when(kind == 2, F.repeat(F.lit("語"), 200)).otherwise("fine")
-    )
-    replies = X.replies(spark, sf).select(*BATCH, "expected", output.alias("output"))
-    return replies.select(*BATCH, Q.early_translation_abort("output", "expected").alias("reason"))
-
-
 @query("full_pages", """SELECT CAST(floor(page_id / 10.0) AS BIGINT) AS doc_id, page_id % 10 AS page_idx, true AS success,
     'data:image/jpeg;base64,' || to_base64(encode(html)) AS data_url FROM pages""")
 def full_pages(spark, sf):
+    return page_results(spark, sf)
+
+
+def page_results(spark, sf):
     pages = X.table(spark, sf, "pages").selectExpr(
         "CAST(floor(page_id / 10.0) AS BIGINT) AS doc_id", "page_id % 10 AS page_idx", "CAST(html AS BINARY) AS content"
     )
@@ -144,23 +152,25 @@ def saved_tabs(spark, sf):
     return spark.read.schema("page_id bigint, size bigint, stage string, tab_title string").parquet(folder)
 
 
-@query("char_boxes", sql("""SELECT doc_id, src_page, line_no, CAST(trunc(x - gx1 + bx1 - pad_l + 3) AS BIGINT) AS left,
-    CAST(trunc(y - gy1 + by1 - pad_t + 5) AS BIGINT) AS top, left(text, 1) AS char FROM spatial""", "spatial"))
+@query("char_boxes", sql("""SELECT doc_id, src_page, line_no, char_no, CAST(trunc(x - gx1 + bx1 - pad_l + 3 + 7 * char_no) AS BIGINT) AS left,
+    CAST(trunc(y - gy1 + by1 - pad_t + 5) AS BIGINT) AS top, CAST(trunc(x - gx1 + bx1 - pad_l + 9 + 7 * char_no) AS BIGINT) AS right, CAST(trunc(y - gy1 + by1 - pad_t + 16) AS BIGINT) AS bottom,
+    substr(text, CAST(char_no + 1 AS BIGINT), 1) AS char FROM (SELECT *, unnest(range(length(text))) AS char_no FROM spatial)""", "spatial"))
 def char_boxes(spark, sf):
-    """The first character of every line that was mapped by place, in page coordinates."""
+    """Every character of every line that was mapped by place, in page coordinates."""
     from regionflow.plans.mapping_queries import spatial_matches
 
-    box = F.array(F.col("x") + 3, F.col("y") + 5, F.col("x") + 4, F.col("y") + 6)
-    chars = F.array(
-        F.struct(F.substring("text", 1, 1).alias("char"), box.alias("bbox")),
-        F.struct(F.lit("?").alias("char"), F.array().cast("array<double>").alias("bbox")),
-    )
+    def boxed(k):
+        left = F.col("x") + 3 + 7 * k
+        return F.struct(F.substring("text", k + 1, F.lit(1)).alias("char"), F.array(left, F.col("y") + 5, left + 6, F.col("y") + 16).alias("bbox"))
+
+    # A box of another length than four is dropped.
+    bad = F.array(F.struct(F.lit("?").alias("char"), F.array(F.col("x"), F.col("y")).alias("bbox")))
+    chars = F.concat(F.transform(F.sequence(F.lit(0), F.length("text") - 1), boxed), bad)
     lines = mapping.screen_lines(X.lines(spark, sf)).select("doc_id", "src_page", "line_no", "text", "x", "y")
     matched = spatial_matches(spark, sf).join(lines, ["doc_id", "src_page", "line_no"])
     moved = matched.withColumn("chars", chars).withColumn("moved", mapping.chars_to_page())
-    return moved.select("doc_id", "src_page", "line_no", F.explode("moved").alias("c")).select(
-        "doc_id", "src_page", "line_no", F.col("c.bbox")[0].cast("bigint").alias("left"), F.col("c.bbox")[1].cast("bigint").alias("top"), "c.char"
-    )
+    sides = [F.col("c.bbox")[k].cast("bigint").alias(side) for k, side in enumerate(("left", "top", "right", "bottom"))]
+    return moved.select("doc_id", "src_page", "line_no", F.posexplode("moved").alias("char_no", "c")).select("doc_id", "src_page", "line_no", "char_no", *sides, "c.char")
 
 
 def counting_model():

@@ -72,21 +72,6 @@ def retry_overlay(spark, sf):
     return batching.retry_overlay(first, slots, answers, BATCH)
 
 
-@query("failed_batches", sql("""SELECT conv_id, block, count(*) AS expected, count(*) FILTER (told) AS actual,
-    string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) AS pages, count(*) FILTER (NOT told) AS missing FROM turns
-    GROUP BY conv_id, block HAVING count(*) FILTER (NOT told) > 0""", "turns"))
-def failed_batches(spark, sf):
-    regions = X.turns(spark, sf).selectExpr(*BATCH, "turn AS page_idx")
-    actual = parsed(spark, sf).groupBy(*BATCH).agg(
-        F.count(F.lit(1)).alias("actual"), F.max(F.lit(None).cast("string")).alias("error")
-    )
-    bad = batching.failed_batches(regions, actual, BATCH)
-    return bad.select(
-        *BATCH, "expected", "actual",
-        F.array_join(F.col("pages").cast("array<string>"), ",").alias("pages"), "missing",
-    )
-
-
 @query("global_cells", sql("""SELECT conv_id, block, idx, idx + off AS cell_idx FROM turns JOIN (SELECT conv_id, block,
     CAST(coalesce(sum(expected) OVER (PARTITION BY conv_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off
     FROM blocks) USING (conv_id, block) WHERE told""", "turns", "blocks"))
@@ -141,18 +126,47 @@ TOLD = """told_text AS (SELECT conv_id, block, coalesce(string_agg('[' || idx ||
     FILTER (told), '') AS out, string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx) FILTER (NOT told) AS gaps FROM turns GROUP BY ALL)"""
 
 
-@query("reply_quality", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT * REPLACE (CASE WHEN conv_id % 6 = 0 AND out <> ''
-    THEN out || ' so again again again and on' ELSE out END AS out) FROM told_text)
-    SELECT conv_id, block, coalesce(CASE WHEN n_told = 0 THEN 'empty_output'
+# Words, parts and cells as lists; the first place of each kind of repetition names it.
+REASONS = r"""CASE WHEN n_told = 0 THEN 'empty_output'
     WHEN expected > 1 AND n_told < expected THEN 'missing_indices:[' || gaps || ']_of_' || expected
-    WHEN conv_id % 6 = 0 THEN 'word_repetition:again'
-    WHEN length(out) > 500 AND len(list_distinct(regexp_extract_all(out, '(?s).'))) / length(out)::DOUBLE < 0.08 THEN 'low_uniqueness' END,
-    'good') AS reason FROM blocks JOIN noisy USING (conv_id, block))""", "turns", "blocks"))
+    WHEN len(w) >= 6 AND len(thrice) > 0 THEN 'word_repetition:' || w[thrice[1]]
+    WHEN len(w) >= 6 AND len(turns_taken) > 0 THEN 'alternating_repetition:' || w[turns_taken[1]] || '_' || w[turns_taken[1] + 1]
+    WHEN phrase IS NOT NULL THEN 'phrase_repetition:' || substr(phrase, 1, 20)
+    WHEN length(out) > 500 AND len(list_distinct(regexp_extract_all(out, '(?s).'))) / length(out)::DOUBLE < 0.08 THEN 'low_uniqueness'
+    WHEN often >= 3 THEN 'duplicate_cells:' || often || 'x''' || substr(often_text, 1, 10) || '''' END"""
+PHRASES = ", ".join(
+    f"""list_filter(list_transform(range(1, len(string_split(out, '{sep}')) - 1),
+    lambda i: CASE WHEN length(trim(string_split(out, '{sep}')[i])) > 1 AND trim(string_split(out, '{sep}')[i]) = trim(string_split(out, '{sep}')[i + 1])
+    AND trim(string_split(out, '{sep}')[i]) = trim(string_split(out, '{sep}')[i + 2]) THEN trim(string_split(out, '{sep}')[i]) END), lambda p: p IS NOT NULL)[1]"""
+    for sep in ("、", ",", "。", " ")
+)
+
+
+@query("reply_quality", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT conv_id, block, gaps, CASE WHEN out = '' THEN out
+    WHEN conv_id % 6 = 0 THEN out || ' so again again again and on' WHEN conv_id % 6 = 1 THEN out || ' on off on off on off'
+    WHEN conv_id % 6 = 2 THEN out || ', one more, one more, one more, end' WHEN conv_id % 6 = 3 THEN same_out ELSE out END AS out
+    FROM told_text LEFT JOIN (SELECT conv_id, block, string_agg('[' || idx || ']: all the same text', chr(10) ORDER BY idx) AS same_out
+    FROM turns WHERE told GROUP BY ALL) USING (conv_id, block)),
+    cell AS (SELECT conv_id, block, CASE WHEN conv_id % 6 = 3 THEN 'all the same text' ELSE text END AS text, count(*) AS n, min(idx) AS first
+    FROM turns WHERE told GROUP BY ALL),
+    cells AS (SELECT conv_id, block, max(n) AS often, arg_min(text, [-n, first]) AS often_text FROM cell GROUP BY conv_id, block),
+    split AS (SELECT *, list_filter(string_split_regex(out, '\\s+'), lambda x: x <> '') AS w FROM noisy),
+    placed AS (SELECT *, list_filter(range(1, len(w) - 1), lambda i: w[i] = w[i + 1] AND w[i] = w[i + 2] AND length(w[i]) > 1) AS thrice,
+    list_filter(range(1, len(w) - 4), lambda i: w[i] = w[i + 2] AND w[i] = w[i + 4] AND w[i + 1] = w[i + 3] AND w[i + 1] = w[i + 5]) AS turns_taken,
+    coalesce({PHRASES}) AS phrase FROM split)
+    SELECT conv_id, block, coalesce({REASONS}, 'good') AS reason
+    FROM blocks JOIN placed USING (conv_id, block) LEFT JOIN cells USING (conv_id, block))""", "turns", "blocks"))
 def reply_quality(spark, sf):
+    """Four ways of looping are planted beside what the conversations say by themselves."""
+    kind, said = F.col("conv_id") % 6, F.col("output") != ""
+    same = F.transform(F.regexp_extract_all("output", F.lit(r"(?m)^\[\d+\]: "), F.lit(0)), lambda t: F.concat(t, F.lit("all the same text")))
     noisy = X.replies(spark, sf).withColumn(
         "output",
-        F.when((F.col("conv_id") % 6 == 0) & (F.col("output") != ""),
-               F.concat("output", F.lit(" so again again again and on"))).otherwise(F.col("output")),
+        F.when(said & (kind == 0), F.concat("output", F.lit(" so again again again and on")))
+        .when(said & (kind == 1), F.concat("output", F.lit(" on off on off on off")))
+        .when(said & (kind == 2), F.concat("output", F.lit(", one more, one more, one more, end")))
+        .when(said & (kind == 3), F.array_join(same, "\n"))
+        .otherwise(F.col("output")),
     )
     cells = P.parse_cells("output", "expected")
     return noisy.select(
@@ -160,19 +174,32 @@ def reply_quality(spark, sf):
     )
 
 
-@query("repetition_loop", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT conv_id, block, CASE WHEN conv_id % 6 = 0 AND out <> ''
-    THEN repeat('go on, ', 12) || out ELSE out END AS out FROM told_text),
+@query("repetition_loop", sql(f"""SELECT * FROM (WITH {TOLD}, noisy AS (SELECT conv_id, block, CASE WHEN out = '' THEN out
+    WHEN conv_id % 6 = 0 THEN repeat('go on, ', 12) || out
+    WHEN conv_id % 6 IN (1, 3) THEN out || array_to_string(list_transform(range(24), lambda k: chr(10) || CASE WHEN k % (conv_id % 6 + 3) = 0
+    THEN ' one and the same line comes back here every now and then ' ELSE 'line ' || k || ' of a list that is long enough to be looked at' END), '')
+    ELSE out END AS out FROM told_text),
     pieces AS (SELECT *, substr(out, s + 1, w) AS p FROM (SELECT *, unnest(range(2, 31)) AS w FROM (SELECT *, unnest(range(100)) AS s
     FROM noisy WHERE length(out) >= 50)) WHERE s < least(100, length(out) - w)),
-    hits AS (SELECT DISTINCT conv_id, block FROM pieces WHERE len(list_distinct(regexp_extract_all(replace(replace(p, ' ', ''), chr(10), ''), '(?s).'))) > 1
-    AND (length(out) - length(replace(out, p, ''))) / length(p) >= 5 AND (length(out) - length(replace(out, p || p, ''))) / length(p || p) >= 4)
+    lines AS (SELECT conv_id, block, trim(line) AS line FROM (SELECT conv_id, block, unnest(string_split(out, chr(10))) AS line
+    FROM noisy WHERE length(out) > 1000 AND len(string_split(out, chr(10))) > 20)),
+    hits AS (SELECT conv_id, block FROM pieces WHERE len(list_distinct(regexp_extract_all(replace(replace(p, ' ', ''), chr(10), ''), '(?s).'))) > 1
+    AND (length(out) - length(replace(out, p, ''))) / length(p) >= 5 AND (length(out) - length(replace(out, p || p, ''))) / length(p || p) >= 4
+    UNION SELECT conv_id, block FROM lines WHERE line <> '' GROUP BY conv_id, block, line HAVING count(*) >= 5)
     SELECT n.conv_id, n.block, h.conv_id IS NOT NULL AS loops FROM noisy n LEFT JOIN hits h USING (conv_id, block))""", "turns"))
 def repetition_loop(spark, sf):
-    # The doubled piece starts the reply, as a stuck model's does.
+    """A doubled piece starts some replies, as a stuck model's does; some end in lines of which one
+    comes back six times, and some four."""
+    every = F.col("conv_id") % 6 + 3
+    lines = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda k: F.when(
+        k % every == 0, F.lit("\n one and the same line comes back here every now and then ")
+    ).otherwise(F.concat(F.lit("\nline "), k.cast("string"), F.lit(" of a list that is long enough to be looked at"))))
     noisy = X.replies(spark, sf).withColumn(
         "output",
-        F.when((F.col("conv_id") % 6 == 0) & (F.col("output") != ""),
-               F.concat(F.repeat(F.lit("go on, "), F.lit(12)), "output")).otherwise(F.col("output")),
+        F.when(F.col("output") == "", "")
+        .when(F.col("conv_id") % 6 == 0, F.concat(F.repeat(F.lit("go on, "), F.lit(12)), "output"))
+        .when((F.col("conv_id") % 6).isin(1, 3), F.concat("output", F.array_join(lines, "")))
+        .otherwise(F.col("output")),
     )
     return noisy.select(*BATCH, Q.repetition_loop("output").alias("loops"))
 

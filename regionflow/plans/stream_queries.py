@@ -40,7 +40,10 @@ def stub_replies(batches):
     )
 
 
-@query("stream_regions", sql("""SELECT doc_id, global_idx, kind, original_text, translated_text FROM (
+@query("stream_regions", sql("""SELECT doc_id, global_idx, kind, original_text, translated_text, 'event: ' || kind || chr(10) || 'data: ' || CASE kind
+    WHEN 'result' THEN to_json(struct_pack(global_idx := global_idx, page_idx := CAST(floor(global_idx / 10) AS BIGINT), bubble_idx := global_idx % 10,
+    original_text := original_text, translated_text := translated_text))::VARCHAR WHEN 'error' THEN '{"error":"source failed"}'
+    ELSE '{"stats":{"bubbles":' || global_idx || '}}' END || chr(10) || chr(10) AS event FROM (
     SELECT doc_id, global_idx, 'result' AS kind, text AS original_text, CASE WHEN bool_or(text LIKE '%333') OVER w
     THEN '[TRANSLATE_ERROR]' WHEN text = '' THEN '' WHEN bool_or(text LIKE '%7') OVER w AND global_idx = max(CASE WHEN text <> '' THEN global_idx END) OVER w
     THEN '[MISSING]' ELSE 'T:' || text END AS translated_text FROM (
@@ -54,7 +57,7 @@ def stream_regions(spark, sf):
     released = regions.run_region_stream(
         spark, source_files(spark, sf), shared_dir(spark, "stream"), stub_replies
     )
-    return released.select("doc_id", "global_idx", "kind", "original_text", "translated_text")
+    return regions.released_events(released).select("doc_id", "global_idx", "kind", "original_text", "translated_text", "event")
 
 
 @query("stream_events", sql("""SELECT doc_id, 'start' AS kind, concat('event: start', chr(10), 'data: {"total_batches":', CAST(ceil(count(*) / 9.0) AS BIGINT),
@@ -73,6 +76,32 @@ def stream_plan(spark, sf):
     return regions.stream_plan(cut_lineage(merged(spark, sf))).select("doc_id", "global_idx", "page_idx", "bubble_idx", "text", "is_end")
 
 
+# Translations of whole conversations, numbered by line; some loop, some are left in kana.
+@query("early_translation", sql("""SELECT reply_id, chunk_no, reason FROM (SELECT reply_id, chunk_no, coalesce(
+    CASE WHEN numbered > 2 * expected THEN 'too_many_lines:' || numbered END,
+    CASE WHEN length(p) > 200 AND n_lines >= 4 AND looped IS NOT NULL THEN 'repetition:' || len(list_filter(lines, lambda x: x = looped)) || 'x' END,
+    CASE WHEN length(p) > 150 AND cjk > length(p) * 0.5 THEN 'still_cjk:' || cjk || '/' || length(p) END) AS reason FROM (
+    SELECT *, list_filter(lines, lambda x: length(x) > 5 AND len(list_filter(lines, lambda y: y = x)) >= 3)[1] AS looped FROM (
+    SELECT *, every[-8:] AS lines, len(every) AS n_lines FROM (
+    SELECT *, len(regexp_extract_all(p, '(?m)^[0-9]+[.)]')) AS numbered, len(regexp_extract_all(p, '[\\x{3040}-\\x{30ff}]')) AS cjk,
+    list_filter(list_transform(string_split(p, chr(10)), lambda t: trim(t)), lambda t: t <> '') AS every FROM (
+    SELECT *, substr(output, 1, CAST((chunk_no + 1) * 40 AS BIGINT)) AS p FROM (
+    SELECT *, unnest(range(CAST(ceil(length(output) / 40.0) AS BIGINT))) AS chunk_no FROM (
+    SELECT conv_id * 1000 + block AS reply_id, CASE WHEN conv_id % 5 = 3 THEN translate(said, 'aeioust', 'アエイオウスト') ELSE said END
+    || CASE conv_id % 5 WHEN 1 THEN repeat(chr(10) || '1. again', 9) WHEN 2 THEN repeat(chr(10) || 'the same line over and over', 4) ELSE '' END AS output, expected
+    FROM (SELECT conv_id, block, string_agg((idx + 1) || '. ' || text, chr(10) ORDER BY idx) AS said, max(idx) + 1 AS expected FROM turns GROUP BY ALL))))))))
+    WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY reply_id ORDER BY chunk_no) = 1""", "turns"))
+def early_translation(spark, sf):
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda t: F.concat((t["idx"] + 1).cast("string"), F.lit(". "), t["text"]))
+    said = X.turns(spark, sf).groupBy("conv_id", "block").agg(F.array_join(lines, "\n").alias("said"), (F.max("idx") + 1).alias("expected"))
+    replies = said.selectExpr(
+        "conv_id * 1000 + block AS reply_id",
+        "concat(CASE WHEN conv_id % 5 = 3 THEN translate(said, 'aeioust', 'アエイオウスト') ELSE said END, CASE conv_id % 5"
+        " WHEN 1 THEN repeat('\n1. again', 9) WHEN 2 THEN repeat('\nthe same line over and over', 4) ELSE '' END) AS output", "expected",
+    )
+    return chunks.first_abort(replies, 40, chunks.translations("English"))
+
+
 # Each prefix is judged anew here; the operator reads each reply once.
 @query("early_abort", sql("""SELECT reply_id, chunk_no, reason FROM (SELECT *, coalesce(
     'index_overflow:' || list_filter(seen, lambda i: i >= expected)[1] || '_vs_' || expected,

@@ -3,7 +3,8 @@
 Stage 1 cuts a document's regions, which may arrive in any order, into
 translation batches and emits a batch as soon as it is complete.  Stage 2
 translates batches and writes results.  Stage 3 releases results in region
-order.  Before them an OCR stage may read the regions' texts, nine at a time.  Stages meet in shared Parquet folders, so each restarts on its own from
+order.  Before them an OCR stage may read the regions' texts, nine at a time, whole nines
+filled over micro-batches.  Stages meet in shared Parquet folders, so each restarts on its own from
 its checkpoint.  There is no event time: state goes when a document is complete
 or its stall timer fires.
 """
@@ -40,7 +41,12 @@ RELEASED = (
     "doc_id bigint, kind string, global_idx bigint, page_idx bigint, bubble_idx bigint, "
     "original_text string, translated_text string"
 )
+OCR_INPUT = REGION_INPUT + ", ocr_batch bigint"
 STALL_MS = 300_000
+#: How long a worker may take for what is missing once a document's end is known.
+WORKER_MS = 120_000
+#: Rows of a key held in memory before they go to its state.
+NEAR_ROWS = 65_536
 #: Rows of a key handed on at once.
 FRAME_ROWS = 4096
 BROKEN_SOURCE = "source failed"
@@ -53,6 +59,111 @@ def framed(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(part, columns=names)
 
 
+class _Held:
+    """Rows of a key by index: what this call brought is in memory, the rest in a map state.
+
+    State is asked only for what is known to lie there, and written once at the end of a
+    call, or when many rows wait for an earlier one.
+    """
+
+    def __init__(self, state, stored: int):
+        self.state, self.stored = state, stored
+        self.near: dict[int, tuple] = {}
+
+    def put(self, idx: int, row: tuple) -> None:
+        self.near[idx] = row
+        if len(self.near) > NEAR_ROWS:
+            self.flush()
+
+    def get(self, idx: int) -> tuple | None:
+        if idx in self.near:
+            return self.near[idx]
+        return tuple(self.state.getValue((idx,))) if self.stored and self.state.containsKey((idx,)) else None
+
+    def drop(self, idx: int) -> None:
+        self.near.pop(idx, None)
+        if self.stored and self.state.containsKey((idx,)):
+            self.state.removeKey((idx,))
+            self.stored -= 1
+
+    def flush(self) -> None:
+        for idx, row in self.near.items():
+            self.stored += not (self.stored and self.state.containsKey((idx,)))
+            self.state.updateValue((idx,), row)
+        self.near = {}
+
+    def clear(self) -> None:
+        self.near = {}
+        if self.stored:
+            self.state.clear()
+        self.stored = 0
+
+
+class NineBatcher(StatefulProcessor):
+    """Regions for the OCR stage: so many of a document in order at a time, however its regions
+    come in and over however many micro-batches; the rest goes with the end marker."""
+
+    def __init__(self, size: int = C.STREAM_REGION_BATCH, stall_ms: int | None = STALL_MS):
+        self.size, self.stall_ms = size, stall_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next bigint, sent bigint, total bigint, broken boolean, timer bigint, stored bigint")
+        self.rows = handle.getMapState("rows", "idx bigint", "page bigint, bubble bigint, text string, bad boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
+        yield from framed(self.step(key, rows, timerValues), OCR_INPUT)
+
+    def emit(self, doc: int, held: _Held, start: int, end: int) -> Iterator[tuple]:
+        for idx in range(start, end):
+            yield doc, idx, *held.get(idx), False, start // self.size
+            held.drop(idx)
+
+    def step(self, key, rows, timerValues) -> Iterator[tuple]:
+        (doc,) = key
+        at, sent, total, broken, timer, stored = self.place.get() if self.place.exists() else (0, 0, -1, False, -1, 0)
+        held = _Held(self.rows, stored)
+        if self.stall_ms and timer < 0:
+            timer = timerValues.getCurrentProcessingTimeInMs() + self.stall_ms
+            self.handle.registerTimer(timer)
+        for frame in rows:
+            for r in frame.itertuples(index=False):
+                if r.is_end:
+                    total, broken = int(r.global_idx), bool(r.ocr_error)
+                elif r.global_idx >= at:
+                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)))
+            while held.get(at) is not None:
+                at += 1
+                if at - sent == self.size:
+                    yield from self.emit(doc, held, sent, at)
+                    sent = at
+        if at == total:
+            yield from self.emit(doc, held, sent, at)
+            yield doc, total, -1, -1, "", broken, True, -1
+            self.place.clear()
+            held.clear()
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+        else:
+            held.flush()
+            self.place.update((at, sent, total, broken, timer, held.stored))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, sent, _, _, _, stored = self.place.get() if self.place.exists() else (0, 0, -1, False, -1, 0)
+        held = _Held(self.rows, stored)
+
+        def rest() -> Iterator[tuple]:
+            yield from self.emit(key[0], held, sent, at)
+            yield key[0], at, -1, -1, "", True, True, -1
+
+        yield from framed(rest(), OCR_INPUT)
+        self.place.clear()
+        held.clear()
+
+    def close(self) -> None:
+        pass
+
+
 class RegionBatcher(StatefulProcessor):
     """Accumulate regions in order; emit a batch at every ``size``-th text and the
     rest at the end marker (whose ``global_idx`` is the number of regions).
@@ -66,7 +177,7 @@ class RegionBatcher(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.place = handle.getValueState(
-            "place", "next bigint, first bigint, texts bigint, batch bigint, total bigint, timer bigint, broken boolean"
+            "place", "next bigint, first bigint, texts bigint, batch bigint, total bigint, timer bigint, broken boolean, stored bigint"
         )
         self.rows = handle.getMapState(
             "rows", "idx bigint", "page bigint, bubble bigint, text string, bad boolean"
@@ -75,72 +186,68 @@ class RegionBatcher(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         yield from framed(self.step(key, rows, timerValues), BATCHED)
 
+    def emit(self, doc: int, held: _Held, first: int, until: int, batch: int) -> Iterator[tuple]:
+        seen = 0
+        for idx in range(first, until):
+            row = held.get(idx)
+            if row is None:
+                continue                      # an error row, released before
+            page, bubble, text, _ = row
+            yield doc, "region", batch, idx, seen, page, bubble, text
+            seen += text != ""
+            held.drop(idx)
+
     def step(self, key, rows, timerValues) -> Iterator[tuple]:
         (doc,) = key
-        at, first, texts, batch, total, timer, broken = (
-            self.place.get() if self.place.exists() else (0, 0, 0, 0, -1, -1, False)
+        at, first, texts, batch, total, timer, broken, stored = (
+            self.place.get() if self.place.exists() else (0, 0, 0, 0, -1, -1, False, 0)
         )
+        held = _Held(self.rows, stored)
         if self.stall_ms and timer < 0:
             timer = timerValues.getCurrentProcessingTimeInMs() + self.stall_ms
             self.handle.registerTimer(timer)
+        waiting = first < at
         for frame in rows:
             for r in frame.itertuples(index=False):
                 if r.is_end:
                     total, broken = int(r.global_idx), bool(r.ocr_error)
                 elif r.global_idx >= at:
-                    self.rows.updateValue(
-                        (int(r.global_idx),),
-                        (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)),
-                    )
-
-        def emit(until: int) -> Iterator[tuple]:
-            nonlocal first, texts, batch
-            seen = sent = 0
-            for idx in range(first, until):
-                if not self.rows.containsKey((idx,)):
-                    continue                      # an error row, released before
-                page, bubble, text, _ = self.rows.getValue((idx,))
-                yield doc, "region", batch, idx, seen, page, bubble, text
-                seen, sent = seen + (text != ""), sent + 1
-                self.rows.removeKey((idx,))
-            first, texts, batch = until, 0, batch + (sent > 0)
-
-        while self.rows.containsKey((at,)):
-            page, bubble, text, bad = self.rows.getValue((at,))
-            if bad:
-                yield doc, "ocr_error", -1, at, -1, page, bubble, C.OCR_ERROR
-                self.rows.removeKey((at,))
-            elif text != "":
-                texts += 1
-            at += 1
-            if texts == self.size:
-                yield from emit(at)
+                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)))
+            while (row := held.get(at)) is not None:
+                page, bubble, text, bad = row
+                if bad:
+                    yield doc, "ocr_error", -1, at, -1, page, bubble, C.OCR_ERROR
+                    held.drop(at)
+                else:
+                    texts, waiting = texts + (text != ""), True
+                at += 1
+                if texts == self.size:
+                    yield from self.emit(doc, held, first, at, batch)
+                    first, texts, batch, waiting = at, 0, batch + 1, False
         if at == total:
-            yield from emit(at)
+            if waiting:
+                yield from self.emit(doc, held, first, at, batch)
             yield (doc, "error" if broken else "end", -1, total, -1, -1, -1, BROKEN_SOURCE if broken else "")
             self.place.clear()
-            self.rows.clear()
+            held.clear()
             if timer >= 0:
                 self.handle.deleteTimer(timer)
         else:
-            self.place.update((at, first, texts, batch, total, timer, broken))
+            held.flush()
+            self.place.update((at, first, texts, batch, total, timer, broken, held.stored))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        at, first, _, batch, *_ = self.place.get() if self.place.exists() else (0, 0, 0, 0)
+        at, first, _, batch, *_, stored = self.place.get() if self.place.exists() else (0, 0, 0, 0, 0)
+        held = _Held(self.rows, stored)
 
         def rest() -> Iterator[tuple]:
             # What came in order before the gap is still worth translating.
-            seen = 0
-            for idx in range(first, at):
-                if self.rows.containsKey((idx,)):
-                    page, bubble, text, _ = self.rows.getValue((idx,))
-                    yield key[0], "region", batch, idx, seen, page, bubble, text
-                    seen += text != ""
+            yield from self.emit(key[0], held, first, at, batch)
             yield key[0], "error", -1, at, -1, -1, -1, f"Timeout waiting for result {at}"
 
         yield from framed(rest(), BATCHED)
         self.place.clear()
-        self.rows.clear()
+        held.clear()
 
     def close(self) -> None:
         pass
@@ -148,48 +255,86 @@ class RegionBatcher(StatefulProcessor):
 
 class OrderedRelease(StatefulProcessor):
     """Hold results by index and let them go while the next index is there; the end or
-    an error closes the document and drops what is held of it."""
+    an error closes the document and drops what is held of it.
+
+    A result that never comes ends the document in an error: ``stall_ms`` after its first
+    row, but not before a worker had ``worker_ms`` for it since the document's end was known.
+    """
+
+    def __init__(self, stall_ms: int | None = None, worker_ms: int = WORKER_MS):
+        self.stall_ms, self.worker_ms = stall_ms, worker_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", "next bigint, total bigint, error string")
-        self.held = handle.getMapState(
+        self.handle = handle
+        self.place = handle.getValueState("place", "next bigint, total bigint, error string, due bigint, timer bigint, stored bigint")
+        self.rows = handle.getMapState(
             "held", "idx bigint", "page bigint, bubble bigint, source string, target string"
         )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        yield from framed(self.step(key, rows), RELEASED)
+        yield from framed(self.step(key, rows, timerValues), RELEASED)
 
-    def step(self, key, rows) -> Iterator[tuple]:
+    def step(self, key, rows, timerValues) -> Iterator[tuple]:
         (doc,) = key
-        at, total, error = self.place.get() if self.place.exists() else (0, -1, None)
+        at, total, error, due, timer, stored = self.place.get() if self.place.exists() else (0, -1, None, -1, -1, 0)
+        held = _Held(self.rows, stored)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.stall_ms else 0
+        if self.stall_ms and timer < 0:
+            due = timer = now + self.stall_ms
+            self.handle.registerTimer(timer)
         for frame in rows:
             for r in frame.itertuples(index=False):
                 if r.kind in ("end", "error"):
                     total = int(r.global_idx)
                     error = r.original_text if r.kind == "error" else None
+                    due = max(due, now + self.worker_ms)
                 elif r.global_idx >= at:
-                    self.held.updateValue(
-                        (int(r.global_idx),),
-                        (int(r.page_idx), int(r.bubble_idx), r.original_text, r.translated_text),
-                    )
-        while self.held.containsKey((at,)):
-            yield doc, "result", at, *self.held.getValue((at,))
-            self.held.removeKey((at,))
-            at += 1
+                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.original_text, r.translated_text))
+            while (row := held.get(at)) is not None:
+                yield doc, "result", at, *row
+                held.drop(at)
+                at += 1
         if at == total:
             if error is None:
                 yield doc, "complete", total, -1, -1, "", ""
             else:
                 yield doc, "error", total, -1, -1, error, error
             self.place.clear()
-            self.held.clear()
+            held.clear()
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
         else:
-            self.place.update((at, total, error))
+            held.flush()
+            self.place.update((at, total, error, due, timer, held.stored))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        if not self.place.exists():
+            return
+        at, total, error, due, _, stored = self.place.get()
+        now = timerValues.getCurrentProcessingTimeInMs()
+        # Without its end a document is still read, and the stage before has a limit for that.
+        later = due if now < due else now + self.stall_ms if total < 0 else -1
+        if later >= 0:
+            self.handle.registerTimer(later)
+            self.place.update((at, total, error, due, later, stored))
+            return
+        message = f"Timeout waiting for result {at}"
+        yield from framed(iter([(key[0], "error", at, -1, -1, message, message)]), RELEASED)
+        self.place.clear()
+        _Held(self.rows, stored).clear()
 
     def close(self) -> None:
         pass
 
 
+def batch_nines(stream: DataFrame, size: int = C.STREAM_REGION_BATCH, stall_ms: int | None = STALL_MS) -> DataFrame:
+    """Regions with their ``ocr_batch``, let go when a batch is whole or its document ends."""
+    return stream.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=NineBatcher(size, stall_ms), outputStructType=OCR_INPUT,
+        outputMode="Append", timeMode="ProcessingTime" if stall_ms else "None",
+    )
+
+
 def batch_regions(
     stream: DataFrame, size: int = C.STREAM_TEXT_BATCH, stall_ms: int | None = STALL_MS
 ) -> DataFrame:
@@ -199,10 +344,10 @@ def batch_regions(
     )
 
 
-def release_in_order(stream: DataFrame) -> DataFrame:
+def release_in_order(stream: DataFrame, stall_ms: int | None = None, worker_ms: int = WORKER_MS) -> DataFrame:
     return stream.groupBy("doc_id").transformWithStateInPandas(
-        statefulProcessor=OrderedRelease(), outputStructType=RELEASED,
-        outputMode="Append", timeMode="None",
+        statefulProcessor=OrderedRelease(stall_ms, worker_ms), outputStructType=RELEASED,
+        outputMode="Append", timeMode="ProcessingTime" if stall_ms else "None",
     )
 
 
@@ -260,12 +405,11 @@ def stream_plan(regions: DataFrame) -> DataFrame:
     return rows.unionByName(ends)
 
 
-def read_crops(frame: DataFrame, ocr: Callable[[DataFrame], DataFrame], size: int = C.STREAM_REGION_BATCH) -> DataFrame:
-    """The OCR stage: ``ocr`` gets region rows with their ``ocr_batch`` (so many regions of one
-    document in order) and gives them back with ``text`` and ``ocr_error``; end markers pass."""
-    regions = frame.filter("NOT is_end").withColumn("ocr_batch", F.floor(F.col("global_idx") / size))
+def read_crops(frame: DataFrame, ocr: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The OCR stage on rows of ``batch_nines``: ``ocr`` gets region rows with their ``ocr_batch`` and
+    gives them back with ``text`` and ``ocr_error``; end markers pass."""
     names = [part.split()[0] for part in REGION_INPUT.split(",")]
-    return ocr(regions).select(*names).unionByName(frame.filter("is_end").select(*names))
+    return ocr(frame.filter("NOT is_end")).select(*names).unionByName(frame.filter("is_end").select(*names))
 
 
 def start_region_stream(
@@ -276,6 +420,7 @@ def start_region_stream(
     size: int = C.STREAM_TEXT_BATCH,
     files_per_trigger: int | None = None,
     stall_ms: int | None = STALL_MS,
+    worker_ms: int = WORKER_MS,
     state_partitions: int = 8,
     ocr: Callable[[DataFrame], DataFrame] | None = None,
     finite: bool = False,
@@ -313,12 +458,13 @@ def start_region_stream(
     with stream_settings(spark, state_partitions):
         regions = source
         if ocr:
-            queries.append(stage("regions", REGION_INPUT, lambda frame: read_crops(frame, ocr), read(source, REGION_INPUT)))
+            nines = batch_nines(read(source, REGION_INPUT), stall_ms=stall_ms)
+            queries.append(stage("regions", REGION_INPUT, lambda frame: read_crops(frame, ocr), nines))
             regions = f"{work}/regions/*"
         batched = batch_regions(read(regions, REGION_INPUT), size, stall_ms)
         queries.append(stage("results", RESULT, lambda frame: translate_batched(frame, translate), batched))
         released = (
-            release_in_order(read(f"{work}/results/*", RESULT))
+            release_in_order(read(f"{work}/results/*", RESULT), stall_ms, worker_ms)
             .writeStream.format("parquet").option("path", f"{work}/released")
             .option("checkpointLocation", f"{work}/check-released").trigger(**trigger).start()
         )
@@ -357,13 +503,13 @@ def start_events(regions: DataFrame, batch: int = C.STREAM_REGION_BATCH) -> Data
 
 
 def released_events(released: DataFrame) -> DataFrame:
-    """Event text of every released row."""
+    """Released rows with their event text."""
     result = F.struct("global_idx", "page_idx", "bubble_idx", "original_text", "translated_text")
     end = F.struct(F.struct(F.col("global_idx").alias("bubbles")).alias("stats"))
     error = F.struct(F.col("original_text").alias("error"))
-    return released.select(
-        "doc_id", "kind", "global_idx",
+    return released.withColumn(
+        "event",
         F.when(F.col("kind") == "result", event_text(F.lit("result"), result))
         .when(F.col("kind") == "complete", event_text(F.lit("complete"), end))
-        .otherwise(event_text(F.lit("error"), error)).alias("event"),
+        .otherwise(event_text(F.lit("error"), error)),
     )
