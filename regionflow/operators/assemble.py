@@ -76,16 +76,37 @@ def full_page_results(pages: DataFrame) -> DataFrame:
     )
 
 
-def response_envelope(nested: DataFrame, output_type: str, stats: DataFrame) -> DataFrame:
-    """Status row per document; counts the pages present in the result."""
-    counts = nested.groupBy("doc_id").agg(
-        F.countDistinct("page_idx").alias("page_count"),
-        F.sum(F.size("regions")).alias("bubble_count"),
+def speech_images(crops: DataFrame, texts: DataFrame, translations: DataFrame, inpainted: bool = False) -> DataFrame:
+    """Rows of ``speech_image_only``: every region's picture with its place and its texts.
+
+    ``crops``: region key, box, ``rgb`` bytes, width and height; ``texts``: region key, line_no, text;
+    ``translations``: region key and ``translated``. A region without a translation says so.
+    """
+    key = ["doc_id", "page_idx", "region_id"]
+    # A region has a few lines.
+    said = texts.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda t: t["text"]), "").alias("original_text"))
+    return crops.join(said, key, "left").join(translations.select(*key, "translated"), key, "left").select(
+        "doc_id", "page_idx", F.col("region_id").alias("bubble_idx"), F.array("x1", "y1", "x2", "y2").alias("bubble_box"),
+        one_line_base64(F.col("rgb")).alias("image_base64"), "width", "height", F.coalesce("original_text", F.lit("")).alias("original_text"),
+        F.coalesce("translated", F.lit(C.MISSING)).alias("translated_text"), F.lit(inpainted).alias("inpainted_background"),
     )
+
+
+def speech_pages(rows: DataFrame) -> DataFrame:
+    """``speech_images`` nested per page, in order of their number."""
+    item = F.struct("bubble_idx", "bubble_box", "image_base64", "original_text", "translated_text", "inpainted_background")
+    return rows.groupBy("doc_id", "page_idx").agg(F.array_sort(F.collect_list(item)).alias("regions"))
+
+
+def response_envelope(pages: DataFrame, output_type: str, stats: DataFrame) -> DataFrame:
+    """Status row per document of any output type; counts the pages present in the result and,
+    where pages have ``regions``, these."""
+    regions = F.sum(F.size("regions")) if "regions" in pages.columns else F.lit(None).cast("bigint")
+    counts = pages.groupBy("doc_id").agg(F.countDistinct("page_idx").alias("page_count"), regions.alias("bubble_count"))
+    bubbles = F.coalesce("bubble_count", F.lit(0)) if "regions" in pages.columns else F.col("bubble_count")
     return stats.join(counts, "doc_id", "left").select(
         "doc_id", F.lit("success").alias("status"), F.lit(output_type).alias("output_type"),
-        F.coalesce("page_count", F.lit(0)).alias("page_count"),
-        F.coalesce("bubble_count", F.lit(0)).alias("bubble_count"),
+        F.coalesce("page_count", F.lit(0)).alias("page_count"), bubbles.alias("bubble_count"),
         F.to_json(F.struct(*[c for c in stats.columns if c != "doc_id"])).alias("stats"),
     )
 

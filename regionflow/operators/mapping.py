@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
@@ -24,6 +24,8 @@ CELL_FIELDS = [
 ]
 # Tile sizes; a box is probed at the first size it fits in, the rest in one tile.
 TILE_SIZES = (256, 2048, 16384)
+# Tiles that points are looked up in, and the longest side of the cells that lie in them.
+POINT_TILES = ((32, 1024), (512, 16384), (8192, None))
 
 
 def scale_to_image(lines: DataFrame, images: DataFrame, tolerance: float = C.DPI_TOLERANCE) -> DataFrame:
@@ -97,8 +99,8 @@ def _whole() -> Column:
     return F.struct(F.lit(len(TILE_SIZES)).alias("lv"), zero.alias("ty"), zero.alias("tx"))
 
 
-def _line_probes(lines: DataFrame) -> DataFrame:
-    """Tiles of the centre, of the top-left corner and of the box."""
+def _line_probes(lines: DataFrame, points: bool = True) -> DataFrame:
+    """Tiles of the box and, with ``points``, of the centre and of the top-left corner."""
     small = TILE_SIZES[0]
     box = ("x", "y", "lx2", "ly2")
     longest = F.greatest("width", "height")
@@ -106,11 +108,11 @@ def _line_probes(lines: DataFrame) -> DataFrame:
     for level, size in enumerate(TILE_SIZES[1:], 1):
         by_size = by_size.when(longest <= size, _probe(level, G.tiles(*box, size)))
     by_size = by_size.otherwise(F.array(_whole()))
-    points = F.concat(
-        _probe(0, G.tiles("cx", "cy", "cx", "cy", small)),
-        _probe(0, G.tiles("x", "y", "x", "y", small)),
-    )
-    return lines.withColumn("p", F.explode(F.array_distinct(F.concat(points, by_size))))
+    if points:
+        by_size = F.array_distinct(F.concat(
+            _probe(0, G.tiles("cx", "cy", "cx", "cy", small)), _probe(0, G.tiles("x", "y", "x", "y", small)), by_size
+        ))
+    return lines.withColumn("p", F.explode(by_size))
 
 
 def _cell_probes(cells: DataFrame, tolerance: float) -> DataFrame:
@@ -129,6 +131,68 @@ def _one_per_box(cells: DataFrame) -> DataFrame:
     )
 
 
+def _point_cells(cells: DataFrame, tolerance: float) -> DataFrame:
+    """Small tiles ``p`` with the cells a point in them may be in, of a document's cells in any batch.
+
+    The earliest cell wins, so behind one that covers a whole tile none counts there. What is
+    left of a tile depends on where boxes end in it, not on how many batches a document has.
+    """
+    grown = {c: F.col(c) + d for c, d in zip(GRID_BOX, (-tolerance, -tolerance, tolerance, tolerance))}
+    longest = F.greatest(F.col("gx2") - F.col("gx1"), F.col("gy2") - F.col("gy1"))
+    probes = F.lit(None)
+    for level, (size, most) in reversed(list(enumerate(POINT_TILES))):
+        there = _probe(level, G.tiles(*grown.values(), size))
+        probes = there if most is None else F.when(longest <= most, there).otherwise(probes)
+    touched = _one_per_box(cells).select("doc_id", "cell_idx", *GRID_BOX, F.explode(probes).alias("p"))
+    size = F.element_at(F.array(*[F.lit(s) for s, _ in POINT_TILES]), F.col("p.lv") + 1)
+    covers = F.lit(True)
+    for axis in "xy":
+        place = F.col(f"p.t{axis}")
+        covers = covers & (grown[f"g{axis}1"] <= place * size) & (grown[f"g{axis}2"] >= (place + 1) * size)
+    first = touched.groupBy("doc_id", "p").agg(F.min(F.when(covers, F.col("cell_idx"))).alias("first"))
+    return touched.join(first, ["doc_id", "p"]).filter("first IS NULL OR cell_idx <= first").drop("first")
+
+
+def _candidates(pairs: DataFrame, key: list[str], rule: Column, overlap: Column | float = 0.0) -> DataFrame:
+    """The best of each line's cells: by rule, then by overlap in rule 3, then the earliest."""
+    best = F.struct(rule.alias("rule"), F.when(rule == 3, -overlap).otherwise(0.0).alias("rank"), "cell_idx")
+    return pairs.filter(rule.isNotNull()).groupBy(*key).agg(F.min(best).alias("m"))
+
+
+def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tolerance: float, unknown_batches: bool) -> DataFrame:
+    """(key, doc_id, rule, cell_idx) of every line that lies in a cell."""
+    key = list(dict.fromkeys([*line_key, "doc_id"]))
+    placed = cells.select("doc_id", *CELL_FIELDS)
+    points = lines.withColumns(_line_points()).select(*key, F.col("batch_idx").alias("l_batch"), "x", "y", "lx2", "ly2", "cx", "cy", "width", "height")
+    overlap = G.overlap_area(("x", "y", "lx2", "ly2"), GRID_BOX)
+    centre, corner = (F.when(G.inside(GRID_BOX, *at, tolerance), n) for n, at in ((1, ("cx", "cy")), (2, ("x", "y"))))
+    known = _cell_probes(placed.filter("batch_idx IS NOT NULL"), tolerance)
+    known = known.select("doc_id", F.col("batch_idx").alias("l_batch"), "p", "cell_idx", *GRID_BOX)
+    met = _line_probes(points.filter("l_batch IS NOT NULL")).join(known, ["doc_id", "l_batch", "p"])
+    found = _candidates(met, key, F.coalesce(centre, corner, F.when(overlap > 0, 3)), overlap)
+    if not unknown_batches:
+        return found.select(*key, "m.rule", "m.cell_idx")
+    # A line without a batch may lie in any cell, one with a batch also in those without.
+    sides = [("l_batch IS NULL", placed), ("l_batch IS NOT NULL", placed.filter("batch_idx IS NULL"))]
+    for some, others in sides:
+        at = [
+            F.struct(F.lit(n).alias("n"), F.struct(F.lit(level).alias("lv"), F.floor(F.col(y) / size).alias("ty"), F.floor(F.col(x) / size).alias("tx")).alias("p"))
+            for n, x, y in ((1, "cx", "cy"), (2, "x", "y")) for level, (size, _) in enumerate(POINT_TILES)
+        ]
+        asked = points.filter(some).select(*key, "x", "y", "cx", "cy", F.inline(F.array(*at)))
+        in_tile = asked.join(_point_cells(others, tolerance), ["doc_id", "p"])
+        found = found.unionByName(_candidates(in_tile, key, F.when(F.col("n") == 1, centre).otherwise(corner)))
+    found = cut_lineage(found.groupBy(*key).agg(F.min("m").alias("m")))
+    # The largest overlap only counts for lines whose points are in no cell.
+    rest = points.join(found.filter("m.rule < 3").select(*key), key, "left_anti")
+    by_size = _line_probes(rest, points=False)
+    for some, others in sides:
+        boxes = _cell_probes(_one_per_box(others), tolerance).select("doc_id", "p", "cell_idx", *GRID_BOX)
+        pairs = by_size.filter(some).join(boxes, ["doc_id", "p"])
+        found = found.unionByName(_candidates(pairs, key, F.when(overlap > 0, 3), overlap))
+    return found.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.rule", "m.cell_idx")
+
+
 def spatial_matches(
     lines: DataFrame,
     cells: DataFrame,
@@ -140,49 +204,11 @@ def spatial_matches(
     cell, both with tolerance and the earliest cell winning, (3) largest overlap.
 
     A line or cell without a batch may match any batch of its document; pass
-    ``unknown_batches=False`` when every batch is known to save two joins.
+    ``unknown_batches=False`` when every batch is known to save the joins for them.
     """
-    key = list(line_key)
-    keep = [*key, "l_batch", "x", "y", "lx2", "ly2", "cx", "cy", "p"]
-    lp = _line_probes(lines.withColumns(_line_points())).withColumnRenamed("batch_idx", "l_batch")
-    lp = lp.select(*dict.fromkeys(["doc_id", *keep]))
-
-    def meet(left: DataFrame, right: DataFrame, same_batch: bool) -> DataFrame:
-        fields = [c for c in CELL_FIELDS if c != "batch_idx"]
-        keys = ["doc_id", "l_batch", "p"] if same_batch else ["doc_id", "p"]
-        right = right.select(
-            "doc_id", F.col("batch_idx").alias("l_batch"), "p", *fields
-        )
-        return left.join(right if same_batch else right.drop("l_batch"), keys).drop("l_batch", "p")
-
-    placed = cells.select("doc_id", *CELL_FIELDS)
-    known = _cell_probes(placed.filter("batch_idx IS NOT NULL"), tolerance)
-    pairs = meet(lp.filter("l_batch IS NOT NULL"), known, True)
-    if unknown_batches:
-        any_cell = _cell_probes(_one_per_box(placed), tolerance)
-        loose = _cell_probes(_one_per_box(placed.filter("batch_idx IS NULL")), tolerance)
-        pairs = pairs.unionByName(meet(lp.filter("l_batch IS NULL"), any_cell, False))
-        pairs = pairs.unionByName(meet(lp.filter("l_batch IS NOT NULL"), loose, False))
-
-    overlap = G.overlap_area(("x", "y", "lx2", "ly2"), GRID_BOX)
-    rule = (
-        F.when(G.inside(GRID_BOX, "cx", "cy", tolerance), 1)
-        .when(G.inside(GRID_BOX, "x", "y", tolerance), 2)
-        .when(overlap > 0, 3)
-    )
-    fields = ["cell_idx", "page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
-    candidate = F.struct(
-        F.col("rule"),
-        F.when(F.col("rule") == 3, -overlap).otherwise(0.0).alias("rank"),
-        *fields,
-    )
-    return (
-        pairs.withColumn("rule", rule)
-        .filter("rule IS NOT NULL")
-        .groupBy(*key)
-        .agg(F.min(candidate).alias("m"))
-        .select(*key, "m.rule", *[f"m.{f}" for f in fields])
-    )
+    fields = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
+    best = _best_cells(lines, cells, line_key, tolerance, unknown_batches)
+    return best.join(cells.select("doc_id", "cell_idx", *fields), ["doc_id", "cell_idx"]).select(*line_key, "rule", "cell_idx", *fields)
 
 
 def _page_box(exact: bool) -> Column:
@@ -213,6 +239,33 @@ def chars_to_page(chars: str = "chars") -> Column:
     )
 
 
+def _directly(lines: DataFrame, cells: DataFrame, key: list[str], translated: bool, fields: list[str]) -> DataFrame:
+    """Lines with the ``outcome`` that needs no position (else null) and their cell's ``fields``. Written out."""
+    screened = screen_lines(lines, translated)
+    # A line without a cell number gets one of many impossible numbers, so that
+    # such lines spread over the join instead of meeting in one task.
+    spread = F.when(F.col("skipped").isNull(), F.col("cell_idx"))
+    spread = F.coalesce(spread, -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
+    named = cells.select("doc_id", F.col("cell_idx").alias("__cell"), F.lit(True).alias("by_cell"), *fields)
+    direct = screened.withColumn("__cell", spread).join(named, ["doc_id", "__cell"], "left")
+    missing_box = F.col("x").isNull() | F.col("width").isNull()
+    outcome = F.coalesce("skipped", F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"))
+    return cut_lineage(direct.withColumn("outcome", outcome).drop("skipped", "by_cell", "__cell"))
+
+
+def map_outcomes(
+    lines: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY, translated: bool = False, unknown_batches: bool = True
+) -> DataFrame:
+    """The ``outcome`` of every line, as ``map_lines`` has it, without its cell: whether any cell fits is enough."""
+    key = list(line_key)
+    slim = lines.select(*dict.fromkeys([*key, "doc_id", "batch_idx", "cell_idx", "text", "x", "y", "width", "height"]))
+    direct = _directly(slim, cells, key, translated, [])
+    placed = _best_cells(direct.filter("outcome IS NULL"), cells, key, C.MATCH_TOLERANCE, unknown_batches)
+    found = placed.select(*key).withColumn("placed", F.lit(True))
+    outcome = F.coalesce("outcome", F.when(F.col("placed"), "matched_bbox").otherwise("unmatched"))
+    return direct.select(*key, "outcome").join(found, key, "left").select(*key, outcome.alias("outcome"))
+
+
 def map_lines(
     lines: DataFrame,
     cells: DataFrame,
@@ -227,28 +280,9 @@ def map_lines(
     """
     key = list(line_key)
     fields = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
-    screened = screen_lines(lines, translated)
-    # A line without a cell number gets one of many impossible numbers, so that
-    # such lines spread over the join instead of meeting in one task.
-    spread = F.when(F.col("skipped").isNull(), F.col("cell_idx"))
-    spread = F.coalesce(spread, -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
-    named = cells.select(
-        "doc_id", F.col("cell_idx").alias("__cell"), F.lit(True).alias("by_cell"), *fields
-    )
-    direct = screened.withColumn("__cell", spread).join(named, ["doc_id", "__cell"], "left")
-    missing_box = F.col("x").isNull() | F.col("width").isNull()
-    direct = direct.withColumn(
-        "outcome",
-        F.coalesce(
-            "skipped",
-            F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"),
-        ),
-    ).drop("skipped", "by_cell", "__cell")
-    # A cell number nobody knows is dropped here and the position decides. Only what the
-    # position needs is stored; texts and the rest come back in the last join.
-    open_lines = cut_lineage(
-        direct.filter("outcome IS NULL").select(*dict.fromkeys([*key, "doc_id", "batch_idx", "x", "y", "width", "height"]))
-    )
+    # A cell number nobody knows is dropped here and the position decides.
+    direct = _directly(lines, cells, key, translated, fields)
+    open_lines = direct.filter("outcome IS NULL").select(*dict.fromkeys([*key, "doc_id", "batch_idx", "x", "y", "width", "height"]))
     matches = spatial_matches(open_lines, cells, key, unknown_batches=unknown_batches)
     found = matches.select(*key, F.col("rule").alias("by_place"), F.struct("cell_idx", *fields).alias("m"))
     by_cell = F.col("outcome") == "matched_cell_idx"
@@ -280,11 +314,17 @@ def nearest_cells(
     """
     key = list(line_key)
     boxes = _one_per_box(cells.select("doc_id", *CELL_FIELDS))
+    own = ["doc_id"]
     for level, (corner, size) in enumerate(tiles):
         boxes = boxes.withColumn(
             f"t{level}",
             F.struct(F.floor(F.col(f"gy{corner}") / size).alias("ty"), F.floor(F.col(f"gx{corner}") / size).alias("tx")),
         )
+        own = [*own, f"t{level}"]
+    # The hulls of the smallest tiles are stored; those of larger ones are made of them.
+    boxes = cut_lineage(boxes)
+    hull = {"hx1": F.min, "hy1": F.min, "hx2": F.max, "hy2": F.max}
+    smallest = cut_lineage(boxes.groupBy(*own).agg(*[low(f"g{name[1:]}").alias(name) for name, low in hull.items()]))
 
     def squared(x1, y1, x2, y2):
         dx, dy = G.axis_distance(x1, x2, "cx"), G.axis_distance(y1, y2, "cy")
@@ -298,15 +338,12 @@ def nearest_cells(
     kept, parents = points.select(*point), ["doc_id"]
     for level in range(len(tiles)):
         own = ["doc_id", *[f"t{i}" for i in range(level + 1)]]
-        hulls = boxes.groupBy(*own).agg(
-            F.min("gx1").alias("hx1"), F.min("gy1").alias("hy1"),
-            F.max("gx2").alias("hx2"), F.max("gy2").alias("hy2"),
-        )
+        hulls = smallest.groupBy(*own).agg(*[low(name).alias(name) for name, low in hull.items()])
         near = kept.join(hulls, parents).withColumns({
             "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
         })
-        limit = near.groupBy(*key).agg(F.min("sure").alias("limit"))
-        kept = near.join(limit, key).filter("low <= limit").select(*dict.fromkeys([*point, *own]))
+        near = near.withColumn("limit", F.min("sure").over(Window.partitionBy(*key)))
+        kept = near.filter("low <= limit").select(*dict.fromkeys([*point, *own]))
         parents = own
     best = F.min(
         F.struct(

@@ -1,10 +1,7 @@
-"""Boxes, masks from characters, the clearing plan, and mask pixels as rows.
+"""Boxes of regions on a page and the clearing plan.
 
-Pictures are worked on as tile blocks (``blocks``). Here mask pixels are rows
-``(doc_id, page_idx, y, x, m)``, for masks that move between pages.  Regions are exploded to the 64-pixel tiles
-they touch and joined on (page, tile), so only pixels near a region move on and
-a huge page spreads over its tiles.  A region row carries doc_id, page_idx,
-region_id, x1, y1, x2, y2 and the page's width and height.
+Pictures are worked on as tile blocks (``blocks``), and so are masks (``masks``). A region
+row carries doc_id, page_idx, region_id, x1, y1, x2, y2 and the page's width and height.
 """
 
 from __future__ import annotations
@@ -28,46 +25,10 @@ def clip_to_page(regions: DataFrame) -> DataFrame:
     })
 
 
-def _tile(name: str) -> Column:
-    return F.floor(F.col(name) / C.TILE).cast("bigint")
-
-
-def under(pixels: DataFrame, boxes: DataFrame, where: Column | None = None) -> DataFrame:
-    """Pairs of box and pixel inside it; ``where`` narrows them further."""
-    solid = boxes.filter("x2 > x1 AND y2 > y1").withColumn(
-        "t", F.explode(G.tiles("x1", "y1", F.col("x2") - 1, F.col("y2") - 1, C.TILE))
-    )
-    placed = solid.withColumns({"ty": F.col("t.ty"), "tx": F.col("t.tx")}).drop("t")
-    inside = (
-        (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2"))
-        & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    )
-    tiled = pixels.withColumns({"ty": _tile("y"), "tx": _tile("x")})
-    joined = tiled.join(placed, [*PAGE, "ty", "tx"]).filter(inside)
-    return (joined.filter(where) if where is not None else joined).drop("ty", "tx")
-
-
 def _slim(regions: DataFrame) -> DataFrame:
     return regions.select(*REGION, *BOX)
 
 
-def char_mask(chars: DataFrame, regions: DataFrame) -> DataFrame:
-    """Mask pixels of a region made from its character boxes.
-
-    ``chars``: region key and box cx1, cy1, cx2, cy2 in page pixels.
-    """
-    cut = chars.join(_slim(regions), REGION).select(
-        *REGION,
-        F.greatest("cx1", "x1").alias("ax1"), F.greatest("cy1", "y1").alias("ay1"),
-        F.least("cx2", "x2").alias("ax2"), F.least("cy2", "y2").alias("ay2"),
-    ).filter("ax2 > ax1 AND ay2 > ay1")
-    return (
-        cut.withColumn("y", F.explode(F.expr("sequence(ay1, ay2 - 1)")))
-        .withColumn("x", F.explode(F.expr("sequence(ax1, ax2 - 1)")))
-        .select(*REGION, "y", "x", F.lit(255).alias("m")).distinct()
-    )
-
-
 def mask_source(regions: DataFrame, chars: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """What a region is inpainted from: its characters, the text mask, or its
     whole box; each only when it holds anything.  With a mask, an empty region
@@ -95,17 +56,6 @@ def char_mask_boxes(chars: DataFrame, regions: DataFrame) -> DataFrame:
     )
 
 
-def normalise_mask(mask: DataFrame, byte_values: bool = False) -> DataFrame:
-    """Model mask to 0..255: bytes stay; a page within 0..1 is scaled; the rest is cut."""
-    if byte_values:
-        return mask
-    top = mask.groupBy(*PAGE).agg(F.max("m").alias("top"))
-    scaled = F.when(F.col("top") <= 1.0, F.col("m") * 255).otherwise(
-        F.least(F.lit(255), F.greatest(F.lit(0), "m"))
-    )
-    return mask.join(top, PAGE).withColumn("m", scaled.cast("int")).drop("top")
-
-
 def plan_clearing(
     texts: DataFrame, regions: DataFrame, has_mask: bool, prefer_mask: bool = False
 ) -> DataFrame:
@@ -148,14 +98,16 @@ def plan_clearing(
             "y2": F.greatest(F.lit(0), F.least(F.col(f"{prefix}y2"), h)),
         }
 
-    keep = [*REGION, "rule", "line_no", "char_no", *BOX, "width", "height"]
+    # A character goes along with the box of its line.
+    none = {f"line_{c}": F.lit(None).cast("bigint") for c in BOX}
+    keep = [*REGION, "rule", "line_no", "char_no", *BOX, "width", "height", *none]
     whole = ruled.filter("rule = 'mask_region'").withColumns({
-        "line_no": F.lit(0).cast("bigint"), "char_no": F.lit(0),
+        "line_no": F.lit(0).cast("bigint"), "char_no": F.lit(0), **none,
     }).select(*keep)
     per_line = ruled.filter("rule <> 'mask_region'").drop(*BOX).join(lines, REGION)
     as_line = per_line.filter("rule <> 'char' OR size(chars) = 0").withColumns({
         "rule": F.when(F.col("rule") == "char", "line").otherwise(F.col("rule")),
-        "char_no": F.lit(0), **cut("l"),
+        "char_no": F.lit(0), **cut("l"), **none,
     }).select(*keep)
     line_ok = "greatest(0, least(lx2, width)) > greatest(0, least(lx1, width - 1)) AND " \
               "greatest(0, least(ly2, height)) > greatest(0, least(ly1, height - 1))"
@@ -166,40 +118,6 @@ def plan_clearing(
             "cx1": F.col("box")[0], "cy1": F.col("box")[1],
             "cx2": F.col("box")[2], "cy2": F.col("box")[3],
         })
-        .withColumns(cut("c")).select(*keep)
+        .withColumns(cut("c")).withColumns({f"line_{c}": value.cast("bigint") for c, value in cut("l").items()}).select(*keep)
     )
     return whole.unionByName(as_line).unionByName(as_char).filter("x2 > x1 AND y2 > y1")
-
-
-def grid_mask_to_pages(grid_mask: DataFrame, cells: DataFrame) -> DataFrame:
-    """Mask of packed grids back to pages; where regions overlap the larger value
-    wins, and a cell of another size is resized by nearest pixel.
-
-    ``grid_mask``: doc_id, batch_idx, y, x, m; ``cells``: grid box, page and
-    region box bx1..by2.
-    """
-    same = "gx2 - gx1 = bx2 - bx1 AND gy2 - gy1 = by2 - by1"
-    shifted = cells.filter(same).select(
-        "doc_id", F.col("batch_idx").alias("page_idx"), F.col("page_idx").alias("to_page"),
-        "bx1", "by1", *[F.col(f"g{c}").alias(c) for c in BOX],
-    )
-    moved = under(
-        grid_mask.withColumnRenamed("batch_idx", "page_idx"), shifted
-    ).select(
-        "doc_id", F.col("to_page").alias("page_idx"),
-        (F.col("y") - F.col("y1") + F.col("by1")).alias("y"),
-        (F.col("x") - F.col("x1") + F.col("bx1")).alias("x"), "m",
-    )
-    resized = (
-        cells.filter(f"NOT ({same}) AND bx2 > bx1 AND by2 > by1")
-        .withColumn("py", F.explode(F.expr("sequence(by1, by2 - 1)")))
-        .withColumn("px", F.explode(F.expr("sequence(bx1, bx2 - 1)")))
-        .select(
-            "doc_id", "batch_idx", "page_idx", "py", "px",
-            F.expr("gy1 + floor((py - by1 + 0.5D) * (gy2 - gy1) / (by2 - by1))").alias("y"),
-            F.expr("gx1 + floor((px - bx1 + 0.5D) * (gx2 - gx1) / (bx2 - bx1))").alias("x"),
-        )
-        .join(grid_mask, ["doc_id", "batch_idx", "y", "x"])
-        .select("doc_id", "page_idx", F.col("py").alias("y"), F.col("px").alias("x"), "m")
-    )
-    return moved.unionByName(resized).groupBy(*PAGE, "y", "x").agg(F.max("m").alias("m"))

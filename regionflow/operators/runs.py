@@ -11,6 +11,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Sorted batches as tables of whole runs of equal numeric ``keys``, with each run's start and size."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy() for k in keys])
+        new = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
+        if rest and any(rest[-1].column(k)[-1].as_py() != m for k, m in zip(keys, marks[:, 0].tolist())):
+            new = np.concatenate(([0], new))
+        if len(new):
+            # What was held ends before this batch's last run begins.
+            table = pa.Table.from_batches([*rest, batch.slice(0, int(new[-1]))]).combine_chunks()
+            if table.num_rows:
+                held = table.num_rows - int(new[-1])
+                starts = np.concatenate(([0], held + new[:-1])) if held or len(new) > 1 else np.zeros(1, np.int64)
+                starts = np.unique(starts)
+                yield table, starts, np.diff(starts, append=table.num_rows)
+            rest = [batch.slice(int(new[-1]))]
+        else:
+            rest.append(batch)
+    if rest:
+        table = pa.Table.from_batches(rest).combine_chunks()
+        yield table, np.zeros(1, np.int64), np.array([table.num_rows])
+
+
 def by_group(
     rows: DataFrame, keys: list[str], call: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str,
     order: str,
@@ -23,29 +49,14 @@ def by_group(
     kinds = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def groups(table: pa.Table, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-            frame = table.slice(0, int(ends[-1])).to_pandas()
+        for table, starts, sizes in whole_runs(batches, keys):
+            frame = table.to_pandas()
             made = []
-            for a, b in zip([0, *ends[:-1]], ends):
-                part = frame.iloc[a:b]
+            for at, size in zip(starts.tolist(), sizes.tolist()):
+                part = frame.iloc[at : at + size]
                 made.append(call(tuple(part[k].iloc[0] for k in keys), part))
             done = pd.concat(made, ignore_index=True)
             if len(done):
                 yield from pa.Table.from_pandas(done, schema=kinds, preserve_index=False).to_batches()
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            marks = np.stack([table.column(k).to_numpy() for k in keys])
-            ends = np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(axis=0)) + 1
-            if len(ends):
-                yield from groups(table, ends)
-            rest = table.slice(int(ends[-1])) if len(ends) else table
-        if rest is not None:
-            yield from groups(rest, np.array([rest.num_rows]))
-
     return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

@@ -278,6 +278,38 @@ def pixel_lines(df: DataFrame, channels: str = "rgb") -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, page_idx bigint, y bigint, line string")
 
 
+def model_masks(blocks_of: DataFrame) -> DataFrame:
+    """Mask blocks as a model gives them: doubles, on every other page from 0 to 1."""
+    names = ["doc_id", "page_idx", "ty", "tx", "h", "w", "n", "m"]
+
+    def run(batches):
+        for batch in batches:
+            even = np.array(batch.column("page_idx").to_pylist()) % 2 == 0
+            bodies = [np.frombuffer(b, np.uint8)[3::4] for b in batch.column("px").to_pylist()]
+            values = [(m / 256.0 if e else m * 2.0).tobytes() for m, e in zip(bodies, even)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(values, pa.binary())], names=names)
+
+    return blocks_of.select(*names[:-1], "px").mapInArrow(run, ", ".join(f"{c} bigint" for c in names[:-1]) + ", m binary")
+
+
+def mask_lines(masks: DataFrame) -> DataFrame:
+    """Mask blocks as one text per row of pixels, for comparison."""
+    from regionflow.operators.masks import unpack
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                mask = unpack(r["m"], r["h"], r["w"])
+                for y in range(r["h"]):
+                    shown = mask[y, : max(0, min(r["w"], r["n"] - y * r["w"]))]
+                    rows.append({"doc_id": r["doc_id"], "page_idx": r["page_idx"], "y": r["ty"] * 64 + y, "line": ",".join(map(str, shown.tolist()))})
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows)
+
+    return masks.mapInArrow(run, "doc_id bigint, page_idx bigint, y bigint, line string")
+
+
 def painted_rows(blocks_of: DataFrame) -> DataFrame:
     """Stand-in for a model's output: one value per row of pixels, -1 to 1."""
     def run(batches):

@@ -69,7 +69,7 @@ def map_lines(spark, sf):
         "skipped_empty", "skipped_no_script", "skipped_no_bbox", "matched_cell_idx", "matched_bbox", "unmatched"
     )) + " FROM mapped", "mapped"))
 def mapping_stats(spark, sf):
-    return mapping.mapping_counts(mapped(spark, sf))
+    return mapping.mapping_counts(mapping.map_outcomes(X.lines(spark, sf), stored_cells(spark, sf), LINE))
 
 
 @query("mapped_share", sql("""SELECT doc_id, count(*) AS regions, count(hit) AS mapped, 100 * count(hit) / greatest(1, count(*))::DOUBLE AS percent

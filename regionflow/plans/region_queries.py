@@ -119,9 +119,9 @@ def pages_to_segment(spark, sf):
     CAST(round_even((1024 - round_even(h * r, 0)) / 2 - 0.1::DOUBLE, 0) AS BIGINT) AS pad_top,
     CAST(round_even((1024 - round_even(h * r, 0)) / 2 + 0.1::DOUBLE, 0) AS BIGINT) AS pad_bottom FROM (
     SELECT *, CAST(x2 - x1 AS DOUBLE) AS w, CAST(y2 - y1 AS DOUBLE) AS h,
-    least(1024::DOUBLE / (y2 - y1), 1024::DOUBLE / (x2 - x1)) AS r FROM det WHERE label = 2))""", "det"))
+    least(1024::DOUBLE / (y2 - y1), 1024::DOUBLE / (x2 - x1)) AS r FROM det))""", "det"))
 def letterbox(spark, sf):
-    boxes = X.det(spark, sf).filter("label = 2").selectExpr(*KEY, "x2 - x1 AS width", "y2 - y1 AS height")
+    boxes = X.det(spark, sf).selectExpr(*KEY, "x2 - x1 AS width", "y2 - y1 AS height")
     fitted = boxes.withColumns(G.letterbox("width", "height")).withColumns(G.letterbox_inverse())
     return fitted.select(
         *KEY, "new_w", "new_h", "pad_left", "pad_right", "pad_top", "pad_bottom", "mask_x2", "mask_y2"
@@ -207,7 +207,29 @@ def grid_facts(spark, sf):
     return layout.grid_facts(one_grid(spark, sf, False))
 
 
-@query("height_batches")
+# One step a batch: what is left is laid out in rows, each row joins if it fits, and the items
+# of the others go on.
+HEIGHT = """, walk_b AS (SELECT doc_id, 0::BIGINT AS batch_idx, list(struct_pack(seq := seq, w := w, h := h) ORDER BY seq) AS items FROM items GROUP BY doc_id), cascade AS (
+    SELECT doc_id, batch_idx, items, NULL::STRUCT(seq BIGINT, w BIGINT, h BIGINT)[][] AS kept FROM walk_b
+    UNION ALL
+    SELECT doc_id, batch_idx + 1, flatten(split.over), split.fits FROM (SELECT doc_id, batch_idx, list_reduce(
+        list_transform(packed.rows, lambda r: struct_pack(used := 0::BIGINT, fits := [r], over := [r][:0])),
+        lambda a, x: CASE WHEN a.used + list_max(list_transform(x.fits[1], lambda i: i.h)) + 30 <= 1000 OR len(a.fits) = 0
+        THEN struct_pack(used := a.used + list_max(list_transform(x.fits[1], lambda i: i.h)) + 30, fits := list_concat(a.fits, x.fits), over := a.over)
+        ELSE struct_pack(used := a.used, fits := a.fits, over := list_concat(a.over, x.fits)) END,
+        struct_pack(used := 30::BIGINT, fits := [packed.rows[1]][:0], over := [packed.rows[1]][:0])) AS split
+    FROM (SELECT doc_id, batch_idx, list_reduce(
+        list_transform(items, lambda i: struct_pack(used := 0::BIGINT, rows := [[i]])),
+        lambda a, x: CASE WHEN len(a.rows) = 0 OR a.used + x.rows[1][1].w + 30 > 600
+        THEN struct_pack(used := 60 + x.rows[1][1].w, rows := list_concat(a.rows, x.rows))
+        ELSE struct_pack(used := a.used + x.rows[1][1].w + 30, rows := list_concat(a.rows[:-2], [list_concat(a.rows[-1], x.rows[1])])) END,
+        struct_pack(used := 30::BIGINT, rows := [[items[1]]][:0])) AS packed FROM cascade WHERE len(items) > 0)))
+    SELECT doc_id, seq, batch_idx - 1 AS batch_idx, row_idx - 1 AS row_idx, row_ord - 1 AS row_ord FROM (
+    SELECT doc_id, batch_idx, row_idx, unnest(row).seq AS seq, unnest(range(1, len(row) + 1)) AS row_ord FROM (
+    SELECT doc_id, batch_idx, unnest(kept) AS row, unnest(range(1, len(kept) + 1)) AS row_idx FROM cascade WHERE kept IS NOT NULL))"""
+
+
+@query("height_batches", f"WITH RECURSIVE {sql('', 'regions').strip()[len('WITH '):]}, {ITEMS}" + HEIGHT)
 def height_batches(spark, sf):
     return layout.height_batches(stored_items(spark, sf), max_height=1000)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
@@ -88,17 +89,19 @@ def error_classes(spark, sf):
     )
 
 
+# A request is what a user does within 500 events; its attempts are these events, in order.
 @query("attempt_schedule", """SELECT event_id, attempt, CASE WHEN attempt > 0 THEN power(2, attempt)::DOUBLE ELSE 0 END AS wait_s,
     round(least(0.85::DOUBLE, 0.7::DOUBLE + attempt * 0.05::DOUBLE), 6) AS temperature,
-    CASE WHEN coalesce(sum((k = 0)::INT) OVER w, 0) >= 2 OR coalesce(sum((k = 1)::INT) OVER w, 0) >= 1 THEN 'fallback' ELSE 'main' END AS model_used
-    FROM (SELECT event_id, attempt, (event_id + attempt * attempt) % 3 AS k FROM (SELECT event_id, unnest(range(5)) AS attempt FROM events))
-    WINDOW w AS (PARTITION BY event_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+    CASE WHEN coalesce(sum((event_type = 'error')::INT) OVER w, 0) >= 2 OR coalesce(sum((event_type = 'click')::INT) OVER w, 0) >= 1 THEN 'fallback' ELSE 'main' END AS model_used
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, part ORDER BY event_id) - 1 AS attempt FROM (SELECT *, floor(event_id / 500) AS part FROM events))
+    WINDOW w AS (PARTITION BY user_id, part ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def attempt_schedule(spark, sf):
     calls = X.table(spark, sf, "events").selectExpr(
-        "event_id", "event_id AS request", "explode(sequence(0L, 4L)) AS attempt", "'main' AS model"
-    ).selectExpr(
-        "*", "CASE (event_id + attempt * attempt) % 3 WHEN 0 THEN '503 overloaded' WHEN 1 THEN '429' ELSE 'bad' END AS error"
+        "event_id", "struct(user_id, floor(event_id / 500) AS part) AS request", "'main' AS model",
+        "CASE event_type WHEN 'error' THEN '503 overloaded' WHEN 'click' THEN '429' ELSE 'bad' END AS error",
     )
+    order = Window.partitionBy("request").orderBy("event_id")
+    calls = calls.withColumn("attempt", (F.row_number().over(order) - 1).cast("bigint"))
     return infer.attempt_schedule(calls).select(
         "event_id", "attempt", "wait_s", F.round("temperature", 6).alias("temperature"), "model_used"
     )

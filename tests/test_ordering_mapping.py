@@ -113,3 +113,21 @@ def test_merge_rule(spark):
     )
     got = {r.bubble_idx: r.merged for r in merge.merge_regions(texts, regions).collect()}
     assert got == {0: "あ\nい", 1: "アイ"}
+
+
+def test_lines_without_batch_meet_few_cells_however_many_batches(spark):
+    """Each batch lays its cells over the same picture; a point still meets a few of them."""
+    rnd = random.Random(6)
+    kept, pairs = {}, {}
+    for batches in (20, 200):
+        cells = []
+        for k in range(batches * 50):
+            x, y = rnd.randint(0, 800), rnd.randint(0, 1100)
+            cells.append((0, k // 50, k, 0, k, x, y, x + rnd.randint(40, 160), y + rnd.randint(40, 160), 0, 0, 0, 0))
+        cdf = spark.createDataFrame(cells, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in ("batch_idx", "cell_idx", "page_idx", "bubble_idx", "gx1", "gy1", "gx2", "gy2", "bx1", "by1", "pad_l", "pad_t")))
+        points = mapping._point_cells(cdf, 15)
+        kept[batches] = points.count()
+        ldf = spark.createDataFrame([(0, k, None, float(rnd.randint(0, 900)), float(rnd.randint(0, 1200)), 20.0, 10.0) for k in range(400)], "doc_id bigint, line_no bigint, batch_idx bigint, x double, y double, width double, height double")
+        at = ldf.selectExpr("doc_id", "named_struct('lv', 0, 'ty', floor((y + 5) / 32), 'tx', floor((x + 10) / 32)) AS p")
+        pairs[batches] = at.join(points, ["doc_id", "p"]).count()
+    assert kept[200] < 2 * kept[20] and pairs[200] < 2 * pairs[20]

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, db, name):
 
 def test_registered_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"height_batches"}
+    assert set(catalog.QUERIES) == set(catalog.SQL)
     assert ("op1_packing" in entry.queries()) == (entry.llm_queries is not None)
 
 
