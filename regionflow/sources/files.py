@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.operators.blocks import BLOCK
 from regionflow.operators.ordering import number_sorted
+from regionflow.session import cut_lineage
 
 # --- fixed values: names of debug pictures that are not input -----------------
 EXCLUDED = ["viz", "debug", "detected", "fixed", "compare", "test"]
@@ -42,22 +43,25 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pictures as pages, decoded by Spark; broken files are dropped.
 
     Every folder that holds pictures is a document (``doc_id``, by the folders' order), its
-    pictures are numbered by the digits in their names, then by path. Only names are sorted,
-    and a document's pages are few beside the corpus.
+    pictures are numbered by the digits in their names, then by path. Names come from a
+    listing that opens no file, so a picture is decoded once; a broken one leaves a gap in
+    the numbers. Only names are sorted, and a document's pages are few beside the corpus.
     """
-    pictures = (
-        spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
-        .select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
-    )
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("origin"))
     name = F.element_at(F.split("origin", "/"), -1)
-    names = pictures.select(
+    names = listed.select(
         "origin", F.regexp_replace("origin", r"/[^/]*\z", "").alias("folder"),
         F.coalesce(F.regexp_replace(name, r"\D", "").try_cast("bigint"), F.lit(0)).alias("number"),
     )
     docs = number_sorted(names.select("folder").distinct(), [F.col("folder")], "doc_id")
     in_folder = Window.partitionBy("folder").orderBy("number", "origin")
     order = names.withColumn("page_idx", (F.row_number().over(in_folder) - 1).cast("bigint")).join(docs.select("folder", "doc_id"), "folder")
-    return pictures.join(order.select("origin", "doc_id", "page_idx"), "origin")
+    pictures = (
+        spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
+        .select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+    )
+    # Names are stored, so that Spark knows their size and lets them travel, not the pictures, where they are few.
+    return pictures.join(cut_lineage(order.select("origin", "doc_id", "page_idx")), "origin")
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
