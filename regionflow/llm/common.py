@@ -97,6 +97,33 @@ def fewest(rows: DataFrame, label: str, draw: str | Column, n: int, *ties: str)
     return found.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*columns)
 
 
+#: A key counts as hot from this share of all rows on.
+HOT_SHARE = 1 / 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row per key, of ``size`` rows) where some keys may be hot.
+
+    Keys of ``HOT_SHARE`` of all rows or more, a thousand at most, are looked up in a broadcast
+    table, so their rows stay where they are; only all others are shuffled. Rows with a null
+    key meet nothing and stay, too. ``facts`` and ``rows`` should be stored tables, as both are read twice.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    added = [c for c in facts.columns if c not in keys and c != size]
+    usual = F.col(size) < total * HOT_SHARE
+    # At most 1 / HOT_SHARE keys hold so many rows each: the bound makes the broadcast safe.
+    hot = F.broadcast(facts.filter(~usual).select(*keys, *added))
+    there = F.lit(True)
+    for k in keys:
+        there = there & F.col(k).isNotNull()
+    held = rows.filter(there)
+    met = held.join(hot, keys)
+    others = held.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(facts.filter(usual).select(*keys, *added), keys, "left")
+    nothing = rows.filter(~there).select("*", *[F.lit(None).cast(facts.schema[c].dataType).alias(c) for c in added])
+    columns = [*rows.columns, *added]
+    return met.select(columns).unionByName(others.select(columns)).unionByName(nothing.select(columns))
+
+
 def reachable(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable over undirected ``edges`` (a, b).
 
@@ -125,17 +152,21 @@ def reachable(edges: DataFrame) -> DataFrame:
             return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
 
 
-def tiled(members: DataFrame, keys: list[str], ident: str, most: int) -> DataFrame:
+def tiled(members: DataFrame, keys: list[str], ident: str, most: int, size: str | None = None) -> DataFrame:
     """Members of every group of two or more, dealt into tiles of at most about twice ``most``.
 
     A group is split into parts by a hash of ``ident``; each part meets itself and each
     other part in one tile (``low``, ``high``), so all pairs of a group come together
     somewhere and no task holds a whole hot group. ``side`` tells the two parts of a tile
-    apart. Rows come sorted by tile.
+    apart. Rows come sorted by tile. ``size`` names a column that has the group's size already.
     """
-    sizes = cut_lineage(members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1"))
-    parts = F.ceil(F.col("size") / most).cast("long")
-    held = members.join(sizes, keys).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(ident, *keys), F.col("parts")))
+    if size is None:
+        sizes = cut_lineage(members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1"))
+        held = members.join(sizes, keys)
+    else:
+        held = members.filter(F.col(size) > 1)
+    held = held.withColumn("parts", F.ceil(F.col(size or "size") / most).cast("long"))
+    held = held.withColumn("part", F.pmod(F.xxhash64(ident, *keys), F.col("parts")))
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(low == high, 0).otherwise((F.col("part") == high).cast("int"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionflow.llm.common import lists_of, reachable, slices, tiled, whole_runs, worker_state
+from regionflow.llm.common import join_facts, lists_of, reachable, slices, tiled, whole_runs, worker_state
 from regionflow.llm.near_vectors import forest
 from regionflow.session import cut_lineage, temporary_tables
 
@@ -46,6 +46,8 @@ COORDINATES = BANDS * ROWS
 PLAUSIBLE = 0.65
 #: Members of a bucket that are compared at once.
 TILE = 512
+#: Partners of a text that are verified in one part.
+PARTNERS = 1024
 #: Ranks start with a region of this height.
 RANK = 2.0**-4
 MEMORY = 300_000
@@ -223,9 +225,12 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     """Pairs (a, b) of classes whose whole texts reach the similarity. Written out."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = cut_lineage(texts_of(nodes, classes, docs, key, text))
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
-    )
+    # A text with many partners is met in parts, by a hash of the partner.
+    often = cut_lineage(pairs.groupBy("a").agg(F.count("*").alias("partners")).withColumn("parts", F.ceil(F.col("partners") / PARTNERS).cast("long")))
+    dealt = join_facts(pairs, often, ["a"], "partners").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")))
+    first = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")).join(often, "a")
+    first = first.select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(first, ["a", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = worker_state("shingle_words", dict)
@@ -344,7 +349,12 @@ def near_texts(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id",
     with temporary_tables(docs.sparkSession) as keep:
         rows = signed(docs, key, text)
         first = F.min(F.struct("row", F.col(key).alias("id"), "h", "sig")).alias("f")
-        classes = cut_lineage(rows.filter("k1 is not null").groupBy("k1", "k2").agg(first).select("k1", "k2", F.col("f.row").alias("node"), "f.id", "f.h", "f.sig"))
+        # A missing id sorts last, so that an existing one names the group.
+        head = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("cluster_id"), F.col("row").alias("stays"))).alias("head")
+        classes = cut_lineage(
+            rows.filter("k1 is not null").groupBy("k1", "k2").agg(first, head, F.count("*").alias("copies"))
+            .select("k1", "k2", F.col("f.row").alias("node"), "f.id", "f.h", "f.sig", "head", "copies")
+        )
         # Buckets: one hash per band of coordinates.
         keys = F.array(*[F.xxhash64(F.lit(b), *[F.col("sig")[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)])
         banded = cut_lineage(classes.select("node", F.posexplode(keys).alias("band", "bucket")))
@@ -362,12 +372,16 @@ def near_texts(docs: DataFrame, least: float = SIMILARITY, key: str = "doc_id",
         again = left.join(placed.select("bucket", "node", "root"), ["bucket", "node"]).join(sets, "node")
         linked = linked.unionByName(spanning_links(again, least))
         roots = reachable(linked)
-        groups = classes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("root"))
-        placed_rows = rows.select("row", key, "h", "k1", "k2").join(groups, ["k1", "k2"], "left").withColumn("root", F.coalesce("root", "row"))
-        # A missing id sorts last, so that an existing one names the group.
-        by_id = F.min(F.struct(F.col(key).isNull().alias("no_id"), F.col(key).alias("cluster_id"), F.col("row").alias("stays"))).alias("m")
-        heads = placed_rows.groupBy("root").agg(by_id).select("root", "m.cluster_id", "m.stays")
-        result = placed_rows.join(heads, "root").select(key, "h", "cluster_id", (F.col("row") == F.col("stays")).alias("kept"))
+        # Each class learns its group's head, then each row its class's; hot groups and copies are looked up.
+        own = classes.select("k1", "k2", "node", "head", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = cut_lineage(own.select("k1", "k2", "root", "head", "copies"))
+        heads = cut_lineage(own.groupBy("root").agg(F.min("head").alias("head"), F.count("*").alias("classes")).select("root", "head.cluster_id", "head.stays", "classes"))
+        known = cut_lineage(join_facts(own.select("k1", "k2", "root", "copies"), heads, ["root"], "classes").drop("root"))
+        placed_rows = join_facts(rows.select("row", key, "h", "k1", "k2"), known, ["k1", "k2"], "copies")
+        alone = F.col("k1").isNull()
+        result = placed_rows.select(
+            key, "h", F.when(alone, F.col(key)).otherwise(F.col("cluster_id")).alias("cluster_id"), (alone | (F.col("row") == F.col("stays"))).alias("kept")
+        )
         return keep(result)
 
 

@@ -1,23 +1,25 @@
 """Operator 2: near-duplicate embeddings by spherical-cap filters.
 
 A filter is a direction made of one code word from each of two random codebooks, after a
-random rotation; a vector passes the filters whose direction it exceeds a cap height
-with, and each vector's cap is as low as lets ``PASSED`` filters through, so that none
-passes too few. List decoding finds all of them from the two halves' scores alone.
-Vectors that share a filter, and a label, are verified by their cosine in double
-precision. At similarity 0.98 one code misses 0.01 of pairs at most (measured on planted
+random rotation; a vector passes all filters whose direction it exceeds a cap height
+with. The height lets ``MEAN_PASSED`` filters through on average; as the number varies much between
+vectors, a vector with fewer than ``PASSED`` lowers its cap until so many pass. List decoding
+finds all of them from the two halves' scores alone. Vectors that share a filter, and a
+label, are verified by their cosine in double precision. At similarity 0.98 one code misses 0.01 of pairs at most (measured on planted
 pairs; 0.006 at 64 components and 4096 words, less with fewer words), and codes are
 independent, so three miss one in a million at most. Short vectors take fewer words, as
 their caps would else become smaller than the least similarity is wide.
 
-Equal vectors are one class before filtering. A filter with many vectors is split into
+Equal vectors are one class before filtering. Ids meet filters first, and only filters with
+two vectors or more are kept; vectors are fetched for these alone. A filter with many vectors is split into
 tiles of bounded size; inside a tile pairs are counted by matrix products, each pair in
 the least filter it shares, and only the tile's spanning links leave it. So neither a
 task nor a row count holds all pairs of a hot group.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and rows without label or id, link with nothing and keep their row. Vectors link only
-with others of equal length. Repeated rows are vectors each, with a row each.
+with others of equal length. Repeated rows are vectors each, with a row each; unlike
+vectors of one id are apart. Labels of any type are compared by a 64-bit hash of their text.
 """
 
 from __future__ import annotations
@@ -30,15 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionflow.llm.common import lists_of, reachable, tiled, whole_runs
+from regionflow.llm.common import join_facts, reachable, tiled, whole_runs
 from regionflow.llm.top_k import usable
 from regionflow.session import cut_lineage, temporary_tables
 
 SIMILARITY = 0.98
 #: Independent codes, and filters a vector passes in each.
 CODES, PASSED = 3, 10
+#: Filters above the fixed cap height, on average.
+MEAN_PASSED = 5
 #: Filters per vector of the table, which bounds the vectors in a filter on average.
-FILTERS_PER_VECTOR = 0.25
+FILTERS_PER_VECTOR = 8.0
+#: Beyond FILTERS_PER_VECTOR * rows = MOST_WORDS ** 2 (2 million vectors) filters hold more vectors
+#: each; more words keep them small, but one code then misses more pairs and decoding costs more.
 LEAST_WORDS, MOST_WORDS = 32, 4096
 #: Most words at 8 components; each five components more double them.
 SHORT_WORDS = 128
@@ -63,7 +69,7 @@ class CapCode:
         grid = np.linspace(-1, 1, 200_001)
         density = np.maximum(0, 1 - grid**2) ** ((self.size - 3) / 2)
         above = np.cumsum(density[::-1])[::-1] / density.sum()
-        self.height = float(grid[np.argmax(above <= min(0.5, PASSED / words**2))])
+        self.height = float(grid[np.argmax(above <= min(0.5, MEAN_PASSED / words**2))])
 
     def own_heights(self, first: np.ndarray, second: np.ndarray, passed: int) -> np.ndarray:
         """For each row of the halves' scores the height that ``passed`` filters reach."""
@@ -78,14 +84,14 @@ class CapCode:
     def decode(self, unit: np.ndarray, passed: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of every filter that a unit vector exceeds the cap height with.
 
-        With ``passed`` each vector has the height that so many filters reach.
+        With ``passed`` the height of each vector is at most what so many filters reach.
         """
         padded = np.zeros((len(unit), self.size))
         padded[:, : unit.shape[1]] = unit
         turned = padded @ self.rotation
         half = self.size // 2
         first, second = turned[:, :half] @ self.books[0].T, turned[:, half:] @ self.books[1].T
-        height = np.full(len(unit), self.height) if passed is None else self.own_heights(first, second, passed)
+        height = np.full(len(unit), self.height) if passed is None else np.minimum(self.height, self.own_heights(first, second, passed))
         # A word can take part only if the other half's best word lifts it over the cap.
         a_row, a_word = np.nonzero(first + second.max(axis=1, keepdims=True) >= height[:, None])
         b_row, b_word = np.nonzero(first.max(axis=1, keepdims=True) + second >= height[:, None])
@@ -110,7 +116,7 @@ def most_words(dim: int) -> int:
 
 
 def decode(classes: DataFrame, words: int) -> DataFrame:
-    """``classes`` (id, label, n, v) with the sorted list ``filters`` of each, over all codes."""
+    """(id, label, dim, filter): every filter of every one of ``classes`` (id, label, dim, v), over all codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[CapCode]] = {}
@@ -119,7 +125,7 @@ def decode(classes: DataFrame, words: int) -> DataFrame:
             sizes = np.diff(column.offsets.to_numpy())
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
             starts = np.cumsum(sizes) - sizes
-            rows, filters = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            own = [batch.column(c).to_numpy() for c in ("id", "label", "dim")]
             for dim in np.unique(sizes):
                 at = np.flatnonzero(sizes == dim)
                 unit = flat[starts[at][:, None] + np.arange(dim)]
@@ -127,17 +133,20 @@ def decode(classes: DataFrame, words: int) -> DataFrame:
                 unit /= np.linalg.norm(unit, axis=1, keepdims=True)
                 made = codes.setdefault(int(dim), [CapCode(int(dim), min(words, most_words(int(dim))), k) for k in range(CODES)])
                 for c, code in enumerate(made):
-                    for k in range(0, len(at), 1024):
-                        r, f = code.decode(unit[k : k + 1024], PASSED)
-                        rows.append(at[k + r])
-                        filters.append(f * CODES + c)
-            row, found = np.concatenate(rows), np.concatenate(filters)
-            order = np.lexsort((found, row))
-            lists = lists_of(found[order].astype(np.int32), np.bincount(row, minlength=len(sizes)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "filters"])
+                    for k in range(0, len(at), 256):
+                        row, found = code.decode(unit[k : k + 256], PASSED)
+                        row = at[k + row]
+                        yield pa.RecordBatch.from_arrays([*(pa.array(o[row]) for o in own), pa.array(found * CODES + c)], names=["id", "label", "dim", "filter"])
 
-    schema = T.StructType([*classes.schema, T.StructField("filters", T.ArrayType(T.IntegerType()))])
-    return classes.mapInArrow(run, schema)
+    return classes.select("id", "label", "dim", "v").mapInArrow(run, "id long, label long, dim long, filter long")
+
+
+def shared_filters(passed: DataFrame) -> DataFrame:
+    """(id, filters): of each vector its filters that another one passes too, by rising filter, with their sizes."""
+    keys = ["label", "dim", "filter"]
+    sizes = cut_lineage(passed.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1"))
+    # A list holds what one vector passes: about CODES * PASSED filters.
+    return passed.join(sizes, keys).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("filter", "size"))).alias("filters"))
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -197,11 +206,12 @@ class Comparison:
 def links(decoded: DataFrame, similarity: float) -> DataFrame:
     """(a, b, n_a): from each tile its spanning links (n_a null), and link counts per vector (b null)."""
     # Where a pair counts is told by the filters before this one, so only these go along.
-    spread = decoded.select("*", F.posexplode("filters").alias("place", "filter"))
-    spread = spread.withColumn("filters", F.slice("filters", 1, F.col("place"))).drop("place")
+    spread = decoded.select("*", F.posexplode("filters").alias("place", "own"))
+    before = F.transform(F.slice("filters", 1, F.col("place")), lambda f: f["filter"])
+    spread = spread.select("id", "label", "dim", "n", "v", before.alias("filters"), "own.filter", "own.size")
     keys = ["label", "dim", "filter"]
     names = [*keys, "low", "high"]
-    sorted_tiles = tiled(spread, keys, "id", TILE)
+    sorted_tiles = tiled(spread, keys, "id", TILE, "size")
     compare = Comparison(similarity)
 
     def finish(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
@@ -263,27 +273,30 @@ def near_vectors(rows: DataFrame, similarity: float = SIMILARITY, key: str = "ve
     """(key, n_links, component_id, kept) for each row."""
     zero = ~F.exists(vector, lambda x: x != 0)
     good = F.coalesce(usable(key, vector) & ~zero, F.lit(False)) & F.col(label).isNotNull()
-    # One hash would do for dealing out; two make unequal vectors unequal classes.
-    base = rows.select(F.col(key).alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).alias("v"), good.alias("good"))
+    mark = F.col(label).cast("long") if isinstance(rows.schema[label].dataType, T.IntegralType) else F.xxhash64(F.col(label).cast("string"))
+    base = rows.select(F.col(key).alias("id"), F.when(good, mark).alias("label"), F.col(vector).alias("v"), good.alias("good"))
+    # Two hashes make unequal vectors unequal classes.
     hashed = base.withColumn("h1", F.when(F.col("good"), F.xxhash64(F.lit(1), "v"))).withColumn("h2", F.when(F.col("good"), F.xxhash64(F.lit(2), "v")))
     same = ["label", "h1", "h2"]
     with temporary_tables(rows.sparkSession) as keep:
-        classes = cut_lineage(
-            hashed.filter("good").groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("v").alias("v"))
-            .withColumn("dim", F.size("v").cast("long"))
-        )
+        # Classes are named by their row, as unlike vectors may share an id.
+        grouped = hashed.filter("good").groupBy(*same).agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+        classes = cut_lineage(grouped.withColumn("dim", F.size("v").cast("long")).withColumn("id", F.monotonically_increasing_id()))
         words = words_for(classes.count())
-        decoded = cut_lineage(decode(classes.select("id", "label", "dim", "n", "v"), words))
+        passed = cut_lineage(decode(classes, words))
+        decoded = classes.select("id", "label", "dim", "n", "v").join(shared_filters(passed), "id")
         found = cut_lineage(links(decoded, similarity))
         counts = found.filter("n_a is not null").groupBy("a").agg(F.sum("n_a").alias("others"))
         roots = reachable(found.filter("b is not null").select("a", "b"))
-        known = (
-            classes.select(*same, F.col("id").alias("class"), "n")
-            .join(counts.withColumnRenamed("a", "class"), "class", "left")
-            .join(roots.withColumnRenamed("node", "class"), "class", "left")
-            .select(*same, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "class").alias("component_id"))
+        placed = cut_lineage(
+            classes.select(*same, "id", "least", "n")
+            .join(counts.withColumnRenamed("a", "id"), "id", "left")
+            .join(roots.withColumnRenamed("node", "id"), "id", "left")
+            .select(*same, "least", "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("root"))
         )
-        joined = hashed.select("id", *same).join(known, same, "left")
+        heads = cut_lineage(placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("classes")))
+        known = cut_lineage(join_facts(placed.drop("least"), heads, ["root"], "classes"))
+        joined = join_facts(cut_lineage(hashed.select("id", *same)), known.drop("root"), same, "n")
         component = F.coalesce("component_id", "id")
         result = joined.select(
             F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

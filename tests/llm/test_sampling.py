@@ -45,3 +45,15 @@ def test_rows_are_cut_before_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(common, "LABELS", 3)
     with pytest.raises(ValueError, match="labels"):
         common.fewest(spark.range(10).select("id", F.xxhash64("id").alias("draw")), "id", "draw", 1)
+
+
+def test_facts_of_hot_and_rare_and_missing_keys(spark):
+    rows = [(k, "hot" if k < 500 else f"k{k}" if k < 700 else "unknown" if k < 720 else None) for k in range(750)]
+    df = spark.createDataFrame(rows, "id long, k string")
+    facts = df.filter("k IS NOT NULL AND k <> 'unknown'").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("most"))
+    many = facts.unionByName(spark.createDataFrame([("elsewhere", 10_000, 5)], "k string, n long, most long"))
+    for some in (facts, many, facts.limit(0)):
+        most = {r["k"]: r["most"] for r in some.collect()}
+        got = common.join_facts(df, some, ["k"], "n")
+        assert got.columns == ["id", "k", "most"]
+        assert sorted(tuple(r) for r in got.collect()) == [(i, k, most.get(k)) for i, k in rows]

@@ -68,6 +68,32 @@ def test_near_vectors_of_repeated_rows_and_of_nothing(spark):
     assert near_vectors.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_unlike_vectors_of_one_id_and_labels_of_text(spark):
+    rows = [(1, [1.0, 0.0], "a", ""), (1, [0.0, 1.0], "a", ""), (2, [1.0, 0.001], "a", ""), (3, [1.0, 0.0], "b", ""), (4, [1.0, 0.0], None, "")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, n_links string")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df).collect())
+    assert got == [(1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
+def test_a_third_of_equal_vectors(spark):
+    """Hot classes and hot components are looked up, not dealt out by their key."""
+    rng = np.random.default_rng(3)
+    rows = [(k, [1.0, 2.0, 3.0, 4.0], 1, "") for k in range(900)] + [(900 + k, [0.0] * 4, 1, "") for k in range(600)]
+    rows += [(1500 + k, rng.normal(size=4).tolist(), 1, "") for k in range(60)]
+    got = {r["vec_id"]: r for r in near_vectors.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    expected = brute([(v, label) for _, v, label, _ in rows[899:]])
+    for k in range(1500, 1560):
+        assert (got[k]["n_links"] == 0) == (expected[k - 899][0] == 0)
+    assert all(got[k]["n_links"] >= 899 and got[k]["component_id"] == 0 for k in range(900))
+    assert all((got[k]["n_links"], got[k]["component_id"], got[k]["kept"]) == (0, k, True) for k in range(900, 1500))
+
+
+def test_only_shared_filters_fetch_vectors(spark):
+    passed = spark.createDataFrame([(1, 0, 2, 5), (1, 0, 2, 7), (1, 0, 2, 9), (2, 0, 2, 7), (3, 1, 2, 5), (4, 0, 2, 9), (2, 0, 2, 9)], "id long, label long, dim long, filter long")
+    got = {r["id"]: [tuple(f) for f in r["filters"]] for r in near_vectors.shared_filters(passed).collect()}
+    assert got == {1: [(7, 2), (9, 3)], 2: [(7, 2), (9, 3)], 4: [(9, 3)]}
+
+
 def test_caps_are_decoded_whole():
     code = near_vectors.CapCode(10, 20, 1)
     rng = np.random.default_rng(0)
@@ -87,10 +113,13 @@ def test_planted_pairs_share_a_filter(spark, dim, words):
     other -= (other * first).sum(axis=1, keepdims=True) * first
     other /= np.linalg.norm(other, axis=1, keepdims=True)
     both = np.concatenate([first, 0.98 * first + np.sqrt(1 - 0.98**2) * other])
-    df = spark.createDataFrame([(k, v) for k, v in enumerate(both.tolist())], "id long, v array<double>").repartition(8)
-    found = {r["id"]: r["filters"] for r in near_vectors.decode(df, words).select("id", "filters").collect()}
-    assert min(map(len, found.values())) >= near_vectors.CODES * near_vectors.PASSED
-    assert [k for k in range(n) if not set(found[k]) & set(found[k + n])] == []
+    df = spark.createDataFrame([(k, 0, dim, v) for k, v in enumerate(both.tolist())], "id long, label long, dim long, v array<double>").repartition(8)
+    table = near_vectors.decode(df, words).select("id", "filter").toArrow()
+    ident, passed = table.column("id").to_numpy(), table.column("filter").to_numpy()
+    assert np.bincount(ident).min() >= near_vectors.CODES * near_vectors.PASSED
+    key = (ident % n) << 32 | passed
+    pairs = np.intersect1d(key[ident < n], key[ident >= n])
+    assert len(np.unique(pairs >> 32)) == n
 
 
 @pytest.mark.parametrize("scale", [1.0, 1e6, 1e30])
