@@ -1,9 +1,9 @@
 """Operator 13: how far the sources of a language diverge in their terms.
 
 Terms are counted per (language, source) by 64-bit digests: counts travel with digests
-alone. Text comes back late. A second pass over the documents keeps, per digest that may
-be reported, the smallest and the largest of its terms; where the two differ, several terms
-share the digest, and a third pass counts the terms of these digests apart, by their text.
+alone. Text comes back late. A second pass over the documents keeps, per digest, the
+smallest and the largest of its terms; where the two differ, several terms share the
+digest, and a third pass counts the terms of these digests apart, by their text.
 So results are exact for digests of any width.
 
 Each language keeps the terms of at least ``least_docs`` of its documents. A share is
@@ -104,19 +104,18 @@ def kept_terms(counts: DataFrame, least_docs: int) -> DataFrame:
     return sums.filter(F.col("docs") >= least_docs).drop("docs")
 
 
-def group_counts(docs: DataFrame, least_docs: int, bits: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, source, digest, part, n, docs) and the dictionary (digest, term) of digests that may be kept.
+def group_counts(docs: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, digest, part, n, docs) and the dictionary (digest, term).
 
     ``part`` is empty but for digests of several terms, where it is the term.
     """
     sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
     merged = cut_lineage(
-        counted_terms(docs).select("lang", "source", digest(F.col("term"), bits).alias("digest"), F.lit("").alias("part"), "n", "docs")
-        .groupBy("lang", "source", "digest", "part").agg(*sums)
+        counted_terms(docs).select("lang", "source", digest(F.col("term"), bits).alias("digest"), "n", "docs")
+        .groupBy("lang", "source", "digest").agg(*sums).select("lang", "source", "digest", F.lit("").alias("part"), "n", "docs")
     )
-    # Terms that share a digest only add to its documents, so no kept term is missed here.
-    may = cut_lineage(kept_terms(merged, least_docs).select("digest").distinct())
-    terms = distinct_terms(docs).withColumn("digest", digest(F.col("term"), bits)).join(may, "digest", "left_semi")
+    # Dealt out by digest first, so that each term travels once and not as both ends.
+    terms = distinct_terms(docs).withColumn("digest", digest(F.col("term"), bits)).repartition("digest")
     ends = cut_lineage(terms.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
     shared = cut_lineage(ends.filter("term <> last").select("digest"))
     dictionary = ends.select("digest", "term")
@@ -192,7 +191,7 @@ def source_distances(rows: DataFrame, facts: DataFrame) -> DataFrame:
 def divergence(docs: DataFrame, least_docs: int = 30, top: int = 50, add: int = 5, scale: int = 1_000_000_000, bits: int = 64) -> DataFrame:
     """(lang, source, part, item, value, rank): distances of sources, and the terms a source over-uses most."""
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    counts, dictionary = group_counts(docs, least_docs, bits)
+    counts, dictionary = group_counts(docs, bits)
     kept = cut_lineage(kept_terms(counts, least_docs))
     of_lang = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("in_lang"))
     held = cut_lineage(counts.drop("docs").join(kept, ["lang", "digest", "part"]))
