@@ -171,6 +171,20 @@ def global_cells(parsed: DataFrame, offsets: DataFrame, keys: list[str]) -> Data
     )
 
 
+def ordered_lines(lines: DataFrame) -> DataFrame:
+    """Lines of all batches of a document, run together: by batch, then by cell (a missing
+    number counts as 0), then by ``line_no``. Adds ``place`` and the batch counted from 1.
+
+    ``lines``: doc_id, batch_idx, cell_idx, line_no.
+    """
+    cell = F.coalesce("cell_idx", F.lit(0)).cast("bigint")
+    keyed = lines.withColumn("__cell", cell)
+    placed = with_position(
+        keyed, ["doc_id"], radix_levels("batch_idx", "__b", 2), [F.col("batch_idx"), F.col("__cell"), F.col("line_no")], "place"
+    )
+    return placed.withColumn("batch_no", F.col("batch_idx") + 1).drop("__cell")
+
+
 def failed_batches(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """Batches with an error or fewer cells than asked for.
 

@@ -37,15 +37,15 @@ def run_model(
 ) -> DataFrame:
     """Run a row model (detector, mask, inpainter) over partitions.
 
-    ``parallel_calls`` bounds how many calls run at once.
+    ``parallel_calls`` bounds how many calls run at once: the rows are stored, so that the work
+    before the model keeps its own parallelism, and read by so many tasks without a shuffle.
     """
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(name, load)
         for frame in frames:
             yield model(frame)
 
-    # A shuffle, so that the work before the model keeps its own parallelism.
-    limited = rows.repartition(parallel_calls) if parallel_calls else rows
+    limited = cut_lineage(rows).coalesce(parallel_calls) if parallel_calls else rows
     return limited.mapInPandas(call, schema)
 
 

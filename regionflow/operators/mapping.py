@@ -335,9 +335,13 @@ def nearest_cells(
 
     far_x, far_y = reach("hx1", "hx2", "cx"), reach("hy1", "hy2", "cy")
     point = list(dict.fromkeys(["doc_id", *key, "cx", "cy"]))
+    # A level that parts nothing, as where all pages are smaller than its tiles, is left out.
+    names = [f"t{i}" for i in range(len(tiles))]
+    parts = smallest.agg(F.count_distinct("doc_id"), *[F.count_distinct("doc_id", *names[: i + 1]) for i in range(len(tiles))]).first()
+    used = [t for t, before, now in zip(names, parts, parts[1:]) if now > before]
     kept, parents = points.select(*point), ["doc_id"]
-    for level in range(len(tiles)):
-        own = ["doc_id", *[f"t{i}" for i in range(level + 1)]]
+    for level in range(len(used)):
+        own = ["doc_id", *used[: level + 1]]
         hulls = smallest.groupBy(*own).agg(*[low(name).alias(name) for name, low in hull.items()])
         near = kept.join(hulls, parents).withColumns({
             "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from regionflow.operators import assemble
+from regionflow import constants as C
+from regionflow.operators import assemble, infer
 from regionflow.operators import blocks as B
 from regionflow.operators import components as K
 from regionflow.operators import masks as M
@@ -331,3 +333,49 @@ def clear_plan(spark, sf):
     FROM s JOIN (SELECT p, min(q) AS root FROM reach GROUP BY p) USING (p) GROUP BY doc_id, page_idx, root HAVING sum(b - a + 1) > 1)""", "raster"))
 def mask_components(spark, sf):
     return K.components(M.mask_of(X.blocks(spark, sf)), level=100, min_size=1)
+
+
+def dark_pixels():
+    """Stand-in for a mask model: 255 where a block's picture is dark."""
+    def model(frame):
+        masks = []
+        for body in frame["px"]:
+            rgb = np.frombuffer(body, np.uint8).reshape(-1, 4)[:, :3].astype(np.int64)
+            masks.append(M.pack(np.where(rgb @ np.array([299, 587, 114]) < 128000, 255, 0).astype(np.uint8)))
+        return frame.drop(columns="px").assign(m=masks)
+
+    return model
+
+
+# What lies beyond a page's last pixel is dark in a block, and cut off again.
+@query("mask_model", sql(STRETCHES.format(keys="doc_id, page_idx", more="", by="", pixels=f"SELECT doc_id, page_idx, y, x FROM raster WHERE {LIGHT} < 128000"), "raster"))
+def mask_model(spark, sf):
+    asked = X.blocks(spark, sf)
+    found = infer.run_model(asked, "dark", dark_pixels, M.MASK_BLOCK, parallel_calls=4)
+    runs = M.rows_of_runs(found.withColumn("rows", F.ceil(F.col("n") / F.col("w"))), ["doc_id", "page_idx", "ty", "tx", "n"], "0", "0", "h", "w")
+    last = F.least(F.col("x2"), F.col("n") - F.col("y") * C.TILE)
+    return runs.withColumn("x2", last).filter("x2 > x1").select("doc_id", "page_idx", (F.col("ty") * C.TILE + F.col("y")).alias("y"), "x1", "x2")
+
+
+def negatives():
+    """Stand-in for an inpainting model: the negative under the mask, the picture elsewhere."""
+    def model(frame):
+        out = []
+        for rgb, mask in zip(frame["rgb"], frame["mask"]):
+            colours, spots = np.frombuffer(rgb, np.uint8).reshape(-1, 3).copy(), np.frombuffer(mask, np.uint8) > 127
+            colours[spots] = 255 - colours[spots]
+            out.append(colours.tobytes())
+        return frame[["doc_id", "page_idx", "region_id"]].assign(painted=out)
+
+    return model
+
+
+# Windows of a region with two pixels of its surroundings.
+@query("inpaint_model", sql(f"""SELECT {KEYS}, string_agg(CASE WHEN m > 127 THEN printf('%02X%02X%02X', 255 - r, 255 - g, 255 - b) ELSE printf('%02X%02X%02X', r, g, b) END, '' ORDER BY y, x) AS painted
+    FROM (SELECT {KEYS}, greatest(0, x1 - 2) AS x1, greatest(0, y1 - 2) AS y1, least(width, x2 + 2) AS x2, least(height, y2 + 2) AS y2 FROM px_regions) c
+    JOIN raster p USING (doc_id, page_idx) WHERE p.x >= c.x1 AND p.x < c.x2 AND p.y >= c.y1 AND p.y < c.y2 GROUP BY ALL""", "px_regions", "raster"))
+def inpaint_model(spark, sf):
+    around = X.px_regions(spark, sf).withColumns({"x1": F.col("x1") - 2, "y1": F.col("y1") - 2, "x2": F.col("x2") + 2, "y2": F.col("y2") + 2})
+    crops = B.region_crops(X.blocks(spark, sf), around).filter("width > 0").select(*REGION, "rgb", "mask")
+    painted = infer.run_model(crops, "negative", negatives, "doc_id bigint, page_idx bigint, region_id bigint, painted binary", parallel_calls=4)
+    return painted.select(*REGION, F.hex("painted").alias("painted"))

@@ -25,6 +25,14 @@ def parse_cells(spark, sf):
     return parsed(spark, sf)
 
 
+@query("cells_in_sql", sql("SELECT conv_id, block, idx, text FROM turns WHERE told", "turns"))
+def cells_in_sql(spark, sf):
+    """The same by the table function, asked in SQL."""
+    R.register_cells(spark)
+    replies = X.replies(spark, sf).select(*BATCH, "expected", "output")
+    return spark.sql("SELECT conv_id, block, c.idx, c.text FROM {replies}, LATERAL reply_cells(output, expected) c", replies=replies)
+
+
 # A reply of one cell that cannot be read as JSON bubbles is kept raw.
 @query("parse_json_reply", sql("""SELECT conv_id, block, idx, CASE WHEN conv_id % 9 = 0
     THEN replace(text, chr(10), '\\n') ELSE text END AS text FROM turns JOIN blocks USING (conv_id, block)
@@ -45,7 +53,8 @@ def single_reply(spark, sf):
     replies = X.turns(spark, sf).selectExpr(
         "conv_id", "block", "idx AS cell",
         f"CASE idx WHEN 0 THEN {body} WHEN 1 THEN concat(substring({body}, 1, length({body}) - 1), ', \"x')"
-        f" WHEN 2 THEN concat('Here\\'s the OCR result: ```json\n', {body}, '\n```')"
+        " WHEN 2 THEN concat(CASE conv_id % 4 WHEN 0 THEN 'Here\\'s the OCR result: ' WHEN 1 THEN 'OCR OUTPUT for you: ' WHEN 2 THEN 'Following your format, as asked: ' ELSE '' END,"
+        f" '```json\n', {body}, '\n```')"
         " WHEN 3 THEN CASE conv_id % 2 WHEN 0 THEN '{\"text\": \"\"}' ELSE concat('[0]: ', text) END END AS output",
     )
     return R.explode_cells(replies, P.parse_json_reply("output", F.lit(1)), ["conv_id", "block", "cell"]).drop("idx")

@@ -171,6 +171,51 @@ def prompt_text(spark, sf):
     )
 
 
+@query("prompt_grid_json", sql("""SELECT conv_id, block, 'Read every cell' || CASE WHEN conv_id % 2 = 1 THEN ' and translate it to French' ELSE '' END || '. Answer with JSON only: '
+    || CASE WHEN expected = 1 THEN '{"text": "..."}' ELSE '{"bubbles": [{"id": 0, "text": "..."}, ...]} with ids 0 to ' || (expected - 1) END AS prompt FROM blocks""", "blocks"))
+def prompt_grid_json(spark, sf):
+    from regionflow.functions.prompts import json_grid_prompt
+
+    return X.replies(spark, sf).select("conv_id", "block", json_grid_prompt("expected", F.col("conv_id") % 2 == 1, F.lit("French")).alias("prompt"))
+
+
+@query("prompt_translation", sql("""SELECT conv_id, block, CASE WHEN conv_id % 3 = 0 THEN '翻译成' || CASE WHEN conv_id % 2 = 0 THEN '法语' ELSE '德语' END || '，保留[N]:编号：'
+    ELSE 'Translate to ' || CASE WHEN conv_id % 2 = 0 THEN 'French' ELSE 'German' END || ', keep the [N]: numbers:' END || chr(10) || chr(10)
+    || string_agg('[' || (idx + 1) || ']: ' || text, chr(10) ORDER BY idx) AS prompt FROM turns GROUP BY conv_id, block""", "turns"))
+def prompt_translation(spark, sf):
+    from regionflow.functions.prompts import translation_prompt
+
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda t: F.concat(F.lit("["), (t["idx"] + 1).cast("string"), F.lit("]: "), t["text"]))
+    bodies = X.turns(spark, sf).groupBy("conv_id", "block").agg(F.array_join(lines, "\n").alias("body"))
+    french = F.col("conv_id") % 2 == 0
+    prompt = translation_prompt("body", F.when(french, "French").otherwise("German"), F.when(french, "法语").otherwise("德语"), F.col("conv_id") % 3 == 0)
+    return bodies.select("conv_id", "block", prompt.alias("prompt"))
+
+
+# Every third text has lost its cell number, which counts as 0.
+@query("ordered_lines", sql("""SELECT conv_id AS doc_id, block + 1 AS batch_no, line_no, row_number() OVER (PARTITION BY conv_id
+    ORDER BY block, coalesce(cell_idx, 0), line_no) - 1 AS place FROM (SELECT *, idx AS line_no, CASE WHEN (conv_id + turn) % 3 > 0 THEN 3 - idx END AS cell_idx FROM turns)""", "turns"))
+def ordered_lines(spark, sf):
+    lines = X.turns(spark, sf).selectExpr("conv_id AS doc_id", "block AS batch_idx", "idx AS line_no", "CASE WHEN (conv_id + turn) % 3 > 0 THEN 3 - idx END AS cell_idx")
+    return batching.ordered_lines(lines).select("doc_id", "batch_no", "line_no", "place")
+
+
+# Names as a folder of pictures may hold them: some twice, some left over from debugging.
+@query("input_files", """SELECT path, number, row_number() OVER (ORDER BY number, path) - 1 AS place FROM (
+    SELECT DISTINCT path, coalesce(try_cast(regexp_replace(name, '[^0-9]', '', 'g') AS BIGINT), 0) AS number FROM (
+    SELECT path, lower(string_split(path, '/')[-1]) AS name FROM (SELECT 'in/' || CASE page_id % 7 WHEN 0 THEN 'Debug_' WHEN 1 THEN 'x_compare' WHEN 2 THEN 'cover' ELSE 'page_' END
+    || CASE WHEN page_id % 7 = 2 THEN chr(CAST(97 + page_id % 26 AS INTEGER)) ELSE CAST(page_id // 2 AS VARCHAR) END || '.jpg' AS path FROM pages)) WHERE NOT regexp_matches(name, 'viz|debug|detected|fixed|compare|test'))""")
+def input_files(spark, sf):
+    from regionflow.operators.ordering import number_sorted
+    from regionflow.sources.files import input_names
+
+    paths = X.table(spark, sf, "pages").selectExpr(
+        "concat('in/', CASE page_id % 7 WHEN 0 THEN 'Debug_' WHEN 1 THEN 'x_compare' WHEN 2 THEN 'cover' ELSE 'page_' END,"
+        " CASE WHEN page_id % 7 = 2 THEN chr(97 + page_id % 26) ELSE CAST(floor(page_id / 2) AS STRING) END, '.jpg') AS path"
+    )
+    return number_sorted(input_names(paths), [F.col("number"), F.col("path")], "place").select("path", "number", "place")
+
+
 def cut_reply(spark, sf, size):
     """Batches answered by the stub, each reply losing its last three texts."""
     batched = batching.fixed_batches(ordered_jobs(spark, sf), size)

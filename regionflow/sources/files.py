@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regionflow import constants as C
@@ -22,6 +22,21 @@ SAVED = (
 )
 
 
+#: Endings of the pictures that Spark's image reader decodes.
+PICTURE = r"(?i)\.(png|jpe?g|gif|w?bmp)\z"
+
+
+def input_names(files: DataFrame) -> DataFrame:
+    """Paths once each, without debug pictures, with ``name`` and the ``number`` of all digits in it (or 0)."""
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    digits = F.regexp_replace("name", r"\D", "")
+    return (
+        files.withColumn("name", name).withColumn("number", F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")))
+        .filter(~F.col("name").rlike("|".join(EXCLUDED)))
+        .dropDuplicates(["path"])
+    )
+
+
 def list_pictures(spark: SparkSession, folder: str, pattern: str = "*.{jpg,png}") -> DataFrame:
     """Input pictures once each, in order of the digits in their names, then path.
     Only names are read here, not the pictures."""
@@ -29,14 +44,7 @@ def list_pictures(spark: SparkSession, folder: str, pattern: str = "*.{jpg,png}"
         spark.read.format("binaryFile").option("pathGlobFilter", pattern)
         .load(folder).select("path", "length")
     )
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    digits = F.regexp_replace(name, r"\D", "")
-    return (
-        files.withColumns({"name": name, "number": F.coalesce(digits.try_cast("bigint"), F.lit(0))})
-        .filter(~F.col("name").rlike("|".join(EXCLUDED)))
-        .dropDuplicates(["path"])
-        .orderBy("number", "path")
-    )
+    return input_names(files).orderBy("number", "path")
 
 
 def load_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,10 +52,16 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
 
     Every folder that holds pictures is a document (``doc_id``, by the folders' order), its
     pictures are numbered by the digits in their names, then by path. Names come from a
-    listing that opens no file, so a picture is decoded once; a broken one leaves a gap in
-    the numbers. Only names are sorted, and a document's pages are few beside the corpus.
+    listing that opens no file and keeps those with a picture's ending, so a picture is
+    decoded once; a broken one leaves a gap in the numbers. Only names are sorted, and a
+    document's pages are few beside the corpus.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("origin"))
+    def place(c: str) -> Column:
+        # The two readers write the scheme of local paths differently.
+        return F.regexp_replace(c, "^file:/+", "file:///")
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    listed = listed.filter(F.col("path").rlike(PICTURE)).select(place("path").alias("origin"))
     name = F.element_at(F.split("origin", "/"), -1)
     names = listed.select(
         "origin", F.regexp_replace("origin", r"/[^/]*\z", "").alias("folder"),
@@ -58,7 +72,7 @@ def load_pages(spark: SparkSession, folder: str) -> DataFrame:
     order = names.withColumn("page_idx", (F.row_number().over(in_folder) - 1).cast("bigint")).join(docs.select("folder", "doc_id"), "folder")
     pictures = (
         spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", True).load(folder)
-        .select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+        .select(place("image.origin").alias("origin"), "image.width", "image.height", "image.nChannels", "image.data")
     )
     # Names are stored, so that Spark knows their size and lets them travel, not the pictures, where they are few.
     return pictures.join(cut_lineage(order.select("origin", "doc_id", "page_idx")), "origin")

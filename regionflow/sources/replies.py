@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionflow.functions.parse import parse_cells
@@ -69,3 +71,28 @@ def cells_view(replies: DataFrame, name: str, output: str = "output", expected:
     """SQL face of the cell parser: a view ``name`` with the other columns, idx and text."""
     keys = [c for c in replies.columns if c not in (output, expected)]
     explode_cells(replies, parse_cells(output, expected), keys).createOrReplaceTempView(name)
+
+
+#: Numbered cells, as ``functions.parse`` reads them, for Python's own patterns.
+_NUMBERED = re.compile(r"\[(\d+)\]:\s*(.+?)(?=\[\d+\]:|\Z)", re.DOTALL)
+
+
+@F.udtf(returnType="idx bigint, text string")
+class ReplyCells:
+    """Table function: the cells of one reply, by number; the last text of a number counts, and a
+    lone cell may carry none."""
+
+    def eval(self, output: str, expected: int):
+        text = (output or "").strip()
+        if expected == 1:
+            text = text[4:].strip() if text.startswith("[0]:") else text
+            if text:
+                yield 0, text
+            return
+        found = {int(n): body.strip() for n, body in _NUMBERED.findall(text) if body.strip()}
+        yield from ((n, body) for n, body in found.items() if 0 <= n < (expected or 0))
+
+
+def register_cells(spark: SparkSession, name: str = "reply_cells") -> None:
+    """The table function for SQL: ``FROM replies, LATERAL reply_cells(output, expected)``."""
+    spark.udtf.register(name, ReplyCells)

@@ -3,6 +3,8 @@
 import json
 import struct
 import sys
+import time
+import uuid
 import zlib
 
 from pyspark import cloudpickle
@@ -40,6 +42,26 @@ def test_models_and_fallbacks(spark):
     assert infer.run_model(df, "double", load_double, schema, parallel_calls=2).agg(F.sum("y")).first()[0] == 90
 
 
+def test_calls_at_one_time_are_bounded_without_a_shuffle(spark, tmp_path):
+    def load():
+        def model(frame):
+            name = tmp_path / uuid.uuid4().hex
+            name.touch()
+            time.sleep(0.2)
+            frame = frame.assign(running=len(list(tmp_path.iterdir())))
+            name.unlink()
+            return frame[["x", "running"]]
+
+        return model
+
+    rows = spark.range(0, 16, 1, 16).withColumnRenamed("id", "x")
+    for most in (2, 5):
+        asked = infer.run_model(rows, f"counted{most}", load, "x bigint, running bigint", parallel_calls=most)
+        assert "Exchange" not in asked._jdf.queryExecution().executedPlan().toString()
+        got = asked.collect()
+        assert len(got) == 16 and 1 <= max(r.running for r in got) <= most
+
+
 def test_ask_until_good_asks_only_bad_batches(spark):
     batches = spark.range(6).withColumnRenamed("id", "batch_idx")
 
