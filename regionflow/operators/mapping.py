@@ -173,7 +173,13 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
     if not unknown_batches:
         return found.select(*key, "m.rule", "m.cell_idx")
     # A line without a batch may lie in any cell, one with a batch also in those without.
-    sides = [("l_batch IS NULL", placed), ("l_batch IS NOT NULL", placed.filter("batch_idx IS NULL"))]
+    # Joins for a kind that is not there at all are left out.
+    without = placed.filter("batch_idx IS NULL")
+    sides = [(some, others) for some, others, gone in (
+        ("l_batch IS NULL", placed, lines.filter("batch_idx IS NULL").isEmpty()), ("l_batch IS NOT NULL", without, without.isEmpty()),
+    ) if not gone]
+    if not sides:
+        return found.select(*key, "m.rule", "m.cell_idx")
     for some, others in sides:
         at = [
             F.struct(F.lit(n).alias("n"), F.struct(F.lit(level).alias("lv"), F.floor(F.col(y) / size).alias("ty"), F.floor(F.col(x) / size).alias("tx")).alias("p"))

@@ -248,7 +248,7 @@ def test_translation_stream_equals_batch_form(spark):
         )
         query.awaitTermination()
     got = {(r.reply_id, r.chunk_no, r.reason) for r in spark.read.parquet(f"{work}/out").collect()}
-    assert got == first_judged(texts, piece, True) and len(got) > 10
+    assert got == first_judged(texts, piece, True) and len(got) > 5
 
 
 def test_chunk_watcher_equals_batch_form(spark):
