@@ -22,7 +22,7 @@ from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.operators.masks import TILE_KEY, pack, unpack
 from regionflow.operators.pixels import BOX, REGION, clip_to_page, plan_clearing
-from regionflow.operators.runs import whole_runs
+from regionflow.operators.runs import in_parts, whole_runs
 
 BLOCK = "doc_id bigint, page_idx bigint, ty bigint, tx bigint, h bigint, w bigint, n bigint, px binary"
 _LIGHT = np.array([299, 587, 114])
@@ -60,7 +60,7 @@ def over_regions(blocks: DataFrame, regions: DataFrame, call: Callable, schema:
     piece = ", ".join(f"{c} bigint" for c in names[: names.index("body")]) + ", body binary" + (", todo array<bigint>" if carried else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             boxes = batch.column("boxes").flatten()
             ends = np.cumsum(np.diff(batch.column("boxes").offsets.to_numpy()))
             ident, x1, y1, x2, y2 = (boxes.field(c).to_numpy() for c in ("region_id", *BOX))
@@ -87,7 +87,7 @@ def over_regions(blocks: DataFrame, regions: DataFrame, call: Callable, schema:
     kinds = to_arrow_schema(blocks.sparkSession.createDataFrame([], head).schema)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, sizes in whole_runs(batches, REGION):
+        for table, starts, sizes in whole_runs(in_parts(batches), REGION):
             keys = list(zip(*(table.column(c).to_numpy()[starts].tolist() for c in REGION)))
             boxes = list(zip(*(table.column(c).to_numpy()[starts].tolist() for c in BOX)))
             spots = list(zip(*(table.column(c).to_pylist() for c in ("py", "px", "h", "w", "body"))))
@@ -251,7 +251,7 @@ def _per_tile(blocks: DataFrame, others: list[tuple[str, DataFrame]], change: Ca
     names = [n for n, _ in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             done = [change(picture(r["px"], r["h"], r["w"]).copy(), r, *(r[n] for n in names)).tobytes() for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _BLOCK_NAMES[:-1]), pa.array(done, pa.binary())], names=_BLOCK_NAMES)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.operators.masks import unpack
 from regionflow.operators.pixels import PAGE
+from regionflow.operators.runs import in_parts
 from regionflow.session import cut_lineage
 
 _ROW = 1 << 24          # code of a pixel: y * _ROW + x
@@ -68,7 +69,7 @@ def label_tiles(masks: DataFrame, level: int = C.MASK_STRONG_LEVEL) -> DataFrame
     ``down`` and ``right`` where a neighbour follows, ``up`` and ``left`` where one went before.
     A border run has the neighbour's line as y1 (or x1) and its stretch in the other pair."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             found: list[list[np.ndarray]] = [[] for _ in range(8)]
             kinds: list[str] = []
             for r in batch.to_pylist():

@@ -1,8 +1,8 @@
 """Model calls as Spark stages.
 
 A model is a callable the user hands in: it gets a pandas frame and returns one.
-It is loaded once per Python worker and only sees one Arrow batch, or one batch
-of jobs, at a time.
+It is loaded once per Python worker and only sees a part of an Arrow batch, or one
+batch of jobs, at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +19,9 @@ from regionflow import constants as C
 from regionflow.functions.text import is_limited, is_overload
 from regionflow.session import cut_lineage
 
+#: Bytes of rows that a row model gets at a time.
+CALL_BYTES = 8 << 20
+
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -31,6 +34,18 @@ def _model(name: str, load: Callable[[], Model]) -> Model:
     return getattr(kept, name)
 
 
+def _parts(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A frame in parts of at most ``CALL_BYTES`` bytes, or of a single row."""
+    waiting = [frame]
+    while waiting:
+        part = waiting.pop()
+        if len(part) > 1 and part.memory_usage(deep=True).sum() > CALL_BYTES:
+            half = len(part) // 2
+            waiting += [part.iloc[half:], part.iloc[:half]]
+        else:
+            yield part.reset_index(drop=True)
+
+
 def run_model(
     rows: DataFrame, name: str, load: Callable[[], Model], schema: str,
     parallel_calls: int | None = None,
@@ -43,7 +58,8 @@ def run_model(
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(name, load)
         for frame in frames:
-            yield model(frame)
+            for part in _parts(frame):
+                yield model(part)
 
     limited = cut_lineage(rows).coalesce(parallel_calls) if parallel_calls else rows
     return limited.mapInPandas(call, schema)

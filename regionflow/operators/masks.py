@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.operators.pixels import BOX, PAGE, REGION
-from regionflow.operators.runs import whole_runs
+from regionflow.operators.runs import in_parts, whole_runs
 
 TILE_KEY = [*PAGE, "ty", "tx"]
 MASK_BLOCK = "doc_id bigint, page_idx bigint, ty bigint, tx bigint, h bigint, w bigint, n bigint, m binary"
@@ -48,7 +48,7 @@ def unpack(body: bytes, h: int, w: int) -> np.ndarray:
 def mask_of(blocks: DataFrame) -> DataFrame:
     """The masks of picture blocks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             masks = [pack(np.frombuffer(b, np.uint8)[3::4]) for b in batch.column("px").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _NAMES[:-1]), pa.array(masks, pa.binary())], names=_NAMES)
 
@@ -58,7 +58,7 @@ def mask_of(blocks: DataFrame) -> DataFrame:
 def _each(blocks: DataFrame, change, value: str = "m") -> DataFrame:
     """``change(row)`` gives each block's new mask."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             masks = [pack(change(r)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _NAMES[:-1]), pa.array(masks, pa.binary())], names=_NAMES)
 
@@ -75,7 +75,7 @@ def normalise_mask(blocks: DataFrame, byte_values: bool = False) -> DataFrame:
         return _each(blocks, lambda r: unpack(r["m"], r["h"], r["w"]))
 
     def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             tops = [float(np.frombuffer(m, np.float64)[:n].max(initial=-np.inf)) for m, n in zip(batch.column("m").to_pylist(), batch.column("n").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("page_idx"), pa.array(tops)], names=[*PAGE, "top"])
 
@@ -105,7 +105,7 @@ def char_mask(chars: DataFrame, regions: DataFrame) -> DataFrame:
     names = [*REGION, *BOX, "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             masks = []
             for r in batch.to_pylist():
                 mask = np.zeros((r["y2"] - r["y1"], r["x2"] - r["x1"]), np.uint8)
@@ -121,7 +121,7 @@ def char_mask(chars: DataFrame, regions: DataFrame) -> DataFrame:
 def rows_of_runs(masks: DataFrame, key: list[str], y0: str, x0: str, h: str, w: str) -> DataFrame:
     """(key, y, x1, x2, m): the runs of values above zero in each row, for looking at masks."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             owner, found = [], []
             for k, (body, height, width, y, x) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m", "__h", "__w", "__y", "__x")))):
                 mask = unpack(body, height, width)
@@ -169,7 +169,7 @@ def grid_mask_to_pages(grid: DataFrame, cells: DataFrame) -> DataFrame:
     names = [*PAGE, "to_ty", "to_tx", "y", "x", "h", "w", "m"]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_parts(batches):
             out: list[list] = [[] for _ in names]
             for r in batch.to_pylist():
                 tile = unpack(r["m"], r["h"], r["w"])
@@ -191,7 +191,7 @@ def grid_mask_to_pages(grid: DataFrame, cells: DataFrame) -> DataFrame:
     key = [*PAGE, "to_ty", "to_tx"]
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts, sizes in whole_runs(batches, key):
+        for table, starts, sizes in whole_runs(in_parts(batches), key):
             columns = [table.column(c).to_pylist() for c in ("y", "x", "h", "w", "m")]
             masks = []
             for at, size in zip(starts.tolist(), sizes.tolist()):

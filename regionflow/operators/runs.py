@@ -11,6 +11,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Bytes and rows of Arrow data that are turned into Python values at a time.
+PART_BYTES, PART_ROWS = 1 << 20, 1024
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], most: int = PART_BYTES, rows: int = PART_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches cut into parts of at most ``most`` bytes and ``rows`` rows, or of a single row.
+
+    Spark's batches end by rows and bytes that suit plain columns; pictures, packed masks and texts
+    take many times their bytes as Python values, so these are made, and given back, a part at a time.
+    """
+    for batch in batches:
+        parts = [batch]
+        while parts:
+            part = parts.pop()
+            if part.num_rows > 1 and (part.num_rows > rows or part.nbytes > most):
+                half = part.num_rows // 2
+                parts += [part.slice(half), part.slice(0, half)]
+            else:
+                yield part
+
+
 def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """Sorted batches as tables of whole runs of equal numeric ``keys``, with each run's start and size."""
     rest: list[pa.RecordBatch] = []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from regionflow.operators import detect
 from regionflow.operators.blocks import BLOCK
+from regionflow.operators.runs import in_parts
 
 WIDTH, HEIGHT = 900, 1280
 BIG = 4294967296          # cell numbers: page * BIG + region
@@ -238,7 +239,7 @@ def doc_lines(spark, sf_dir) -> DataFrame:
 def blocks(spark, sf_dir) -> DataFrame:
     """The raster as tile blocks; the last tile of a page may end inside a row."""
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for page, html in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist()):
                 code = np.frombuffer((html or "").encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -265,7 +266,7 @@ def pixel_lines(df: DataFrame, channels: str = "rgb") -> DataFrame:
     at = ["rgbm".index(c) for c in channels]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for r in batch.to_pylist():
                 tile = np.frombuffer(r["px"], np.uint8).reshape(r["h"], r["w"], 4)[:, :, at]
@@ -283,7 +284,7 @@ def model_masks(blocks_of: DataFrame) -> DataFrame:
     names = ["doc_id", "page_idx", "ty", "tx", "h", "w", "n", "m"]
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             even = np.array(batch.column("page_idx").to_pylist()) % 2 == 0
             bodies = [np.frombuffer(b, np.uint8)[3::4] for b in batch.column("px").to_pylist()]
             values = [(m / 256.0 if e else m * 2.0).tobytes() for m, e in zip(bodies, even)]
@@ -297,7 +298,7 @@ def mask_lines(masks: DataFrame) -> DataFrame:
     from regionflow.operators.masks import unpack
 
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for r in batch.to_pylist():
                 mask = unpack(r["m"], r["h"], r["w"])
@@ -313,7 +314,7 @@ def mask_lines(masks: DataFrame) -> DataFrame:
 def painted_rows(blocks_of: DataFrame) -> DataFrame:
     """Stand-in for a model's output: one value per row of pixels, -1 to 1."""
     def run(batches):
-        for batch in batches:
+        for batch in in_parts(batches):
             rows = []
             for r in batch.to_pylist():
                 y = r["ty"] * 64 + np.arange(r["h"])
