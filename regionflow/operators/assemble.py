@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from regionflow import constants as C
 from regionflow.functions.text import slug
+from regionflow.session import by_key
 
 
 def with_translations(merged: DataFrame, translations: DataFrame) -> DataFrame:
     """Regions with their translation, or the missing marker."""
     keys = ["doc_id", "page_idx", "level", "bubble_idx"]
-    return merged.join(translations.select(*keys, "translated"), keys, "left").withColumn(
+    return merged.join(by_key(translations.select(*keys, "translated")), keys, "left").withColumn(
         "translated_text", F.coalesce("translated", F.lit(C.MISSING))
     ).drop("translated")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions.parse import reply_status
 from regionflow.operators.ordering import RADIX, preceding_totals, radix_levels, with_position
+from regionflow.session import by_key
 
 
 def _page_levels(first: Column) -> dict[str, Column]:
@@ -121,7 +122,7 @@ def join_by_position(jobs: DataFrame, replies: DataFrame) -> DataFrame:
     entries = replies.select(
         "doc_id", "batch_idx", F.posexplode("translations").alias("batch_pos", "translated")
     ).withColumn("batch_pos", F.col("batch_pos").cast("bigint"))
-    return jobs.join(entries, ["doc_id", "batch_idx", "batch_pos"], "left").withColumn(
+    return jobs.join(by_key(entries), ["doc_id", "batch_idx", "batch_pos"], "left").withColumn(
         "translated", F.coalesce("translated", F.lit(C.MISSING))
     )
 
@@ -133,7 +134,7 @@ def zip_texts(infos: DataFrame, replies: DataFrame) -> DataFrame:
         "doc_id", "batch_idx", F.posexplode("translations").alias("text_idx", "translated")
     ).withColumn("text_idx", F.col("text_idx").cast("bigint"))
     texts = infos.filter("text != ''").join(
-        entries, ["doc_id", "batch_idx", "text_idx"], "left"
+        by_key(entries), ["doc_id", "batch_idx", "text_idx"], "left"
     ).withColumn("translated", F.coalesce("translated", F.lit(C.MISSING)))
     empty = infos.filter("text = ''").withColumn("translated", F.lit(""))
     return texts.unionByName(empty)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.operators.ordering import preceding_totals, radix_levels
 from regionflow.operators.runs import by_group
-from regionflow.session import cut_lineage
+from regionflow.session import by_key, cut_lineage
 
 BLOCK = 4096
 SUPER_BLOCK = 1024
@@ -143,7 +143,7 @@ def shelf_rows(
     full = slim.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == block).select(*key)
     effects = cut_lineage(
         by_group(
-            shown.join(full, key, "left_semi"), key,
+            shown.join(by_key(full), key, "left_semi"), key,
             _block_effect(block, reach, row_width, padding, extra),
             f"doc_id bigint, block bigint, {_TABLE}", "seq",
         ).withColumn("sblock", F.floor(F.col("block") / super_block))
@@ -170,11 +170,11 @@ def shelf_rows(
     )
     # What leaves block b enters block b + 1; block 0 is entered with 0.
     entries = (
-        inner.join(outer, ["doc_id", "sblock"])
+        inner.join(by_key(outer), ["doc_id", "sblock"])
         .withColumn("at", F.element_at("entry", F.col("state")))
         .join(
-            effects.select("doc_id", "block", F.col("exit").alias("own_exit"),
-                           F.col("rows").alias("own_rows")),
+            by_key(effects.select("doc_id", "block", F.col("exit").alias("own_exit"),
+                                  F.col("rows").alias("own_rows"))),
             ["doc_id", "block"],
         )
         .select(
@@ -186,7 +186,7 @@ def shelf_rows(
             ).alias("row_base"),
         )
     )
-    entered = shown.join(entries, key, "left").fillna(0, ["entry", "row_base"])
+    entered = shown.join(by_key(entries), key, "left").fillna(0, ["entry", "row_base"])
     return by_group(entered, key, numbering, numbered, "seq")
 
 
@@ -309,7 +309,7 @@ def height_batches(
     slim = items.select(*[F.col(c).cast("bigint") for c in ("doc_id", "seq", "w", "h")])
     lowest = slim.groupBy("doc_id").agg(F.min("h").alias("low"))
     return (
-        slim.join(lowest, "doc_id")
+        slim.join(by_key(lowest), "doc_id")
         .repartition("doc_id")
         .sortWithinPartitions("doc_id", "seq")
         .mapInArrow(
@@ -341,7 +341,7 @@ def grid_coordinates(
     x = F.lit(padding) + F.coalesce(F.sum(F.col("w") + padding + line).over(before), F.lit(0))
     return (
         placed.withColumn("gx1", x)
-        .join(tops.select(*keys, "row_idx", "row_h", "step_before", "cells_before"),
+        .join(by_key(tops.select(*keys, "row_idx", "row_h", "step_before", "cells_before")),
               [*keys, "row_idx"])
         .withColumns({
             "gy1": F.lit(padding) + F.col("step_before")

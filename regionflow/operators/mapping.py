@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.functions.text import has_map_script, is_noise, strip
-from regionflow.session import cut_lineage
+from regionflow.session import by_key, cut_lineage
 
 LINE_KEY = ("doc_id", "line_no")
 GRID_BOX = ("gx1", "gy1", "gx2", "gy2")
@@ -150,7 +150,7 @@ def _point_cells(cells: DataFrame, tolerance: float) -> DataFrame:
         place = F.col(f"p.t{axis}")
         covers = covers & (grown[f"g{axis}1"] <= place * size) & (grown[f"g{axis}2"] >= (place + 1) * size)
     first = touched.groupBy("doc_id", "p").agg(F.min(F.when(covers, F.col("cell_idx"))).alias("first"))
-    return touched.join(first, ["doc_id", "p"]).filter("first IS NULL OR cell_idx <= first").drop("first")
+    return touched.join(by_key(first), ["doc_id", "p"]).filter("first IS NULL OR cell_idx <= first").drop("first")
 
 
 def _candidates(pairs: DataFrame, key: list[str], rule: Column, overlap: Column | float = 0.0) -> DataFrame:
@@ -168,7 +168,7 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
     centre, corner = (F.when(G.inside(GRID_BOX, *at, tolerance), n) for n, at in ((1, ("cx", "cy")), (2, ("x", "y"))))
     known = _cell_probes(placed.filter("batch_idx IS NOT NULL"), tolerance)
     known = known.select("doc_id", F.col("batch_idx").alias("l_batch"), "p", "cell_idx", *GRID_BOX)
-    met = _line_probes(points.filter("l_batch IS NOT NULL")).join(known, ["doc_id", "l_batch", "p"])
+    met = _line_probes(points.filter("l_batch IS NOT NULL")).join(by_key(known), ["doc_id", "l_batch", "p"])
     found = _candidates(met, key, F.coalesce(centre, corner, F.when(overlap > 0, 3)), overlap)
     if not unknown_batches:
         return found.select(*key, "m.rule", "m.cell_idx")
@@ -186,15 +186,15 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
             for n, x, y in ((1, "cx", "cy"), (2, "x", "y")) for level, (size, _) in enumerate(POINT_TILES)
         ]
         asked = points.filter(some).select(*key, "x", "y", "cx", "cy", F.inline(F.array(*at)))
-        in_tile = asked.join(_point_cells(others, tolerance), ["doc_id", "p"])
+        in_tile = asked.join(by_key(_point_cells(others, tolerance)), ["doc_id", "p"])
         found = found.unionByName(_candidates(in_tile, key, F.when(F.col("n") == 1, centre).otherwise(corner)))
     found = cut_lineage(found.groupBy(*key).agg(F.min("m").alias("m")))
     # The largest overlap only counts for lines whose points are in no cell.
-    rest = points.join(found.filter("m.rule < 3").select(*key), key, "left_anti")
+    rest = points.join(by_key(found.filter("m.rule < 3").select(*key)), key, "left_anti")
     by_size = _line_probes(rest, points=False)
     for some, others in sides:
         boxes = _cell_probes(_one_per_box(others), tolerance).select("doc_id", "p", "cell_idx", *GRID_BOX)
-        pairs = by_size.filter(some).join(boxes, ["doc_id", "p"])
+        pairs = by_size.filter(some).join(by_key(boxes), ["doc_id", "p"])
         found = found.unionByName(_candidates(pairs, key, F.when(overlap > 0, 3), overlap))
     return found.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.rule", "m.cell_idx")
 
@@ -214,7 +214,7 @@ def spatial_matches(
     """
     fields = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
     best = _best_cells(lines, cells, line_key, tolerance, unknown_batches)
-    return best.join(cells.select("doc_id", "cell_idx", *fields), ["doc_id", "cell_idx"]).select(*line_key, "rule", "cell_idx", *fields)
+    return best.join(by_key(cells.select("doc_id", "cell_idx", *fields)), ["doc_id", "cell_idx"]).select(*line_key, "rule", "cell_idx", *fields)
 
 
 def _page_box(exact: bool) -> Column:
@@ -253,7 +253,7 @@ def _directly(lines: DataFrame, cells: DataFrame, key: list[str], translated: bo
     spread = F.when(F.col("skipped").isNull(), F.col("cell_idx"))
     spread = F.coalesce(spread, -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
     named = cells.select("doc_id", F.col("cell_idx").alias("__cell"), F.lit(True).alias("by_cell"), *fields)
-    direct = screened.withColumn("__cell", spread).join(named, ["doc_id", "__cell"], "left")
+    direct = screened.withColumn("__cell", spread).join(by_key(named), ["doc_id", "__cell"], "left")
     missing_box = F.col("x").isNull() | F.col("width").isNull()
     outcome = F.coalesce("skipped", F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"))
     return cut_lineage(direct.withColumn("outcome", outcome).drop("skipped", "by_cell", "__cell"))
@@ -269,7 +269,7 @@ def map_outcomes(
     placed = _best_cells(direct.filter("outcome IS NULL"), cells, key, C.MATCH_TOLERANCE, unknown_batches)
     found = placed.select(*key).withColumn("placed", F.lit(True))
     outcome = F.coalesce("outcome", F.when(F.col("placed"), "matched_bbox").otherwise("unmatched"))
-    return direct.select(*key, "outcome").join(found, key, "left").select(*key, outcome.alias("outcome"))
+    return direct.select(*key, "outcome").join(by_key(found), key, "left").select(*key, outcome.alias("outcome"))
 
 
 def map_lines(
@@ -293,7 +293,7 @@ def map_lines(
     found = matches.select(*key, F.col("rule").alias("by_place"), F.struct("cell_idx", *fields).alias("m"))
     by_cell = F.col("outcome") == "matched_cell_idx"
     placed = F.col("by_place").isNotNull()
-    both = direct.join(found, key, "left").withColumns({
+    both = direct.join(by_key(found), key, "left").withColumns({
         **{c: F.when(placed, F.col(f"m.{c}")).when(by_cell, F.col(c)) for c in ("cell_idx", *fields)},
         "rule": F.when(by_cell, 0).otherwise(F.col("by_place")),
     })
@@ -349,7 +349,7 @@ def nearest_cells(
     for level in range(len(used)):
         own = ["doc_id", *used[: level + 1]]
         hulls = smallest.groupBy(*own).agg(*[low(name).alias(name) for name, low in hull.items()])
-        near = kept.join(hulls, parents).withColumns({
+        near = kept.join(by_key(hulls), parents).withColumns({
             "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
         })
         near = near.withColumn("limit", F.min("sure").over(Window.partitionBy(*key)))
@@ -361,7 +361,7 @@ def nearest_cells(
         )
     ).alias("m")
     return (
-        kept.join(boxes, parents).groupBy(*key).agg(best)
+        kept.join(by_key(boxes), parents).groupBy(*key).agg(best)
         .select(*key, F.sqrt("m.d2").alias("distance"), "m.cell_idx", "m.page_idx", "m.bubble_idx")
     )
 
@@ -370,7 +370,7 @@ def unmapped_regions(regions: DataFrame, mapped: DataFrame) -> DataFrame:
     """Regions no line was mapped to."""
     keys = ["doc_id", "page_idx", "bubble_idx"]
     hits = mapped.filter("page_idx IS NOT NULL").select(*keys)
-    return regions.join(hits, keys, "left_anti")
+    return regions.join(by_key(hits), keys, "left_anti")
 
 
 def near_misses(
@@ -394,7 +394,7 @@ def near_misses(
         ).alias("p"),
     )
     return (
-        centres.join(probes, ["doc_id", "batch_idx", "p"])
+        centres.join(by_key(probes), ["doc_id", "batch_idx", "p"])
         .withColumns({
             "dx": G.axis_distance("gx1", "gx2", "cx"), "dy": G.axis_distance("gy1", "gy2", "cy"),
             "in_box": G.inside(GRID_BOX, "cx", "cy"),
@@ -426,7 +426,7 @@ def mapped_share(regions: DataFrame, mapped: DataFrame) -> DataFrame:
     keys = ["doc_id", "page_idx", "bubble_idx"]
     hit = mapped.filter("page_idx IS NOT NULL").select(*keys).distinct().withColumn("hit", F.lit(1))
     return (
-        regions.select(*keys).join(hit, keys, "left").groupBy("doc_id")
+        regions.select(*keys).join(by_key(hit), keys, "left").groupBy("doc_id")
         .agg(F.count(F.lit(1)).alias("regions"), F.count("hit").alias("mapped"))
         .withColumn("percent", F.lit(100) * F.col("mapped") / F.greatest(F.lit(1), "regions"))
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.functions.text import should_translate, strip
+from regionflow.session import by_key
 
 REGION = ["doc_id", "page_idx", "level", "bubble_idx"]
 
@@ -56,7 +57,7 @@ def merge_regions(
     box = regions.select(
         *REGION, *[F.col(c).alias(f"r{c}") for c in ("x1", "y1", "x2", "y2")]
     )
-    joined = collect_texts(texts).join(box, REGION)
+    joined = collect_texts(texts).join(by_key(box), REGION)
     if min_ratio is not None:
         joined = joined.filter(should_translate("original_text", min_ratio))
     region_area = G.area("rx1", "ry1", "rx2", "ry2")

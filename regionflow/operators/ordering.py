@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regionflow.session import cut_lineage
+from regionflow.session import by_key, cut_lineage
 
 RADIX = 1024
 
@@ -57,7 +57,7 @@ def preceding_totals(
         *parents, *[F.col(f"{v}_before").alias(f"__{v}_above") for v in values]
     )
     return (
-        local.join(above, parents)
+        local.join(by_key(above), parents)
         .withColumns(
             {f"{v}_before": F.col(f"{v}_before") + F.col(f"__{v}_above") for v in values}
         )
@@ -96,7 +96,7 @@ def with_position(
         marked.groupBy(*fine).agg(size.alias("__size")), keys, list(levels), ["__size"]
     ).select(*fine, "__size_before")
     return (
-        ranked.join(offsets, fine)
+        ranked.join(by_key(offsets), fine)
         .withColumn(name, (F.col(name) + F.col("__size_before")).cast("bigint"))
         .drop("__size_before", *levels)
     )

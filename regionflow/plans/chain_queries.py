@@ -11,7 +11,7 @@ from regionflow.plans.mapping_queries import mapped
 from regionflow.plans.reference_sql import CTES, sql
 from regionflow.plans.registry import query
 from regionflow.plans.text_queries import flat_regions
-from regionflow.session import cut_lineage
+from regionflow.session import by_key, cut_lineage
 
 BATCH_SIZE = 20
 
@@ -44,7 +44,7 @@ def full_chain(spark, sf):
     answered = batched.filter("seq % 7 <> 3").withColumn("text", F.concat(F.lit("T:"), "text"))
     # The stub model: the prompt's own numbers with the translated texts.
     replies = batched.groupBy("doc_id", "batch_idx").agg(F.count(F.lit(1)).alias("expected")).join(
-        batching.numbered_prompt(answered, "lines").withColumnRenamed("prompt_body", "output"), ["doc_id", "batch_idx"], "left"
+        by_key(batching.numbered_prompt(answered, "lines").withColumnRenamed("prompt_body", "output")), ["doc_id", "batch_idx"], "left"
     ).select("doc_id", "batch_idx", P.parse_translation("output", "expected").alias("translations"))
     translated = batching.join_by_position(batched, replies).withColumn(
         "level", F.when(F.col("is_l2"), 2).otherwise(1).cast("bigint")

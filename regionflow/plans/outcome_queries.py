@@ -10,7 +10,7 @@ from regionflow.operators import assemble, batching, infer, mapping
 from regionflow.plans import fixtures as X
 from regionflow.plans.reference_sql import sql
 from regionflow.plans.registry import query
-from regionflow.session import shared_dir
+from regionflow.session import by_key, shared_dir
 from regionflow.sources import files
 from regionflow.sources import replies as R
 
@@ -167,7 +167,7 @@ def char_boxes(spark, sf):
     bad = F.array(F.struct(F.lit("?").alias("char"), F.array(F.col("x"), F.col("y")).alias("bbox")))
     chars = F.concat(F.transform(F.sequence(F.lit(0), F.length("text") - 1), boxed), bad)
     lines = mapping.screen_lines(X.lines(spark, sf)).select("doc_id", "src_page", "line_no", "text", "x", "y")
-    matched = spatial_matches(spark, sf).join(lines, ["doc_id", "src_page", "line_no"])
+    matched = by_key(spatial_matches(spark, sf)).join(lines, ["doc_id", "src_page", "line_no"])
     moved = matched.withColumn("chars", chars).withColumn("moved", mapping.chars_to_page())
     sides = [F.col("c.bbox")[k].cast("bigint").alias(side) for k, side in enumerate(("left", "top", "right", "bottom"))]
     return moved.select("doc_id", "src_page", "line_no", F.posexplode("moved").alias("char_no", "c")).select("doc_id", "src_page", "line_no", "char_no", *sides, "c.char")

@@ -10,7 +10,7 @@ from regionflow.operators.ordering import radix_levels, with_position
 from regionflow.plans import fixtures as X
 from regionflow.plans.reference_sql import sql
 from regionflow.plans.registry import query
-from regionflow.session import cut_lineage
+from regionflow.session import by_key, cut_lineage
 
 KEY = ["doc_id", "page_idx", "det_idx"]
 
@@ -182,7 +182,7 @@ def shelf_pack_chained(spark, sf):
 def one_grid(spark, sf, separators):
     items = stored_items(spark, sf)
     rows = cut_lineage(layout.shelf_rows(items, separators=separators))
-    return items.join(rows, ["doc_id", "seq"]).withColumn("batch_idx", F.lit(0).cast("bigint"))
+    return items.join(by_key(rows), ["doc_id", "seq"]).withColumn("batch_idx", F.lit(0).cast("bigint"))
 
 
 GRID = """, placed AS (SELECT * FROM walk JOIN items USING (doc_id, seq)),

@@ -106,6 +106,15 @@ def cut_lineage(df, compression: str | None = None):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df):
+    """The side of a join that is dealt by its key however small it looks.
+
+    Spark's estimate knows a stored table by its compressed bytes alone, and takes rows that are
+    exploded for as many as went in, so it may broadcast what fits neither driver nor executors.
+    """
+    return df.hint("merge")
+
+
 @contextmanager
 def temporary_tables(spark: SparkSession):
     """Tables stored inside the block, by the same thread, are removed when it ends.
