@@ -117,5 +117,12 @@ def write_text_only(nested: DataFrame, path: str) -> None:
 
 
 def save_pages(pages: DataFrame, path: str) -> None:
-    """Page sets under ``stage`` (before, after) and a slugged title."""
-    pages.withColumn("tab_title", slug("tab_title")).write.mode("append").partitionBy("stage", "tab_title").parquet(path)
+    """Page sets under ``stage`` (before, after), each ordered by slugged title.
+
+    Titles are nearly as many as pages, so they share files: a title's rows lie together, and a
+    reader that asks for one skips the rest by the files' ranges.
+    """
+    titled = pages.withColumn("tab_title", slug("tab_title"))
+    # The page number parts a title that many pages have.
+    order = ["stage", "tab_title", *[c for c in ("page_id",) if c in pages.columns]]
+    titled.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy("stage").parquet(path)

@@ -94,3 +94,13 @@ def test_runs_over_parts():
             assert len(set(table.column("k")[at : at + size].to_pylist())) == 1
             rows.append((table.column("k")[at].as_py(), size))
     assert rows == list(zip(*(c.tolist() for c in np.unique(keys, return_counts=True))))
+
+
+def test_saved_tabs_share_files(spark, tmp_path):
+    from regionflow.operators import assemble
+
+    pages = spark.range(400).selectExpr("id AS page_id", "concat('https://a.b/', id % 300) AS tab_title", "if(id % 2 = 0, 'before', 'after') AS stage")
+    assemble.save_pages(pages, str(tmp_path / "tabs"))
+    saved = spark.read.parquet(str(tmp_path / "tabs"))
+    assert saved.count() == 400 and saved.select("stage", "tab_title").distinct().count() == 300
+    assert len(list((tmp_path / "tabs").rglob("*.parquet"))) <= 40
