@@ -11,6 +11,11 @@ from regionflow.session import cut_lineage, shared_dir
 from regionflow.streaming import chunks, regions
 
 
+def cores(spark) -> int:
+    """Tasks at one time, for the files and the state partitions of a finite stream."""
+    return max(8, spark.sparkContext.defaultParallelism)
+
+
 def source_files(spark, sf):
     """Stream input: every region with its number, and an end marker per document; the
     source of every eleventh document breaks off there."""
@@ -24,7 +29,7 @@ def source_files(spark, sf):
         "doc_id % 11 = 3 AS ocr_error", "true AS is_end",
     )
     path = shared_dir(spark, "regions")
-    rows.unionByName(ends).repartition(4).write.parquet(path)
+    rows.unionByName(ends).repartition(cores(spark)).write.parquet(path)
     return path
 
 
@@ -55,7 +60,7 @@ def stub_replies(batches):
     FROM infos GROUP BY doc_id)""", "infos"))
 def stream_regions(spark, sf):
     released = regions.run_region_stream(
-        spark, source_files(spark, sf), shared_dir(spark, "stream"), stub_replies
+        spark, source_files(spark, sf), shared_dir(spark, "stream"), stub_replies, state_partitions=cores(spark)
     )
     return regions.released_events(released).select("doc_id", "global_idx", "kind", "original_text", "translated_text", "event")
 

@@ -52,6 +52,11 @@ FRAME_ROWS = 4096
 BROKEN_SOURCE = "source failed"
 
 
+def values_of(frame: pd.DataFrame, *names: str) -> Iterator[tuple]:
+    """Rows of a key as plain tuples; most keys bring few, and named ones cost a class each time."""
+    return zip(*(frame[n].tolist() for n in names))
+
+
 def framed(rows: Iterator[tuple], schema: str) -> Iterator[pd.DataFrame]:
     """Rows in frames of bounded size, so a key's output is never held whole."""
     names = [part.split()[0] for part in schema.split(",")]
@@ -127,11 +132,11 @@ class NineBatcher(StatefulProcessor):
             timer = timerValues.getCurrentProcessingTimeInMs() + self.stall_ms
             self.handle.registerTimer(timer)
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.is_end:
-                    total, broken = int(r.global_idx), bool(r.ocr_error)
-                elif r.global_idx >= at:
-                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)))
+            for idx, page, bubble, text, bad, is_end in values_of(frame, "global_idx", "page_idx", "bubble_idx", "text", "ocr_error", "is_end"):
+                if is_end:
+                    total, broken = int(idx), bool(bad)
+                elif idx >= at:
+                    held.put(int(idx), (int(page), int(bubble), text or "", bool(bad)))
             while held.get(at) is not None:
                 at += 1
                 if at - sent == self.size:
@@ -208,11 +213,11 @@ class RegionBatcher(StatefulProcessor):
             self.handle.registerTimer(timer)
         waiting = first < at
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.is_end:
-                    total, broken = int(r.global_idx), bool(r.ocr_error)
-                elif r.global_idx >= at:
-                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.text or "", bool(r.ocr_error)))
+            for idx, page, bubble, text, bad, is_end in values_of(frame, "global_idx", "page_idx", "bubble_idx", "text", "ocr_error", "is_end"):
+                if is_end:
+                    total, broken = int(idx), bool(bad)
+                elif idx >= at:
+                    held.put(int(idx), (int(page), int(bubble), text or "", bool(bad)))
             while (row := held.get(at)) is not None:
                 page, bubble, text, bad = row
                 if bad:
@@ -283,13 +288,13 @@ class OrderedRelease(StatefulProcessor):
             due = timer = now + self.stall_ms
             self.handle.registerTimer(timer)
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.kind in ("end", "error"):
-                    total = int(r.global_idx)
-                    error = r.original_text if r.kind == "error" else None
+            for kind, idx, page, bubble, source, target in values_of(frame, "kind", "global_idx", "page_idx", "bubble_idx", "original_text", "translated_text"):
+                if kind in ("end", "error"):
+                    total = int(idx)
+                    error = source if kind == "error" else None
                     due = max(due, now + self.worker_ms)
-                elif r.global_idx >= at:
-                    held.put(int(r.global_idx), (int(r.page_idx), int(r.bubble_idx), r.original_text, r.translated_text))
+                elif idx >= at:
+                    held.put(int(idx), (int(page), int(bubble), source, target))
             while (row := held.get(at)) is not None:
                 yield doc, "result", at, *row
                 held.drop(at)
@@ -447,7 +452,8 @@ def start_region_stream(
         def write(frame: DataFrame, epoch: int) -> None:
             # One folder per epoch: a repeated epoch replaces its own output only.
             with temporary_tables(frame.sparkSession):
-                change(frame).write.mode("overwrite").parquet(f"{work}/{name}/epoch={epoch}")
+                # Stored first: each use of the frame itself would run the stateful step again.
+                change(cut_lineage(frame)).write.mode("overwrite").parquet(f"{work}/{name}/epoch={epoch}")
 
         started = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{work}/check-{name}").trigger(**trigger).start()
         if finite:

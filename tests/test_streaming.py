@@ -131,6 +131,25 @@ def test_live_stages_release_while_regions_arrive(spark):
             query.stop()
 
 
+def test_a_micro_batch_is_made_once(spark, tmp_path, monkeypatch):
+    """However often a stage's own work reads its micro-batch, the stateful step before it runs once."""
+    calls, base = tmp_path / "steps", regions.RegionBatcher
+    calls.mkdir()
+
+    class Noting(base):
+        def handleInputRows(self, key, rows, timerValues):
+            (calls / uuid.uuid4().hex).touch()
+            yield from base.handleInputRows(self, key, rows, timerValues)
+
+    monkeypatch.setattr(regions, "batch_regions", lambda stream, size, stall_ms: stream.groupBy("doc_id").transformWithStateInPandas(
+        statefulProcessor=Noting(size, stall_ms), outputStructType=regions.BATCHED, outputMode="Append", timeMode="None"))
+    src, work = shared_dir(spark, "once"), shared_dir(spark, "once-work")
+    rows = [(d, k, 0, k, f"t{k}", k == 1, k == 3) for d in range(5) for k in range(4)]
+    spark.createDataFrame(rows, regions.REGION_INPUT).coalesce(1).write.parquet(src)
+    assert regions.run_region_stream(spark, src, work, upper, size=2).filter("kind = 'complete'").count() == 5
+    assert len(list(calls.iterdir())) == 5
+
+
 def test_a_batch_is_asked_once(spark, tmp_path):
     calls = tmp_path / "calls"
     calls.mkdir()
