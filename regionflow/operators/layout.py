@@ -149,18 +149,20 @@ def shelf_rows(
         ).withColumn("sblock", F.floor(F.col("block") / super_block))
     )
     steps = "entry array<bigint>, before array<bigint>"
-    inner = effects.groupBy("doc_id", "sblock").applyInPandas(
-        _chain(reach, "block", "sblock"),
-        f"doc_id bigint, sblock bigint, block bigint, {steps}, {_TABLE}",
-    )
-    outer = (
+    # Stored, as it is chained and looked up again.
+    inner = cut_lineage(by_group(
+        effects, ["doc_id", "sblock"], _chain(reach, "block", "sblock"),
+        f"doc_id bigint, sblock bigint, block bigint, {steps}, {_TABLE}", "block",
+    ))
+    supers = (
         inner.groupBy("doc_id", "sblock")
         .agg(F.any_value("exit").alias("exit"), F.any_value("rows").alias("rows"))
         .withColumn("whole", F.lit(0).cast("bigint"))
-        .groupBy("doc_id", "whole")
-        .applyInPandas(
-            _chain(reach, "sblock", "whole"),
-            f"doc_id bigint, whole bigint, sblock bigint, {steps}, {_TABLE}",
+    )
+    outer = (
+        by_group(
+            supers, ["doc_id", "whole"], _chain(reach, "sblock", "whole"),
+            f"doc_id bigint, whole bigint, sblock bigint, {steps}, {_TABLE}", "sblock",
         )
         .select(
             "doc_id", "sblock",

@@ -80,4 +80,7 @@ def by_group(
             if len(done):
                 yield from pa.Table.from_pandas(done, schema=kinds, preserve_index=False).to_batches()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
+    # With their number named partitions stay as many as the session has: small groups are few bytes
+    # but much work, and would otherwise be put together in one task.
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)

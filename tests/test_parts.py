@@ -9,7 +9,7 @@ from regionflow.operators import blocks as B
 from regionflow.operators import components as K
 from regionflow.operators import infer
 from regionflow.operators import masks as M
-from regionflow.operators.runs import PART_BYTES, PART_ROWS, in_parts, whole_runs
+from regionflow.operators.runs import PART_BYTES, PART_ROWS, by_group, in_parts, whole_runs
 from regionflow.plans import fixtures as X
 
 TILES = 2500
@@ -96,6 +96,17 @@ def test_runs_over_parts():
     assert rows == list(zip(*(c.tolist() for c in np.unique(keys, return_counts=True))))
 
 
+def test_small_groups_stay_dealt_over_all_tasks(spark):
+    """Groups of few bytes are work in Python all the same, so they are not put together in one task."""
+    def where(key, part):
+        from pyspark import TaskContext
+
+        return part.assign(task=TaskContext.get().partitionId())
+
+    groups = by_group(spark.range(400).selectExpr("id AS k", "id % 7 AS v"), ["k"], where, "k bigint, v bigint, task bigint", "v")
+    assert groups.count() == 400 and groups.select("task").distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_saved_tabs_share_files(spark, tmp_path):
     from regionflow.operators import assemble
 
