@@ -8,6 +8,7 @@ and the exact rule is tested on those pairs; a batch never meets itself whole.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -308,18 +309,57 @@ def map_lines(
 
 def nearest_cells(
     points: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY,
-    tiles: Sequence[tuple[str, int]] = (("1", 1 << 20), ("1", 1 << 14), ("1", 1 << 8), ("2", 32), ("2", 4)),
+    tiles: Sequence[tuple[str, int]] = (("1", 1 << 20), ("1", 1 << 14), ("1", 1 << 8), ("2", 32), ("2", 4)), few: int = 128,
 ) -> DataFrame:
     """Closest grid box (0 inside) to every point (cx, cy), over all batches.
 
-    Boxes are grouped into ever smaller tiles with the hull of what they hold, first by
+    A document of at most ``few`` boxes is one list that its points go through. The boxes
+    of others are grouped into ever smaller tiles with the hull of what they hold, first by
     their near corner (1), then by their far one (2), so that the last tiles hold boxes of
     nearly one place and size, and few of them however many boxes a document has.
     From the largest tiles down, a point keeps only tiles whose hull comes nearer
     than the distance some other tile guarantees; single boxes are compared last.
     """
     key = list(line_key)
-    boxes = _one_per_box(cells.select("doc_id", *CELL_FIELDS))
+    point = list(dict.fromkeys(["doc_id", *key, "cx", "cy"]))
+    points = points.select(*point).dropna(subset=["cx", "cy"])
+    boxes = cut_lineage(_one_per_box(cells.select("doc_id", *CELL_FIELDS)))
+    sizes = boxes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    least, most = sizes.agg(F.min("n"), F.max("n")).first()
+    found = []
+    if least is None or least <= few:
+        short = boxes.join(by_key(sizes.filter(F.col("n") <= few)), "doc_id", "left_semi")
+        found.append(_nearest_of_list(points, short))
+    if most is not None and most > few:
+        long = boxes.join(by_key(sizes.filter(F.col("n") > few)), "doc_id", "left_semi")
+        found.append(_nearest_by_tiles(points, long, key, tiles))
+    return (
+        reduce(DataFrame.unionByName, [df.select(*key, "m") for df in found]).groupBy(*key).agg(F.min("m").alias("m"))
+        .select(*key, F.sqrt("m.d2").alias("distance"), "m.cell_idx", "m.page_idx", "m.bubble_idx")
+    )
+
+
+def _squared(x1, y1, x2, y2) -> Column:
+    """Squared distance of the point to a box."""
+    dx, dy = G.axis_distance(x1, x2, "cx"), G.axis_distance(y1, y2, "cy")
+    return dx * dx + dy * dy
+
+
+def _nearest_of_list(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Points with ``m``, the nearest of their document's boxes, which are few."""
+    lists = boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cell_idx", "page_idx", "bubble_idx", *GRID_BOX))).alias("boxes"))
+    reached = F.transform("boxes", lambda b: _squared(*[b.getField(c) for c in GRID_BOX]))
+    # The list is in the cells' order, so the first of the smallest distances is the earliest cell's.
+    first = F.array_position("reached", F.array_min("reached")).cast("int")
+    named = points.join(by_key(lists), "doc_id").withColumn("reached", reached).withColumn("at", first)
+    nearest = F.get("boxes", F.col("at") - 1)
+    return named.withColumn("m", F.struct(
+        F.get("reached", F.col("at") - 1).alias("d2"), *[nearest.getField(c).alias(c) for c in ("cell_idx", "page_idx", "bubble_idx")]
+    ))
+
+
+def _nearest_by_tiles(points: DataFrame, boxes: DataFrame, key: list[str], tiles: Sequence[tuple[str, int]]) -> DataFrame:
+    """Points with ``m`` for each of the boxes that may be the nearest."""
     own = ["doc_id"]
     for level, (corner, size) in enumerate(tiles):
         boxes = boxes.withColumn(
@@ -332,38 +372,25 @@ def nearest_cells(
     hull = {"hx1": F.min, "hy1": F.min, "hx2": F.max, "hy2": F.max}
     smallest = cut_lineage(boxes.groupBy(*own).agg(*[low(f"g{name[1:]}").alias(name) for name, low in hull.items()]))
 
-    def squared(x1, y1, x2, y2):
-        dx, dy = G.axis_distance(x1, x2, "cx"), G.axis_distance(y1, y2, "cy")
-        return dx * dx + dy * dy
-
     def reach(low, high, p):
         return F.greatest(F.abs(F.col(p) - F.col(low)), F.abs(F.col(high) - F.col(p)))
 
     far_x, far_y = reach("hx1", "hx2", "cx"), reach("hy1", "hy2", "cy")
-    point = list(dict.fromkeys(["doc_id", *key, "cx", "cy"]))
     # A level that parts nothing, as where all pages are smaller than its tiles, is left out.
     names = [f"t{i}" for i in range(len(tiles))]
     parts = smallest.agg(F.count_distinct("doc_id"), *[F.count_distinct("doc_id", *names[: i + 1]) for i in range(len(tiles))]).first()
     used = [t for t, before, now in zip(names, parts, parts[1:]) if now > before]
-    kept, parents = points.select(*point), ["doc_id"]
+    kept, parents = points, ["doc_id"]
     for level in range(len(used)):
         own = ["doc_id", *used[: level + 1]]
         hulls = smallest.groupBy(*own).agg(*[low(name).alias(name) for name, low in hull.items()])
         near = kept.join(by_key(hulls), parents).withColumns({
-            "low": squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
+            "low": _squared("hx1", "hy1", "hx2", "hy2"), "sure": far_x * far_x + far_y * far_y,
         })
         near = near.withColumn("limit", F.min("sure").over(Window.partitionBy(*key)))
-        kept = near.filter("low <= limit").select(*dict.fromkeys([*point, *own]))
+        kept = near.filter("low <= limit").select(*dict.fromkeys([*points.columns, *own]))
         parents = own
-    best = F.min(
-        F.struct(
-            squared(*GRID_BOX).alias("d2"), "cell_idx", "page_idx", "bubble_idx", *GRID_BOX
-        )
-    ).alias("m")
-    return (
-        kept.join(by_key(boxes), parents).groupBy(*key).agg(best)
-        .select(*key, F.sqrt("m.d2").alias("distance"), "m.cell_idx", "m.page_idx", "m.bubble_idx")
-    )
+    return kept.join(by_key(boxes), parents).withColumn("m", F.struct(_squared(*GRID_BOX).alias("d2"), "cell_idx", "page_idx", "bubble_idx"))
 
 
 def unmapped_regions(regions: DataFrame, mapped: DataFrame) -> DataFrame:

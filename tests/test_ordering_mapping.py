@@ -131,3 +131,28 @@ def test_lines_without_batch_meet_few_cells_however_many_batches(spark):
         at = ldf.selectExpr("doc_id", "named_struct('lv', 0, 'ty', floor((y + 5) / 32), 'tx', floor((x + 10) / 32)) AS p")
         pairs[batches] = at.join(points, ["doc_id", "p"]).count()
     assert kept[200] < 2 * kept[20] and pairs[200] < 2 * pairs[20]
+
+
+def test_nearest_cell_of_short_documents_goes_through_one_list(spark):
+    """Long documents go by tiles, short ones by a list; results are the same and no short one meets a window."""
+    rnd = random.Random(11)
+    cells, points, k = [], [], 0
+    for doc, n in ((0, 1), (1, 5), (2, 40), (3, 200), (4, 0)):
+        for _ in range(n):
+            x, y = rnd.randint(0, 60) * 20, rnd.randint(0, 60) * 20
+            cells.append((doc, k % 3, k, 0, k, x, y, x + rnd.choice((20, 60)), y + 40, 0, 0, 0, 0))
+            k += 1
+        points += [(doc, i, float(rnd.randint(-100, 1400)), float(rnd.randint(-100, 1400))) for i in range(60)]
+    points.append(points[0])
+    cdf = spark.createDataFrame(cells, "doc_id bigint, " + ", ".join(f"{c} bigint" for c in ("batch_idx", "cell_idx", "page_idx", "bubble_idx", "gx1", "gy1", "gx2", "gy2", "bx1", "by1", "pad_l", "pad_t")))
+    pdf = spark.createDataFrame(points, "doc_id bigint, line_no bigint, cx double, cy double")
+    want = {}
+    for doc, i, cx, cy in points:
+        ranked = sorted((max(c[5] - cx, 0, cx - c[7]) ** 2 + max(c[6] - cy, 0, cy - c[8]) ** 2, c[2]) for c in cells if c[0] == doc)
+        if ranked:
+            want[doc, i] = (round(ranked[0][0] ** 0.5, 6), ranked[0][1])
+    for few in (0, 40, 1000):
+        near = mapping.nearest_cells(pdf, cdf, few=few)
+        rows = near.collect()
+        assert len(rows) == len(want) and {(r.doc_id, r.line_no): (round(r.distance, 6), r.cell_idx) for r in rows} == want
+        assert ("Window" in near._jdf.queryExecution().optimizedPlan().toString()) == (few < 200)
