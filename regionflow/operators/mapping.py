@@ -1,7 +1,8 @@
 """OCR lines to the grid cells they belong to.
 
-Cells of one grid lie apart from each other, so a tile of the grid meets only a
-bounded number of cells.  Lines and cells are joined on (document, batch, tile)
+A document of few cells is one list that its lines go through, so every line is dealt
+once.  In others, as cells of one grid lie apart from each other, a tile of the grid meets
+only a bounded number of cells: lines and cells are joined on (document, batch, tile)
 and the exact rule is tested on those pairs; a batch never meets itself whole.
 """
 
@@ -16,13 +17,16 @@ from pyspark.sql import functions as F
 from regionflow import constants as C
 from regionflow.functions import geometry as G
 from regionflow.functions.text import has_map_script, is_noise, strip
-from regionflow.session import by_key, cut_lineage
+from regionflow.session import by_key, cut_lineage, freed_shuffles
 
 LINE_KEY = ("doc_id", "line_no")
 GRID_BOX = ("gx1", "gy1", "gx2", "gy2")
 CELL_FIELDS = [
     "batch_idx", "cell_idx", "page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t",
 ]
+BOX_FIELDS = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
+# Documents of at most so many cells are lists.
+FEW_CELLS = 128
 # Tile sizes; a box is probed at the first size it fits in, the rest in one tile.
 TILE_SIZES = (256, 2048, 16384)
 # Tiles that points are looked up in, and the longest side of the cells that lie in them.
@@ -200,22 +204,99 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
     return found.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.rule", "m.cell_idx")
 
 
+def _by_length(cells: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None]:
+    """Cells of documents of at most ``few`` cells, and of those with more, or None where there are none."""
+    sizes = cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    with freed_shuffles(cells.sparkSession):
+        most = sizes.agg(F.max("n")).first()[0]
+    if most is None or most <= few:
+        return cells, None
+    cells = cut_lineage(cells)
+    long = cells.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > few)
+    return cells.join(by_key(long), "doc_id", "left_anti"), cells.join(by_key(long), "doc_id", "left_semi")
+
+
+def _placed_by_lists(lines: DataFrame, cells: DataFrame, tolerance: float, unknown_batches: bool, by_number: bool, fields: Sequence[str]) -> DataFrame:
+    """Lines with ``m``, the best of their document's cells, which are few; null where none fits."""
+    lists = cells.groupBy("doc_id").agg(
+        F.collect_list(F.struct(*dict.fromkeys(["batch_idx", "cell_idx", *GRID_BOX, *fields]))).alias("__cells")
+    )
+    points = _line_points()
+    x, y, cx, cy = F.col("x"), F.col("y"), points["cx"], points["cy"]
+    has_box = x.isNotNull() & y.isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
+
+    def named(cell: Column) -> Column:
+        return F.coalesce(cell.getField("cell_idx") == F.col("cell_idx"), F.lit(False))
+
+    def may(cell: Column) -> Column:
+        same = F.coalesce(cell.getField("batch_idx") == F.col("batch_idx"), F.lit(unknown_batches))
+        return (same & has_box) | named(cell) if by_number else same & has_box
+
+    def judged(cell: Column) -> Column:
+        box = [cell.getField(c) for c in GRID_BOX]
+        overlap = G.overlap_area((x, y, points["lx2"], points["ly2"]), box)
+        centre, corner = G.inside(box, cx, cy, tolerance), G.inside(box, x, y, tolerance)
+        rule = F.when(centre, 1).when(corner, 2).when(overlap > 0, 3)
+        rank = F.when(centre | corner, 0.0).otherwise(-overlap)
+        if by_number:
+            rule, rank = F.when(named(cell), 0).otherwise(rule), F.when(named(cell), 0.0).otherwise(rank)
+        return F.struct(rule.alias("rule"), rank.alias("rank"), *[cell.getField(c).alias(c) for c in ("cell_idx", *fields)])
+
+    fits = F.filter(F.transform(F.filter("__cells", may), judged), lambda m: m.getField("rule").isNotNull())
+    met = lines.join(by_key(lists), "doc_id", "left")
+    # Made as a row of its own, so that it is made once however often it is asked for.
+    return met.withColumn("m", F.explode(F.array(F.array_min(fits)))).withColumn("m", F.col("m").dropFields("rank")).drop("__cells")
+
+
+def _placed_by_tiles(lines: DataFrame, cells: DataFrame, key: list[str], tolerance: float, unknown_batches: bool, by_number: bool, fields: Sequence[str]) -> DataFrame:
+    """Lines with ``m`` like those of ``_placed_by_lists``, whatever the number of a document's cells."""
+    direct = _directly(lines, cells, key, fields) if by_number else cut_lineage(lines)
+    rest = direct.filter("m IS NULL") if by_number else direct
+    boxed = rest.select(*dict.fromkeys([*key, "doc_id", "batch_idx", "x", "y", "width", "height"])).dropna(subset=["x", "y", "width", "height"])
+    found = _best_cells(boxed, cells, key, tolerance, unknown_batches)
+    if fields:
+        found = found.join(by_key(cells.select("doc_id", "cell_idx", F.struct(*fields).alias("c"))), ["doc_id", "cell_idx"])
+    found = found.select(*key, F.struct("rule", "cell_idx", *[f"c.{c}" for c in fields]).alias("by_place"))
+    both = direct.join(by_key(found), key, "left")
+    return both.withColumn("m", F.coalesce("m", "by_place") if by_number else F.col("by_place")).drop("by_place")
+
+
+def _placed(
+    lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tolerance: float = C.MATCH_TOLERANCE,
+    unknown_batches: bool = True, by_number: bool = True, fields: Sequence[str] = BOX_FIELDS,
+) -> DataFrame:
+    """Every line with ``m``: rule, cell_idx and ``fields`` of its cell, or null. With ``by_number``
+    a line's own cell number goes before all (rule 0); one that no cell has counts as none."""
+    short, long = _by_length(cells, FEW_CELLS)
+    if long is None:
+        return _placed_by_lists(lines, short, tolerance, unknown_batches, by_number, fields)
+    ids = by_key(long.select("doc_id").distinct())
+    listed = _placed_by_lists(lines.join(ids, "doc_id", "left_anti"), short, tolerance, unknown_batches, by_number, fields)
+    tiled = _placed_by_tiles(lines.join(ids, "doc_id", "left_semi"), long, list(line_key), tolerance, unknown_batches, by_number, fields)
+    return listed.unionByName(tiled)
+
+
 def spatial_matches(
     lines: DataFrame,
     cells: DataFrame,
     line_key: Sequence[str] = LINE_KEY,
     tolerance: float = C.MATCH_TOLERANCE,
     unknown_batches: bool = True,
+    skip_named: bool = False,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Best cell per line: (1) line centre in the cell, (2) top-left corner in the
     cell, both with tolerance and the earliest cell winning, (3) largest overlap.
 
     A line or cell without a batch may match any batch of its document; pass
     ``unknown_batches=False`` when every batch is known to save the joins for them.
+    With ``skip_named`` lines whose own ``cell_idx`` is one of their document are left out.
+    Columns to ``carry`` go along with the line's key.
     """
-    fields = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
-    best = _best_cells(lines, cells, line_key, tolerance, unknown_batches)
-    return best.join(by_key(cells.select("doc_id", "cell_idx", *fields)), ["doc_id", "cell_idx"]).select(*line_key, "rule", "cell_idx", *fields)
+    named = ["cell_idx"] if skip_named else []
+    asked = lines.select(*dict.fromkeys([*line_key, "doc_id", "batch_idx", "x", "y", "width", "height", *carry, *named]))
+    placed = _placed(asked, cells, line_key, tolerance, unknown_batches, by_number=skip_named).filter("m.rule > 0")
+    return placed.select(*line_key, *carry, *[f"m.{c}" for c in ("rule", "cell_idx", *BOX_FIELDS)])
 
 
 def _page_box(exact: bool) -> Column:
@@ -246,31 +327,43 @@ def chars_to_page(chars: str = "chars") -> Column:
     )
 
 
-def _directly(lines: DataFrame, cells: DataFrame, key: list[str], translated: bool, fields: list[str]) -> DataFrame:
-    """Lines with the ``outcome`` that needs no position (else null) and their cell's ``fields``. Written out."""
-    screened = screen_lines(lines, translated)
+def _directly(lines: DataFrame, cells: DataFrame, key: list[str], fields: Sequence[str]) -> DataFrame:
+    """Lines with ``m``, the cell of their own number (rule 0), or null. Written out."""
     # A line without a cell number gets one of many impossible numbers, so that
     # such lines spread over the join instead of meeting in one task.
-    spread = F.when(F.col("skipped").isNull(), F.col("cell_idx"))
-    spread = F.coalesce(spread, -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
-    named = cells.select("doc_id", F.col("cell_idx").alias("__cell"), F.lit(True).alias("by_cell"), *fields)
-    direct = screened.withColumn("__cell", spread).join(by_key(named), ["doc_id", "__cell"], "left")
-    missing_box = F.col("x").isNull() | F.col("width").isNull()
-    outcome = F.coalesce("skipped", F.when(F.col("by_cell"), "matched_cell_idx").when(missing_box, "skipped_no_bbox"))
-    return cut_lineage(direct.withColumn("outcome", outcome).drop("skipped", "by_cell", "__cell"))
+    spread = F.coalesce("cell_idx", -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
+    named = F.struct(F.lit(0).alias("rule"), "cell_idx", *fields).alias("m")
+    known = cells.select("doc_id", F.col("cell_idx").alias("__cell"), named)
+    return cut_lineage(lines.withColumn("__cell", spread).join(by_key(known), ["doc_id", "__cell"], "left").drop("__cell"))
 
 
 def map_outcomes(
     lines: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY, translated: bool = False, unknown_batches: bool = True
 ) -> DataFrame:
     """The ``outcome`` of every line, as ``map_lines`` has it, without its cell: whether any cell fits is enough."""
-    key = list(line_key)
-    slim = lines.select(*dict.fromkeys([*key, "doc_id", "batch_idx", "cell_idx", "text", "x", "y", "width", "height"]))
-    direct = _directly(slim, cells, key, translated, [])
-    placed = _best_cells(direct.filter("outcome IS NULL"), cells, key, C.MATCH_TOLERANCE, unknown_batches)
-    found = placed.select(*key).withColumn("placed", F.lit(True))
-    outcome = F.coalesce("outcome", F.when(F.col("placed"), "matched_bbox").otherwise("unmatched"))
-    return direct.select(*key, "outcome").join(by_key(found), key, "left").select(*key, outcome.alias("outcome"))
+    slim = lines.select(*dict.fromkeys([*line_key, "doc_id", "batch_idx", "cell_idx", "text", "x", "y", "width", "height"]))
+    return _mapped(slim, cells, line_key, translated, unknown_batches, []).select(*line_key, "outcome")
+
+
+def _mapped(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], translated: bool, unknown_batches: bool, fields: Sequence[str]) -> DataFrame:
+    """Screened lines with their ``outcome`` and ``m``."""
+    screened = screen_lines(lines, translated)
+    # Lines that are not mapped need no cell, so they are not dealt.
+    placed = _placed(screened.filter("skipped IS NULL"), cells, line_key, unknown_batches=unknown_batches, fields=fields)
+    aside = screened.filter("skipped IS NOT NULL").withColumn("m", F.lit(None).cast(placed.schema["m"].dataType))
+    missing_box = F.col("x").isNull() | F.col("width").isNull()
+    outcome = (
+        F.when(F.col("m.rule") == 0, "matched_cell_idx").when(missing_box, "skipped_no_bbox")
+        .when(F.col("m").isNotNull(), "matched_bbox").otherwise("unmatched")
+    )
+    return placed.unionByName(aside).withColumn("outcome", F.coalesce("skipped", outcome)).drop("skipped")
+
+
+def map_by_number(lines: DataFrame, cells: DataFrame, line_key: Sequence[str] = LINE_KEY, translated: bool = False) -> DataFrame:
+    """The lines that ``map_lines`` maps by their own cell number, with the cell and the page box."""
+    named = screen_lines(lines, translated).filter("skipped IS NULL").select(*dict.fromkeys([*line_key, "doc_id", "cell_idx"]))
+    found = named.join(by_key(cells.select("doc_id", "cell_idx", *BOX_FIELDS)), ["doc_id", "cell_idx"])
+    return found.withColumn("bbox", _page_box(True))
 
 
 def map_lines(
@@ -285,26 +378,16 @@ def map_lines(
     Lines: doc_id, batch_idx, text, x, y, width, height, cell_idx[, chars] and a key.
     Cells: doc_id, cell_idx (unique, in list order) and ``CELL_FIELDS``.
     """
-    key = list(line_key)
-    fields = ["page_idx", "bubble_idx", *GRID_BOX, "bx1", "by1", "pad_l", "pad_t"]
     # A cell number nobody knows is dropped here and the position decides.
-    direct = _directly(lines, cells, key, translated, fields)
-    open_lines = direct.filter("outcome IS NULL").select(*dict.fromkeys([*key, "doc_id", "batch_idx", "x", "y", "width", "height"]))
-    matches = spatial_matches(open_lines, cells, key, unknown_batches=unknown_batches)
-    found = matches.select(*key, F.col("rule").alias("by_place"), F.struct("cell_idx", *fields).alias("m"))
-    by_cell = F.col("outcome") == "matched_cell_idx"
-    placed = F.col("by_place").isNotNull()
-    both = direct.join(by_key(found), key, "left").withColumns({
-        **{c: F.when(placed, F.col(f"m.{c}")).when(by_cell, F.col(c)) for c in ("cell_idx", *fields)},
-        "rule": F.when(by_cell, 0).otherwise(F.col("by_place")),
-    })
-    mapped = both.withColumn(
+    both = _mapped(lines, cells, line_key, translated, unknown_batches, BOX_FIELDS)
+    by_cell, placed = F.col("rule") == 0, F.col("rule") > 0
+    mapped = both.withColumns({c: F.col(f"m.{c}") for c in ("cell_idx", *BOX_FIELDS, "rule")}).drop("m").withColumn(
         "bbox", F.when(placed, _page_box(False)).when(by_cell, _page_box(True))
-    ).withColumn("outcome", F.coalesce("outcome", F.when(placed, "matched_bbox").otherwise("unmatched")))
+    )
     if "chars" in lines.columns:
         kind = "array<struct<char:string,bbox:array<int>>>"
         mapped = mapped.withColumn("chars", F.when(placed, chars_to_page().cast(kind)))
-    return mapped.drop("by_place", "m")
+    return mapped
 
 
 def nearest_cells(

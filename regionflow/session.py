@@ -86,12 +86,27 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What queries inside the block shuffled is removed as each ends, not when the driver's collector comes to it."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def cut_lineage(df, compression: str | None = None):
     """Write out and read back in the shared folder.
 
     Survives executor loss like a checkpoint, and the reader knows its size and
     columns: later joins broadcast it only when it is truly small, and read only
-    what they need. The table goes with the open ``temporary_tables`` block, or, outside
+    what they need. What was shuffled for it is gone when it is stored. The table goes with the open ``temporary_tables`` block, or, outside
     of any, when the driver ends.
     """
     spark = df.sparkSession
@@ -99,7 +114,8 @@ def cut_lineage(df, compression: str | None = None):
     block = _open_block.get()
     if block is not None:
         block.paths.append(path)
-    df.write.parquet(path, compression=compression)
+    with freed_shuffles(spark):
+        df.write.parquet(path, compression=compression)
     if block is None:
         files, place = _place(spark, path)
         files.deleteOnExit(place)
