@@ -165,7 +165,7 @@ def _candidates(pairs: DataFrame, key: list[str], rule: Column, overlap: Column
 
 
 def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tolerance: float, unknown_batches: bool) -> DataFrame:
-    """(key, doc_id, rule, cell_idx) of every line that lies in a cell."""
+    """(key, doc_id, rule, rank, cell_idx) of every line that lies in a cell."""
     key = list(dict.fromkeys([*line_key, "doc_id"]))
     placed = cells.select("doc_id", *CELL_FIELDS)
     points = lines.withColumns(_line_points()).select(*key, F.col("batch_idx").alias("l_batch"), "x", "y", "lx2", "ly2", "cx", "cy", "width", "height")
@@ -176,7 +176,7 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
     met = _line_probes(points.filter("l_batch IS NOT NULL")).join(by_key(known), ["doc_id", "l_batch", "p"])
     found = _candidates(met, key, F.coalesce(centre, corner, F.when(overlap > 0, 3)), overlap)
     if not unknown_batches:
-        return found.select(*key, "m.rule", "m.cell_idx")
+        return found.select(*key, "m.rule", "m.rank", "m.cell_idx")
     # A line without a batch may lie in any cell, one with a batch also in those without.
     # Joins for a kind that is not there at all are left out.
     without = placed.filter("batch_idx IS NULL")
@@ -184,7 +184,7 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
         ("l_batch IS NULL", placed, lines.filter("batch_idx IS NULL").isEmpty()), ("l_batch IS NOT NULL", without, without.isEmpty()),
     ) if not gone]
     if not sides:
-        return found.select(*key, "m.rule", "m.cell_idx")
+        return found.select(*key, "m.rule", "m.rank", "m.cell_idx")
     for some, others in sides:
         at = [
             F.struct(F.lit(n).alias("n"), F.struct(F.lit(level).alias("lv"), F.floor(F.col(y) / size).alias("ty"), F.floor(F.col(x) / size).alias("tx")).alias("p"))
@@ -201,7 +201,7 @@ def _best_cells(lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tol
         boxes = _cell_probes(_one_per_box(others), tolerance).select("doc_id", "p", "cell_idx", *GRID_BOX)
         pairs = by_size.filter(some).join(by_key(boxes), ["doc_id", "p"])
         found = found.unionByName(_candidates(pairs, key, F.when(overlap > 0, 3), overlap))
-    return found.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.rule", "m.cell_idx")
+    return found.groupBy(*key).agg(F.min("m").alias("m")).select(*key, "m.rule", "m.rank", "m.cell_idx")
 
 
 def _by_length(cells: DataFrame, few: int) -> tuple[DataFrame, DataFrame | None]:
@@ -245,7 +245,7 @@ def _placed_by_lists(lines: DataFrame, cells: DataFrame, tolerance: float, unkno
     fits = F.filter(F.transform(F.filter("__cells", may), judged), lambda m: m.getField("rule").isNotNull())
     met = lines.join(by_key(lists), "doc_id", "left")
     # Made as a row of its own, so that it is made once however often it is asked for.
-    return met.withColumn("m", F.explode(F.array(F.array_min(fits)))).withColumn("m", F.col("m").dropFields("rank")).drop("__cells")
+    return met.withColumn("m", F.explode(F.array(F.array_min(fits)))).drop("__cells")
 
 
 def _placed_by_tiles(lines: DataFrame, cells: DataFrame, key: list[str], tolerance: float, unknown_batches: bool, by_number: bool, fields: Sequence[str]) -> DataFrame:
@@ -256,7 +256,7 @@ def _placed_by_tiles(lines: DataFrame, cells: DataFrame, key: list[str], toleran
     found = _best_cells(boxed, cells, key, tolerance, unknown_batches)
     if fields:
         found = found.join(by_key(cells.select("doc_id", "cell_idx", F.struct(*fields).alias("c"))), ["doc_id", "cell_idx"])
-    found = found.select(*key, F.struct("rule", "cell_idx", *[f"c.{c}" for c in fields]).alias("by_place"))
+    found = found.select(*key, F.struct("rule", "rank", "cell_idx", *[f"c.{c}" for c in fields]).alias("by_place"))
     both = direct.join(by_key(found), key, "left")
     return both.withColumn("m", F.coalesce("m", "by_place") if by_number else F.col("by_place")).drop("by_place")
 
@@ -265,7 +265,7 @@ def _placed(
     lines: DataFrame, cells: DataFrame, line_key: Sequence[str], tolerance: float = C.MATCH_TOLERANCE,
     unknown_batches: bool = True, by_number: bool = True, fields: Sequence[str] = BOX_FIELDS,
 ) -> DataFrame:
-    """Every line with ``m``: rule, cell_idx and ``fields`` of its cell, or null. With ``by_number``
+    """Every line with ``m``: rule, rank, cell_idx and ``fields`` of its cell, or null. With ``by_number``
     a line's own cell number goes before all (rule 0); one that no cell has counts as none."""
     short, long = _by_length(cells, FEW_CELLS)
     if long is None:
@@ -296,7 +296,9 @@ def spatial_matches(
     named = ["cell_idx"] if skip_named else []
     asked = lines.select(*dict.fromkeys([*line_key, "doc_id", "batch_idx", "x", "y", "width", "height", *carry, *named]))
     placed = _placed(asked, cells, line_key, tolerance, unknown_batches, by_number=skip_named).filter("m.rule > 0")
-    return placed.select(*line_key, *carry, *[f"m.{c}" for c in ("rule", "cell_idx", *BOX_FIELDS)])
+    # Rows of one key are one line. Dealt by it, so that the join of a document with very many lines may be split.
+    best = placed.repartition(*line_key).groupBy(*line_key).agg(F.min(F.struct("m", *carry)).alias("b"))
+    return best.select(*line_key, *[f"b.{c}" for c in carry], *[f"b.m.{c}" for c in ("rule", "cell_idx", *BOX_FIELDS)])
 
 
 def _page_box(exact: bool) -> Column:
@@ -332,7 +334,7 @@ def _directly(lines: DataFrame, cells: DataFrame, key: list[str], fields: Sequen
     # A line without a cell number gets one of many impossible numbers, so that
     # such lines spread over the join instead of meeting in one task.
     spread = F.coalesce("cell_idx", -1 - F.pmod(F.xxhash64(*key), F.lit(4096)))
-    named = F.struct(F.lit(0).alias("rule"), "cell_idx", *fields).alias("m")
+    named = F.struct(F.lit(0).alias("rule"), F.lit(0.0).alias("rank"), "cell_idx", *fields).alias("m")
     known = cells.select("doc_id", F.col("cell_idx").alias("__cell"), named)
     return cut_lineage(lines.withColumn("__cell", spread).join(by_key(known), ["doc_id", "__cell"], "left").drop("__cell"))
 
