@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regionflow.operators import mapping
-from regionflow.plans import catalog, registry
+from regionflow.plans import catalog, chain_queries, mapping_queries, registry
 from regionflow.session import cut_lineage, temporary_tables
 
 SF = "/root/testdata/sf0.001"
@@ -29,6 +29,22 @@ def test_lines_are_dealt_once(spark, name, most):
         assert len(dealt(registry.BUILDS[name](spark, SF), "line_no")) <= most
 
 
+@pytest.mark.parametrize("name", ["nearest_cell"])
+def test_lines_are_stored_once(spark, monkeypatch, name):
+    """Only those that are left for the next step."""
+    stored = []
+
+    def noted(df, *args):
+        stored.extend(c for c in df.columns if c == "line_no")
+        return cut_lineage(df, *args)
+
+    for module in (mapping, mapping_queries, chain_queries):
+        monkeypatch.setattr(module, "cut_lineage", noted)
+    with temporary_tables(spark):
+        registry.BUILDS[name](spark, SF)
+    assert len(stored) == 1
+
+
 def shuffled(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
     return {str(files.apply(i)) for i in range(files.size()) if str(files.apply(i)).endswith(".data")}
