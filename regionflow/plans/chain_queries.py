@@ -33,11 +33,11 @@ def full_chain(spark, sf):
     """Detections, numbered regions, grid cells, mapped lines, merged texts, jobs, batches,
     replies, parsed translations, pages. The stub answers ``[k]: T:text`` and leaves out
     every seventh text."""
-    lines = cut_lineage(mapped(spark, sf)).filter("outcome LIKE 'matched%'")
-    texts = lines.select(
+    lines = mapped(spark, sf).filter("outcome LIKE 'matched%'")
+    texts = cut_lineage(lines.select(
         "doc_id", "page_idx", F.lit(1).cast("bigint").alias("level"), "bubble_idx", "line_no", "text",
         *[F.get("bbox", F.lit(i)).cast("bigint").alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))],
-    )
+    ))
     regions = cut_lineage(merge.merge_regions(texts, X.regions(spark, sf)))
     jobs = batching.job_order(merge.jobs_of(regions))
     batched = cut_lineage(batching.fixed_batches(jobs, BATCH_SIZE))

@@ -29,7 +29,7 @@ def test_lines_are_dealt_once(spark, name, most):
         assert len(dealt(registry.BUILDS[name](spark, SF), "line_no")) <= most
 
 
-@pytest.mark.parametrize("name", ["nearest_cell"])
+@pytest.mark.parametrize("name", ["nearest_cell", "full_chain"])
 def test_lines_are_stored_once(spark, monkeypatch, name):
     """Only those that are left for the next step."""
     stored = []
