@@ -481,7 +481,7 @@ def _nearest_by_tiles(points: DataFrame, boxes: DataFrame, key: list[str], tiles
 def unmapped_regions(regions: DataFrame, mapped: DataFrame) -> DataFrame:
     """Regions no line was mapped to."""
     keys = ["doc_id", "page_idx", "bubble_idx"]
-    hits = mapped.filter("page_idx IS NOT NULL").select(*keys)
+    hits = mapped.filter("page_idx IS NOT NULL").select(*keys).distinct()
     return regions.join(by_key(hits), keys, "left_anti")
 
 
