@@ -166,8 +166,7 @@ def char_boxes(spark, sf):
     # A box of another length than four is dropped.
     bad = F.array(F.struct(F.lit("?").alias("char"), F.array(F.col("x"), F.col("y")).alias("bbox")))
     chars = F.concat(F.transform(F.sequence(F.lit(0), F.length("text") - 1), boxed), bad)
-    lines = mapping.screen_lines(X.lines(spark, sf)).select("doc_id", "src_page", "line_no", "text", "x", "y")
-    matched = by_key(spatial_matches(spark, sf)).join(lines, ["doc_id", "src_page", "line_no"])
+    matched = spatial_matches(spark, sf, carry=["text", "x", "y"])
     moved = matched.withColumn("chars", chars).withColumn("moved", mapping.chars_to_page())
     sides = [F.col("c.bbox")[k].cast("bigint").alias(side) for k, side in enumerate(("left", "top", "right", "bottom"))]
     return moved.select("doc_id", "src_page", "line_no", F.posexplode("moved").alias("char_no", "c")).select("doc_id", "src_page", "line_no", "char_no", *sides, "c.char")

@@ -21,7 +21,7 @@ def dealt(df, column):
     return [i for i in re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan) if re.search(rf"\b{column}#", i)]
 
 
-@pytest.mark.parametrize("name, most", [("map_spatial", 2), ("map_lines", 1), ("near_misses", 1), ("mapped_share", 0), ("unmapped_regions", 0), ("map_by_cell", 1), ("mapping_stats", 0)])
+@pytest.mark.parametrize("name, most", [("map_spatial", 2), ("map_lines", 1), ("near_misses", 1), ("mapped_share", 0), ("unmapped_regions", 0), ("map_by_cell", 1), ("mapping_stats", 0), ("char_boxes", 2)])
 def test_lines_are_dealt_once(spark, name, most):
     """Those that a cell was found for once more, by their key."""
     assert name in catalog.QUERIES
